@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from larkspur.llm.ngram_jaccard import op1_ngram_jaccard
+from larkspur.llm.suffix_dedup import op2_suffix_dedup
 
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_suffix_dedup": op2_suffix_dedup,
 }
 
 ORACLE: dict[str, str] = {}
