@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from larkspur.llm.byte_bpe import op10_byte_bpe
 from larkspur.llm.ngram_jaccard import op1_ngram_jaccard
+from larkspur.llm.sharding import OP3_SQL, op3_sharding
 from larkspur.llm.suffix_dedup import op2_suffix_dedup
+from larkspur.llm.unit_dedup import OP6_SQL, op6_substring_dedup
 
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_sharding": op3_sharding,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_sharding": OP3_SQL,
+    "op6_substring_dedup": OP6_SQL,
+}
