@@ -111,10 +111,10 @@ def text_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) ->
         i = j
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word `[^\\x20\\x09-\\x0D]+`, and the words before each document's start (length: documents + 1)."""
+def words_of(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, a run of bytes outside `space` (`[^\\x20\\x09-\\x0D]+`), and the words before each document's start (length: documents + 1)."""
     solid = np.zeros(len(data) + 1, dtype=bool)
-    solid[:-1] = ~SPACE[data]
+    solid[:-1] = ~space[data]
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from larkspur.llm.byte_bpe import op10_byte_bpe
 from larkspur.llm.ngram_jaccard import op1_ngram_jaccard
+from larkspur.llm.quality import op8_quality
 from larkspur.llm.sharding import OP3_SQL, op3_sharding
 from larkspur.llm.suffix_dedup import op2_suffix_dedup
 from larkspur.llm.unit_dedup import OP6_SQL, op6_substring_dedup
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_sharding": op3_sharding,
     "op6_substring_dedup": op6_substring_dedup,
+    "op8_quality": op8_quality,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
