@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from larkspur.llm.byte_bpe import op10_byte_bpe
+from larkspur.llm.decontaminate import op5_decontaminate
+from larkspur.llm.embedding_dedup import OP9_SQL, op9_embedding_dedup
 from larkspur.llm.ngram_jaccard import op1_ngram_jaccard
 from larkspur.llm.quality import op8_quality
 from larkspur.llm.sharding import OP3_SQL, op3_sharding
@@ -13,12 +15,15 @@ QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_sharding": op3_sharding,
+    "op5_decontaminate": op5_decontaminate,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_quality": op8_quality,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE: dict[str, str] = {
     "op3_sharding": OP3_SQL,
     "op6_substring_dedup": OP6_SQL,
+    "op9_embedding_dedup": OP9_SQL,
 }
