@@ -5,6 +5,7 @@ from __future__ import annotations
 from larkspur.llm.byte_bpe import op10_byte_bpe
 from larkspur.llm.decontaminate import op5_decontaminate
 from larkspur.llm.embedding_dedup import OP9_SQL, op9_embedding_dedup
+from larkspur.llm.html_text import op4_html_text
 from larkspur.llm.ngram_jaccard import op1_ngram_jaccard
 from larkspur.llm.quality import op8_quality
 from larkspur.llm.sharding import OP3_SQL, op3_sharding
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_sharding": op3_sharding,
+    "op4_html_text": op4_html_text,
     "op5_decontaminate": op5_decontaminate,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_quality": op8_quality,
