@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import shingles, staged, text_bytes, text_chunks, word_hashes, words_of
+from larkspur.llm.common import keep_rows_of, shingles, staged, text_bytes, text_chunks, word_hashes, words_of
 
 GRAM = 4  # words of a seed
 BLOCK_BYTES = 16 << 20  # text of the items of one block
@@ -198,7 +198,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> Da
     """The documents that copy no test item, with all columns."""
     id_col = options.get("id_col", "doc_id")
     gone = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    return keep_rows_of(docs, gone, id_col, "left_anti").select(docs.columns)
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:

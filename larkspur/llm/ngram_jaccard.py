@@ -226,7 +226,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     id_col = options.get("id_col", "doc_id")
     groups = ngram_jaccard_join(docs, **options)
     gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    return keep_rows_of(docs, gone, id_col, "left_anti").select(docs.columns)
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import SPACE, mix, staged, text_chunks, word_hashes, words_of
+from larkspur.llm.common import SPACE, keep_rows_of, mix, staged, text_chunks, word_hashes, words_of
 
 SHRINKAGE = 0.1
 FLOOR = 1e-3  # added to each variance of the standardised features
@@ -174,6 +174,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 CUT = 0.3
 
 
+def of_quality(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
+    """The documents with a score of `cut` or more, with all columns; rows without an id stay."""
+    gone = quality_scores(docs, labels).where(F.col("score") < cut).select("doc_id").distinct()
+    return keep_rows_of(docs, gone, "doc_id", "left_anti").select(docs.columns)
+
+
 def op8_quality(spark, sf_dir: str) -> DataFrame:
     """Scores of all of documents; 1 is predicted from 0.3 on."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")

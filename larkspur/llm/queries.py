@@ -6,6 +6,7 @@ from larkspur.llm.byte_bpe import op10_byte_bpe
 from larkspur.llm.decontaminate import op5_decontaminate
 from larkspur.llm.embedding_dedup import OP9_SQL, op9_embedding_dedup
 from larkspur.llm.html_text import op4_html_text
+from larkspur.llm.license_scan import op7_license_scan
 from larkspur.llm.ngram_jaccard import op1_ngram_jaccard
 from larkspur.llm.quality import op8_quality
 from larkspur.llm.sharding import OP3_SQL, op3_sharding
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_html_text": op4_html_text,
     "op5_decontaminate": op5_decontaminate,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_license_scan": op7_license_scan,
     "op8_quality": op8_quality,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_byte_bpe": op10_byte_bpe,

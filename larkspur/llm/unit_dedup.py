@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.llm.common import staged
 
@@ -22,10 +23,13 @@ _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def _cut(sep: str):
+    """The last two columns are the text and the positions that go; those before them pass through."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            *rest, texts, lists = batch.columns
             kept, spans, sizes = [], [], []
-            for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, gone in zip(texts.to_pylist(), lists.to_pylist(), strict=True):
                 units = (text or "").split(sep)
                 sizes.append(len(units) if text else 0)
                 if not gone:
@@ -41,11 +45,30 @@ def _cut(sep: str):
                     at += len(unit) + len(sep)
                 kept.append(sep.join(stay))
                 spans.append(cut)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(sizes, pa.int32()), pa.array(spans, _SPAN)], names=["_row", "kept", "n_units", "removed"])
+            names = [*batch.schema.names[:-2], "_kept", "_units", "_removed"]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(kept, pa.string()), pa.array(sizes, pa.int32()), pa.array(spans, _SPAN)], names=names)
 
     return run
 
 
+def cut_repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of docs and _kept, _units and _removed; see unit_dedup."""
+    sep = BREAKS[unit]
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_copy"), text.alias("_text"))
+    units = rows.select("_id", "_copy", F.posexplode(F.split("_text", sep, -1)).alias("pos", "unit"))
+    norm = F.trim(F.regexp_replace(F.lower("unit"), r"[ \t\r\f\x0B]+", " "))
+    units = units.select("_id", "_copy", "pos", norm.alias("norm")).where(F.size(F.split("norm", " ")) >= min_words)
+    units = staged(units.select("_id", "_copy", "pos", F.xxhash64("norm").alias("d1"), F.xxhash64(F.lit(1), "norm").alias("d2")), "units")
+    rank = F.struct("_id", "_copy", "pos")
+    first = units.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1").select("d1", "d2", "first")
+    later = units.join(first, ["d1", "d2"]).where(~rank.eqNullSafe(F.col("first")))
+    gone = later.groupBy("_id", "_copy").agg(F.collect_set("pos").alias("_gone"))
+    joined = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_id"]) & (F.xxhash64(text) == gone["_copy"]), "left").select(*[docs[c] for c in docs.columns], text.alias("_text"), "_gone")
+    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("_kept string, _units int, _removed array<struct<start:int,end:int>>").fields])
+    return joined.mapInArrow(_cut(sep), schema)
+
+
 def unit_dedup(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Keep the earliest occurrence, by (doc_id, position), of each unit of at least `min_words` words.
 
@@ -56,18 +79,8 @@ def unit_dedup(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS,
     id and text count as one document and are treated alike. Other columns are
     ignored, whatever their names.
     """
-    sep = BREAKS[unit]
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("copy", F.xxhash64("text"))
-    units = docs.select("doc_id", "copy", F.posexplode(F.split("text", sep, -1)).alias("pos", "unit"))
-    norm = F.trim(F.regexp_replace(F.lower("unit"), r"[ \t\r\f\x0B]+", " "))
-    units = units.select("doc_id", "copy", "pos", norm.alias("norm")).where(F.size(F.split("norm", " ")) >= min_words)
-    units = staged(units.select("doc_id", "copy", "pos", F.xxhash64("norm").alias("d1"), F.xxhash64(F.lit(1), "norm").alias("d2")), "units")
-    rank = F.struct("doc_id", "copy", "pos")
-    first = units.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1").select("d1", "d2", "first")
-    later = units.join(first, ["d1", "d2"]).where(~rank.eqNullSafe(F.col("first")))
-    gone = later.groupBy("doc_id", "copy").agg(F.collect_set("pos").alias("gone"))
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (docs["copy"] == gone["copy"]), "left").select(docs["doc_id"], "text", "gone")
-    return joined.mapInArrow(_cut(sep), "_row long, kept string, n_units int, removed array<struct<start:int,end:int>>").select(F.col("_row").alias("doc_id"), F.col("kept").alias("text"), "n_units", "removed")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return cut_repeats(docs, unit, min_words).select("doc_id", F.col("_kept").alias("text"), F.col("_units").alias("n_units"), F.col("_removed").alias("removed"))
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
