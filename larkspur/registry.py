@@ -2,5 +2,193 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larkspur.functions.text import fnv1a32, hashed_dim, index_terms, is_heading, preview, tokenize, tokenize_raw
+from larkspur.functions.vectors import cosine, normalize
+from larkspur.operators import chunker, editing, maintain, statistics
+from larkspur.operators.dense import dense_search
+from larkspur.operators.lexical import expand, lexical_search, match, phrases
+from larkspur.operators.vectorize import chunk_vectors, vector_search
+from larkspur.oracle import ORACLE
+from larkspur.plans.search import build_from_files, search_batch
+from larkspur.session import staged
+from larkspur.sources.markdown import from_documents
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as markdown files."""
+    return from_documents(_read(spark, sf_dir, "documents"))
+
+
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item is a query."""
+    return _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunker.chunk(_files(spark, sf_dir))
+    return rows.select(maintain.chunk_id().alias("chunk_id"), "doc_id", "chunk_idx", "heading", "content")
+
+
+def _lexical_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    chunks = _chunks(spark, sf_dir)
+    return staged(statistics.postings(chunks), "postings"), staged(statistics.chunk_lengths(chunks), "lengths")
+
+
+def q_tokenize_raw(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", F.array_join(tokenize_raw("text"), " ").alias("tokens"))
+
+
+def q_tokenize_expanded(spark, sf_dir):
+    text = F.concat("text", F.lit(" OOMKilled drain "), "lang", F.lit(" oomkilled timeout"))
+    return _read(spark, sf_dir, "documents").select("doc_id", F.array_join(tokenize(text), " ").alias("tokens"))
+
+
+def q_index_terms(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", F.array_join(index_terms("text"), " ").alias("terms"))
+
+
+def q_hashed_terms(spark, sf_dir):
+    terms = _read(spark, sf_dir, "documents").select(F.explode(tokenize("text")).alias("term")).distinct()
+    dim, sign = hashed_dim("term", 1024)
+    return terms.select("term", fnv1a32("term").alias("hash"), dim.alias("dim"), sign.alias("sign"))
+
+
+def q_term_frequency(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    return statistics.term_frequency(docs, tokenize("text"), "doc_id").select("doc_id", "term", "n", F.round("tf", 6).alias("tf"))
+
+
+def q_vocabulary(spark, sf_dir):
+    return statistics.vocabulary(_chunks(spark, sf_dir)).select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+def q_sections(spark, sf_dir):
+    rows = _files(spark, sf_dir).select("doc_id", F.posexplode(chunker.sections("body")).alias("idx", "s"))
+    return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), "s.heading", "s.content")
+
+
+def q_chunk_documents(spark, sf_dir):
+    return chunker.chunk(_files(spark, sf_dir)).select("doc_id", "chunk_idx", "heading", "content")
+
+
+def q_frontmatter(spark, sf_dir):
+    head = F.when(F.col("lang") == "en", F.concat(F.lit("---\nlang: "), "lang", F.lit("\n---\n"))).when(F.col("lang") == "fr", "---\n").otherwise("\n")
+    return _read(spark, sf_dir, "documents").select("doc_id", chunker.strip_frontmatter(F.concat(head, "text")).alias("body"))
+
+
+def q_postings(spark, sf_dir):
+    return statistics.postings(_chunks(spark, sf_dir))
+
+
+def q_chunk_lengths(spark, sf_dir):
+    return statistics.chunk_lengths(_chunks(spark, sf_dir))
+
+
+def q_prefix_terms(spark, sf_dir):
+    postings, _ = _lexical_tables(spark, sf_dir)
+    return expand(phrases(_queries(spark, sf_dir)).select("phrase").distinct(), postings.select("term").distinct())
+
+
+def q_match_all_or_any(spark, sf_dir):
+    found = match(_queries(spark, sf_dir), *_lexical_tables(spark, sf_dir))
+    return found.groupBy("query_id", "mode").agg(F.count("*").alias("chunks"), F.round(F.sum("score"), 4).alias("score"))
+
+
+def q_bm25_topk(spark, sf_dir):
+    found = lexical_search(_queries(spark, sf_dir), *_lexical_tables(spark, sf_dir), 20)
+    return found.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+def q_tfidf_vectors(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir)
+    return chunk_vectors(chunks, statistics.vocabulary(chunks)).select("chunk_id", "dim", F.round("w", 6).alias("w"))
+
+
+def q_vector_topk(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir)
+    vocab = staged(statistics.vocabulary(chunks), "vocab")
+    vectors = staged(chunk_vectors(chunks, vocab), "vectors")
+    found = vector_search(_queries(spark, sf_dir), vocab, vectors, 20)
+    return found.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+def q_dense_topk(spark, sf_dir):
+    rows = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), normalize("embedding").alias("vector"))
+    asked = rows.where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
+    return dense_search(asked, rows, 20).withColumn("score", F.round("score", 6))
+
+
+def q_hybrid_search(spark, sf_dir):
+    return search_batch(build_from_files(_files(spark, sf_dir)), _queries(spark, sf_dir))
+
+
+def q_search_in_path(spark, sf_dir):
+    """A path filter after the cut to the best ten."""
+    found = search_batch(build_from_files(_files(spark, sf_dir)), _queries(spark, sf_dir), 10)
+    return found.where(F.col("path").startswith("src1")).select("query_id", "rank", "path", "heading", "score")
+
+
+def q_list_documents(spark, sf_dir):
+    documents = _files(spark, sf_dir).select("doc_id", "path", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), F.lit(None).cast("timestamp").alias("ingested_at"))
+    found = maintain.list_documents(documents, _chunks(spark, sf_dir), "src1")
+    return found.select("path", "title", F.array_join("headings", " | ").alias("headings"), F.size("headings").cast("long").alias("sections"))
+
+
+def q_upsert_documents(spark, sf_dir):
+    """Documents that have labels come again with their quality before the text."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
+    new = docs.join(_read(spark, sf_dir, "labels").select("doc_id", "quality").distinct(), "doc_id").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit(" "), "body").alias("body"))
+    return maintain.upsert(docs, new, "doc_id")
+
+
+def q_prune_documents(spark, sf_dir):
+    return maintain.prune(_chunks(spark, sf_dir), _read(spark, sf_dir, "labels"), "doc_id").groupBy("doc_id").agg(F.count("*").alias("chunks"))
+
+
+def q_cascade_delete(spark, sf_dir):
+    documents = _files(spark, sf_dir).select("doc_id", "path")
+    toxic = documents.join(_read(spark, sf_dir, "labels").where("toxic = 1"), "doc_id", "left_semi")
+    left, chunks = maintain.cascade_delete(documents, _chunks(spark, sf_dir), toxic)
+    return left.join(chunks.select("doc_id", "chunk_idx"), "doc_id", "left").groupBy("doc_id", "path").agg(F.count("chunk_idx").alias("chunks"))
+
+
+def q_next_chunk_idx(spark, sf_dir):
+    return maintain.next_chunk_idx(_chunks(spark, sf_dir))
+
+
+def q_replace_section(spark, sf_dir):
+    files = _files(spark, sf_dir).select("doc_id", "body").join(_read(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
+    number = F.col("doc_id").cast("string")
+    return files.select("doc_id", editing.replace_section("body", "lang", F.concat(F.lit("New text of "), number, F.lit("\nand more"))).alias("replaced"), editing.replace_section("body", "source", F.concat(F.lit("Added to "), number)).alias("added"))
+
+
+def q_first_code_block(spark, sf_dir):
+    md = F.concat(F.lit("intro\n```"), "lang", F.lit("\n"), "text", F.when(F.col("lang") == "en", "\n```\nrest").otherwise(""))
+    return _read(spark, sf_dir, "documents").select("doc_id", editing.first_code_block(md).alias("code"))
+
+
+def q_preview(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", preview("text").alias("preview"))
+
+
+def q_heading_lines(spark, sf_dir):
+    lines = F.split(F.concat("body", F.lit("\n### sub\n#no")), "\n")
+    return _files(spark, sf_dir).select("doc_id", F.size(F.filter(lines, is_heading)).cast("long").alias("headings"))
+
+
+def q_unit_vectors(spark, sf_dir):
+    squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    unit = normalize("embedding")
+    return _read(spark, sf_dir, "embeddings").select("vec_id", F.round(squares, 4).alias("squares"), F.round(cosine(unit, unit), 9).alias("own_cosine"))
+
+
+QUERIES = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}
+
+__all__ = ["ORACLE", "QUERIES"]
