@@ -3,14 +3,17 @@
 The global order of n-grams is the order of their 64-bit hashes. For each size
 class this order is cut into fragments, a few more than the largest symmetric
 difference that a pair at the threshold can have; so such a pair agrees on at
-least one whole fragment, and documents that agree on a fragment are grouped
-as candidates. The overlap of candidate pairs is then counted fragment by
-fragment and summed per pair, and the exact ratio decides.
+least one whole fragment, and documents that agree on a fragment meet in its
+bucket. There the parities of their n-grams in some bins, about a bit for each
+n-gram, bound the symmetric difference from below; pairs within the bound are
+candidates, and their components are clusters. In each cluster the overlap of
+pairs is counted fragment by fragment and summed per pair, and the exact ratio
+decides.
 
 Groups stay bounded: equal n-gram sets are one class from the start, and large
-candidate groups are cut into blocks, of which each pair of blocks is a task.
-A task returns stars (member, smallest member) of what it has linked, never
-all pairs. Links between different classes are all tested.
+buckets and clusters are cut into blocks, of which each pair of blocks is a
+task. A task returns stars (member, smallest member) of what it has linked,
+never all pairs. Links between different classes are all tested.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from larkspur.llm.graph import components
 CLASS_RATIO = 1.5  # sizes of one class, largest to smallest
 BLOCK_DOCS = 256  # documents of a block
 BLOCK_BYTES = 4 << 20  # text bytes of a block
+BUCKET_DOCS = 512  # documents of a block of a bucket
+LEAST_BITS = 256  # of the parities of a document
 FRAGMENT_COLUMNS = 4096  # n-grams of a fragment of the overlap count
 
 
@@ -63,6 +68,71 @@ def fragment_keys(grams: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
+def parities(grams: np.ndarray) -> bytes:
+    """The parity of the number of n-grams in each of 2**k bins, two bins for each n-gram at most."""
+    bits = LEAST_BITS
+    while bits < len(grams):
+        bits *= 2
+    counts = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(bool), bitorder="little").tobytes()
+
+
+def folded(bits: int, size: int, to: int) -> int:
+    """Parities of 8 * size bins as those of 8 * to bins: the upper half adds to the lower."""
+    while size > to:
+        size //= 2
+        bits = (bits >> 8 * size) ^ (bits & ((1 << 8 * size) - 1))
+    return bits
+
+
+def close_pairs(left: list[tuple[int, bytes]], right: list[tuple[int, bytes]], num: int, den: int) -> np.ndarray:
+    """Pairs of (size, parities) whose symmetric difference may be that of a pair at the threshold."""
+    size = min(len(b) for _, b in (*left, *right))
+    sides = []
+    for side in (left, right):
+        whole = b"".join(b if len(b) == size else folded(int.from_bytes(b, "little"), len(b), size).to_bytes(size, "little") for _, b in side)
+        sides.append(np.frombuffer(whole, np.uint64).reshape(len(side), size // 8))
+    total = np.array([n for n, _ in left])[:, None] + np.array([n for n, _ in right])[None, :]
+    apart = np.zeros(total.shape, np.int64)
+    for k in range(len(left)):
+        apart[k] = np.bitwise_count(sides[0][k] ^ sides[1]).sum(1)
+    return apart * (num + den) <= (den - num) * total
+
+
+def _meet(num: int, den: int):
+    """Stars of the close pairs of each bucket, or of a pair of blocks of one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, home = table.column("key").to_numpy(), table.column("home").to_numpy()
+        ids = table.column("rep").to_numpy()
+        own = list(zip(table.column("n").to_pylist(), table.column("bits").to_pylist(), strict=True))
+        edges: set[tuple[int, int]] = set()
+        order = np.lexsort((ids, home, key))
+        for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            if len(part) == 2:
+                (n, a), (m, b) = own[part[0]], own[part[1]]
+                size = min(len(a), len(b))
+                apart = (folded(int.from_bytes(a, "little"), len(a), size) ^ folded(int.from_bytes(b, "little"), len(b), size)).bit_count()
+                if apart * (num + den) <= (den - num) * (n + m):
+                    x, y = int(ids[part[0]]), int(ids[part[1]])
+                    edges.add((min(x, y), max(x, y)))
+                continue
+            homes = np.unique(home[part])
+            cut = len(part) if len(homes) == 1 else int((home[part] == homes[0]).sum())
+            near = np.zeros((len(part), len(part)), bool)
+            rows = [own[k] for k in part]
+            if cut == len(part):
+                near = close_pairs(rows, rows, num, den)
+            else:
+                near[:cut, cut:] = close_pairs(rows[:cut], rows[cut:], num, den)
+                near |= near.T
+            np.fill_diagonal(near, False)
+            edges.update(stars(ids[part], near))
+        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+
+    return run
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Common n-grams of each pair, counted fragment by fragment of the global order and summed."""
     total = np.zeros((len(left), len(right)), dtype=np.float32)
@@ -107,14 +177,15 @@ def _signatures(size: int):
         for batch in batches:
             ids = batch.column(0)
             for i, j, data, offsets in text_chunks(batch, "text"):
-                n, d1, d2 = [], [], []
+                n, d1, d2, bits = [], [], [], []
                 for grams in shingle_sets(data, offsets, size):
                     n.append(len(grams))
+                    bits.append(parities(grams))
                     m = mix(grams)
                     d1.append(int(m.sum(dtype=np.uint64)))
                     d2.append(int(mix(m + np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64)))
                 signed = [pa.array(np.array(d, np.uint64).view(np.int64)) for d in (d1, d2)]
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n, pa.int64()), *signed], names=["doc_id", "n", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n, pa.int64()), *signed, pa.array(bits, pa.binary())], names=["doc_id", "n", "d1", "d2", "bits"])
 
     return run
 
@@ -167,6 +238,18 @@ def _verify(size: int, num: int, den: int):
     return run
 
 
+def in_blocks(rows: DataFrame, group: str, carry: list[str], bins: int) -> DataFrame:
+    """rows(group, rep, blocks, carry) dealt to tasks (task, block): groups of one block are dealt to bins, block -1.
+
+    Of a larger group, blocks i and j meet in the task (i, j) with i <= j, so
+    each row goes to as many tasks as its group has blocks.
+    """
+    out = [group, "rep", *carry]
+    single = rows.where("blocks = 1").select(*out, F.lit(0).alias("home"), F.lit(-1).alias("block"), F.pmod(F.xxhash64(group), F.lit(bins)).alias("task"))
+    many = rows.where("blocks > 1").withColumn("home", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return single.unionByName(many.select(*out, "home", F.lit(0).alias("block"), F.xxhash64(group, F.least("home", "other"), F.greatest("home", "other")).alias("task")))
+
+
 def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose n-gram sets have a Jaccard ratio of num/den or more.
 
@@ -181,14 +264,19 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marks = staged(docs.mapInArrow(_signatures(size), "doc_id long, n long, d1 long, d2 long"), "marks")
+    marks = staged(docs.mapInArrow(_signatures(size), "doc_id long, n long, d1 long, d2 long, bits binary"), "marks")
     sets = marks.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     sets = staged(sets, "sets")
 
     reps = sets.select(F.col("rep").alias("doc_id")).distinct()
     keyed = keep_rows_of(docs, reps, "doc_id").mapInArrow(_keys(size, num, den), "key long, rep long")
-    meet = keyed.withColumn("first", F.min("rep").over(Window.partitionBy("key"))).where("first < rep")
-    meet = staged(meet.select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "meet")
+    bucket = Window.partitionBy("key")
+    meet = keyed.withColumn("first", F.min("rep").over(bucket)).withColumn("last", F.max("rep").over(bucket)).withColumn("docs", F.count("*").over(bucket)).where("first < last")
+    meet = staged(meet.select("key", "rep", F.ceil(F.col("docs") / BUCKET_DOCS).cast("int").alias("blocks")), "buckets")
+    own = keep_rows_of(marks, reps, "doc_id").groupBy(F.col("doc_id").alias("rep")).agg(F.max(F.struct("n", "bits")).alias("own"))
+    meet = meet.join(own.select("rep", "own.*"), "rep")
+    bins = max(8, meet.agg(F.sum(F.length("bits") + 40)).first()[0] // BLOCK_BYTES + 1 if not meet.isEmpty() else 8)
+    meet = in_blocks(meet, "key", ["n", "bits"], bins).groupBy("task", "block").applyInArrow(_meet(num, den), "a long, b long").distinct()
     clusters = staged(components(meet), "clusters").select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"))
 
     small = clusters.limit(200_001).count() <= 200_000
@@ -197,15 +285,10 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
     members = staged(members if _unique(marks) else members.dropDuplicates(["rep"]), "members")
     sizes = members.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum(F.octet_length("text")).alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    members = members.join(sizes.select("cluster", blocks.alias("blocks"), "bytes"), "cluster")
-    total = members.agg(F.sum("bytes")).first()[0] or 0
+    members = members.join(sizes.select("cluster", blocks.alias("blocks")), "cluster")
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
     bins = max(8, int(total // BLOCK_BYTES) + 1)
-    home = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    single = members.where("blocks = 1").select("cluster", "rep", "text", F.lit(0).alias("home"), F.lit(-1).alias("block"), F.pmod(F.xxhash64("cluster"), F.lit(bins)).alias("task"))
-    # Blocks i and j meet in the task (i, j) with i <= j; each member goes to all tasks of its block.
-    many = members.where("blocks > 1").withColumn("home", home).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.select("cluster", "rep", "text", "home", F.lit(0).alias("block"), F.xxhash64("cluster", F.least("home", "other"), F.greatest("home", "other")).alias("task"))
-    found = single.unionByName(many).groupBy("task", "block").applyInArrow(_verify(size, num, den), "a long, b long, multi boolean")
+    found = in_blocks(members, "cluster", ["text"], bins).groupBy("task", "block").applyInArrow(_verify(size, num, den), "a long, b long, multi boolean")
     found = staged(found, "found")
     apart = found.where("not multi").select(F.col("a").alias("rep"), F.col("b").alias("component"))
     joined = components(found.where("multi")).select(F.col("id").alias("rep"), "component")
