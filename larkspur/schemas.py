@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 SCHEMA_VERSION = 1
 
-FILE = T._parse_datatype_string("path string, body string")
-DOCUMENTS = T._parse_datatype_string("doc_id long, path string, title string, ingested_at timestamp")
-CHUNKS = T._parse_datatype_string("chunk_id long, doc_id long, chunk_idx int, heading string, content string")
-POSTINGS = T._parse_datatype_string("term string, chunk_id long, tf long")
-VOCAB = T._parse_datatype_string("term string, df long, idf double")
-CHUNK_VEC = T._parse_datatype_string("chunk_id long, dim int, w double")
-QUERIES = T._parse_datatype_string("query_id long, query string")
-RESULT = T._parse_datatype_string("query_id long, rank int, chunk_id long, path string, heading string, content string, score double, label string")
+FILE = "path string, body string"
+DOCUMENTS = "doc_id long, path string, title string, ingested_at timestamp"
+CHUNKS = "chunk_id long, doc_id long, chunk_idx int, heading string, content string"
+POSTINGS = "term string, chunk_id long, tf long"
+VOCAB = "term string, df long, idf double"
+CHUNK_VEC = "chunk_id long, dim int, w double"
+QUERIES = "query_id long, query string"
+RESULT = "query_id long, rank int, chunk_id long, path string, heading string, content string, score double, label string"
