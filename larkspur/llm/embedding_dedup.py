@@ -22,12 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.llm.common import staged
 from larkspur.llm.graph import components
 
 BLOCKS = 4
-CHUNK = 2048  # vectors of a chunk
+CHUNK = 8192  # vectors of a chunk
 STRIP = 256  # rows of a chunk that are compared at once
 SLICE = 1 << 16  # candidate pairs that are verified at once
 SLACK = 1e-9
@@ -79,37 +80,36 @@ def _place(cosine: float):
 
 
 def _pack(table: pa.Table) -> pa.Table:
-    """One row for a chunk: its ids, copies and vectors as bytes."""
-    first = table.slice(0, 1).to_pylist()[0]
-    cell = lambda a, t: np.ascontiguousarray(a, t).tobytes()
+    """One row for a chunk: its ids, copies and vectors as bytes, the vectors in the precision that they came in."""
+    first = table.slice(0, 1).drop_columns(["vector"]).to_pylist()[0]
+    cell = lambda a, t=None: np.ascontiguousarray(a, t).tobytes()
     x = np.asarray(table.column("vector").combine_chunks().flatten())
     return pa.table({
         "dims": pa.array([first["dims"]], pa.int32()), "block": pa.array([first["block"]], pa.int32()), "slab": pa.array([first["slab"]], pa.int32()), "chunk": pa.array([first["chunk"]], pa.int32()),
-        "ids": pa.array([cell(table.column("rep").to_numpy(), np.int64)], pa.binary()), "copies": pa.array([cell(table.column("copies").to_numpy(), np.int64)], pa.binary()), "vectors": pa.array([cell(x, np.float64)], pa.binary()),
+        "ids": pa.array([cell(table.column("rep").to_numpy(), np.int64)], pa.binary()), "copies": pa.array([cell(table.column("copies").to_numpy(), np.int64)], pa.binary()), "vectors": pa.array([cell(x)], pa.binary()),
     })
 
 
-def _compare(cosine: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                v = {name: batch.column(k)[row].as_py() for k, name in enumerate(batch.schema.names)}
-                yield _chunks(v, cosine)
+def _compare(cosine: float, wide: bool):
+    def run(table: pa.Table) -> pa.Table:
+        """Two chunks, or one with itself."""
+        rows = sorted(table.to_pylist(), key=lambda r: r["side"])
+        return _chunks(rows[0], rows[-1], cosine, np.float64 if wide else np.float32)
 
     return run
 
 
-def _chunks(v: dict, cosine: float) -> pa.RecordBatch:
-    d, b = v["dims"], v["block"]
+def _chunks(one: dict, two: dict, cosine: float, kind: type) -> pa.Table:
+    d, b = one["dims"], one["block"]
     at = cuts(d)
     budget = (2 - 2 * cosine) * np.diff(at) / d + SLACK
     sides = []
-    for s in ("1", "2"):
-        ids, copies = np.frombuffer(v["ids" + s], np.int64), np.frombuffer(v["copies" + s], np.int64)
-        u = units(np.frombuffer(v["vectors" + s], np.float64).reshape(len(ids), d))
+    for v in (one, two):
+        ids, copies = np.frombuffer(v["ids"], np.int64), np.frombuffer(v["copies"], np.int64)
+        u = units(np.frombuffer(v["vectors"], kind).reshape(len(ids), d))
         sides.append((ids, copies, u, u @ rotation(d)))
     (ids1, n1, u1, r1), (ids2, n2, u2, r2) = sides
-    same = v["slab1"] == v["slab2"] and v["chunk1"] == v["chunk2"]
+    same = one is two
     p1, p2 = r1[:, at[b] : at[b + 1]].astype(np.float32), r2[:, at[b] : at[b + 1]].astype(np.float32)
     q1, q2 = (p1 * p1).sum(1), (p2 * p2).sum(1)
     links1, links2 = np.zeros(len(ids1), np.int64), np.zeros(len(ids2), np.int64)
@@ -139,7 +139,7 @@ def _chunks(v: dict, cosine: float) -> pa.RecordBatch:
     star = least[root]
     links = np.concatenate([links1, links2])
     out = np.flatnonzero((links > 0) | (star != ids))
-    return pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(links[out]), pa.array(star[out])], names=["rep", "links", "star"])
+    return pa.table({"rep": pa.array(ids[out]), "links": pa.array(links[out]), "star": pa.array(star[out])})
 
 
 def _join(parent: np.ndarray, a: np.ndarray, c: np.ndarray) -> None:
@@ -168,27 +168,38 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     different lengths. Repeated rows link with each other; a null id has a null
     component and counts as a link of others. Other columns are ignored.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
+    wide = not isinstance(getattr(rows.schema["vector"].dataType, "elementType", None), T.FloatType)
+    kind = "double" if wide else "float"
+    rows = rows.withColumn("vector", F.col("vector").cast(f"array<{kind}>"))
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     usable = F.coalesce((F.size("vector") > 0) & F.forall("vector", fine) & F.exists("vector", lambda x: x != 0), F.lit(False))
-    rows = staged(rows.withColumn("key", F.when(usable, F.transform("vector", lambda x: x + F.lit(0.0)))).drop("vector"), "vectors")
+    rows = staged(rows.withColumn("key", F.when(usable, F.transform("vector", lambda x: x + F.lit(0).cast(kind)))).drop("vector"), "vectors")
     sets = rows.where("key is not null").groupBy(F.col("key").alias("vector")).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     sets = staged(sets.withColumn("rep", F.coalesce("rep", -F.lit(1) - F.abs(F.xxhash64("vector")))), "distinct")
 
     placed = sets.select("rep", "vector").mapInArrow(_place(cosine), "rep long, dims int, block int, slab int")
     placed = staged(placed, "placed")
     slab = ["dims", "block", "slab"]
-    counts = placed.groupBy(*slab).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     # At most 2 / radius slabs a block and BLOCKS blocks for each length of vectors.
-    chunked = placed.join(counts, slab).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).drop("chunks")
+    counts = F.broadcast(staged(placed.groupBy(*slab).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "slabs"))
+    chunked = placed.join(counts, slab).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     packed = chunked.join(sets, "rep").groupBy(*slab, "chunk").applyInArrow(_pack, "dims int, block int, slab int, chunk int, ids binary, copies binary, vectors binary")
     packed = staged(packed, "chunks")
 
-    one = packed.select("dims", "block", *[F.col(c).alias(c + "1") for c in ("slab", "chunk", "ids", "copies", "vectors")]).withColumn("slab2", F.explode(F.array("slab1", F.col("slab1") + 1)))
-    two = packed.select("dims", "block", *[F.col(c).alias(c + "2") for c in ("slab", "chunk", "ids", "copies", "vectors")])
-    pairs = one.join(two, ["dims", "block", "slab2"]).where("slab1 < slab2 or chunk1 <= chunk2")
-    width = max(12, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = pairs.repartition(width, "dims", "block", "slab1", "slab2", "chunk1", "chunk2").mapInArrow(_compare(cosine), "rep long, links long, star long")
+    # A chunk goes to a task with each chunk of its own slab, of the next one, and of the one before.
+    for shift, name in ((0, "here"), (1, "above"), (-1, "below")):
+        packed = packed.join(counts.select("dims", "block", (F.col("slab") - shift).alias("slab"), F.col("chunks").alias(name)), slab, "left")
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    task = lambda s1, c1, s2, c2, side: F.struct(s1.alias("s1"), c1.alias("c1"), s2.alias("s2"), c2.alias("c2"), side.cast("int").alias("side"))
+    s, c = F.col("slab"), F.col("chunk")
+    tasks = F.concat(
+        F.transform(upto("here"), lambda x: task(s, F.least(c, x), s, F.greatest(c, x), c > x)),
+        F.transform(upto("above"), lambda x: task(s, c, s + 1, x, F.lit(0))),
+        F.transform(upto("below"), lambda x: task(s - 1, x, s, c, F.lit(1))),
+    )
+    dealt = packed.select("dims", "block", "ids", "copies", "vectors", F.explode(tasks).alias("t")).select("dims", "block", "ids", "copies", "vectors", "t.*")
+    found = dealt.groupBy("dims", "block", "s1", "c1", "s2", "c2").applyInArrow(_compare(cosine, wide), "rep long, links long, star long")
     found = staged(found, "found")
 
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
