@@ -61,7 +61,7 @@ def tokenize(c: Column | str) -> Column:
     """tokenize_raw with the synonyms of each word after its first occurrence. Synonyms are not expanded again."""
     table = F.create_map(*[x for k, v in SYNONYMS.items() for x in (F.lit(k), strings(v))])
     # The outer transform holds the words, so that they are made once and not for each element.
-    expand = lambda words: F.flatten(F.transform(words, lambda w, i: F.when((F.array_position(words, w) == i + 1) & w.isin(list(SYNONYMS)), F.concat(F.array(w), F.coalesce(F.element_at(table, w), strings([])))).otherwise(F.array(w))))
+    expand = lambda words: F.flatten(F.transform(words, lambda w, i: F.when(w.isin(list(SYNONYMS)) & (F.array_position(words, w) == i + 1), F.concat(F.array(w), F.coalesce(F.element_at(table, w), strings([])))).otherwise(F.array(w))))
     return F.get(F.transform(F.array(tokenize_raw(c)), expand), 0)
 
 

@@ -47,11 +47,16 @@ def phrase_scores(wanted: DataFrame, postings: DataFrame, lengths: DataFrame) ->
 
 def match(queries: DataFrame, postings: DataFrame, lengths: DataFrame) -> DataFrame:
     """(query_id, mode, chunk_id, score) of all chunks that hold all, or any, phrases of a query."""
-    own = phrases(queries)
+    times = lambda mode: F.sum(F.when(F.col("mode") == mode, F.col("times")).otherwise(0))
+    own = phrases(queries).groupBy("query_id", "phrase").agg(times("all").alias("all"), times("any").alias("any"))
     parts = phrase_scores(own.select("phrase").distinct(), postings, lengths)
-    scored = own.join(parts, "phrase").groupBy("query_id", "mode", "chunk_id").agg(F.sum(F.col("part") * F.col("times")).alias("score"), F.count("*").alias("held"))
-    asked = own.groupBy("query_id", "mode").agg(F.count("*").alias("asked"))
-    return scored.join(asked, ["query_id", "mode"]).where("mode = 'any' or held = asked").select("query_id", "mode", "chunk_id", F.round("score", 10).alias("score"))
+    # The phrases of mode any include those of mode all, so one pass sums both.
+    sums = [F.round(F.sum(F.col("part") * F.col(m)), 10).alias(m) for m in ("any", "all")]
+    scored = own.join(parts, "phrase").groupBy("query_id", "chunk_id").agg(*sums, F.count_if(F.col("all") > 0).alias("held"))
+    asked = own.groupBy("query_id").agg(F.count_if(F.col("all") > 0).alias("asked"))
+    modes = F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("score")) for m in ("any", "all")])
+    both = scored.join(asked, "query_id").select("query_id", "chunk_id", F.inline(F.when(F.col("held") == F.col("asked"), modes).otherwise(F.slice(modes, 1, 1))))
+    return both.select("query_id", "mode", "chunk_id", "score")
 
 
 def top(ranked: DataFrame, k: int) -> DataFrame:

@@ -25,10 +25,13 @@ def hashed(frequencies: DataFrame, vocab: DataFrame, default: DataFrame, key: st
     """(key, dim, w): signed sums of tf * idf by dimension, of unit length. default(idf_default) is one row."""
     if dims <= 0:
         return frequencies.select(key, F.lit(0).alias("dim"), F.lit(0.0).alias("w")).limit(0)
-    known = frequencies.join(vocab.select("term", "idf"), "term", "left").crossJoin(F.broadcast(default))
+    # Terms are hashed once each in the vocabulary; only unknown ones where they stand.
     dim, sign = hashed_dim("term", dims)
+    terms = vocab.select("term", "idf", dim.alias("known_dim"), sign.alias("known_sign"))
+    known = frequencies.join(terms, "term", "left").crossJoin(F.broadcast(default))
+    weight = F.coalesce("known_sign", sign) * F.col("tf") * F.coalesce("idf", "idf_default")
     # One shuffle by key serves the sums by (key, dim) and the lengths by key.
-    cells = known.select(key, dim.alias("dim"), (sign * F.col("tf") * F.coalesce("idf", "idf_default")).alias("w")).repartition(key)
+    cells = known.select(key, F.coalesce("known_dim", dim).alias("dim"), weight.alias("w")).repartition(key)
     sums = cells.groupBy(key, "dim").agg(F.sum("w").alias("w"))
     whole = sums.groupBy(key).agg(F.collect_list(F.struct("dim", "w")).alias("cells"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))  # at most dims cells
     unit = F.transform("cells", lambda x: F.struct(x["dim"].alias("dim"), F.when(F.col("norm") > 0, x["w"] / F.col("norm")).otherwise(x["w"]).alias("w")))
