@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.common import lean
+
 LONG_PIECE = 256  # bytes from which a piece goes to the heap
 CACHE_CHUNKS = 300_000  # encoded strings that a Python worker keeps
 MATRIX_CELLS = 1 << 20
@@ -258,6 +260,7 @@ def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str, digests: bool = Fal
     no tokens. One row for each row of docs, repeated or not, in any order;
     other columns are ignored.
     """
+    lean(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kinds = "ids string, decoded string" if digests else "ids array<int>, decoded binary"
     return docs.mapInArrow(_code(ranks_path, pattern, digests), f"doc_id long, n_tokens long, {kinds}")

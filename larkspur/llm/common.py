@@ -40,6 +40,12 @@ def work_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def lean(spark: SparkSession) -> None:
+    """Small Arrow batches: a Python worker holds a few copies of a batch, whatever the length of the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df below the shared folder and return the table as read again."""
     spark = df.sparkSession

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import keep_rows_of, shingles, staged, text_bytes, text_chunks, word_hashes, words_of
+from larkspur.llm.common import keep_rows_of, lean, shingles, staged, text_bytes, text_chunks, word_hashes, words_of
 
 GRAM = 4  # words of a seed
 BLOCK_BYTES = 16 << 20  # text of the items of one block
@@ -174,6 +174,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = GRAM, thresh
     Other columns are ignored. An empty benchmark gives no rows.
     """
     spark = docs.sparkSession
+    lean(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     tests = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
     blocks = int((tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES) + 1

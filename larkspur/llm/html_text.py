@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.common import lean
+
 # ------------------------------------------------------------------ blocks
 
 #: Elements (HTML standard) of which the text is not part of a page's flow.
@@ -442,6 +444,7 @@ def extract_text(pages: DataFrame, model: Crf | None = None, id_col: str = "page
     blocks, give an empty text. One row for each row of pages, repeated or not;
     null ids and urls stay null; other columns are ignored.
     """
+    lean(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     out = rows.mapInArrow(_extract(model or trained()), "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import keep_rows_of, mix, shingle_sets, staged, text_chunks
+from larkspur.llm.common import keep_rows_of, lean, mix, shingle_sets, staged, text_chunks
 from larkspur.llm.graph import components
 
 CLASS_RATIO = 1.5  # sizes of one class, largest to smallest
@@ -262,7 +262,7 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
     row whose id is null has its own n-gram count and a null component. Other
     columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
+    lean(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marks = staged(docs.mapInArrow(_signatures(size), "doc_id long, n long, d1 long, d2 long, bits binary"), "marks")
     sets = marks.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import SPACE, keep_rows_of, mix, staged, text_chunks, word_hashes, words_of
+from larkspur.llm.common import SPACE, keep_rows_of, lean, mix, staged, text_chunks, word_hashes, words_of
 
 SHRINKAGE = 0.1
 FLOOR = 1e-3  # added to each variance of the standardised features
@@ -164,6 +164,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     count; repeated ones count each time. A null doc_id is not held out. Other
     columns are ignored. Without labels every score is 0.5.
     """
+    lean(docs.sparkSession)
     x = staged(features(docs, id_col, text_col), "features")
     own = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("label")).where("label in (0, 1)").where(in_training(F.col("doc_id")))
     model = train(own.join(x, "doc_id"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import mix, prefix_hash, span_hash, staged, text_chunks
+from larkspur.llm.common import lean, mix, prefix_hash, span_hash, staged, text_chunks
 
 GROUP_LIMIT = 2000  # contexts of one seed that a task sorts
 TASK_BYTES = 8 << 20  # bytes of contexts in one task
@@ -291,6 +291,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, seed: int = 100, id_col: st
     rows are occurrences of each other; rows that share an id are told apart by
     a hash of their text. A null id is kept as it is. Other columns are ignored.
     """
+    lean(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.select("doc_id", F.hash("text").alias("copy"), "text")
     found = docs.mapInArrow(_anchors(seed, length), "seed long, context long, doc_id long, copy int, lo int, at int, hi int")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import staged
+from larkspur.llm.common import lean, staged
 
 MIN_WORDS = 3  # shorter units are no evidence of copying and stay
 BREAKS = {"line": "\n", "paragraph": "\n\n"}
@@ -53,6 +53,7 @@ def _cut(sep: str):
 
 def cut_repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs and _kept, _units and _removed; see unit_dedup."""
+    lean(docs.sparkSession)
     sep = BREAKS[unit]
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_copy"), text.alias("_text"))
