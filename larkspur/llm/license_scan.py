@@ -7,8 +7,9 @@ ratio of 1/2 or more with one of the template's own windows, which start at
 every shingle. With BANDS bands of one hash each a window is retrieved with a
 probability of 1 - (1/2)**12, 99.98 %, or more; longer notices hold windows
 that equal one of the template's and are certain. The templates' bands are a
-bounded set, so retrieval is a filter and nothing is shuffled. Only what it
-finds is read again, and the template's shingles around the window are counted.
+bounded set, so retrieval is a broadcast join and no text is shuffled. Windows
+that hold two shingles of their template stay; only their documents are read
+again, and the template's shingles around the window are counted.
 
 DataFrame functions only: no Python runs on the executors.
 """
@@ -23,7 +24,7 @@ from larkspur.llm.common import keep_rows_of, staged
 BANDS = 12
 WINDOW = 4  # shingles
 CONTAINMENT = 0.8
-TEMPLATE_BYTES = 1 << 20  # of all templates; their bands are literals of the plan
+TEMPLATE_BYTES = 1 << 20  # of all templates; their bands are broadcast
 
 #: Usual notices of licenses.
 NOTICES = [
@@ -65,12 +66,13 @@ def shingled(df: DataFrame, *keep: str) -> DataFrame:
 
 
 def windows(grams: DataFrame, stride: int, *keep: str) -> DataFrame:
-    """A row for each window: keep, its first shingle `at`, and its MinHash values m0, m1, ..."""
+    """A row for each window and band: keep, the window's first shingle `at`, its shingles `own`, band and MinHash value."""
     starts = F.when(F.size("grams") > 0, F.sequence(F.lit(0), F.greatest(F.size("grams") - stride, F.lit(0)), F.lit(stride))).otherwise(F.array().cast("array<int>"))
     cells = F.transform(starts, lambda i: F.struct(i.alias("at"), *[F.get("grams", i + k).alias(f"g{k}") for k in range(WINDOW)]))
-    rows = grams.select(*keep, F.inline(cells))
-    least = lambda band: F.least(*[F.when(F.col(f"g{k}").isNotNull(), F.xxhash64(f"g{k}", F.lit(band))) for k in range(WINDOW)])
-    return rows.select(*keep, "at", *[least(band).alias(f"m{band}") for band in range(BANDS)])
+    # A row for each band keeps the generated code small enough to be compiled.
+    rows = grams.select(*keep, F.inline(cells)).withColumn("band", F.explode(F.array(*[F.lit(b) for b in range(BANDS)])))
+    least = F.least(*[F.when(F.col(f"g{k}").isNotNull(), F.xxhash64(f"g{k}", "band")) for k in range(WINDOW)])
+    return rows.select(*keep, "at", F.array(*[f"g{k}" for k in range(WINDOW)]).alias("own"), "band", least.alias("value"))
 
 
 def license_scan(docs: DataFrame, templates: DataFrame, threshold: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,23 +91,15 @@ def license_scan(docs: DataFrame, templates: DataFrame, threshold: float = CONTA
     templates = templates.where("license_id is not null and text is not null")
     size, parts = templates.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     if (size or 0) > TEMPLATE_BYTES:
-        raise ValueError(f"templates of {size} bytes; the bands of at most {TEMPLATE_BYTES} can be literals")
+        raise ValueError(f"templates of {size} bytes; at most {TEMPLATE_BYTES} can be broadcast")
     known = shingled(templates.withColumn("part", F.xxhash64("license_id", "text")).dropDuplicates(["part"]), "license_id", "part").where(F.size("grams") > 0)
     known = known.withColumn("distinct", F.array_distinct("grams"))
-    bands = windows(known, 1, "part").select("part", F.posexplode(F.array(*[f"m{b}" for b in range(BANDS)])).alias("band", "value")).distinct()
-    # The bands of at most TEMPLATE_BYTES of text.
-    wanted: dict[int, list[int]] = {b: [] for b in range(BANDS)}
-    for r in bands.select("band", "value").distinct().collect():
-        wanted[r["band"]].append(r["value"])
-    found = windows(shingled(docs, "doc_id"), 2, "doc_id")
-    any_band = F.lit(False)
-    for band, values in wanted.items():
-        any_band = any_band | F.col(f"m{band}").isin(values)
-    found = found.where(any_band)
-    found = found.select("doc_id", "at", F.posexplode(F.array(*[f"m{b}" for b in range(BANDS)])).alias("band", "value"))
-    found = found.join(F.broadcast(bands), ["band", "value"]).select("doc_id", "at", "part").distinct()
-    shape = known.select("part", "license_id", "distinct", F.size("grams").alias("length"))
-    found = found.join(F.broadcast(shape.select("part", "length")), "part")
+    # Both tables are of at most TEMPLATE_BYTES of text.
+    bands = F.broadcast(windows(known, 1, "part").select("part", "band", "value").distinct())
+    shape = F.broadcast(known.select("part", "license_id", "distinct", F.size("grams").alias("length")))
+    found = windows(shingled(docs, "doc_id"), 2, "doc_id").join(bands, ["band", "value"]).join(shape, "part")
+    held = F.size(F.array_intersect("own", "distinct"))
+    found = found.where(held >= F.least(F.lit(2), F.size("distinct"))).select("doc_id", "at", "part", "length").distinct()
     lists = found.groupBy("doc_id").agg(F.collect_list(F.struct("part", "at", "length")).alias("list"))
 
     lists = staged(lists, "candidates")
@@ -116,7 +110,7 @@ def license_scan(docs: DataFrame, templates: DataFrame, threshold: float = CONTA
     grams = grams.join(lists, grams["doc_id"].eqNullSafe(lists["id"])).drop("id")
     begin = lambda c: F.greatest(c["at"] - c["length"], F.lit(0))
     around = F.transform("list", lambda c: F.struct(c["part"].alias("part"), c["at"].alias("at"), F.slice("grams", begin(c) + 1, 2 * c["length"] + WINDOW).alias("around")))
-    near = grams.select("doc_id", F.inline(around)).join(F.broadcast(shape), "part")
+    near = grams.select("doc_id", F.inline(around)).join(shape, "part")
     share = F.size(F.array_intersect("around", "distinct")) / F.size("distinct")
     near = near.select("doc_id", "license_id", F.round(share, 6).alias("containment"), "at").where(F.col("containment") >= threshold)
     best = near.groupBy("doc_id", "license_id").agg(F.max(F.struct("containment", (-F.col("at")).alias("back"))).alias("best"))
