@@ -7,7 +7,6 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 pytest.importorskip("larkspur.llm.queries")
 from larkspur.llm import byte_bpe, decontaminate, embedding_dedup, html_text, license_scan, ngram_jaccard, quality, sharding, suffix_dedup, unit_dedup  # noqa: E402
@@ -292,8 +291,6 @@ def test_op10(spark, docs, empty):
     for text, ids in zip(texts, bpe.encode(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == real.encode_ordinary(text)
         assert bpe.decode(ids) == text.encode()
-    for i, r in zip(ROWS, sorted(byte_bpe.encoded(docs).collect(), key=lambda r: str(r["decoded_sha256"])), strict=True):
-        assert r["n_tokens"] >= 0
     got = sorted((r["doc_id"] or -1, r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in byte_bpe.encoded(docs).collect())
     digest = lambda b: hashlib.sha256(b).hexdigest()
     want = sorted((i or -1, len(real.encode_ordinary(t or "")), digest(np.array(real.encode_ordinary(t or ""), "<u4").tobytes()), digest((t or "").encode())) for i, t in ROWS)
@@ -319,7 +316,6 @@ def test_pipeline(spark):
             assert {r["doc_id"]: r["decoded_sha256"] for r in out.collect()} == {r["doc_id"]: hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in seen.collect()}
         seen = corpus_pipeline.staged(out, name)
     assert 0 < seen.count() < docs.count()
-    assert F is not None
 
 
 @pytest.mark.parametrize("name", ["op3_sharding", "op6_substring_dedup", "op9_embedding_dedup"])
