@@ -63,7 +63,9 @@ def cut_repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS,
     units = staged(units.select("_id", "_copy", "pos", F.xxhash64("norm").alias("d1"), F.xxhash64(F.lit(1), "norm").alias("d2")), "units")
     rank = F.struct("_id", "_copy", "pos")
     first = units.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1").select("d1", "d2", "first")
+    first = staged(first, "first")  # apart from the join, so that Spark can split a hot digest there
     later = units.join(first, ["d1", "d2"]).where(~rank.eqNullSafe(F.col("first")))
+    later = staged(later.select("_id", "_copy", "pos"), "later")
     gone = later.groupBy("_id", "_copy").agg(F.collect_set("pos").alias("_gone"))
     joined = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_id"]) & (F.xxhash64(text) == gone["_copy"]), "left").select(*[docs[c] for c in docs.columns], text.alias("_text"), "_gone")
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("_kept string, _units int, _removed array<struct<start:int,end:int>>").fields])
