@@ -297,7 +297,8 @@ def suffix_dedup(docs: DataFrame, length: int = 400, seed: int = 100, id_col: st
     found = docs.mapInArrow(_anchors(seed, length), "seed long, context long, doc_id long, copy int, lo int, at int, hi int")
     found = staged(found, "anchors")
     keys = found.groupBy("seed").agg(F.count("*").alias("n"), F.min("context").alias("least"), F.max("context").alias("most")).where("n > 1")
-    twice = staged(found.join(keys.selectExpr("seed", "least <> most as differ"), "seed"), "twice")
+    keys = staged(keys.selectExpr("seed", "least <> most as differ"), "seeds")  # apart from the join, so that Spark can split a hot seed there
+    twice = staged(found.join(keys, "seed"), "twice")
     whole = twice.where("not differ").selectExpr("doc_id", "copy", "lo as start", f"hi + {length} as end")
     same = ["seed", "context"]
     apart = twice.where("differ").groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "copy", "lo", "at", "hi")).alias("first"))
