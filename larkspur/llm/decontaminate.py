@@ -2,11 +2,14 @@
 
 Pass one counts, over all documents, in how many each n-gram of the test items
 stands. Of each item the n-grams up to twice its median count are its rare
-seeds (at least half of them, and all that few documents have). Pass two joins
-documents to items on the seeds and aligns the words around them; the score is
-the local alignment's over that of a full copy, so edited and paraphrased
-copies score by what they keep. Items are taken in blocks of bounded size, so
-what is broadcast does not grow with the benchmark.
+seeds (at least half of them). Pass two joins documents to items on all n-grams.
+The words around a rare seed are aligned; those around common n-grams only are
+aligned if they hold enough of the item's words for the score to reach the
+threshold, a bound that loses nothing. So the counts decide what is checked
+first, never what is found. The score is the local alignment's over that of a
+full copy, so edited and paraphrased copies score by what they keep. Items are
+taken in blocks of bounded size, so what is broadcast does not grow with the
+benchmark.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from larkspur.llm.common import keep_rows_of, lean, shingles, staged, text_bytes
 
 GRAM = 4  # words of a seed
 BLOCK_BYTES = 16 << 20  # text of the items of one block
-RARE_DOCS = 50  # an n-gram in so few documents is rare in any case
+SLAB_HITS = 1 << 20  # n-grams of documents times the items that have them, looked at together
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 
@@ -56,9 +59,6 @@ class Items:
         own = np.repeat(np.diff(bounds) >= size, np.diff(cuts))  # an item of fewer words is too short to tell a copy by
         return Items(ids, np.split(hashes, bounds[1:-1]), *_ordered(grams[own], owner[own]))
 
-    def only(self, keep: np.ndarray) -> Items:
-        return Items(self.ids, self.words, *_ordered(self.grams[keep], self.owner[keep]))
-
     def hits(self, grams: np.ndarray) -> np.ndarray:
         """Positions of n-grams that the items have."""
         at = np.flatnonzero(self.filter[(grams >> np.uint64(42)).astype(np.int64)])
@@ -102,6 +102,13 @@ def aligned_span(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int
     return score / (MATCH * len(item)), j - back, j
 
 
+def most_matches(words: np.ndarray, counts: np.ndarray, passage: np.ndarray) -> int:
+    """Words of an item, given as distinct hashes in order and their counts, that a passage holds in any order: no alignment matches more."""
+    at = np.minimum(np.searchsorted(words, passage), len(words) - 1)
+    held = np.bincount(at[words[at] == passage], minlength=len(words))
+    return int(np.minimum(held, counts).sum())
+
+
 def _counts(items: Items, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(items.grams), np.int64)
@@ -120,44 +127,57 @@ def _counts(items: Items, size: int):
     return run
 
 
-def _passages(items: Items, size: int, threshold: float):
+def _passages(items: Items, rare: np.ndarray, size: int, threshold: float):
+    lengths = np.array([len(w) for w in items.words])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             ids = batch.column(0)
             rows, which, scores, starts, ends = [], [], [], [], []
             for i, _, data, offsets in text_chunks(batch, "text"):
                 hashes, start, end, bounds = tokens(data, offsets)
                 grams, cuts = shingles(hashes, bounds, size)
-                at = items.hits(grams)
-                if not len(at):
+                hits = items.hits(grams)
+                if not len(hits):
                     continue
-                doc = np.searchsorted(cuts, at, side="right") - 1
-                word = bounds[doc] + at - cuts[doc]
-                # Every item that has the n-gram, in order of document, item and place.
-                first, last = np.searchsorted(items.grams, grams[at]), np.searchsorted(items.grams, grams[at], side="right")
-                n = last - first
-                doc, word = np.repeat(doc, n), np.repeat(word, n)
-                own = items.owner[np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-                order = np.lexsort((word, own, doc))
-                doc, word, own = doc[order], word[order], own[order]
-                reach = np.array([len(w) for w in items.words])[own]
-                new = np.ones(len(doc), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (own[1:] != own[:-1]) | (word[1:] - word[:-1] > 2 * reach[1:])
-                groups = np.flatnonzero(new)
-                best: dict[tuple[int, int], tuple] = {}
-                for g, h in zip(groups, [*groups[1:], len(doc)], strict=True):
-                    d, x = int(doc[g]), int(own[g])
-                    left = max(int(bounds[d]), int(word[g]) - 2 * int(reach[g]))
-                    right = min(int(bounds[d + 1]), int(word[h - 1]) + size + 2 * int(reach[g]))
-                    score, a, b = aligned_span(items.words[x], hashes[left:right])
-                    if score >= threshold and score > best.get((d, x), (0,))[0]:
-                        best[d, x] = (score, int(start[left + a] - offsets[d]), int(end[left + b - 1] - offsets[d]))
-                for (d, x), (score, a, b) in best.items():
-                    rows.append(i + d)
-                    which.append(items.ids[x])
-                    scores.append(round(score, 6))
-                    starts.append(a)
-                    ends.append(b)
+                of = np.searchsorted(cuts, hits, side="right") - 1
+                first, last = np.searchsorted(items.grams, grams[hits]), np.searchsorted(items.grams, grams[hits], side="right")
+                # Whole documents at a time, so that n-grams of many items take no more memory.
+                before = np.cumsum(last - first) - (last - first)
+                slab = before[np.searchsorted(of, of)] // SLAB_HITS
+                for part in np.split(np.arange(len(hits)), np.flatnonzero(np.diff(slab)) + 1):
+                    at, doc, n = hits[part], of[part], (last - first)[part]
+                    word = bounds[doc] + at - cuts[doc]
+                    # Every item that has the n-gram, in order of document, item and place.
+                    doc, word = np.repeat(doc, n), np.repeat(word, n)
+                    entry = np.repeat(first[part] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                    own, sure = items.owner[entry], rare[entry]
+                    order = np.lexsort((word, own, doc))
+                    doc, word, own, sure = doc[order], word[order], own[order], sure[order]
+                    reach = lengths[own]
+                    new = np.ones(len(doc), bool)
+                    new[1:] = (doc[1:] != doc[:-1]) | (own[1:] != own[:-1]) | (word[1:] - word[:-1] > 2 * reach[1:])
+                    groups = np.flatnonzero(new)
+                    best: dict[tuple[int, int], tuple] = {}
+                    for g, h, seeded in zip(groups, [*groups[1:], len(doc)], np.logical_or.reduceat(sure, groups), strict=True):
+                        d, x = int(doc[g]), int(own[g])
+                        left = max(int(bounds[d]), int(word[g]) - 2 * int(reach[g]))
+                        right = min(int(bounds[d + 1]), int(word[h - 1]) + size + 2 * int(reach[g]))
+                        if not seeded:
+                            if x not in bags:
+                                bags[x] = np.unique(items.words[x], return_counts=True)
+                            if MATCH * most_matches(*bags[x], hashes[left:right]) / (MATCH * lengths[x]) < threshold:
+                                continue
+                        score, a, b = aligned_span(items.words[x], hashes[left:right])
+                        if score >= threshold and score > best.get((d, x), (0,))[0]:
+                            best[d, x] = (score, int(start[left + a] - offsets[d]), int(end[left + b - 1] - offsets[d]))
+                    for (d, x), (score, a, b) in best.items():
+                        rows.append(i + d)
+                        which.append(items.ids[x])
+                        scores.append(round(score, 6))
+                        starts.append(a)
+                        ends.append(b)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(which, pa.int64()), pa.array(scores, pa.float64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["doc_id", "item_id", "score", "start", "end"])
 
     return run
@@ -166,9 +186,10 @@ def _passages(items: Items, size: int, threshold: float):
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = GRAM, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """Passages of docs that copy test items: (doc_id, item_id, score, start, end).
 
-    One row for each document and item that align with `threshold` of a full
-    copy's score or more, with the bytes of the best passage (the earliest of
-    equal ones). Words are runs of letters and digits, A-Z in lower case. Null
+    One row for each document and item that share a run of `size` words and
+    align around it with `threshold` of a full copy's score or more, however
+    many documents have that run, with the bytes of the best passage (the
+    earliest of equal ones). Words are runs of letters and digits, A-Z in lower case. Null
     or empty texts, items of fewer than `size` words and items without an id
     match nothing. Repeated rows give repeated rows; a null doc_id stays null.
     Other columns are ignored. An empty benchmark gives no rows.
@@ -189,8 +210,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = GRAM, thresh
             seen[r["gram"]] = r["docs"]
         seen = seen[np.searchsorted(items.grams, items.grams)]
         median = np.array([np.median(seen[items.owner == k]) if (items.owner == k).any() else 0 for k in range(len(items.ids))])
-        rare = seen <= np.maximum(RARE_DOCS, 2 * median[items.owner])
-        part = docs.mapInArrow(_passages(items.only(rare), size, threshold), schema)
+        rare = seen <= 2 * median[items.owner]
+        part = docs.mapInArrow(_passages(items, rare, size, threshold), schema)
         found = part if found is None else found.unionByName(part)
     return spark.createDataFrame([], schema) if found is None else staged(found, "contaminated")
 

@@ -331,3 +331,31 @@ def test_queries_match_sql(spark, name):
     cols = sorted(mine.columns)
     assert cols == sorted(theirs.columns)
     assert sorted(map(str, mine[cols].itertuples(index=False))) == sorted(map(str, theirs[cols].itertuples(index=False)))
+
+
+def test_op5_common_half(spark):
+    head = prose(18).split()
+    items = [(k, head + prose(22).split()) for k in range(2)] + [(2, prose(40).split())]
+    rows = [(k, prose(20).split() + head + prose(40).split()) for k in range(70)]  # the head alone scores 18 of 40
+    for k, (_, w) in enumerate(items):
+        w = w.copy()
+        for p in (18, 22, 26, 30, 34, 38):
+            w[p] = f"edit{p}"
+        rows.append((100 + k, prose(30).split() + w + prose(30).split()))  # no four words in a row outside the head
+    rows.append((200, head[:10] + prose(5).split() + head[9:] + items[0][1][18:21] + ["edit"] + items[0][1][22:25]))
+
+    def brute(a, b):
+        table, best = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)], 0.0
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = max(0.0, table[i][j] + (1.0 if x == y else -0.5), table[i][j + 1] - 0.5, table[i + 1][j] - 0.5)
+                best = max(best, table[i + 1][j + 1])
+        return best / len(a)
+
+    scores = {(i, k): brute(w, t) for i, t in rows for k, w in items}
+    want = {pair: round(s, 6) for pair, s in scores.items() if s >= 0.5}
+    assert {(100, 0), (101, 1)} <= set(want) and not any(i < 70 for i, _ in want)
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(table, bench).collect()}
+    assert got == want
