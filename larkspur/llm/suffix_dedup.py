@@ -245,10 +245,11 @@ def _refine(big: DataFrame, length: int, widest: int) -> DataFrame:
     """
     rows = staged(big, "large")
     who = ["seed", "doc_id", "copy", "lo"]
+    same = " and ".join(f"{c} <=> _{c}" if c == "doc_id" else f"{c} = _{c}" for c in who)  # only an id may be null
     live = rows.select(*who, F.lit(0).alias("o1"), F.lit(widest).alias("o2"))
     done = None
     while True:
-        x = rows.join(live, who)
+        x = rows.join(live.select(*[F.col(c).alias(f"_{c}") for c in who], "o1", "o2"), F.expr(same)).drop(*[f"_{c}" for c in who])
         width = F.greatest(F.lit(1), F.ceil((F.col("o2") - F.col("o1") + 1) / 7).cast("int"))
         x = x.withColumn("width", width)
         off = F.col("at") - F.col("lo")  # of the anchor inside the context

@@ -359,3 +359,14 @@ def test_op5_common_half(spark):
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(table, bench).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("limit", [2000, 2])
+def test_op2_null_ids(spark, monkeypatch, limit):
+    monkeypatch.setattr(suffix_dedup, "GROUP_LIMIT", limit)
+    hot, only = prose(60), prose(20)
+    rows = [(None if k % 3 == 0 else k, prose(10) + hot[k * 5 : k * 5 + 160] + prose(10)) for k in range(12)]
+    rows += [(None, prose(10) + hot[:120] + only), (50, prose(10) + hot[:120] + only), (None, hot[200:300]), (None, hot[200:300]), (None, prose(40))]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), length=80, seed=20).collect()
+    want = removed([t for _, t in rows], 80)
+    assert sorted(((r["doc_id"] or -1, r["n_bytes"], bytes(r["kept"])) for r in got), key=str) == sorted(((i or -1, n, kept) for (i, _), (n, _, kept) in zip(rows, want, strict=True)), key=str)
