@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from larkspur.llm.common import lean, staged
 
-MIN_WORDS = 3  # shorter units are no evidence of copying and stay
+MIN_WORDS = 3  # units of fewer words and fewer bytes are no evidence of copying and stay
+MIN_BYTES = 32  # of a normalised unit that has fewer words: text without blanks is one word at any length
 BREAKS = {"line": "\n", "paragraph": "\n\n"}
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -51,7 +52,7 @@ def _cut(sep: str):
     return run
 
 
-def cut_repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
     """All columns of docs and _kept, _units and _removed; see unit_dedup."""
     lean(docs.sparkSession)
     sep = BREAKS[unit]
@@ -59,7 +60,7 @@ def cut_repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS,
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_copy"), text.alias("_text"))
     units = rows.select("_id", "_copy", F.posexplode(F.split("_text", sep, -1)).alias("pos", "unit"))
     norm = F.trim(F.regexp_replace(F.lower("unit"), r"[ \t\r\f\x0B]+", " "))
-    units = units.select("_id", "_copy", "pos", norm.alias("norm")).where(F.size(F.split("norm", " ")) >= min_words)
+    units = units.select("_id", "_copy", "pos", norm.alias("norm")).where((F.size(F.split("norm", " ")) >= min_words) | (F.octet_length("norm") >= min_bytes))
     units = staged(units.select("_id", "_copy", "pos", F.xxhash64("norm").alias("d1"), F.xxhash64(F.lit(1), "norm").alias("d2")), "units")
     rank = F.struct("_id", "_copy", "pos")
     first = units.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1").select("d1", "d2", "first")
@@ -72,8 +73,8 @@ def cut_repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS,
     return joined.mapInArrow(_cut(sep), schema)
 
 
-def unit_dedup(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Keep the earliest occurrence, by (doc_id, position), of each unit of at least `min_words` words.
+def unit_dedup(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
+    """Keep the earliest occurrence, by (doc_id, position), of each unit of at least `min_words` words or `min_bytes` bytes.
 
     Returns (doc_id, text, n_units, removed): what stays, and the removed units
     as [start, end) code points of the original text; one row for each row of
@@ -83,11 +84,11 @@ def unit_dedup(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS,
     ignored, whatever their names.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return cut_repeats(docs, unit, min_words).select("doc_id", F.col("_kept").alias("text"), F.col("_units").alias("n_units"), F.col("_removed").alias("removed"))
+    return cut_repeats(docs, unit, min_words, min_bytes=min_bytes).select("doc_id", F.col("_kept").alias("text"), F.col("_units").alias("n_units"), F.col("_removed").alias("removed"))
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    """Lines of three words or more over all of documents; removed lists start-end offsets."""
+    """Lines of three words or of 32 bytes or more over all of documents; removed lists start-end offsets."""
     out = unit_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     spans = F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
     return out.select("doc_id", "text", F.col("n_units").cast("long").alias("n_units"), F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"))

@@ -370,3 +370,10 @@ def test_op2_null_ids(spark, monkeypatch, limit):
     got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), length=80, seed=20).collect()
     want = removed([t for _, t in rows], 80)
     assert sorted(((r["doc_id"] or -1, r["n_bytes"], bytes(r["kept"])) for r in got), key=str) == sorted(((i or -1, n, kept) for (i, _), (n, _, kept) in zip(rows, want, strict=True)), key=str)
+
+
+def test_op6_unspaced(spark):
+    long = ["春眠暁を覚えず処処啼鳥を聞く", "https://example.com/a/long/path/that/has/no/blanks", "aGVsbG8gd29ybGQgaGVsbG8gd29ybGQgaGVsbG8="]
+    rows = [(1, "\n".join([*long, "two words", "短い行"])), (2, "\n".join(["two words", "短い行", *long]))]
+    got = {r["doc_id"]: r["text"] for r in unit_dedup.unit_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "two words\n短い行"}
