@@ -24,9 +24,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines are cut out but for their earliest occurrence; n_chars follows."""
-    cut = cut_repeats(docs)
-    return cut.withColumn("text", F.col("_kept")).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Repeated lines and runs of 50 words are cut out but for their earliest occurrence; n_chars follows."""
+    return cut_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

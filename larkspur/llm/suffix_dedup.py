@@ -308,7 +308,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, seed: int = 100, id_col: st
 
     lists = apart.select("seed", "first.*").groupBy("doc_id", "copy").agg(F.collect_list(F.struct("seed", "lo", "at", "hi")).alias("list"))
     null_safe = lambda a, b: (a["doc_id"].eqNullSafe(b["doc_id"])) & (a["copy"] == b["copy"])
-    texts = docs.dropDuplicates(["doc_id", "copy"]) if _shared_ids(docs) else docs
+    texts = docs.dropDuplicates(["doc_id", "copy"]) if shared_ids(docs) else docs
     joined = texts.join(lists, null_safe(texts, lists)).select(texts["doc_id"], texts["copy"], F.col("text").cast("binary").alias("raw"), "list")
     cut = F.transform("list", lambda x: F.struct(x["seed"].alias("seed"), x["lo"].alias("lo"), x["at"].alias("at"), x["hi"].alias("hi"), F.substring(F.col("raw"), x["lo"] + 1, x["hi"] - x["lo"] + length).alias("bytes")))
     contexts = staged(joined.select("doc_id", "copy", F.explode(cut).alias("x")).select("doc_id", "copy", "x.*"), "bytes")
@@ -327,13 +327,13 @@ def suffix_dedup(docs: DataFrame, length: int = 400, seed: int = 100, id_col: st
     return out.mapInArrow(_keep, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
 
 
-def _shared_ids(docs: DataFrame) -> bool:
-    total, nulls, ids = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), F.count_distinct("doc_id")).first()
+def shared_ids(docs: DataFrame, column: str = "doc_id") -> bool:
+    total, nulls, ids = docs.agg(F.count("*"), F.count_if(F.col(column).isNull()), F.count_distinct(column)).first()
     return total != ids or nulls > 0
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes over all of documents."""
+    """Strings of 400 bytes over all of documents; after the digests what stays, as valid UTF-8."""
     out = suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), length=400)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + (x["end"] - x["start"]))
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("larkspur.llm.queries")
 from larkspur.llm import byte_bpe, decontaminate, embedding_dedup, html_text, license_scan, ngram_jaccard, quality, sharding, suffix_dedup, unit_dedup  # noqa: E402
@@ -218,14 +219,54 @@ def test_op6(spark, docs, empty):
     table = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], DOCS)
     got = {r["doc_id"]: (r["text"], r["n_units"], [(x["start"], x["end"]) for x in r["removed"]]) for r in unit_dedup.unit_dedup(table).collect()}
     assert got == {
-        None: ("alpha beta gamma", 1, []), 1: ("keep this line\nshort", 3, [(0, 16)]), 2: ("short\nnew line here", 3, [(0, 19)]),
+        None: ("alpha beta gamma", 1, []), 1: ("keep this line\nshort", 3, [(0, 16)]), 2: ("new line here", 3, [(0, 19), (20, 25)]),
         3: (None, 0, []), 4: ("", 0, []), 5: ("", 2, [(0, 13), (14, 27)]),
     }
-    assert unit_dedup.unit_dedup(empty).collect() == []
-    assert unit_dedup.cut_repeats(docs).columns == [*docs.columns, "_kept", "_units", "_removed"]
+    kept = {r["doc_id"]: r["text"] for r in unit_dedup.unit_dedup(table, min_words=3).collect()}
+    assert kept[2] == "short\nnew line here"
+    assert unit_dedup.unit_dedup(empty).collect() == [] and unit_dedup.cut_repeats(empty).collect() == []
     assert unit_dedup.unit_dedup(docs, "paragraph").count() == len(ROWS)
 
 
+def test_op6_clashing_columns(spark, docs):
+    odd = docs
+    for name in ("_id", "_copy", "_gone", "_kept", "row", "units", "runs", "copy", "n_units", "removed", "list", "a.b", "x`y"):
+        odd = odd.withColumn(name, F.lit(name))
+    out = unit_dedup.cut_repeats(odd, passage=20)
+    assert out.columns == odd.columns and out.count() == len(ROWS)
+    assert {r["a.b"] for r in out.collect()} == {"a.b"} and {r["_kept"] for r in out.collect()} == {"_kept"}
+
+
+def cut_by_brute_force(rows, size):
+    """What stays of rows (id, text) of one line each, by runs of words only."""
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0))
+    seen, out = {}, {}
+    for k in order:
+        tokens = re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", rows[k][1] or "")
+        w = [re.sub(r"[\x20\x09-\x0D]+$", "", t).lower() for t in tokens]
+        gone = [False] * len(w)
+        for p in range(len(w) - size + 1):
+            run = tuple(w[p : p + size])
+            if seen.setdefault(run, (k, p)) != (k, p):
+                gone[p : p + size] = [True] * size
+        out[rows[k][0]] = "".join(t for t, g in zip(tokens, gone, strict=True) if not g)
+    return out
+
+
+def test_op6_runs(spark):
+    shared = prose(400).split()
+    rows = [(1, prose(40)), (2, "a " * 300), (3, "b  a " + "a " * 100 + "c"), (4, None), (5, ""), (6, " ".join(shared)), (None, " ".join(shared[30:90]).upper())]
+    for k in range(40):
+        at = rng.randrange(330)
+        rows.append((10 + k, f"{prose(rng.randint(0, 30))} {' '.join(shared[at : at + rng.randint(12, 60)])}  {prose(rng.randint(0, 30))}".strip()))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (15, 5):
+        got = {r["doc_id"]: r["text"] or "" for r in unit_dedup.unit_dedup(table, min_words=10**6, passage=size).collect()}
+        assert got == cut_by_brute_force(rows, size)
+    twice = table.unionByName(table)  # equal rows are one document
+    assert {r["doc_id"]: r["text"] or "" for r in unit_dedup.unit_dedup(twice, min_words=10**6, passage=15).collect()} == cut_by_brute_force(rows, 15)
+
+
 def test_op7(spark, docs, empty):
     notices = license_scan.NOTICES
     rows = [(k, f"{prose(37 + k)} {text.upper()} {prose(20)}") for k, (_, text) in enumerate(notices)] + [(90 + k, prose(200)) for k in range(10)] + [(120, None), (121, ""), (122, "All rights reserved."), (None, notices[0][1])]
@@ -374,6 +415,6 @@ def test_op2_null_ids(spark, monkeypatch, limit):
 
 def test_op6_unspaced(spark):
     long = ["春眠暁を覚えず処処啼鳥を聞く", "https://example.com/a/long/path/that/has/no/blanks", "aGVsbG8gd29ybGQgaGVsbG8gd29ybGQgaGVsbG8="]
-    rows = [(1, "\n".join([*long, "two words", "短い行"])), (2, "\n".join(["two words", "短い行", *long]))]
+    rows = [(1, "\n".join([*long, "two words", "短い行"])), (2, "\n".join(["two words", "other", *long]))]
     got = {r["doc_id"]: r["text"] for r in unit_dedup.unit_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: rows[0][1], 2: "two words\n短い行"}
+    assert got == {1: rows[0][1], 2: "other"}
