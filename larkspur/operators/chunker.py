@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from larkspur.functions.text import col, trim_space
 
 MAX_BYTES = 2000
-_MARK = "\u0001"  # stands before a cut; it is dropped from the text first
+_MARK = "\u0002"  # begins what stands for a mark of the text (and e) or hides a heading (and h)
 
 
 def strip_frontmatter(c: Column | str) -> Column:
@@ -25,14 +25,18 @@ def strip_frontmatter(c: Column | str) -> Column:
 
 
 def _cut(c: Column, level: str) -> Column:
-    return F.split(F.regexp_replace(c, rf"(?m)^({level} )", f"{_MARK}$1"), _MARK)
+    return F.split(c, rf"(?dm)^(?={level} )")
 
 
 def _outside_fences(c: Column) -> Column:
-    """Headings inside fenced code are hidden behind a mark, to be shown again by _show."""
-    parts = F.split(c, r"(?m)^(?=```)")
+    """Headings inside fenced code are hidden behind a mark, to be shown again by _shown."""
+    parts = F.split(F.replace(c, F.lit(_MARK), F.lit(_MARK + "e")), r"(?dm)^(?=```)")
     # Part 0 is before any fence; odd parts begin with an opening fence and are code.
-    return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.regexp_replace(p, r"(?m)^(#{1,3} )", "\u0002$1")).otherwise(p)), "")
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.regexp_replace(p, r"(?dm)^(#{1,3} )", f"{_MARK}h$1")).otherwise(p)), "")
+
+
+def _shown(c: Column) -> Column:
+    return F.replace(F.replace(c, F.lit(_MARK + "h"), F.lit("")), F.lit(_MARK + "e"), F.lit(_MARK))
 
 
 def _first_line(c: Column) -> Column:
@@ -46,9 +50,10 @@ def _body(c: Column) -> Column:
 
 def sections(c: Column | str, fence_aware: bool = False) -> Column:
     """Sections of a markdown text before any size limit: array<struct<heading, content>>."""
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(col(c), "[\u0001\u0002]", ""), "\r\n", "\n"), r"\r\z", "")
+    text = F.regexp_replace(F.regexp_replace(col(c), "\r\n", "\n"), r"\r\z", "")
     text = strip_frontmatter(text)
     groups = _cut(_outside_fences(text) if fence_aware else text, "#{1,2}")
+    plain = _shown if fence_aware else lambda x: x
 
     def group(g: Column) -> Column:
         top = F.when(g.startswith("## "), trim_space(F.substring(_first_line(g), F.lit(4), F.length(g)))).otherwise(F.lit(""))
@@ -58,8 +63,7 @@ def sections(c: Column | str, fence_aware: bool = False) -> Column:
             under = F.when(s.startswith("### ") & (top != ""), F.concat(top, F.lit(" / "), own)).otherwise(own)
             headed = s.rlike("^#{1,3} ")
             content = F.when(headed, _body(s)).otherwise(s)
-            content = F.regexp_replace(content, "\u0002", "") if fence_aware else content
-            return F.struct(F.when(headed, trim_space(under)).otherwise(F.lit("")).alias("heading"), trim_space(content).alias("content"))
+            return F.struct(plain(F.when(headed, trim_space(under)).otherwise(F.lit(""))).alias("heading"), trim_space(plain(content)).alias("content"))
 
         return F.transform(_cut(g, "###"), section)
 

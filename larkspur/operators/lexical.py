@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import tokenize, tokenize_raw
+from larkspur.session import few, staged
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
-PHRASE_ROWS = 1_000_000  # distinct phrases of a batch that may be broadcast
+PHRASE_ROWS = 1_000_000  # narrow rows of a batch of queries that may be broadcast
 
 
 def phrases(queries: DataFrame) -> DataFrame:
@@ -25,51 +26,75 @@ def expand(wanted: DataFrame, terms: DataFrame) -> DataFrame:
     An equality join on the prefixes of a term, as long as phrases are, so the
     work is in proportion to the term dictionary and never a nested loop.
     """
-    small = wanted.limit(PHRASE_ROWS + 1).count() <= PHRASE_ROWS
     lengths = wanted.agg(F.collect_set(F.length("phrase")).alias("lengths"))  # a set of a few numbers
     prefixes = terms.select("term").crossJoin(F.broadcast(lengths))
     prefixes = prefixes.select("term", F.explode(F.filter("lengths", lambda n: n <= F.length("term"))).alias("n")).select("term", F.expr("substring(term, 1, n)").alias("phrase"))
-    return prefixes.join(F.broadcast(wanted) if small else wanted, "phrase").select("phrase", "term")
+    return prefixes.join(few(wanted, PHRASE_ROWS), "phrase").select("phrase", "term")
 
 
-def phrase_scores(wanted: DataFrame, postings: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(phrase, chunk_id, part): the BM25 part of one instance of each phrase."""
-    terms = expand(wanted, postings.select("term").distinct())
-    hits = postings.join(terms, "term").groupBy("phrase", "chunk_id").agg(F.sum("tf").cast("double").alias("f"))
-    found = hits.groupBy("phrase").agg(F.count("*").alias("n"))
+def phrase_scores(wanted: DataFrame, postings: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(phrase, chunk_id, part), the BM25 part of one instance of each phrase, and (phrase, n), the chunks that hold it.
+
+    Only postings of terms that some phrase needs leave the scan, dealt by
+    chunk, so that sums by chunk need no other shuffle.
+    """
+    terms = staged(expand(wanted, postings.select("term").distinct()), "terms")
+    hits = postings.join(few(terms, PHRASE_ROWS), "term").select("phrase", "chunk_id", "tf").repartition("chunk_id").groupBy("phrase", "chunk_id").agg(F.sum("tf").cast("double").alias("f"))
+    found = staged(hits.groupBy("phrase").agg(F.count("*").alias("n")), "found")
     whole = lengths.agg(F.count("*").alias("rows"), F.avg("n_tokens").alias("mean"))  # one row
     idf = F.log((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weights = found.crossJoin(F.broadcast(whole)).select("phrase", F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)).alias("idf"), "mean")
     near = K1 * ((1 - B) + B * F.col("n_tokens") / F.col("mean"))
-    rows = hits.join(weights, "phrase").join(lengths, "chunk_id")
-    return rows.select("phrase", "chunk_id", (F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + near)).alias("part"))
+    rows = hits.join(few(weights, PHRASE_ROWS), "phrase").join(lengths, "chunk_id")
+    return rows.select("phrase", "chunk_id", (F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + near)).alias("part")), found
+
+
+def wanted_phrases(queries: DataFrame) -> DataFrame:
+    """(query_id, phrase, all, any): how often each mode asks for a phrase; the phrases of mode any include those of mode all."""
+    times = lambda mode: F.sum(F.when(F.col("mode") == mode, F.col("times")).otherwise(0)).alias(mode)
+    return staged(phrases(queries).groupBy("query_id", "phrase").agg(times("all"), times("any")), "phrases")
+
+
+def _summed(own: DataFrame, parts: DataFrame, mode: str) -> DataFrame:
+    """(query_id, chunk_id, score, held) over the phrases that a mode asks for; parts are dealt by chunk and stay so."""
+    rows = parts.join(few(own.where(f"`{mode}` > 0"), PHRASE_ROWS), "phrase")
+    return rows.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("part") * F.col(mode)), 10).alias("score"), F.count("*").alias("held"))
 
 
 def match(queries: DataFrame, postings: DataFrame, lengths: DataFrame) -> DataFrame:
     """(query_id, mode, chunk_id, score) of all chunks that hold all, or any, phrases of a query."""
-    times = lambda mode: F.sum(F.when(F.col("mode") == mode, F.col("times")).otherwise(0))
-    own = phrases(queries).groupBy("query_id", "phrase").agg(times("all").alias("all"), times("any").alias("any"))
-    parts = phrase_scores(own.select("phrase").distinct(), postings, lengths)
-    # The phrases of mode any include those of mode all, so one pass sums both.
-    sums = [F.round(F.sum(F.col("part") * F.col(m)), 10).alias(m) for m in ("any", "all")]
-    scored = own.join(parts, "phrase").groupBy("query_id", "chunk_id").agg(*sums, F.count_if(F.col("all") > 0).alias("held"))
+    own = wanted_phrases(queries)
+    parts, _ = phrase_scores(own.select("phrase").distinct(), postings, lengths)
     asked = own.groupBy("query_id").agg(F.count_if(F.col("all") > 0).alias("asked"))
-    modes = F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("score")) for m in ("any", "all")])
-    both = scored.join(asked, "query_id").select("query_id", "chunk_id", F.inline(F.when(F.col("held") == F.col("asked"), modes).otherwise(F.slice(modes, 1, 1))))
-    return both.select("query_id", "mode", "chunk_id", "score")
+    either = _summed(own, parts, "any").select("query_id", F.lit("any").alias("mode"), "chunk_id", "score")
+    every = _summed(own, parts, "all").join(few(asked, PHRASE_ROWS), "query_id").where("held = asked")
+    return either.unionByName(every.select("query_id", F.lit("all").alias("mode"), "chunk_id", "score"))
 
 
 def top(ranked: DataFrame, k: int) -> DataFrame:
-    """The first k of each query with their rank; ties by chunk_id."""
+    """The first k of each query with their rank; ties by chunk_id. A task keeps k rows of each query before anything is shuffled."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def lexical_search(queries: DataFrame, postings: DataFrame, lengths: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, score, rank): all-term matches where a query has any, else any-term matches."""
-    both = match(queries, postings, lengths)
-    order = Window.partitionBy("query_id", "mode").orderBy(F.desc("score"), "chunk_id")
-    both = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    # At most 2k rows a query from here on.
-    mode = Window.partitionBy("query_id")
-    return both.withColumn("use", F.min("mode").over(mode)).where("mode = use").select("query_id", "chunk_id", "score", "rank")
+    """(query_id, chunk_id, score, rank): all-term matches where a query has any, else any-term matches.
+
+    Chunks with all terms are looked for among those that hold the query's
+    rarest one. Any-term scores, which most chunks of a corpus have, are made
+    only for queries that no chunk answers whole.
+    """
+    own = wanted_phrases(queries)
+    parts, found = phrase_scores(own.select("phrase").distinct(), postings, lengths)
+    parts = staged(parts, "parts")
+    every = own.where("`all` > 0").join(found, "phrase", "left").groupBy("query_id")
+    rarest = every.agg(F.count("*").alias("asked"), F.count("n").alias("known"), F.min(F.struct("n", "phrase"))["phrase"].alias("phrase")).where("known = asked")
+    likely = parts.join(few(rarest.select("query_id", "phrase"), PHRASE_ROWS), "phrase").select("query_id", "chunk_id")
+    likely = likely.join(few(own.where("`all` > 0"), PHRASE_ROWS), "query_id").join(parts, ["phrase", "chunk_id"])
+    whole = likely.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("part") * F.col("all")), 10).alias("score"), F.count("*").alias("held"))
+    whole = whole.join(few(rarest.select("query_id", "asked"), PHRASE_ROWS), "query_id").where("held = asked").select("query_id", "chunk_id", "score")
+    whole = staged(top(whole, k), "whole")
+
+    left = own.join(few(whole.select("query_id").distinct(), PHRASE_ROWS), "query_id", "left_anti")
+    either = _summed(left, parts.repartition("chunk_id"), "any").select("query_id", "chunk_id", "score")
+    return whole.unionByName(top(either, k))

@@ -9,7 +9,11 @@ CHUNK_BITS = 20  # chunks of one document: ids are doc_id * 2**20 + chunk_idx, s
 
 
 def chunk_id(doc_id: str = "doc_id", chunk_idx: str = "chunk_idx") -> F.Column:
-    return (F.shiftleft(F.col(doc_id), CHUNK_BITS) + F.col(chunk_idx)).cast("long")
+    """The id of a chunk; an error where doc_id is not below 2**43 or chunk_idx not below 2**20, as ids would collide."""
+    doc, idx = F.col(doc_id).cast("long"), F.col(chunk_idx).cast("long")
+    whole = doc.between(0, (1 << 63 - CHUNK_BITS) - 1) & idx.between(0, (1 << CHUNK_BITS) - 1)
+    why = F.concat(F.lit("no chunk id for document "), doc.cast("string"), F.lit(", chunk "), idx.cast("string"))
+    return F.when(doc.isNull() | idx.isNull() | whole, F.shiftleft(doc, CHUNK_BITS) + idx).otherwise(F.raise_error(why).cast("long"))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

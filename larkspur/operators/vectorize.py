@@ -9,10 +9,13 @@ from larkspur.functions.text import hashed_dim, tokenize
 from larkspur.functions.vectors import smoothed_idf
 from larkspur.operators.lexical import top
 from larkspur.operators.statistics import term_frequency
+from larkspur.session import few, staged
 
 DIMS = 1024
 MIN_COSINE = 0.01
 HEADING_TIMES = 3
+VOCAB_ROWS = 1_000_000  # terms that may be broadcast
+ASKED_ROWS = 1_000_000  # cells of query vectors that may be broadcast
 
 
 def boosted_tokens() -> F.Column:
@@ -22,16 +25,20 @@ def boosted_tokens() -> F.Column:
 
 
 def hashed(frequencies: DataFrame, vocab: DataFrame, default: DataFrame, key: str, dims: int = DIMS) -> DataFrame:
-    """(key, dim, w): signed sums of tf * idf by dimension, of unit length. default(idf_default) is one row."""
+    """(key, dim, w): signed sums of tf * idf by dimension, of unit length. default(idf_default) is one row.
+
+    frequencies are best dealt by key: then nothing else is shuffled if the
+    vocabulary is small enough to be broadcast. A larger one is joined by term,
+    where Spark splits the terms that most rows have.
+    """
     if dims <= 0:
         return frequencies.select(key, F.lit(0).alias("dim"), F.lit(0.0).alias("w")).limit(0)
     # Terms are hashed once each in the vocabulary; only unknown ones where they stand.
     dim, sign = hashed_dim("term", dims)
     terms = vocab.select("term", "idf", dim.alias("known_dim"), sign.alias("known_sign"))
-    known = frequencies.join(terms, "term", "left").crossJoin(F.broadcast(default))
+    known = frequencies.join(few(terms, VOCAB_ROWS), "term", "left").crossJoin(F.broadcast(default))
     weight = F.coalesce("known_sign", sign) * F.col("tf") * F.coalesce("idf", "idf_default")
-    # One shuffle by key serves the sums by (key, dim) and the lengths by key.
-    cells = known.select(key, F.coalesce("known_dim", dim).alias("dim"), weight.alias("w")).repartition(key)
+    cells = known.select(key, F.coalesce("known_dim", dim).alias("dim"), weight.alias("w"))
     sums = cells.groupBy(key, "dim").agg(F.sum("w").alias("w"))
     whole = sums.groupBy(key).agg(F.collect_list(F.struct("dim", "w")).alias("cells"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))  # at most dims cells
     unit = F.transform("cells", lambda x: F.struct(x["dim"].alias("dim"), F.when(F.col("norm") > 0, x["w"] / F.col("norm")).otherwise(x["w"]).alias("w")))
@@ -39,9 +46,10 @@ def hashed(frequencies: DataFrame, vocab: DataFrame, default: DataFrame, key: st
 
 
 def chunk_vectors(chunks: DataFrame, vocab: DataFrame, dims: int = DIMS) -> DataFrame:
-    """(chunk_id, dim, w). Chunks without tokens have no rows."""
+    """(chunk_id, dim, w). Chunks without tokens have no rows. Texts are dealt by chunk, and all sums follow that."""
     default = chunks.agg(smoothed_idf(F.count("*"), F.lit(0)).alias("idf_default"))
-    return hashed(term_frequency(chunks, boosted_tokens(), "chunk_id"), vocab, default, "chunk_id", dims)
+    dealt = chunks.select("chunk_id", "heading", "content").repartition("chunk_id")
+    return hashed(term_frequency(dealt, boosted_tokens(), "chunk_id"), vocab, default, "chunk_id", dims)
 
 
 def query_vectors(queries: DataFrame, vocab: DataFrame, vectors: DataFrame, dims: int = DIMS) -> DataFrame:
@@ -51,7 +59,8 @@ def query_vectors(queries: DataFrame, vocab: DataFrame, vectors: DataFrame, dims
 
 
 def vector_search(queries: DataFrame, vocab: DataFrame, vectors: DataFrame, k: int, dims: int = DIMS) -> DataFrame:
-    """(query_id, chunk_id, score, rank) by cosine, from MIN_COSINE on: a join on the few dimensions of a query."""
-    asked = query_vectors(queries, vocab, vectors, dims).withColumnRenamed("w", "qw")
-    scored = vectors.join(asked, "dim").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 9).alias("score"))
+    """(query_id, chunk_id, score, rank) by cosine, from MIN_COSINE on: a join on the few dimensions of a query, with the vectors dealt by chunk."""
+    asked = staged(query_vectors(queries, vocab, vectors, dims).withColumnRenamed("w", "qw"), "asked")
+    rows = vectors.repartition("chunk_id").join(few(asked, ASKED_ROWS), "dim")
+    scored = rows.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 9).alias("score"))
     return top(scored.where(F.col("score") >= MIN_COSINE), k)

@@ -37,7 +37,7 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lexical_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    chunks = _chunks(spark, sf_dir)
+    chunks = staged(_chunks(spark, sf_dir), "chunks")
     return staged(statistics.postings(chunks), "postings"), staged(statistics.chunk_lengths(chunks), "lengths")
 
 
@@ -107,12 +107,12 @@ def q_bm25_topk(spark, sf_dir):
 
 
 def q_tfidf_vectors(spark, sf_dir):
-    chunks = _chunks(spark, sf_dir)
-    return chunk_vectors(chunks, statistics.vocabulary(chunks)).select("chunk_id", "dim", F.round("w", 6).alias("w"))
+    chunks = staged(_chunks(spark, sf_dir), "chunks")
+    return chunk_vectors(chunks, staged(statistics.vocabulary(chunks), "vocab")).select("chunk_id", "dim", F.round("w", 6).alias("w"))
 
 
 def q_vector_topk(spark, sf_dir):
-    chunks = _chunks(spark, sf_dir)
+    chunks = staged(_chunks(spark, sf_dir), "chunks")
     vocab = staged(statistics.vocabulary(chunks), "vocab")
     vectors = staged(chunk_vectors(chunks, vocab), "vectors")
     found = vector_search(_queries(spark, sf_dir), vocab, vectors, 20)
