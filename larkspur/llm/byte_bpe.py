@@ -3,15 +3,16 @@
 Distinct pieces of a batch are encoded together: pieces of similar length form
 a padded matrix of token ids, and in each round every row merges its leftmost
 pair of least rank, found by a hashed lookup of pairs; merged cells are closed
-by compaction and finished rows leave. Very long pieces, for which a merge a
-round would be quadratic, use a heap with the same order of merges.
+by compaction and finished rows leave. A long piece is a matrix of one row, and
+its round merges all pairs of that least rank from left to right, unless a
+merge makes a pair of a lower rank, which would have to come first: then only
+the leftmost pair is merged.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import lean
 
-LONG_PIECE = 256  # bytes from which a piece goes to the heap
+LONG_PIECE = 256  # bytes from which a piece is a matrix of its own
 CACHE_CHUNKS = 300_000  # encoded strings that a Python worker keeps
 MATRIX_CELLS = 1 << 20
 NONE = np.int64(1 << 40)
@@ -124,29 +125,39 @@ class Bpe:
             ranks[k[right], at[right]] = self.pair_ranks(best[right], grid[k[right], at[right] + 1])
             ranks[k[~right], at[~right]] = NONE
 
-    def _heap(self, piece: bytes) -> np.ndarray:
-        """One long piece: merge the leftmost pair of least rank until none is left."""
-        ids = self.single[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        after, before, alive = [*range(1, n), -1], [-1, *range(n - 1)], [True] * n
-        first = self.pair_ranks(np.array(ids[:-1]), np.array(ids[1:]))
-        pair = {(a, b): int(r) for a, b, r in zip(ids[:-1], ids[1:], first, strict=True)}
-        known = lambda a, b: pair.get((a, b)) or pair.setdefault((a, b), int(self.pair_ranks(np.array([a]), np.array([b]))[0]))
-        heap = [(int(r), k, ids[k], ids[k + 1]) for k, r in enumerate(first) if r != NONE]
-        heapq.heapify(heap)
-        while heap:
-            rank, k, a, b = heapq.heappop(heap)
-            nxt = after[k]
-            if not alive[k] or nxt < 0 or ids[k] != a or ids[nxt] != b:
-                continue
-            ids[k], alive[nxt], after[k] = rank, False, after[nxt]
-            if after[k] >= 0:
-                before[after[k]] = k
-                if (r := known(ids[k], ids[after[k]])) != NONE:
-                    heapq.heappush(heap, (r, k, ids[k], ids[after[k]]))
-            if (p := before[k]) >= 0 and (r := known(ids[p], ids[k])) != NONE:
-                heapq.heappush(heap, (r, p, ids[p], ids[k]))
-        return np.array([x for x, live in zip(ids, alive, strict=True) if live], np.int64)
+    def _row(self, piece: bytes) -> np.ndarray:
+        """One long piece: the same merges in the same order, all pairs of the least rank in one round where none of lower rank comes up."""
+        grid = self.single[np.frombuffer(piece, np.uint8)]
+        ranks = self.pair_ranks(grid[:-1], grid[1:])
+        while len(ranks) and (best := ranks.min()) != NONE:
+            at = np.flatnonzero(ranks == best)
+            # Of overlapping pairs every second one, from the left.
+            first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+            at = at[(np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at)))) % 2 == 0]
+            merged, new = self._merged(grid, ranks, at, best)
+            if len(at) > 1 and self._lower(grid, at, best, new):
+                merged, new = self._merged(grid, ranks, at[:1], best)
+            grid, ranks = merged, new
+        return grid
+
+    def _merged(self, grid: np.ndarray, ranks: np.ndarray, at: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
+        """The row with the pairs at `at` merged, and its ranks of pairs."""
+        out = grid.copy()
+        out[at] = rank
+        out = np.delete(out, at + 1)
+        place = at - np.arange(len(at))
+        new = np.delete(ranks, at)
+        touched = np.unique(np.concatenate([place - 1, place]))
+        touched = touched[(touched >= 0) & (touched < len(new))]
+        new[touched] = self.pair_ranks(out[touched], out[touched + 1])
+        return out, new
+
+    def _lower(self, grid: np.ndarray, at: np.ndarray, rank: int, new: np.ndarray) -> bool:
+        """Whether the merges make a pair of a lower rank, also beside a pair that is not merged yet."""
+        if len(new) and new.min() < rank:
+            return True
+        beside = at[:-1][np.diff(at) == 2] + 2
+        return bool(len(beside) and (self.pair_ranks(np.full(len(beside), rank), grid[beside]) < rank).any())
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece as little-endian unsigned 32-bit integers. A piece that is a token stands for itself."""
@@ -156,7 +167,7 @@ class Bpe:
             if (rank := self.ranks.get(p)) is not None:
                 out[k] = rank.to_bytes(4, "little")
             elif len(p) >= LONG_PIECE:
-                out[k] = self._heap(p).astype("<u4").tobytes()
+                out[k] = self._row(p).astype("<u4").tobytes()
             else:
                 short.append(k)
         short.sort(key=lambda k: len(pieces[k]))

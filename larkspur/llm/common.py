@@ -1,14 +1,11 @@
-"""Shared helpers: staged tables, text batches and vectorised word hashing.
+"""Shared helpers: text batches and vectorised word hashing.
 
-A staged table is a Parquet table below ``spark.checkpoint.dir``, the folder
-that driver and executors share. It cuts lineage, so a lost executor costs a
-re-read and not a recomputation.
+Operators cut lineage with larkspur.session.staged, a Parquet table below
+``spark.checkpoint.dir``, the folder that driver and executors share.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.session import staged as staged
+
 CHUNK_BYTES = 1 << 20  # text bytes that one vectorised step looks at
 BROADCAST_ROWS = 2_000_000  # narrow rows (id only) that may be broadcast
 
@@ -31,35 +30,35 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder; one of our own only where the session names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="larkspur-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def lean(spark: SparkSession) -> None:
-    """Small Arrow batches: a Python worker holds a few copies of a batch, whatever the length of the texts."""
+    """Small Arrow batches: a Python worker holds a few copies of a batch, whatever the length of the texts.
+
+    These two settings stay changed in the caller's session: a lazy result runs under what is set when it runs.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df below the shared folder and return the table as read again."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def keep_rows_of(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Semi or anti join with a narrow table of ids: broadcast when it is counted and small, shuffled beyond that."""
     small = ids.limit(limit + 1).count() <= limit
     return df.join(F.broadcast(ids) if small else ids, key, how)
 
 
+def quoted(column: str) -> str:
+    """A column's name as an identifier, whatever its characters."""
+    return f"`{column.replace('`', '``')}`"
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """docs without the rows of gone(doc_id, copy), an id, null or not, and the hash of a text; broadcast when it is counted and small."""
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")).distinct()
+    small = gone.limit(limit + 1).count() <= limit
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col(quoted(id_col)).cast("long").alias("id"), F.xxhash64(F.col(quoted(text_col)).cast("string")).alias("copy"))
+    left = rows.join(F.broadcast(gone) if small else gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy")), "left_anti")
+    return left.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Bijective finaliser of 64-bit values."""
     h = h ^ (h >> np.uint64(33))

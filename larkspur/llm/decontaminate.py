@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import keep_rows_of, lean, shingles, staged, text_bytes, text_chunks, word_hashes, words_of
+from larkspur.llm.common import lean, shingles, staged, text_bytes, text_chunks, without_rows, word_hashes, words_of
 
 GRAM = 4  # words of a seed
-BLOCK_BYTES = 16 << 20  # text of the items of one block
+BLOCK_BYTES = 8 << 20  # text of the items of one block
 SLAB_HITS = 1 << 20  # n-grams of documents times the items that have them, looked at together
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
@@ -50,14 +50,21 @@ class Items:
     grams: np.ndarray
     owner: np.ndarray
     filter: np.ndarray
+    size: int
 
     @staticmethod
-    def of(ids: list[int], texts: list[str | None], size: int) -> Items:
+    def of(ids: list[int], texts: list[str | None], size: int) -> list[Items]:
+        """Items by the length of their n-grams: `size`, or all words of an item that has fewer."""
         hashes, _, _, bounds = tokens(*text_bytes(texts))
-        grams, cuts = shingles(hashes, bounds, size)
-        owner = np.repeat(np.arange(len(ids)), np.diff(cuts))
-        own = np.repeat(np.diff(bounds) >= size, np.diff(cuts))  # an item of fewer words is too short to tell a copy by
-        return Items(ids, np.split(hashes, bounds[1:-1]), *_ordered(grams[own], owner[own]))
+        words = np.split(hashes, bounds[1:-1])
+        lengths = np.minimum(np.diff(bounds), size)
+        out = []
+        for n in np.unique(lengths[lengths > 0]).tolist():
+            own = np.flatnonzero(lengths == n).tolist()
+            part = [words[k] for k in own]
+            grams, cuts = shingles(np.concatenate(part), np.concatenate([[0], np.cumsum([len(w) for w in part])]), n)
+            out.append(Items([ids[k] for k in own], part, *_ordered(grams, np.repeat(np.arange(len(own)), np.diff(cuts))), n))
+        return out
 
     def hits(self, grams: np.ndarray) -> np.ndarray:
         """Positions of n-grams that the items have."""
@@ -109,13 +116,13 @@ def most_matches(words: np.ndarray, counts: np.ndarray, passage: np.ndarray) ->
     return int(np.minimum(held, counts).sum())
 
 
-def _counts(items: Items, size: int):
+def _counts(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(items.grams), np.int64)
         for batch in batches:
             for _, _, data, offsets in text_chunks(batch, "text"):
                 hashes, _, _, bounds = tokens(data, offsets)
-                grams, cuts = shingles(hashes, bounds, size)
+                grams, cuts = shingles(hashes, bounds, items.size)
                 at = items.hits(grams)
                 doc = np.searchsorted(cuts, at, side="right")
                 pairs = np.unique(np.stack([doc.astype(np.uint64), grams[at]]), axis=1)
@@ -127,13 +134,22 @@ def _counts(items: Items, size: int):
     return run
 
 
-def _passages(items: Items, rare: np.ndarray, size: int, threshold: float):
+def rare_grams(items: Items, seen: np.ndarray) -> np.ndarray:
+    """Of each item the n-grams that no more documents have than twice its median one; seen: documents of each entry of items.grams."""
+    order = np.lexsort((seen, items.owner))
+    bounds = np.searchsorted(items.owner[order], np.arange(len(items.ids) + 1))
+    low, high = (bounds[:-1] + bounds[1:] - 1) // 2, (bounds[:-1] + bounds[1:]) // 2
+    median = (seen[order][low] + seen[order][high]) / 2
+    return seen <= 2 * median[items.owner]
+
+
+def _passages(items: Items, rare: np.ndarray, threshold: float):
+    size = items.size
     lengths = np.array([len(w) for w in items.words])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            ids = batch.column(0)
             rows, which, scores, starts, ends = [], [], [], [], []
             for i, _, data, offsets in text_chunks(batch, "text"):
                 hashes, start, end, bounds = tokens(data, offsets)
@@ -178,49 +194,51 @@ def _passages(items: Items, rare: np.ndarray, size: int, threshold: float):
                         scores.append(round(score, 6))
                         starts.append(a)
                         ends.append(b)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(which, pa.int64()), pa.array(scores, pa.float64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["doc_id", "item_id", "score", "start", "end"])
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(which, pa.int64()), pa.array(scores, pa.float64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["doc_id", "copy", "item_id", "score", "start", "end"])
 
     return run
 
 
+def _found(docs: DataFrame, benchmark: DataFrame, size: int, threshold: float, id_col: str, text_col: str, item_col: str) -> DataFrame:
+    spark = docs.sparkSession
+    lean(spark)
+    text = F.col(text_col).cast("string")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"), text.alias("text"))
+    tests = benchmark.select(F.col(item_col).cast("long").alias("item_id"), text.alias("text")).where("item_id is not null and text is not null")
+    blocks = int((tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES) + 1
+    schema, found = "doc_id long, copy long, item_id long, score double, start int, end int", None
+    for block in range(blocks):
+        rows = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()  # about BLOCK_BYTES
+        for items in Items.of([r[0] for r in rows], [r[1] for r in rows], size):
+            seen = np.zeros(len(items.grams), np.int64)
+            counted = docs.mapInArrow(_counts(items), "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs")).toPandas()  # n-grams of one block
+            seen[counted["gram"]] = counted["docs"]
+            seen = seen[np.searchsorted(items.grams, items.grams)]
+            part = docs.mapInArrow(_passages(items, rare_grams(items, seen), threshold), schema)
+            found = part if found is None else found.unionByName(part)
+    return spark.createDataFrame([], schema) if found is None else staged(found, "contaminated")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = GRAM, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """Passages of docs that copy test items: (doc_id, item_id, score, start, end).
 
     One row for each document and item that share a run of `size` words and
     align around it with `threshold` of a full copy's score or more, however
     many documents have that run, with the bytes of the best passage (the
-    earliest of equal ones). Words are runs of letters and digits, A-Z in lower case. Null
-    or empty texts, items of fewer than `size` words and items without an id
-    match nothing. Repeated rows give repeated rows; a null doc_id stays null.
-    Other columns are ignored. An empty benchmark gives no rows.
+    earliest of equal ones). Of an item of fewer words the run is the whole
+    item. Words are runs of letters and digits, A-Z in lower case. Null or
+    empty texts, items without words and items without an id match nothing;
+    repeated items give repeated rows, and so do repeated documents; a null
+    doc_id stays null. Other columns are ignored. An empty benchmark or no
+    documents give no rows.
     """
-    spark = docs.sparkSession
-    lean(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    tests = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
-    blocks = int((tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES) + 1
-    schema, found = "doc_id long, item_id long, score double, start int, end int", None
-    for block in range(blocks):
-        rows = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        items = Items.of([r[0] for r in rows], [r[1] for r in rows], size)
-        if not len(items.grams):
-            continue
-        seen = np.zeros(len(items.grams), np.int64)
-        for r in docs.mapInArrow(_counts(items, size), "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs")).collect():
-            seen[r["gram"]] = r["docs"]
-        seen = seen[np.searchsorted(items.grams, items.grams)]
-        median = np.array([np.median(seen[items.owner == k]) if (items.owner == k).any() else 0 for k in range(len(items.ids))])
-        rare = seen <= 2 * median[items.owner]
-        part = docs.mapInArrow(_passages(items, rare, size, threshold), schema)
-        found = part if found is None else found.unionByName(part)
-    return spark.createDataFrame([], schema) if found is None else staged(found, "contaminated")
+    return _found(docs, benchmark, size, threshold, id_col, text_col, item_col).drop("copy")
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that copy no test item, with all columns."""
-    id_col = options.get("id_col", "doc_id")
-    gone = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(id_col)).distinct()
-    return keep_rows_of(docs, gone, id_col, "left_anti").select(docs.columns)
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that copy no test item, with all columns; each row is judged by its own text, with an id or without."""
+    return without_rows(docs, _found(docs, benchmark, size, threshold, "doc_id", "text", "item_id"))
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -6,10 +6,10 @@ three words or more has at least two of its shingles in one window, and a
 ratio of 1/2 or more with one of the template's own windows, which start at
 every shingle. With BANDS bands of one hash each a window is retrieved with a
 probability of 1 - (1/2)**12, 99.98 %, or more; longer notices hold windows
-that equal one of the template's and are certain. The templates' bands are a
-bounded set, so retrieval is a broadcast join and no text is shuffled. Windows
-that hold two shingles of their template stay; only their documents are read
-again, and the template's shingles around the window are counted.
+that equal one of the template's and are certain. The bands of templates of
+TEMPLATE_BYTES at most are broadcast, and no text is shuffled. Windows that
+hold two shingles of their template stay; only their documents are read again,
+and the template's shingles around the window are counted.
 
 DataFrame functions only: no Python runs on the executors.
 """
@@ -24,7 +24,7 @@ from larkspur.llm.common import keep_rows_of, staged
 BANDS = 12
 WINDOW = 4  # shingles
 CONTAINMENT = 0.8
-TEMPLATE_BYTES = 1 << 20  # of all templates; their bands are broadcast
+TEMPLATE_BYTES = 1 << 20  # of templates that are broadcast; beyond it the same joins are shuffled
 
 #: Usual notices of licenses.
 NOTICES = [
@@ -44,6 +44,22 @@ NOTICES = [
     ("unlicense", "This is free and unencumbered software released into the public domain."),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("all-rights-reserved", "All rights reserved."),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("gpl-3.0", "GPLv3 or later"),
+    ("gpl-2.0", "GPLv2 or later"),
+    ("agpl-3.0", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License"),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("ofl-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
+    ("artistic-2.0", "licensed under the Artistic License 2.0"),
+    ("mit", "SPDX-License-Identifier: MIT"),
+    ("apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("gpl-2.0", "SPDX-License-Identifier: GPL-2.0"),
+    ("gpl-3.0", "SPDX-License-Identifier: GPL-3.0"),
+    ("bsd", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("mpl-2.0", "SPDX-License-Identifier: MPL-2.0"),
 ]
 
 
@@ -82,21 +98,20 @@ def license_scan(docs: DataFrame, templates: DataFrame, threshold: float = CONTA
     shingles stand, to `threshold` or more, around one window; containment is
     the best such share and word the first word, from 0, of the earliest
     window that has it. templates(license_id, text) may give a license several
-    texts; texts of fewer than two words match nothing, and all of them
-    together must be within TEMPLATE_BYTES. Null and empty texts hold nothing.
+    texts; texts of fewer than two words match nothing. Null and empty texts
+    hold nothing; no templates or no documents give no rows.
     Rows that share an id count as one document, a null id too. Other columns
     are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     templates = templates.where("license_id is not null and text is not null")
-    size, parts = templates.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    if (size or 0) > TEMPLATE_BYTES:
-        raise ValueError(f"templates of {size} bytes; at most {TEMPLATE_BYTES} can be broadcast")
+    small = (templates.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= TEMPLATE_BYTES
+    dealt = F.broadcast if small else lambda table: table
     known = shingled(templates.withColumn("part", F.xxhash64("license_id", "text")).dropDuplicates(["part"]), "license_id", "part").where(F.size("grams") > 0)
     known = known.withColumn("distinct", F.array_distinct("grams"))
-    # Both tables are of at most TEMPLATE_BYTES of text.
-    bands = F.broadcast(windows(known, 1, "part").select("part", "band", "value").distinct())
-    shape = F.broadcast(known.select("part", "license_id", "distinct", F.size("grams").alias("length")))
+    known = known if small else staged(known, "templates")
+    bands = dealt(windows(known, 1, "part").select("part", "band", "value").distinct())
+    shape = dealt(known.select("part", "license_id", "distinct", F.size("grams").alias("length")))
     found = windows(shingled(docs, "doc_id"), 2, "doc_id").join(bands, ["band", "value"]).join(shape, "part")
     held = F.size(F.array_intersect("own", "distinct"))
     found = found.where(held >= F.least(F.lit(2), F.size("distinct"))).select("doc_id", "at", "part", "length").distinct()

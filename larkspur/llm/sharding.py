@@ -13,27 +13,27 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import staged
+from larkspur.llm.common import quoted, staged
 
-BITS = 48  # of the hash of an id
+ID_BITS, TEXT_BITS, ROW_BITS = 34, 14, 14  # of the hash: of the id, then of the text, then of the row
+BITS = ID_BITS + TEXT_BITS + ROW_BITS
 
 
-def hash_bits(col) -> F.Column:
-    """The leading 48 bits of the MD5 of an id, as a long; a null id hashes like an empty string."""
-    digest = F.md5(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))
-    return F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("long")
+def _leading(value: F.Column, bits: int) -> F.Column:
+    """The leading bits, 48 at most, of the MD5 of a value, as a long; null hashes like an empty string."""
+    digest = F.md5(F.coalesce(value.cast("string"), F.lit("")).cast("binary"))
+    return F.shiftright(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), 48 - bits)
 
 
-def extendible_shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, shard_depth, shard_prefix, shard_bytes, shard_rows), one row for each row of docs.
+def hash_bits(key: F.Column, text: F.Column) -> F.Column:
+    """Hash bits of a row: its id tells most rows apart, its text those of one id, and the row's own number equal ones."""
+    row = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND((1 << ROW_BITS) - 1)
+    return F.shiftleft(_leading(key, ID_BITS), TEXT_BITS + ROW_BITS) + F.shiftleft(_leading(text, TEXT_BITS), ROW_BITS) + row
 
-    A shard is the hash prefix `shard_prefix` of `shard_depth` bits; every shard
-    is within `limit` bytes of text unless it is a single row that is larger, or
-    rows that share one id, which no hash bit tells apart. Null and empty texts
-    have no bytes. Ties cannot occur; other columns are ignored. No rows, no shards.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("n_bytes"))
-    rows = staged(rows.withColumn("hash", hash_bits(F.col("doc_id"))), "rows")
+
+def _directory(rows: DataFrame, limit: int) -> DataFrame:
+    """rows(hash, n_bytes, ...), a stored table, with shard_depth, shard_prefix, shard_bytes and shard_rows."""
+    rest = [F.col(quoted(c)) for c in rows.columns if c != "hash"]
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     base, depth = 0, min(BITS, math.ceil(math.log2(max(1, total / limit))) + 4)
     done, live = None, rows
@@ -46,7 +46,7 @@ def extendible_shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_
         leaf = fine.select("fine", "depth", "prefix").join(fits, ["depth", "prefix"]).groupBy("fine").agg(F.min(F.struct("depth", "prefix", "shard_bytes", "shard_rows")).alias("leaf"))
         leaf = staged(leaf, "directory")
         live = live.withColumn("fine", F.shiftright("hash", BITS - depth))
-        out = live.join(leaf, "fine").select("doc_id", "n_bytes", F.col("leaf.depth").alias("shard_depth"), F.col("leaf.prefix").alias("shard_prefix"), "leaf.shard_bytes", "leaf.shard_rows")
+        out = live.join(leaf, "fine").select(*rest, F.col("leaf.depth").alias("shard_depth"), F.col("leaf.prefix").alias("shard_prefix"), "leaf.shard_bytes", "leaf.shard_rows")
         done = out if done is None else done.unionByName(out)
         if depth == BITS:
             return done
@@ -57,15 +57,35 @@ def extendible_shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_
         base, depth = depth + 1, min(BITS, depth + 8)
 
 
+def _narrow(docs: DataFrame, id_col: str, text_col: str) -> list[F.Column]:
+    key, text = F.col(quoted(id_col)).cast("long"), F.col(quoted(text_col)).cast("string")
+    return [key.alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), hash_bits(key, text).alias("hash")]
+
+
+def extendible_shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, shard_depth, shard_prefix, shard_bytes, shard_rows), one row for each row of docs.
+
+    A shard is the hash prefix `shard_prefix` of `shard_depth` bits; every shard
+    is within `limit` bytes of text unless it is a single row that is larger.
+    Rows that share an id, a null one too, split by their text, and equal rows
+    by their number. Null and empty texts have no bytes. Other columns are
+    ignored, whatever their names. No rows, no shards.
+    """
+    return _directory(staged(docs.select(*_narrow(docs, id_col, text_col)), "rows"), limit)
+
+
 def write_shards(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write all columns of docs under path/shard=<depth>-<prefix>/, one folder a shard, and return the assignment.
+    """Write docs under path/shard=<depth>-<prefix>/, one folder a shard, and return the shards as (shard, bytes, rows).
 
-    Rows with a null id are in the shard of the empty string.
+    The files hold one column `row` with all columns of docs, so that none
+    clashes with the name of the folder: read(...).select("row.*"). The table is
+    staged once, as equal rows are told apart by their number in it.
     """
-    shards = extendible_shards(docs, limit, id_col, text_col).select(F.col("doc_id").alias("_id"), F.format_string("%d-%x", "shard_depth", "shard_prefix").alias("shard")).distinct()
-    joined = docs.join(shards, docs[id_col].cast("long").eqNullSafe(shards["_id"])).drop("_id")
-    joined.repartition("shard").write.partitionBy("shard").mode("errorifexists").parquet(path)
-    return shards
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), *_narrow(docs, id_col, text_col)[1:])
+    placed = _directory(staged(rows, "rows"), limit)
+    shard = F.format_string("%d-%x", "shard_depth", "shard_prefix").alias("shard")
+    placed.select("row", shard).repartition("shard").write.partitionBy("shard").mode("errorifexists").parquet(path)
+    return placed.select(shard, F.col("shard_bytes").alias("bytes"), F.col("shard_rows").alias("rows")).distinct()
 
 
 LIMIT = 1 << 20
@@ -79,12 +99,13 @@ def op3_sharding(spark, sf_dir: str) -> DataFrame:
 OP3_SQL = f"""
 WITH d AS (
   SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS h
+         ((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT >> {48 - ID_BITS}) << {TEXT_BITS + ROW_BITS})
+         + ((('0x' || substr(md5(coalesce(text, '')), 1, 12))::BIGINT >> {48 - TEXT_BITS}) << {ROW_BITS}) AS h
   FROM documents),
 l AS (
   SELECT k.depth, h >> ({BITS} - k.depth) AS prefix, sum(n_bytes)::BIGINT AS shard_bytes, count(*)::BIGINT AS shard_rows
-  FROM d, (SELECT unnest(range(0, {BITS} + 1))::INTEGER AS depth) k GROUP BY ALL),
-f AS (SELECT * FROM l WHERE shard_bytes <= {LIMIT} OR shard_rows = 1 OR depth = {BITS}),
+  FROM d, (SELECT unnest(range(0, {BITS - ROW_BITS} + 1))::INTEGER AS depth) k GROUP BY ALL),
+f AS (SELECT * FROM l WHERE shard_bytes <= {LIMIT} OR shard_rows = 1),
 m AS (SELECT h, min(depth) AS depth FROM (SELECT DISTINCT h FROM d) x JOIN f ON f.prefix = x.h >> ({BITS} - f.depth) GROUP BY h)
 SELECT d.doc_id, d.n_bytes, m.depth AS shard_depth, f.prefix AS shard_prefix, f.shard_bytes, f.shard_rows
 FROM d JOIN m ON d.h = m.h JOIN f ON f.depth = m.depth AND f.prefix = d.h >> ({BITS} - m.depth)

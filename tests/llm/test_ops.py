@@ -157,8 +157,13 @@ def test_op3(spark, docs, empty, tmp_path):
         assert r["shard_rows"] == len(same) and r["shard_bytes"] == sum(x["n_bytes"] for x in same)
         assert r["shard_bytes"] <= 2000 or r["shard_rows"] == 1 or len({x["doc_id"] for x in same}) == 1
     assert sharding.extendible_shards(empty, 10).collect() == []
-    sharding.write_shards(docs, f"file://{tmp_path}/out", 2000)
-    assert spark.read.parquet(f"file://{tmp_path}/out").count() == len(ROWS)
+    odd = docs.withColumn("shard", F.lit("x")).withColumn("_id", F.lit(7)).withColumn("row", F.lit("y"))
+    shards = sharding.write_shards(odd, f"file://{tmp_path}/out", 2000).collect()
+    back = spark.read.parquet(f"file://{tmp_path}/out").select("row.*")
+    assert back.columns == odd.columns and back.count() == len(ROWS) == sum(r["rows"] for r in shards)
+    hot = spark.createDataFrame([(None, BASE)] * 300 + [(7, prose(30)) for _ in range(300)], "doc_id long, text string")  # one id, one text
+    assert all(r["shard_bytes"] <= 5000 or r["shard_rows"] == 1 for r in sharding.extendible_shards(hot, 5000).collect())
+    assert sharding.write_shards(empty, f"file://{tmp_path}/none", 10).collect() == []
 
 
 def test_op4(spark):
@@ -208,6 +213,27 @@ def test_op5(spark, empty):
     assert decontaminate.without_contaminated(docs, bench).count() == 32
 
 
+def test_op5_odd_rows(spark):
+    item, short = prose(30), "alpha beta"
+    bench = spark.createDataFrame([(1, item), (1, item), (2, short), (3, "..."), (4, ""), (None, item)], "item_id long, text string")
+    rows = [(1, f"{prose(9000)} {item} {prose(9000)}"), (None, item), (None, prose(40)), (2, f"x {short.upper()}, y"), (3, "alpha gamma beta"), (4, None), (5, ""), (6, item), (6, item), (6, prose(30))]
+    docs = spark.createDataFrame([(i, t, "r", "c") for i, t in rows], "doc_id long, text string, `row` string, `copy` string")
+    got = sorted((r["doc_id"] or -1, r["item_id"], r["score"]) for r in decontaminate.contaminated(docs, bench).collect())
+    assert got == sorted([(i, 1, 1.0) for i in (1, -1, 6, 6) for _ in range(2)] + [(2, 2, 1.0)])
+    left = decontaminate.without_contaminated(docs, bench)
+    assert left.columns == docs.columns and sorted((r["doc_id"] or -1, r["text"]) for r in left.collect() if r["text"]) == sorted((i or -1, t) for i, t in [rows[2], rows[4], rows[9]])
+
+
+def test_op5_large_benchmark():
+    words = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(20)) for _ in range(20_000)]
+    items = decontaminate.Items.of(list(range(20_000)), words, 4)[0]
+    seen = np.random.default_rng(1).integers(0, 9, len(items.grams))
+    rare = decontaminate.rare_grams(items, seen)
+    for k in range(0, 20_000, 4001):
+        own = items.owner == k
+        assert (rare[own] == (seen[own] <= 2 * np.median(seen[own]))).all()
+
+
 def test_op5_alignment():
     a, b = np.array([1, 2, 3, 4, 5, 6], np.uint64), np.array([9, 1, 2, 7, 4, 5, 6, 8], np.uint64)
     score, start, end = decontaminate.aligned_span(a, b)
@@ -277,8 +303,16 @@ def test_op7(spark, docs, empty):
     assert got[122, "all-rights-reserved"] == 1.0 and got[None, "mit"] == 1.0
     assert not [i for i, _ in got if i is not None and 90 <= i <= 121]
     assert license_scan.license_scan(empty, license_scan.notices(spark)).collect() == []
-    with pytest.raises(ValueError):
-        license_scan.license_scan(table, spark.createDataFrame([("x", "y" * (2 << 20))], "license_id string, text string"))
+
+
+def test_op7_large_templates(spark, monkeypatch):
+    notices = license_scan.NOTICES
+    rows = [(k, f"{prose(30)} {text} {prose(20)}") for k, (_, text) in enumerate(notices)] * 2 + [(None, notices[3][1]), (500, " ".join([prose(3000), notices[4][1], prose(3000)])), (501, "All rights reserved. " * 30)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    scan = lambda: sorted(map(str, license_scan.license_scan(table, license_scan.notices(spark)).collect()))
+    small = scan()
+    monkeypatch.setattr(license_scan, "TEMPLATE_BYTES", 10)
+    assert scan() == small and len(small) == len(set(small)) > len(notices) // 2
 
 
 def test_op8(spark, docs, empty):
@@ -297,7 +331,44 @@ def test_op8(spark, docs, empty):
     assert len(odd) == len(ROWS) and all(0 <= r["score"] <= 1 for r in odd)
     assert quality.quality_scores(empty, known).collect() == []
     assert {r["score"] for r in quality.quality_scores(docs, known.limit(0)).collect()} == {0.5}
-    assert quality.of_quality(docs, known).columns == docs.columns
+    clash = docs.withColumn("row", F.lit(1)).withColumn("copy", F.lit(2)).withColumn("x", F.lit(3)).withColumn("score", F.lit(0.0))
+    assert quality.of_quality(clash, known).columns == clash.columns
+    # Each row is judged by its own text, whatever its id.
+    bad, good = " ".join(w.upper() + "!!" for w in prose(90).split()), prose(90).capitalize() + "."
+    rows += [(None, bad, "x", 1), (None, good, "x", 1), (4000, bad, "x", 1), (4000, good, "x", 1)]
+    kept = {(r["doc_id"], r["text"]) for r in quality.of_quality(spark.createDataFrame(rows, DOCS), known).collect()}
+    assert {(None, good), (4000, good)} <= kept and not {(None, bad), (4000, bad)} & kept
+
+
+@pytest.mark.parametrize("labels", [[(1, 1)], [(k, 1) for k in range(1, 41)], [(k, k % 2) for k in range(1, 41)]])
+def test_op8_one_text(spark, labels):
+    rows = [(k, BASE) for k in range(1, 41)] + [(50, None), (51, ""), (52, "x" * 300_000)]
+    got = quality.quality_scores(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert len(got) == 43 and all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_op8_matches_plain_discriminant(spark):
+    rows, labels = [], []
+    for k in range(300):
+        rows.append((k, prose(rng.randint(5, 120)) + "." * (k % 4) if k % 3 else prose(40).upper()))
+        labels.append((k, int(k % 3 > 0 or k % 7 == 0)))
+    x = quality.statistics(*text_bytes([t for _, t in rows]))
+    train = np.array([zlib.crc32(str(k).encode()) % 5 != 0 for k in range(300)])
+    y = np.array([v for _, v in labels])
+    scale = x[train].std(0)
+    scale[scale <= 1e-6 * np.sqrt(1 + x[train].mean(0) ** 2)] = 1
+    z = x / scale
+    cov = [np.cov(z[train & (y == c)].T, bias=True) for c in (0, 1)]
+    n = [(train & (y == c)).sum() for c in (0, 1)]
+    pooled = np.diag(np.diag((n[0] * cov[0] + n[1] * cov[1]) / sum(n)))
+    logs = []
+    for c in (0, 1):
+        s = (1 - quality.SHRINKAGE) * cov[c] + quality.SHRINKAGE * pooled + quality.FLOOR * np.eye(len(scale))
+        d = z - z[train & (y == c)].mean(0)
+        logs.append(np.log((n[c] + 1) / (sum(n) + 2)) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d))
+    want = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
+    got = {r["doc_id"]: r["score"] for r in quality.quality_scores(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert np.allclose([got[k] for k in range(300)], want, atol=1e-6)
 
 
 def test_op9(spark):
