@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import lean, mix, prefix_hash, span_hash, staged, text_chunks, word_hashes, words_of
+from larkspur.llm.common import BROADCAST_ROWS, lean, mix, prefix_hash, quoted, span_hash, staged, text_chunks, word_hashes, words_of
 from larkspur.llm.suffix_dedup import anchors, shared_ids
+from larkspur.session import few
 
 MIN_WORDS = 1  # of a line or paragraph; units without words are never cut
 PASSAGE = 50  # words of a run
@@ -42,8 +43,39 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _firsts(doc: np.ndarray, *digests: np.ndarray) -> np.ndarray:
+    """Whether each entry is the first of its document with these digests; entries are in order."""
+    order = np.lexsort((np.arange(len(doc)), *digests, doc))
+    same = np.ones(len(doc), bool)
+    for x in (doc, *digests):
+        same[1:] &= x[order][1:] == x[order][:-1]
+    same[:1] = False
+    out = np.empty(len(doc), bool)
+    out[order] = ~same
+    return out
+
+
+def _joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans in order of document and start, with those that touch made one. Ends rise with starts."""
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])
+    first = np.flatnonzero(new)
+    return doc[first], start[first], end[np.append(first[1:], len(doc)) - 1] if len(doc) else end
+
+
+def _table(batch: pa.RecordBatch, doc: np.ndarray, names: list[str], digests: list[np.ndarray | None], ints: list[np.ndarray]) -> pa.RecordBatch:
+    """Digests (null for None), id and copy of each document, and places in it."""
+    at = pa.array(doc)
+    cells = [pa.nulls(len(doc), pa.int64()) if x is None else _long(x) for x in digests]
+    return pa.RecordBatch.from_arrays([*cells, batch.column(0).take(at), batch.column(1).take(at), *[pa.array(x.astype(np.int32)) for x in ints]], names=names)
+
+
 def _runs(passage: int):
-    """Anchors of all runs: their hash, the digest of the context, and the first and last run, in words."""
+    """Anchors of all runs: their hash, the digest of the context, and the first and last run, in words.
+
+    A context that its document has before needs no comparison with others: its words go, as a row without a hash.
+    """
+    names = ["seed", "c1", "c2", "_id", "_copy", "lo", "hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,15 +84,18 @@ def _runs(passage: int):
                 words = word_hashes(data, start, end)
                 doc, _, lo, hi, seed, context = anchors(words, bounds, min(SEED, passage), passage)
                 other = span_hash(prefix_hash(mix(words ^ _OTHER)), lo, hi + passage)
-                at = pa.array(doc + i)
-                ints = [pa.array((x - bounds[doc]).astype(np.int32)) for x in (lo, hi)]
-                yield pa.RecordBatch.from_arrays([_long(seed), _long(context), _long(other), batch.column(0).take(at), batch.column(1).take(at), *ints], names=["seed", "c1", "c2", "_id", "_copy", "lo", "hi"])
+                lo, hi = lo - bounds[doc], hi - bounds[doc]
+                new = _firsts(doc, seed, context, other)
+                yield _table(batch, doc[new] + i, names, [seed[new], context[new], other[new]], [lo[new], hi[new]])
+                again, lo, end = _joined(doc[~new], lo[~new], hi[~new] + passage)
+                yield _table(batch, again + i, names, [None] * 3, [lo, end - passage])
 
     return run
 
 
 def _each_run(passage: int):
-    """The digest of each run from lo to hi of each entry of `list`."""
+    """The digest of each run from lo to hi of each entry of `list`; runs that their document has before are rows without a digest, `end` past the last of them."""
+    names = ["d1", "d2", "_id", "_copy", "start", "end"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,9 +111,13 @@ def _each_run(passage: int):
                 doc = np.repeat(np.repeat(np.arange(j - i), size), n)
                 at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 first = bounds[doc] + at
+                order = np.lexsort((at, doc))
+                doc, at, first = doc[order], at[order], first[order]
                 digest = [span_hash(x, first, first + passage) for x in (one, two)]
-                take = pa.array(doc + i)
-                yield pa.RecordBatch.from_arrays([*map(_long, digest), batch.column(0).take(take), batch.column(1).take(take), pa.array(at.astype(np.int32))], names=["d1", "d2", "_id", "_copy", "start"])
+                new = _firsts(doc, *digest)
+                yield _table(batch, doc[new] + i, names, [x[new] for x in digest], [at[new], at[new] + passage])
+                again, start, end = _joined(doc[~new], at[~new], at[~new] + passage)
+                yield _table(batch, again + i, names, [None] * 2, [start, end])
 
     return run
 
@@ -86,24 +125,27 @@ def _each_run(passage: int):
 def later_runs(rows: DataFrame, passage: int) -> DataFrame:
     """(_id, _copy, start, end): words of runs of rows (_id, _copy, text) that occur earlier; equal rows are one document."""
     found = staged(rows.mapInArrow(_runs(passage), "seed long, c1 long, c2 long, _id long, _copy long, lo int, hi int"), "runs")
-    seeds = found.groupBy("seed").agg(F.count("*").alias("n"), F.min("c1").alias("least"), F.max("c1").alias("most")).where("n > 1")
+    seeds = found.where("seed is not null").groupBy("seed").agg(F.count("*").alias("n"), F.min("c1").alias("least"), F.max("c1").alias("most")).where("n > 1")
     seeds = staged(seeds.selectExpr("seed", "least <> most as differ"), "seeds")  # apart from the join, so that Spark can split a hot seed there
     twice = staged(found.join(seeds, "seed"), "twice")
     key = ["seed", "c1", "c2"]
     rank = F.struct("_id", "_copy", "lo", "hi")
     contexts = staged(twice.groupBy(*key).agg(F.count("*").alias("n"), F.min(rank).alias("first"), F.first("differ").alias("differ")), "contexts")
     whole = twice.join(contexts.where("n > 1").select(*key, "first"), key).where(~rank.eqNullSafe(F.col("first")))
-    whole = whole.select("_id", "_copy", F.col("lo").alias("start"), (F.col("hi") + passage).alias("end"))
+    span = ["_id", "_copy", F.col("lo").alias("start"), (F.col("hi") + passage).alias("end")]
+    whole = whole.select(*span).unionByName(found.where("seed is null").select(*span))
 
-    lists = contexts.where("differ").select("first.*").groupBy("_id", "_copy").agg(F.collect_list(F.struct("lo", "hi")).alias("list"))
+    lists = contexts.where("differ").select("first.*").groupBy(F.col("_id").alias("id"), F.col("_copy").alias("copy")).agg(F.collect_list(F.struct("lo", "hi")).alias("list"))
+    lists = staged(lists, "lists")
     texts = rows.dropDuplicates(["_id", "_copy"]) if shared_ids(rows, "_id") else rows
-    lists = lists.withColumnsRenamed({"_id": "id", "_copy": "copy"})
-    joined = texts.join(lists, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_copy") == F.col("copy"))).select("_id", "_copy", "text", "list")
-    runs = staged(joined.mapInArrow(_each_run(passage), "d1 long, d2 long, _id long, _copy long, start int"), "each")
+    same = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_copy") == F.col("copy"))
+    texts = texts.join(few(lists.select("id", "copy"), BROADCAST_ROWS), same, "left_semi")
+    joined = texts.join(lists, same).select("_id", "_copy", "text", "list")
+    runs = staged(joined.mapInArrow(_each_run(passage), "d1 long, d2 long, _id long, _copy long, start int, end int"), "each")
     rank = F.struct("_id", "_copy", "start")
-    first = staged(runs.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1").drop("n"), "first")
-    each = runs.join(first, ["d1", "d2"]).where(~rank.eqNullSafe(F.col("first"))).select("_id", "_copy", "start", (F.col("start") + passage).alias("end"))
-    return whole.unionByName(each)
+    first = staged(runs.where("d1 is not null").groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1").drop("n"), "first")
+    each = runs.join(first, ["d1", "d2"]).where(~rank.eqNullSafe(F.col("first"))).unionByName(runs.where("d1 is null"), allowMissingColumns=True)
+    return whole.unionByName(each.select("_id", "_copy", "start", "end"))
 
 
 def later_units(rows: DataFrame, sep: str, min_words: int) -> DataFrame:
@@ -172,16 +214,12 @@ def _cut(sep: str):
     return run
 
 
-def _name(column: str) -> str:
-    return f"`{column.replace('`', '``')}`"
-
-
 def _decided(docs: DataFrame, unit: str, min_words: int, passage: int, id_col: str, text_col: str) -> DataFrame:
     """(row, text, n_units, removed), a row for each row of docs, which `row` holds whole, so that no column of it clashes."""
     lean(docs.sparkSession)
     sep = BREAKS[unit]
-    text = F.col(_name(text_col)).cast("string")
-    rows = docs.select(F.struct(*[F.col(_name(c)) for c in docs.columns]).alias("row"), F.col(_name(id_col)).cast("long").alias("_id"), F.xxhash64(text).alias("_copy"), text.alias("text"))
+    text = F.col(quoted(text_col)).cast("string")
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col(quoted(id_col)).cast("long").alias("_id"), F.xxhash64(text).alias("_copy"), text.alias("text"))
     narrow = rows.select("_id", "_copy", "text")
     cuts = later_units(narrow, sep, min_words).select("_id", "_copy", "pos", F.lit(None).cast("struct<start:int,end:int>").alias("run"))
     if passage:
@@ -216,7 +254,7 @@ def unit_dedup(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS,
     hash of their text. No rows, no result. Other columns are ignored, whatever
     their names.
     """
-    docs = docs.select(F.col(_name(id_col)).cast("long").alias("doc_id"), F.col(_name(text_col)).cast("string").alias("text"))
+    docs = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"))
     return _decided(docs, unit, min_words, passage, "doc_id", "text").select("row.doc_id", "text", "n_units", "removed")
 
 
