@@ -11,9 +11,11 @@ pairs is counted fragment by fragment and summed per pair, and the exact ratio
 decides.
 
 Groups stay bounded: equal n-gram sets are one class from the start, and large
-buckets and clusters are cut into blocks, of which each pair of blocks is a
-task. A task returns stars (member, smallest member) of what it has linked,
-never all pairs. Links between different classes are all tested.
+buckets and clusters are cut into blocks, each a task that also gets the
+group's leader. What is linked to the leader is in one component already; only
+the rest goes on and meets all other blocks. A task returns stars (smallest
+member, member) of what it has linked, never all pairs. Links between different
+components are all tested.
 """
 
 from __future__ import annotations
@@ -99,36 +101,57 @@ def close_pairs(left: list[tuple[int, bytes]], right: list[tuple[int, bytes]], n
     return apart * (num + den) <= (den - num) * total
 
 
+def _links(rows: list[np.ndarray], ids: np.ndarray, side: np.ndarray, linked) -> list[tuple[int, int, int]]:
+    """(group, smallest member, member) of what linked(left, right) links in each group of a task: of all its rows, or of those of side 0 with those of side 1."""
+    edges = []
+    for group, part in rows:
+        left, right = part[side[part] == 0], part[side[part] == 1]
+        if not len(left):
+            continue
+        if len(right):
+            near = np.zeros((len(part), len(part)), bool)
+            at = np.concatenate([left, right])
+            near[: len(left), len(left) :] = linked(left, right)
+            near |= near.T
+        else:
+            at, near = part, np.array(linked(part, part))
+        near &= ids[at][:, None] != ids[at][None, :]
+        edges += [(group, least, member) for member, least in stars(ids[at], near)]
+    return edges
+
+
+def _task(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray]:
+    """The rows of each group of a task in order, all ids and all sides."""
+    group, ids, side = (table.column(c).to_numpy() for c in ("group", "rep", "side"))
+    order = np.lexsort((ids, side, group))
+    parts = np.split(order, np.flatnonzero(np.diff(group[order])) + 1)
+    return [(int(group[p[0]]), p) for p in parts if len(p)], ids, side
+
+
+def _edges(found: list[tuple[int, int, int]]) -> pa.Table:
+    return pa.table({name: pa.array([e[k] for e in found], pa.int64()) for k, name in enumerate(("group", "a", "b"))})
+
+
 def _meet(num: int, den: int):
-    """Stars of the close pairs of each bucket, or of a pair of blocks of one."""
+    """Stars of the close pairs of buckets."""
 
     def run(table: pa.Table) -> pa.Table:
-        key, home = table.column("key").to_numpy(), table.column("home").to_numpy()
-        ids = table.column("rep").to_numpy()
+        rows, ids, side = _task(table)
         own = list(zip(table.column("n").to_pylist(), table.column("bits").to_pylist(), strict=True))
-        edges: set[tuple[int, int]] = set()
-        order = np.lexsort((ids, home, key))
-        for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+        edges: list[tuple[int, int, int]] = []
+        more = []
+        for group, part in rows:
             if len(part) == 2:
                 (n, a), (m, b) = own[part[0]], own[part[1]]
                 size = min(len(a), len(b))
                 apart = (folded(int.from_bytes(a, "little"), len(a), size) ^ folded(int.from_bytes(b, "little"), len(b), size)).bit_count()
-                if apart * (num + den) <= (den - num) * (n + m):
-                    x, y = int(ids[part[0]]), int(ids[part[1]])
-                    edges.add((min(x, y), max(x, y)))
-                continue
-            homes = np.unique(home[part])
-            cut = len(part) if len(homes) == 1 else int((home[part] == homes[0]).sum())
-            near = np.zeros((len(part), len(part)), bool)
-            rows = [own[k] for k in part]
-            if cut == len(part):
-                near = close_pairs(rows, rows, num, den)
+                x, y = sorted((int(ids[part[0]]), int(ids[part[1]])))
+                if x != y and apart * (num + den) <= (den - num) * (n + m):
+                    edges.append((group, x, y))
             else:
-                near[:cut, cut:] = close_pairs(rows[:cut], rows[cut:], num, den)
-                near |= near.T
-            np.fill_diagonal(near, False)
-            edges.update(stars(ids[part], near))
-        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+                more.append((group, part))
+        pick = lambda at: [own[k] for k in at]
+        return _edges(edges + _links(more, ids, side, lambda left, right: close_pairs(pick(left), pick(right), num, den)))
 
     return run
 
@@ -204,50 +227,56 @@ def _keys(size: int, num: int, den: int):
 
 
 def _verify(size: int, num: int, den: int):
+    """Stars of the pairs of clusters that reach the threshold."""
+
     def run(table: pa.Table) -> pa.Table:
-        group, block = table.column("cluster").to_numpy(), table.column("block").to_numpy()
-        home = table.column("home").to_numpy()
-        ids = table.column("rep").to_numpy()
-        sets = []
+        rows, ids, side = _task(table)
+        sets: list[np.ndarray] = []
         for batch in table.select(["text"]).to_batches():
             for _, _, data, offsets in text_chunks(batch, "text"):
                 sets += shingle_sets(data, offsets, size)
-        edges: list[tuple[int, int]] = []
-        order = np.lexsort((ids, home, group))
-        for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-            own = [sets[k] for k in part]
-            homes = np.unique(home[part])
-            linked = np.zeros((len(part), len(part)), bool)
-            if len(homes) == 1:
-                if len(own) <= 6:
-                    for a in range(len(own)):
-                        for b in range(a + 1, len(own)):
-                            common = len(np.intersect1d(own[a], own[b], assume_unique=True))
-                            linked[a, b] = linked[b, a] = common > 0 and den * common >= num * (len(own[a]) + len(own[b]) - common)
-                else:
-                    linked = linked_pairs(own, own, num, den)
-            else:
-                cut = int((home[part] == homes[0]).sum())
-                linked[:cut, cut:] = linked_pairs(own[:cut], own[cut:], num, den)
-                linked |= linked.T
-            np.fill_diagonal(linked, False)
-            edges += stars(ids[part], linked)
-        multi = bool(len(block)) and int(block[0]) >= 0
-        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64()), "multi": pa.array([multi] * len(edges), pa.bool_())})
+        pick = lambda at: [sets[k] for k in at]
+        return _edges(_links(rows, ids, side, lambda left, right: linked_pairs(pick(left), pick(right), num, den)))
 
     return run
 
 
-def in_blocks(rows: DataFrame, group: str, carry: list[str], bins: int) -> DataFrame:
-    """rows(group, rep, blocks, carry) dealt to tasks (task, block): groups of one block are dealt to bins, block -1.
+def in_groups(rows: DataFrame, carry: list[str], bins: int, most: int, run) -> tuple[DataFrame, DataFrame]:
+    """Links (group, a, b) inside each group of rows(group, rep, blocks, carry): of groups of one block, and of larger ones.
 
-    Of a larger group, blocks i and j meet in the task (i, j) with i <= j, so
-    each row goes to as many tasks as its group has blocks.
+    The components of both are those of all linked pairs. Groups of one block
+    are dealt to bins. A larger group is dealt to its blocks, and its leader,
+    the least rep, goes to each of them: whatever a block links to the leader
+    needs no comparison with other blocks but with those rows that no block has
+    linked to it. Only these, in blocks of `most` rows, meet all blocks; so of a
+    group of near copies each row goes to one task, and to more only if its
+    group falls apart.
     """
-    out = [group, "rep", *carry]
-    single = rows.where("blocks = 1").select(*out, F.lit(0).alias("home"), F.lit(-1).alias("block"), F.pmod(F.xxhash64(group), F.lit(bins)).alias("task"))
-    many = rows.where("blocks > 1").withColumn("home", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return single.unionByName(many.select(*out, "home", F.lit(0).alias("block"), F.xxhash64(group, F.least("home", "other"), F.greatest("home", "other")).alias("task")))
+    links = "group long, a long, b long"
+    out = ["group", "rep", *carry]
+    single = rows.where("blocks = 1").select(*out, F.lit(0).alias("side"), F.pmod(F.xxhash64("group"), F.lit(bins)).alias("task"))
+    single = single.groupBy("task").applyInArrow(run, links)
+    many = rows.where("blocks > 1")
+    if many.isEmpty():
+        return single, many.select("group", F.col("group").alias("a"), F.col("group").alias("b")).limit(0)
+    many = staged(many.withColumn("home", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "many")
+    leaders = many.groupBy("group").agg(F.min("rep").alias("leader"), F.first("blocks").alias("blocks"))
+    guests = many.drop("blocks").join(leaders.withColumnRenamed("leader", "rep"), ["group", "rep"]).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to <> home")
+    own = many.select(*out, "home").unionByName(guests.select(*out, F.col("to").alias("home")))
+    inside = staged(own.withColumn("side", F.lit(0)).groupBy("group", "home").applyInArrow(run, links), "inside")
+
+    led = inside.join(leaders.select("group", F.col("leader").alias("a")), ["group", "a"]).select("group", F.col("b").alias("rep"))
+    led = led.unionByName(leaders.select("group", F.col("leader").alias("rep")))
+    rest = staged(many.join(led.distinct(), ["group", "rep"], "left_anti"), "rest")
+    parts = rest.groupBy("group").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    parts = staged(parts, "parts")
+    if parts.isEmpty():
+        return single, inside
+    each = lambda table, n: table.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    apart = each(rest.join(parts, "group"), "blocks").select(*out, F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.col("other").alias("home"), F.lit(0).alias("side"))
+    whole = each(many.join(parts, "group"), "parts").select(*out, F.col("other").alias("part"), "home", F.lit(1).alias("side"))
+    across = apart.unionByName(whole).groupBy("group", "part", "home").applyInArrow(run, links)
+    return single, inside.unionByName(across)
 
 
 def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,8 +288,8 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
     Null or empty texts, and texts without words, have no n-grams and are
     linked with nothing. Fewer words than `size` make one n-gram. Repeated rows
     give repeated result rows; rows that share an id count as one document. A
-    row whose id is null has its own n-gram count and a null component. Other
-    columns are ignored, whatever their names.
+    row whose id is null has its own n-gram count and a null component. No rows,
+    no result. Other columns are ignored, whatever their names.
     """
     lean(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -272,40 +301,42 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
     keyed = keep_rows_of(docs, reps, "doc_id").mapInArrow(_keys(size, num, den), "key long, rep long")
     bucket = Window.partitionBy("key")
     meet = keyed.withColumn("first", F.min("rep").over(bucket)).withColumn("last", F.max("rep").over(bucket)).withColumn("docs", F.count("*").over(bucket)).where("first < last")
-    meet = staged(meet.select("key", "rep", F.ceil(F.col("docs") / BUCKET_DOCS).cast("int").alias("blocks")), "buckets")
+    meet = staged(meet.select(F.col("key").alias("group"), "rep", F.ceil(F.col("docs") / BUCKET_DOCS).cast("int").alias("blocks")), "buckets")
     own = keep_rows_of(marks, reps, "doc_id").groupBy(F.col("doc_id").alias("rep")).agg(F.max(F.struct("n", "bits")).alias("own"))
     meet = meet.join(own.select("rep", "own.*"), "rep")
-    bins = max(8, meet.agg(F.sum(F.length("bits") + 40)).first()[0] // BLOCK_BYTES + 1 if not meet.isEmpty() else 8)
-    meet = in_blocks(meet, "key", ["n", "bits"], bins).groupBy("task", "block").applyInArrow(_meet(num, den), "a long, b long").distinct()
-    clusters = staged(components(meet), "clusters").select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"))
+    near, more = in_groups(meet, ["n", "bits"], _bins(meet, F.length("bits") + 40), BUCKET_DOCS, _meet(num, den))
+    clusters = staged(components(near.unionByName(more).select("a", "b")), "clusters").select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"))
 
     small = clusters.limit(200_001).count() <= 200_000
     members = docs.where("text is not null").join(F.broadcast(clusters) if small else clusters, "doc_id")
-    members = members.select("cluster", F.col("doc_id").alias("rep"), "text")
+    members = members.select(F.col("cluster").alias("group"), F.col("doc_id").alias("rep"), "text")
     members = staged(members if _unique(marks) else members.dropDuplicates(["rep"]), "members")
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum(F.octet_length("text")).alias("bytes"))
+    sizes = staged(members.groupBy("group").agg(F.count("*").alias("docs"), F.sum(F.octet_length("text")).alias("bytes")), "sizes")
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    members = members.join(sizes.select("cluster", blocks.alias("blocks")), "cluster")
-    total = sizes.agg(F.sum("bytes")).first()[0] or 0
-    bins = max(8, int(total // BLOCK_BYTES) + 1)
-    found = in_blocks(members, "cluster", ["text"], bins).groupBy("task", "block").applyInArrow(_verify(size, num, den), "a long, b long, multi boolean")
-    found = staged(found, "found")
-    apart = found.where("not multi").select(F.col("a").alias("rep"), F.col("b").alias("component"))
-    joined = components(found.where("multi")).select(F.col("id").alias("rep"), "component")
-    linked = apart.unionByName(joined)
+    bins = _bins(members, F.octet_length("text"))
+    members = members.join(sizes.select("group", blocks.alias("blocks")), "group")
+    apart, joined = in_groups(members, ["text"], bins, BLOCK_DOCS, _verify(size, num, den))
+    apart = staged(apart, "found").select(F.col("b").alias("rep"), F.col("a").alias("component"))
+    linked = apart.unionByName(components(joined.select("a", "b")).where("id <> component").select(F.col("id").alias("rep"), "component"))
 
     sets = sets.join(linked, "rep", "left").select(F.col("n").alias("sn"), F.col("d1").alias("s1"), F.col("d2").alias("s2"), F.coalesce("component", "rep").alias("component"))
     out = marks.join(sets, (F.col("n") == F.col("sn")) & (F.col("d1") == F.col("s1")) & (F.col("d2") == F.col("s2")), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
+def _bins(rows: DataFrame, size: F.Column) -> int:
+    """Tasks for groups of one block: about BLOCK_BYTES or BUCKET_DOCS rows each."""
+    n, total = rows.agg(F.count("*"), F.sum(size)).first()
+    return max(8, (total or 0) // BLOCK_BYTES + 1, n // (4 * BUCKET_DOCS) + 1)
+
+
 def _unique(marks: DataFrame) -> bool:
     total, ids = marks.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
     return total == ids
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents whose id is the smallest of their component, with all columns; rows without an id stay."""
+    """The documents whose id is the smallest of their component, with all columns. Rows without an id stay, and rows that share an id are one document, which stays or goes as a whole."""
     id_col = options.get("id_col", "doc_id")
     groups = ngram_jaccard_join(docs, **options)
     gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
