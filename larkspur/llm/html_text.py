@@ -1,9 +1,12 @@
 """HTML extraction: a linear-chain conditional random field over DOM leaf blocks.
 
 A page is cut into leaf blocks, the text between the borders of block elements.
-Each block has features of its ancestors (tags, words of class and id) and of
-its text (length, links, punctuation). A linear-chain CRF, trained on labelled
-pages, gives each block the label main or other by Viterbi.
+Each block has features of its ancestors (tags, words of class and id), of its
+text (length, links, sentences), of its neighbours, and of the page: whether it
+stands inside the deepest element that holds most of the page's sentences, and
+whether it is one of a row of short pieces. The latter ask for no language and
+no names. A linear-chain CRF, trained on labelled pages, gives each block the
+label main or other by Viterbi.
 """
 
 from __future__ import annotations
@@ -37,12 +40,12 @@ _ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden|style)(
 _RAW_END = {tag: re.compile(rf"</{tag}\b", re.I) for tag in RAW}
 
 
-def leaf_blocks(page: str) -> list[tuple[tuple[tuple[str, str], ...], str, int]]:
-    """Blocks in page order: (ancestors as (tag, words of class, id and role), text, characters inside links)."""
+def leaf_blocks(page: str) -> list[tuple[tuple[tuple[str, str], ...], str, int, tuple[int, ...]]]:
+    """Blocks in page order: (ancestors as (tag, words of class, id and role), text, characters inside links, numbers of the ancestors)."""
     out: list = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, str, int]] = []
     parts: list[str] = []
-    linked = silent = links = 0
+    linked = silent = links = nodes = 0
 
     def flush() -> None:
         nonlocal linked
@@ -50,13 +53,14 @@ def leaf_blocks(page: str) -> list[tuple[tuple[tuple[str, str], ...], str, int]]
             raw = "".join(parts)
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
-                out.append((tuple(x for x in stack if x[0] not in INLINE), text, min(linked, len(text))))
+                above = [x for x in stack if x[0] not in INLINE]
+                out.append((tuple(x[:2] for x in above), text, min(linked, len(text)), tuple(x[2] for x in above)))
             parts.clear()
         linked = 0
 
     def close(upto: int) -> None:
         nonlocal silent, links
-        for tag, _ in stack[upto:]:
+        for tag, _, _ in stack[upto:]:
             silent -= tag in SILENT
             links -= tag == "a"
         del stack[upto:]
@@ -104,7 +108,8 @@ def leaf_blocks(page: str) -> list[tuple[tuple[tuple[str, str], ...], str, int]]
                 found = [(a.lower(), x or y or z) for a, x, y, z in _ATTRIBUTE.findall(attributes)]
                 hidden = any(a == "hidden" or a == "aria-hidden" and v.lower() == "true" or a == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I) for a, v in found)
                 words = " ".join(v for a, v in found if a in ("class", "id", "role")) + (" -hidden-" if hidden else "")
-            stack.append((tag, words))
+            nodes += 1
+            stack.append((tag, words, nodes))
             silent += tag in SILENT
             links += tag == "a"
             if tag in RAW:
@@ -118,14 +123,14 @@ def leaf_blocks(page: str) -> list[tuple[tuple[tuple[str, str], ...], str, int]]
 
 #: Words of class, id and role names that tell what a part of a page is for.
 HINTS = {
-    "menu": "nav navbar navigation menu breadcrumb breadcrumbs crumbs tabs toc pagination pager skip sitemap topbar toolbar",
-    "header": "header masthead banner logo branding site-title hero",
-    "footer": "footer foot colophon copyright legal imprint bottom credits",
-    "side": "sidebar side aside rail widget related recommended recommendations popular trending more teaser teasers promoted",
-    "notice": "cookie cookies consent gdpr notice notification alert warning banner popup modal overlay dialog privacy disclaimer paywall",
-    "advert": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion dfp adsense commercial",
-    "form": "form search login signin signup subscribe subscription newsletter register contact",
-    "comments": "comment comments reply replies respond discussion disqus reader readers responses thread forum feedback",
+    "menu": "nav navbar navigation menu breadcrumb breadcrumbs crumbs tabs toc pagination pager skip sitemap topbar toolbar menue navegacion navegação",
+    "header": "header masthead banner logo branding site-title hero kopf kopfzeile entete cabecera",
+    "footer": "footer foot colophon copyright legal imprint bottom credits fuss fusszeile impressum pied mentions pie",
+    "side": "sidebar side aside rail widget related recommended recommendations popular trending more teaser teasers promoted seitenleiste verwandt lateral relacionados connexes",
+    "notice": "cookie cookies consent gdpr notice notification alert warning banner popup modal overlay dialog privacy disclaimer paywall hinweis datenschutz avis aviso",
+    "advert": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion dfp adsense commercial werbung anzeige publicite pub publicidad anuncio",
+    "form": "form search login signin signup subscribe subscription newsletter register contact suche anmelden recherche buscar",
+    "comments": "comment comments reply replies respond discussion disqus reader readers responses thread forum feedback kommentar kommentare antwort antworten leser commentaire commentaires reponse reponses comentario comentarios respuestas",
     "social": "share sharing social follow tweet facebook twitter",
     "meta": "meta byline author date published tags tag category categories caption",
     "hidden": "-hidden- hidden visually-hidden sr-only",
@@ -141,19 +146,27 @@ PHRASES = {
 }
 _HINT = {word: kind for kind, words in HINTS.items() for word in words.split()}
 _TAGS = ("article", "main", "section", "nav", "header", "footer", "aside", "form", "figure", "figcaption", "ul", "ol", "li", "table", "td", "p", "h1", "h2", "h3", "blockquote", "pre", "dl", "dialog", "fieldset", "address", "body", "div")
-_PHRASES = re.compile(r"cookie|all rights reserved|©|\(c\) \d{4}|copyright|subscribe|sign (?:in|up)|log ?in|newsletter|advertisement|sponsored|share this|read more|privacy policy|terms of|powered by|reply|comments?\b", re.I)
+_PHRASES = re.compile(
+    r"cookie|all rights reserved|©|\(c\) \d{4}|copyright|subscribe|sign (?:in|up)|log ?in|newsletter|advertisement|sponsored|share this|read more|privacy policy|terms of|powered by|reply|comments?\b"
+    r"|kommentare?\b|alle rechte|datenschutz|impressum|anmelden|werbung|weiterlesen|commentaires?\b|tous droits|publicité|s'abonner|lire la suite|comentarios?\b|todos los derechos|publicidad|leer más",
+    re.I,
+)
 _SPLIT = re.compile(r"[^a-z]+")
 
 
 def _hints(words: str) -> set[str]:
-    low = words.lower()
-    return {_HINT[w] for w in [*low.split(), *_SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", words).lower())] if w in _HINT}
+    """Kinds that whole names tell, and as part:kind those that parts of compound names do."""
+    whole = {_HINT[w] for w in words.lower().split() if w in _HINT}
+    parts = {_HINT[w] for w in _SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", words).lower()) if w in _HINT}
+    return whole | {f"part:{kind}" for kind in parts - whole}
 
 
 def _names() -> list[str]:
     out = ["bias", "first", "last"]
-    out += [f"in:{t}" for t in _TAGS] + [f"own:{t}" for t in _TAGS] + [f"hint:{h}" for h in HINTS] + [f"near:{h}" for h in HINTS]
+    out += [f"in:{t}" for t in _TAGS] + [f"own:{t}" for t in _TAGS] + [f"{where}:{part}{h}" for where in ("hint", "near") for part in ("", "part:") for h in HINTS]
     out += [f"words:{k}" for k in range(6)] + [f"links:{k}" for k in range(4)] + ["stop", "phrase", "no-article", "no-main"]
+    out += [f"sentences:{k}" for k in range(3)] + [f"{side}:{k}" for side in ("before", "after") for k in range(4)]
+    out += ["inside", "outside", "after-inside", "row", "long-row"]
     return out
 
 
@@ -174,19 +187,53 @@ def _scope(ancestors: tuple) -> tuple[int, ...]:
     return _scopes[ancestors]
 
 
+_ENDS = re.compile(r"[.!?。！？…](?:[\"'”»)]*(?:\s|$))")
+_WIDTHS = (2, 5, 10, 20, 50)
+TELLING_WORDS = 30  # in sentences, that an element must hold to be told from others by them
+
+
+def _holder(blocks: list, weights: list[int]) -> int | None:
+    """The deepest element around blocks that holds more than half of the page's sentences, by words; none where that is too little to tell."""
+    held: dict[int, int] = {}
+    depth: dict[int, int] = {}
+    for (_, _, _, path), w in zip(blocks, weights, strict=True):
+        if w:
+            for k, node in enumerate(path[:-1]):
+                held[node] = held.get(node, 0) + w
+                depth[node] = k
+    total = sum(weights)
+    return max((node for node, w in held.items() if 2 * w > total and w >= TELLING_WORDS), key=depth.get, default=None)
+
+
 def block_features(blocks: list) -> list[list[int]]:
     """Indices of the features that are on, for each block."""
-    tags = {t for a, _, _ in blocks for t, _ in a}
+    tags = {t for a, *_ in blocks for t, _ in a}
     page = [_INDEX[x] for x, off in (("no-article", "article" not in tags), ("no-main", not tags & {"main", "article"})) if off]
+    words = [text.count(" ") + 1 for _, text, *_ in blocks]
+    share = [linked / len(text) for _, text, linked, _ in blocks]
+    ends = [len(_ENDS.findall(text)) for _, text, *_ in blocks]
+    holder = _holder(blocks, [w if e and w >= 4 and s < 0.5 else 0 for w, e, s in zip(words, ends, share, strict=True)])
+    inside = [holder in path for *_, path in blocks]
+    last = max((k for k, x in enumerate(inside) if x), default=-1)
+    rows: dict[tuple, int] = {}
+    for (_, _, _, path), w in zip(blocks, words, strict=True):
+        if w <= 5:
+            rows[path[:-1]] = rows.get(path[:-1], 0) + 1
+    width = lambda k: 3 if not 0 <= k < len(blocks) else 0 if words[k] <= 3 else 1 if words[k] <= 12 else 2
     out = []
-    for k, (ancestors, text, linked) in enumerate(blocks):
-        words, share = text.count(" ") + 1, linked / len(text)
+    for k, (ancestors, text, _, path) in enumerate(blocks):
         on = [0, *_scope(ancestors), *page]
-        on.append(_INDEX[f"words:{0 if words <= 2 else 1 if words <= 5 else 2 if words <= 10 else 3 if words <= 20 else 4 if words <= 50 else 5}"])
-        on.append(_INDEX[f"links:{0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.8 else 3}"])
+        on.append(_INDEX[f"words:{sum(words[k] > x for x in _WIDTHS)}"])
+        on.append(_INDEX[f"links:{0 if share[k] == 0 else 1 if share[k] < 0.3 else 2 if share[k] < 0.8 else 3}"])
+        on.append(_INDEX[f"sentences:{min(ends[k], 2)}"])
+        on += [_INDEX[f"before:{width(k - 1)}"], _INDEX[f"after:{width(k + 1)}"]]
+        if holder is not None:
+            on.append(_INDEX["inside" if inside[k] else "after-inside" if k > last else "outside"])
+        if words[k] <= 5 and (n := rows[path[:-1]]) > 1:
+            on.append(_INDEX["row" if n <= 4 else "long-row"])
         if text[-1] in ".!?:;\"'”»…。":
             on.append(_INDEX["stop"])
-        if words < 40 and _PHRASES.search(text):
+        if words[k] < 40 and _PHRASES.search(text):
             on.append(_INDEX["phrase"])
         if k == 0:
             on.append(1)
@@ -334,7 +381,8 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[tuple[str, list[int]
 
         def comments() -> None:
             tag = pick(["section", "div", "ol", "ul"])
-            out.append(f'<{tag} {pick(["class", "id"])}="{pick(HINTS["comments"].split())}">')
+            name = f' {pick(["class", "id"])}="{pick(["", "", "post-", "box "])}{pick(HINTS["comments"].split())}{pick(["", "", "-list", "-area"])}"'
+            out.append(f"<{tag}{name}>")
             if rng.random() < 0.6:
                 put(f"<h{pick('234')}>{words(1, 3)}</h4>", 0)
             for _ in range(rng.randint(1, 6)):
@@ -350,6 +398,9 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[tuple[str, list[int]
         def article() -> None:
             wrap = pick(["article", "article", "article", "main", "div", "div", "section", ""])
             name = named("main") if wrap in ("article", "main") else f' class="{pick(HINTS["main"].split())}"'
+            if wrap and rng.random() < 0.2:  # a name that tells nothing, or misleads
+                other = f'{pick(HINTS[pick(["comments", "side", "notice", "advert", "meta", "form"])].split())}-{word()}'
+                name = pick(["", f' class="{word()}"', f' class="{word()}-{word()}"', f' class="{other} {pick(HINTS["main"].split())}"', f' class="{other} {word()}"', f' id="{other}"'])
             if wrap:
                 out.append(f"<{wrap}{name}>")
             if rng.random() < 0.85:
@@ -380,7 +431,7 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[tuple[str, list[int]
                     out.append("</tr></table>")
                 else:
                     put(f"<div>{text}</div>", 1)
-                if k and rng.random() < 0.08:
+                if k and rng.random() < 0.15:
                     pick([advert, notice, lambda: box("side", ["aside", "div"], 2, 8, 3), lambda: box("social", ["div"], 1, 3, 2)])()
             if rng.random() < 0.1:
                 comments()
@@ -424,7 +475,7 @@ def main_text(page: str | None, model: Crf) -> str:
     if not blocks:
         return ""
     labels = model.decode(block_features(blocks))
-    return "\n".join(text for (_, text, _), keep in zip(blocks, labels, strict=True) if keep)
+    return "\n".join(text for (_, text, *_), keep in zip(blocks, labels, strict=True) if keep)
 
 
 def _extract(model: Crf):
