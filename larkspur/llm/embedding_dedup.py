@@ -166,7 +166,8 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     tells whether it is the row's own. Vectors that are null, empty, zero, or
     hold null or non-finite components link with nothing, nor do vectors of
     different lengths. Repeated rows link with each other; a null id has a null
-    component and counts as a link of others. Other columns are ignored.
+    component, counts as a link of others and joins them, but is never the
+    smallest. No rows, no result. Other columns are ignored.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
     wide = not isinstance(getattr(rows.schema["vector"].dataType, "elementType", None), T.FloatType)
@@ -176,7 +177,8 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     usable = F.coalesce((F.size("vector") > 0) & F.forall("vector", fine) & F.exists("vector", lambda x: x != 0), F.lit(False))
     rows = staged(rows.withColumn("key", F.when(usable, F.transform("vector", lambda x: x + F.lit(0).cast(kind)))).drop("vector"), "vectors")
     sets = rows.where("key is not null").groupBy(F.col("key").alias("vector")).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    sets = staged(sets.withColumn("rep", F.coalesce("rep", -F.lit(1) - F.abs(F.xxhash64("vector")))), "distinct")
+    # A vector that only rows without an id have gets a stand-in, which never becomes a component.
+    sets = staged(sets.select("vector", F.col("rep").isNotNull().alias("named"), F.coalesce("rep", -F.lit(1) - F.abs(F.xxhash64("vector"))).alias("rep"), "copies"), "distinct")
 
     placed = sets.select("rep", "vector").mapInArrow(_place(cosine), "rep long, dims int, block int, slab int")
     placed = staged(placed, "placed")
@@ -205,7 +207,11 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = components(found.where("star <> rep").select(F.col("star").alias("a"), F.col("rep").alias("b")))
     sets = sets.join(links, "rep", "left").join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    sets = sets.select(F.col("vector").alias("key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    if not sets.where("not named").isEmpty():
+        sets = staged(sets.withColumn("component", F.coalesce("component", "rep")), "sets")
+        least = sets.where("named").groupBy("component").agg(F.min("rep").alias("least"))
+        sets = sets.join(least, "component", "left").withColumn("component", F.col("least"))
+    sets = sets.select(F.col("vector").alias("key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", F.when(F.col("named"), F.col("rep"))).alias("component"))
     out = rows.join(sets, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

@@ -7,13 +7,14 @@ seeds inside it, and equal strings have their anchors at the same offset. So
 only the suffixes at anchors, about one in 150 bytes, are grouped by the seed
 that they start with and sorted.
 
-Whole groups with one and the same context need no sorting. Others are sorted
-in tasks of bounded size by deep-shallow sorting: multikey quicksort on 8-byte
-keys to a shallow depth, then a blind trie for the suffixes that still agree.
-The tree of common prefixes and the order of the reversed left contexts give,
-for each anchor, the starts whose `length` bytes occur elsewhere. Groups beyond
-GROUP_LIMIT contexts are refined by counting hashes of ever smaller ranges of
-starts, without collecting a group.
+Contexts (all bytes that the strings of an anchor cover) that are equal by two
+hashes, 128 bits, stand once. Groups of different ones are sorted in tasks of
+bounded size by deep-shallow sorting: multikey quicksort on 8-byte keys to a
+shallow depth, then a blind trie for the suffixes that still agree. The tree of
+common prefixes and the order of the reversed left contexts give, for each
+anchor, the starts whose `length` bytes occur elsewhere. A group that is too
+large for a task is split first, by what strings of a narrow range of starts
+have in common, into groups that are sorted in the same way.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import lean, mix, prefix_hash, span_hash, staged, text_chunks
+from larkspur.llm.common import BROADCAST_ROWS, lean, mix, prefix_hash, span_hash, staged, text_chunks
+from larkspur.session import few
 
-GROUP_LIMIT = 2000  # contexts of one seed that a task sorts
+GROUP_LIMIT = 2000  # contexts of one group that a task sorts; larger groups are split
 TASK_BYTES = 8 << 20  # bytes of contexts in one task
 SHALLOW = 32  # depth, beyond the common seed, that multikey quicksort sorts to
 
@@ -176,16 +178,30 @@ def anchors(data: np.ndarray, offsets: np.ndarray, seed: int, length: int) -> tu
     return doc[lo], a, lo, hi, h[a], whole
 
 
+def mixed_grams(data: np.ndarray) -> np.ndarray:
+    """A mixed value of the eight bytes from each place on, 0 near the end: a second hash of them fails for other texts than that of the bytes."""
+    out = np.zeros(len(data), np.uint64)
+    if len(data) >= 8:
+        n = len(data) - 7
+        for k in range(8):
+            out[:n] |= data[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+        out[:n] = mix(out[:n])
+        out[n:] = 0
+    return out
+
+
 def _anchors(seed: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, copies = batch.column(0), batch.column(1)
             for i, _, data, offsets in text_chunks(batch, "text"):
                 d, a, lo, hi, key, whole = anchors(data, offsets, seed, length)
+                other = span_hash(prefix_hash(mixed_grams(data)), lo, hi + max(1, length - 7))
                 begin = offsets[d]
                 take = pa.array(d + i)
+                hashes = [pa.array(x.view(np.int64)) for x in (key, whole, other)]
                 ints = [pa.array((x - begin).astype(np.int32)) for x in (lo, a, hi)]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), ids.take(take), copies.take(take), *ints], names=["seed", "context", "doc_id", "copy", "lo", "at", "hi"])
+                yield pa.RecordBatch.from_arrays([*hashes, ids.take(take), copies.take(take), *ints], names=["seed", "context", "other", "doc_id", "copy", "lo", "at", "hi"])
 
     return run
 
@@ -236,18 +252,21 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(merged, spans_type), pa.array(kept, pa.binary())], names=names)
 
 
-def _refine(big: DataFrame, length: int, widest: int) -> DataFrame:
-    """Repeated starts of groups too large for a task: count hashes of ranges of offsets, halve only what is undecided.
+def _split(big: DataFrame, length: int, widest: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Groups too large for a task, in parts that fit: (spans that are decided, contexts of the parts).
 
-    Of a range of offsets, the core is what all its strings have in common and
-    the hull what they cover together. A range whose core stands alone has no
-    repeated start, one whose hull occurs twice has only repeated starts.
+    Of a range of starts, the core is what all its strings have in common and
+    the hull what they cover together. Strings can only be equal within one
+    core, so (range, core) is a group of its own, of contexts cut to the range.
+    A hull that occurs twice has only repeated starts: these are decided, and
+    one of them goes on for the sake of the others. What is still too large is
+    cut into narrower ranges; a range of one start is always decided.
     """
     rows = staged(big, "large")
     who = ["seed", "doc_id", "copy", "lo"]
     same = " and ".join(f"{c} <=> _{c}" if c == "doc_id" else f"{c} = _{c}" for c in who)  # only an id may be null
     live = rows.select(*who, F.lit(0).alias("o1"), F.lit(widest).alias("o2"))
-    done = None
+    done = parts = None
     while True:
         x = rows.join(live.select(*[F.col(c).alias(f"_{c}") for c in who], "o1", "o2"), F.expr(same)).drop(*[f"_{c}" for c in who])
         width = F.greatest(F.lit(1), F.ceil((F.col("o2") - F.col("o1") + 1) / 7).cast("int"))
@@ -257,7 +276,7 @@ def _refine(big: DataFrame, length: int, widest: int) -> DataFrame:
         def piece(o):
             p, q = F.greatest(o, F.col("at") - F.col("hi")), F.least(o + F.col("width") - 1, F.col("o2"), F.col("at") - F.col("lo"))
             end = F.least(o + F.col("width") - 1, F.col("o2"))
-            cut = lambda a, b: F.xxhash64(F.col("bytes").substr(a, b))
+            cut = lambda a, b: F.md5(F.col("bytes").substr(a, b))
             whole = (o >= F.col("at") - F.col("hi")) & (end <= F.col("at") - F.col("lo"))
             return F.struct(
                 o.alias("o1"), end.alias("o2"), (p <= q).alias("own"),
@@ -267,19 +286,27 @@ def _refine(big: DataFrame, length: int, widest: int) -> DataFrame:
 
         x = x.select(*who, "at", "hi", F.explode(F.transform(F.sequence("o1", "o2", "width"), piece)).alias("x")).select(*who, "at", "hi", "x.*").where("own")
         x = staged(x, "ranges")
-        cores = x.groupBy("seed", "o1", "o2", "core").agg(F.count("*").alias("cores")).where("cores > 1")
-        hulls = x.where("hull is not null").groupBy("seed", "o1", "o2", "hull").agg(F.count("*").alias("hulls")).where("hulls > 1")
-        x = staged(x.join(cores, ["seed", "o1", "o2", "core"]).join(hulls, ["seed", "o1", "o2", "hull"], "left"), "decided")
+        core = ["seed", "o1", "o2", "core"]
+        cores = x.groupBy(*core).agg(F.count("*").alias("cores")).where("cores > 1")
+        hulls = x.where("hull is not null").groupBy(*core[:3], "hull").agg(F.count("*").alias("hulls")).where("hulls > 1")
+        x = staged(x.join(cores, core).join(hulls, [*core[:3], "hull"], "left"), "decided")
         found = x.where("hulls > 1").select("doc_id", "copy", F.greatest("lo", F.col("at") - F.col("o2")).alias("start"), (F.least("hi", F.col("at") - F.col("o1")) + length).alias("end"))
         done = found if done is None else done.unionByName(found)
-        # One of each hull that is decided goes on beside the undecided, which may agree with a part of it.
-        core = ["seed", "o1", "o2", "core"]
-        live = x.where("hulls is null and o2 > o1")
+
+        live = x.where("hulls is null and o2 > o1").select(*who, *core[1:])
         one = x.where("hulls > 1 and o2 > o1").groupBy(*core, "hull").agg(F.min(F.struct("doc_id", "copy", "lo")).alias("one"))
-        one = one.join(live.select(*core).distinct(), core, "left_semi").select("seed", "one.*", "o1", "o2")
-        live = staged(live.select(*who, "o1", "o2").unionByName(one), "live")
+        one = one.join(live.select(*core).distinct(), core, "left_semi").select("seed", "one.*", *core[1:])
+        live = staged(live.unionByName(one), "live")
+        sizes = live.groupBy(*core).agg(F.count("*").alias("n"))
+        fit = live.join(sizes.where(f"n between 2 and {limit}").select(*core), core)
+        fit = fit.select(*[F.col(c).alias(f"_{c}") for c in who], *core[1:])
+        first, last = F.greatest("lo", F.col("at") - F.col("o2")), F.least("hi", F.col("at") - F.col("o1"))
+        bytes_ = F.col("bytes").substr(first - F.col("lo") + 1, last - first + length)
+        part = rows.join(fit, F.expr(same)).select(F.xxhash64(*core).alias("seed"), "doc_id", "copy", first.alias("lo"), "at", last.alias("hi"), bytes_.alias("bytes"))
+        parts = part if parts is None else parts.unionByName(part)
+        live = staged(live.join(sizes.where(f"n > {limit}").select(*core), core).select(*who, "o1", "o2"), "beyond")
         if live.isEmpty():
-            return done
+            return done, parts
 
 
 def suffix_dedup(docs: DataFrame, length: int = 400, seed: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,33 +322,35 @@ def suffix_dedup(docs: DataFrame, length: int = 400, seed: int = 100, id_col: st
     lean(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.select("doc_id", F.hash("text").alias("copy"), "text")
-    found = docs.mapInArrow(_anchors(seed, length), "seed long, context long, doc_id long, copy int, lo int, at int, hi int")
+    found = docs.mapInArrow(_anchors(seed, length), "seed long, context long, other long, doc_id long, copy int, lo int, at int, hi int")
     found = staged(found, "anchors")
-    keys = found.groupBy("seed").agg(F.count("*").alias("n"), F.min("context").alias("least"), F.max("context").alias("most")).where("n > 1")
-    keys = staged(keys.selectExpr("seed", "least <> most as differ"), "seeds")  # apart from the join, so that Spark can split a hot seed there
+    ends = [f(c).alias(f.__name__ + c) for c in ("context", "other") for f in (F.min, F.max)]
+    keys = found.groupBy("seed").agg(F.count("*").alias("n"), *ends).where("n > 1")
+    keys = staged(keys.selectExpr("seed", "mincontext <> maxcontext or minother <> maxother as differ"), "seeds")  # apart from the join, so that Spark can split a hot seed there
     twice = staged(found.join(keys, "seed"), "twice")
-    whole = twice.where("not differ").selectExpr("doc_id", "copy", "lo as start", f"hi + {length} as end")
-    same = ["seed", "context"]
-    apart = twice.where("differ").groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "copy", "lo", "at", "hi")).alias("first"))
+    same = ["seed", "context", "other"]
+    apart = twice.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "copy", "lo", "at", "hi")).alias("first"), F.first("differ").alias("differ"))
     apart = staged(apart, "contexts")
-    whole = whole.unionByName(twice.where("differ").join(apart.where("n > 1").select(*same), same).selectExpr("doc_id", "copy", "lo as start", f"hi + {length} as end"))
+    # A hot context is never one task: it is joined where it stands, or split as a skewed key of a merge join.
+    whole = twice.join(few(apart.where("n > 1").select(*same), BROADCAST_ROWS), same).selectExpr("doc_id", "copy", "lo as start", f"hi + {length} as end")
 
-    lists = apart.select("seed", "first.*").groupBy("doc_id", "copy").agg(F.collect_list(F.struct("seed", "lo", "at", "hi")).alias("list"))
+    lists = apart.where("differ").select("seed", "first.*").groupBy("doc_id", "copy").agg(F.collect_list(F.struct("seed", "lo", "at", "hi")).alias("list"))
     null_safe = lambda a, b: (a["doc_id"].eqNullSafe(b["doc_id"])) & (a["copy"] == b["copy"])
     texts = docs.dropDuplicates(["doc_id", "copy"]) if shared_ids(docs) else docs
     joined = texts.join(lists, null_safe(texts, lists)).select(texts["doc_id"], texts["copy"], F.col("text").cast("binary").alias("raw"), "list")
     cut = F.transform("list", lambda x: F.struct(x["seed"].alias("seed"), x["lo"].alias("lo"), x["at"].alias("at"), x["hi"].alias("hi"), F.substring(F.col("raw"), x["lo"] + 1, x["hi"] - x["lo"] + length).alias("bytes")))
     contexts = staged(joined.select("doc_id", "copy", F.explode(cut).alias("x")).select("doc_id", "copy", "x.*"), "bytes")
 
-    groups = contexts.groupBy("seed").agg(F.count("*").alias("group"))
+    groups = staged(contexts.groupBy("seed").agg(F.count("*").alias("group")).where("group > 1"), "groups")
     contexts = contexts.join(groups, "seed")
-    total = contexts.agg(F.sum(F.length("bytes"))).first()[0] or 0
-    bins = max(8, int(total // TASK_BYTES) + 1)
-    inside = contexts.where(f"group <= {GROUP_LIMIT}").withColumn("task", F.pmod(F.xxhash64("seed"), F.lit(bins)))
-    spans = whole.unionByName(inside.groupBy("task").applyInArrow(_sort(seed, length), "doc_id long, copy int, start int, end int"))
-    beyond = contexts.where(f"group > {GROUP_LIMIT}").drop("group")
+    inside, spans = contexts.where(f"group <= {GROUP_LIMIT}").drop("group"), whole
     if not groups.where(f"group > {GROUP_LIMIT}").isEmpty():
-        spans = spans.unionByName(_refine(beyond, length, length - seed))
+        decided, parts = _split(contexts.where(f"group > {GROUP_LIMIT}").drop("group"), length, length - seed, GROUP_LIMIT)
+        inside, spans = inside.unionByName(staged(parts, "parts")), spans.unionByName(decided)
+    total = inside.agg(F.sum(F.length("bytes"))).first()[0] or 0
+    bins = max(8, int(total // TASK_BYTES) + 1)
+    inside = inside.withColumn("task", F.pmod(F.xxhash64("seed"), F.lit(bins)))
+    spans = spans.unionByName(inside.groupBy("task").applyInArrow(_sort(seed, length), "doc_id long, copy int, start int, end int"))
     spans = spans.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     out = docs.join(spans, null_safe(docs, spans), "left").select(docs["doc_id"], "text", "spans")
     return out.mapInArrow(_keep, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")

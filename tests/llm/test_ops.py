@@ -131,7 +131,7 @@ def removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize("limit", [2000, 2])
+@pytest.mark.parametrize("limit", [2000, 6, 2])
 def test_op2(spark, docs, empty, monkeypatch, limit):
     monkeypatch.setattr(suffix_dedup, "GROUP_LIMIT", limit)
     extra = [(50 + k, prose(20) + BASE[k * 7 : k * 7 + 200] + prose(15), "x", 1) for k in range(12)] + [(80, "ab" * 300, "x", 1), (81, "x" * 401, "x", 1)]
@@ -389,6 +389,11 @@ def test_op9(spark):
         links = dict(zip(ids, near.sum(1) - 1, strict=True))
         assert got == {i: (links.get(i, 0), c, i == c) for i, c in want.items()}
     embedding_dedup.CHUNK = 8192
+    # A vector of a row without an id, far from all but near two others, is a bridge and no component.
+    turn = lambda degrees: [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees))), *[0.0] * 30]
+    bridge = spark.createDataFrame([(7, turn(0)), (5, turn(40)), (None, turn(20)), (None, turn(100)), (9, turn(120))], "vec_id long, embedding array<double>")
+    got = {(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.embedding_links(bridge).collect()}
+    assert got == {(7, 1, 5, False), (5, 1, 5, True), (None, 2, None, False), (None, 1, None, False), (9, 1, 9, True)}
     assert embedding_dedup.embedding_links(table.limit(0)).collect() == []
 
 
@@ -473,7 +478,7 @@ def test_op5_common_half(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("limit", [2000, 2])
+@pytest.mark.parametrize("limit", [2000, 4])
 def test_op2_null_ids(spark, monkeypatch, limit):
     monkeypatch.setattr(suffix_dedup, "GROUP_LIMIT", limit)
     hot, only = prose(60), prose(20)
