@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from larkspur.plans.store import Store
 from larkspur.session import build
 from larkspur.sources.markdown import read_local_markdown, read_markdown
+from larkspur.sources.provider import http_embedder
 from larkspur.tools import ToolError, Tools
 
 NAMES = ("search_knowledge", "list_knowledge", "write_knowledge", "delete_knowledge", "get_tool")
@@ -43,22 +45,26 @@ def answer(tools: Tools, line: str) -> dict | None:
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="larkspur", description=__doc__)
-    parser.add_argument("--store", required=True, help="folder of the snapshots")
+    parser.add_argument("--store", default=os.environ.get("LARKSPUR_STORE"), help="folder of the snapshots (LARKSPUR_STORE)")
+    parser.add_argument("--model", default=os.environ.get("LARKSPUR_MODEL"), help="embedding model (LARKSPUR_MODEL); hashed vectors without")
+    parser.add_argument("--model-url", default=os.environ.get("LARKSPUR_MODEL_URL"), help="its server (LARKSPUR_MODEL_URL)")
     sub = parser.add_subparsers(dest="command", required=True)
     one = sub.add_parser("ingest")
     one.add_argument("docs")
-    one.add_argument("--remote", action="store_true", help="let Spark list the folder")
+    one.add_argument("--local", action="store_true", help="read a folder that only the driver has")
     two = sub.add_parser("search")
     two.add_argument("query", nargs="+")
     two.add_argument("--limit", type=int, default=5)
     sub.add_parser("list").add_argument("prefix", nargs="?", default="")
-    sub.add_parser("serve").add_argument("--docs", help="folder of markdown files that are the truth")
+    sub.add_parser("serve").add_argument("--docs", default=os.environ.get("LARKSPUR_DOCS"), help="folder of markdown files that are the truth (LARKSPUR_DOCS)")
     args = parser.parse_args(argv)
+    if not args.store:
+        parser.error("--store or LARKSPUR_STORE is needed")
     spark = build()
-    store = Store(spark, args.store)
+    store = Store(spark, args.store, connect=http_embedder(args.model_url, args.model) if args.model and args.model_url else None)
     tools = Tools(spark, store, getattr(args, "docs", None) if args.command == "serve" else None)
     if args.command == "ingest":
-        print(store.ingest((read_markdown if args.remote else read_local_markdown)(spark, args.docs)))
+        print(store.ingest((read_local_markdown if args.local else read_markdown)(spark, args.docs)))
     elif args.command == "search":
         print(tools.search_knowledge(" ".join(args.query), args.limit))
     elif args.command == "list":

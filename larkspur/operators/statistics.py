@@ -43,7 +43,12 @@ def document_frequency(chunks: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def vocabulary(chunks: DataFrame) -> DataFrame:
-    """(term, df, idf) with the number of all chunks, those without tokens included."""
+def with_idf(frequencies: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(term, df, idf) of (term, df), with the number of all chunks, those without tokens included."""
     total = chunks.agg(F.count("*").alias("n"))  # one row
-    return document_frequency(chunks).crossJoin(F.broadcast(total)).select("term", "df", smoothed_idf("n", "df").alias("idf"))
+    return frequencies.crossJoin(F.broadcast(total)).select("term", "df", smoothed_idf("n", "df").alias("idf"))
+
+
+def vocabulary(chunks: DataFrame) -> DataFrame:
+    """(term, df, idf)."""
+    return with_idf(document_frequency(chunks), chunks)

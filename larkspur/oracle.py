@@ -145,6 +145,14 @@ def edited(heading: str, new: str) -> str:
     return _EDIT.replace("{heading}", heading).replace("{new}", new)
 
 
+_SECOND = """second AS (SELECT doc_id, path, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN body || chr(10) || '## Note' || chr(10) || 'checked' ELSE body END AS body
+  FROM files WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"""
+#: Ids in the order of paths, as a store gives them.
+_BY_PATH = FILES.replace("SELECT doc_id,", "SELECT row_number() OVER (ORDER BY source || '/' || doc_id || '.md') AS doc_id,").replace("'# Doc ' || doc_id", "'# Doc ' || documents.doc_id").replace("source || '/' || doc_id || '.md' AS path", "source || '/' || documents.doc_id || '.md' AS path").replace("(ORDER BY source || '/' || doc_id", "(ORDER BY source || '/' || documents.doc_id")
+_EDITED = """edited AS (
+  SELECT f.doc_id, f.path, coalesce(s.body, f.body) AS body, s.doc_id IS NOT NULL AS again FROM files f LEFT JOIN (SELECT * FROM second WHERE starts_with(path, 'src1/')) s USING (doc_id)
+  WHERE f.path <> (SELECT max(path) FROM files))"""
+
 _CUTS = ", ".join(f"try(decode(encode(text)[1:{PREVIEW_BYTES - k}]))" for k in range(4))
 
 ORACLE: dict[str, str] = {
@@ -180,6 +188,17 @@ ORACLE: dict[str, str] = {
     "cascade_delete": f"""WITH {CORPUS} SELECT files.doc_id, path, count(ch.chunk_idx) AS chunks FROM files LEFT JOIN ch USING (doc_id)
       WHERE files.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY ALL""",
     "next_chunk_idx": f"WITH {CORPUS} SELECT doc_id, (max(chunk_idx) + 1)::INTEGER AS next_idx FROM ch GROUP BY doc_id",
+    "store_ingest": f"""WITH {FILES}, {_SECOND}, {chunks('second')} SELECT path, 'Doc ' || doc_id AS title, chunk_idx::INTEGER AS chunk_idx, heading, content FROM ch JOIN second USING (doc_id)""",
+    "store_statistics": f"""WITH {FILES}, {_SECOND}, {chunks('second')}, {POSTINGS}, {VOCAB}
+      SELECT coalesce(p.term, vo.term) AS term, coalesce(chunks, 0)::BIGINT AS chunks, coalesce(times, 0)::BIGINT AS times, coalesce(df, 0)::BIGINT AS df, round(coalesce(idf, 0), 9) AS idf
+      FROM (SELECT term, count(*) AS chunks, sum(tf)::BIGINT AS times FROM po GROUP BY term) p FULL JOIN vo ON p.term = vo.term""",
+    "store_edit": f"""WITH {FILES}, {_SECOND}, {_EDITED}, {chunks('edited')},
+      l AS (SELECT path, 'Doc ' || doc_id AS title, array_to_string(list(heading ORDER BY chunk_idx), ' | ') AS headings, CASE WHEN again THEN 2 ELSE 1 END AS stamp
+        FROM ch JOIN edited USING (doc_id) GROUP BY doc_id, path, again),
+      a AS (SELECT path, title, CASE WHEN path = (SELECT min(path) FROM files) THEN headings || ' | Added' ELSE headings END AS headings, stamp FROM l
+        UNION ALL SELECT 'zz/new.md', 'Fresh', 'Fresh', 3)
+      SELECT row_number() OVER (ORDER BY stamp DESC, path)::INTEGER AS place, path, title, headings FROM a""",
+    "store_search": f"{hybrid(5).replace(FILES, _BY_PATH)} SELECT query_id, rank, path, heading, content, score, label FROM res",
     "replace_section": f"""WITH {FILES}, x AS (SELECT f.doc_id, f.body, d.lang, d.source FROM files f JOIN documents d USING (doc_id))
       SELECT doc_id, {edited('lang', "'New text of ' || doc_id || chr(10) || 'and more'")} AS replaced, {edited('source', "'Added to ' || doc_id")} AS added FROM x""",
     "first_code_block": f"""WITH x AS (SELECT doc_id, text, string_split('intro' || chr(10) || '```' || lang || chr(10) || text || CASE WHEN lang = 'en' THEN chr(10) || '```' || chr(10) || 'rest' ELSE '' END, chr(10)) AS l FROM documents),

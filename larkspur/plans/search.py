@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import OrderedDict
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -17,6 +18,7 @@ from larkspur.operators.statistics import chunk_lengths, postings, vocabulary
 from larkspur.operators.vectorize import DIMS, MIN_COSINE, chunk_vectors, vector_search
 from larkspur.schemas import QUERIES
 from larkspur.session import staged
+from larkspur.sources.provider import Embed, embed_rows
 
 OVERFETCH = 4
 DEFAULT_LIMIT, MAX_LIMIT = 5, 20
@@ -81,10 +83,10 @@ def _small(queries: DataFrame, most: int = 10_000) -> bool:
 
 
 class Searcher:
-    """Single queries, with the latest results kept by snapshot, query and limit."""
+    """Single queries, with the latest results kept by snapshot, query and limit. With embedded and connect the vectors are those of a model."""
 
-    def __init__(self, index: Index, snapshot: str = "", dims: int = DIMS):
-        self.index, self.snapshot, self.dims = index, snapshot, dims
+    def __init__(self, index: Index, snapshot: str = "", dims: int = DIMS, embedded: DataFrame | None = None, connect: Callable[[], Embed] | None = None):
+        self.index, self.snapshot, self.dims, self.embedded, self.connect = index, snapshot, dims, embedded, connect
         self._kept: OrderedDict[tuple, list] = OrderedDict()
 
     def search(self, query: str, limit: int = DEFAULT_LIMIT) -> list:
@@ -93,7 +95,8 @@ class Searcher:
             self._kept.move_to_end(key)
             return self._kept[key]
         frame = self.index.chunks.sparkSession.createDataFrame([(0, query)], QUERIES)
-        rows = search_batch(self.index, frame, limit, self.dims).orderBy("rank").collect()
+        asked = embed_rows(frame, F.col("query"), self.connect).select("query_id", "vector") if self.connect and self.embedded is not None else None
+        rows = search_batch(self.index, frame, limit, self.dims, self.embedded if asked is not None else None, asked).orderBy("rank").collect()
         self._kept[key] = rows
         if len(self._kept) > CACHE_ENTRIES:
             self._kept.popitem(last=False)

@@ -2,126 +2,203 @@
 
 A snapshot is written to a folder of its own and counts once its meta table is
 there, which is written last; so readers never see half a snapshot, and a table
-is never overwritten while it is read.
+is never overwritten while it is read. Each table is written once. Postings,
+lengths, term counts and vectors of a model are made anew only for documents
+that changed and carried over for the rest; hashed vectors weigh every term by
+the size of the corpus, so all of them follow each change.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import warnings
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.operators import maintain, statistics
 from larkspur.operators.chunker import chunk
-from larkspur.operators.maintain import chunk_id, number_rows
-from larkspur.operators.vectorize import DIMS
+from larkspur.operators.vectorize import DIMS, chunk_vectors
 from larkspur.plans.search import Index, Searcher
-from larkspur.schemas import CHUNKS, DOCUMENTS, SCHEMA_VERSION
-from larkspur.session import staged
+from larkspur.schemas import CHUNKS, DOCUMENTS, EMBEDDED, SCHEMA_VERSION
+from larkspur.session import few, release, staged
+from larkspur.sources.provider import Embed, embed_missing
 
 TABLES = ("documents", "chunks", "postings", "lengths", "vocab", "vectors")
+CHANGED_ROWS = 1_000_000  # ids of changed documents that may be broadcast
 
 
 class Store:
-    """Snapshots below `root`. One writer at a time."""
+    """Snapshots below `root`. One writer at a time. With connect, of sources.provider, chunks have vectors of that model as well, and searches use them."""
 
-    def __init__(self, spark: SparkSession, root: str, dims: int = DIMS, fence_aware: bool = False):
-        self.spark, self.root, self.dims, self.fence_aware = spark, root.rstrip("/"), dims, fence_aware
+    def __init__(self, spark: SparkSession, root: str, dims: int = DIMS, fence_aware: bool = False, connect: Callable[[], Embed] | None = None):
+        self.spark, self.root, self.dims, self.fence_aware, self.connect = spark, root.rstrip("/"), dims, fence_aware, connect
         self._searcher: Searcher | None = None
         version = self.version()
         if version:
-            found = spark.read.parquet(f"{self.root}/{version:08d}/meta").first()["schema_version"]
+            found = spark.read.parquet(f"{self._at(version)}/meta").first()["schema_version"]
             if found > SCHEMA_VERSION:
                 raise ValueError(f"snapshot has schema {found}; this library reads up to {SCHEMA_VERSION}")
 
+    def _at(self, version: int) -> str:
+        return f"{self.root}/{version:08d}"
+
+    def _snapshots(self) -> list[int]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/*/meta/_SUCCESS")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
+        return sorted(int(f.getPath().getParent().getParent().getName()) for f in found or [])
+
     def version(self) -> int:
         """The latest whole snapshot, 0 for none."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/*/meta/_SUCCESS")
-        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
-        return max([int(f.getPath().getParent().getParent().getName()) for f in found or []], default=0)
+        return max(self._snapshots(), default=0)
 
     def table(self, name: str) -> DataFrame:
         version = self.version()
-        if version:
-            return self.spark.read.parquet(f"{self.root}/{version:08d}/{name}")
-        return self.spark.createDataFrame([], {"documents": DOCUMENTS, "chunks": CHUNKS}[name])
-
-    def _write(self, documents: DataFrame, chunks: DataFrame) -> int:
-        version = self.version() + 1
-        at = f"{self.root}/{version:08d}"
-        index = Index.build(staged(documents, "documents"), chunks, self.dims)
-        for name in TABLES:
-            getattr(index, name).write.parquet(f"{at}/{name}")
-        self.spark.createDataFrame([(SCHEMA_VERSION, version)], "schema_version int, version long").coalesce(1).write.parquet(f"{at}/meta")
+        if version and (name != "embedded" or self._has(version, name)):
+            return self.spark.read.parquet(f"{self._at(version)}/{name}")
+        return self.spark.createDataFrame([], {"documents": DOCUMENTS, "chunks": CHUNKS, "embedded": EMBEDDED}[name])
+
+    def _has(self, version: int, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._at(version)}/{name}/_SUCCESS")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def _write(self, documents: DataFrame, chunks: DataFrame, changed: DataFrame) -> int:
+        """A snapshot of these tables; changed(doc_id) are documents whose chunks are not those of the latest one, or are gone."""
+        before, version = self.version(), self.version() + 1
+
+        def put(df: DataFrame, name: str) -> DataFrame:
+            df.write.mode("overwrite").parquet(f"{self._at(version)}/{name}")  # what a writer that failed has left goes
+            return self.spark.read.schema(df.schema).parquet(f"{self._at(version)}/{name}")
+
+        changed = staged(changed.select("doc_id").distinct(), "changed")
+        put(documents, "documents")
+        chunks = put(chunks, "chunks")
+        new = chunks.join(few(changed, CHANGED_ROWS), "doc_id", "left_semi") if before else chunks
+        postings, lengths, counts = statistics.postings(new), statistics.chunk_lengths(new), statistics.document_frequency(new)
+        if before:
+            own = F.shiftright("chunk_id", maintain.CHUNK_BITS) == F.col("doc_id")
+            stay = lambda name: self.table(name).join(few(changed, CHANGED_ROWS), own, "left_anti")
+            postings, lengths = stay("postings").unionByName(postings), stay("lengths").unionByName(lengths)
+            gone = statistics.document_frequency(self.table("chunks").join(few(changed, CHANGED_ROWS), "doc_id", "left_semi"))
+            parts = self.table("vocab").select("term", "df").unionByName(counts).unionByName(gone.select("term", (-F.col("df")).alias("df")))
+            counts = parts.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        # Sorted by term, so that look-ups of few terms skip row groups.
+        put(postings.repartitionByRange("term").sortWithinPartitions("term"), "postings")
+        put(lengths, "lengths")
+        vocab = put(statistics.with_idf(counts, chunks), "vocab")
+        put(chunk_vectors(chunks, vocab, self.dims), "vectors")
+        if self.connect:
+            put(embed_missing(chunks, self._known(), self.connect), "embedded")
+        put(self.spark.createDataFrame([(SCHEMA_VERSION, version)], "schema_version int, version long").coalesce(1), "meta")
         self._searcher = None
         return version
 
+    def _known(self) -> DataFrame:
+        """Stored vectors of the model; none of them, with a warning, if the model now gives vectors of another length."""
+        known = self.table("embedded")
+        probe = self.connect()(["probe"])[0]
+        row = known.where("vector is not null").select(F.size("vector").alias("n")).first()
+        if row and probe is not None and row["n"] != len(probe):
+            warnings.warn(f"stored vectors have {row['n']} dimensions, the model gives {len(probe)}: all chunks are embedded again", stacklevel=3)
+            return known.limit(0)
+        return known
+
+    def _rows(self, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """files(path, body) with one body a path, and their chunks by path."""
+        files = staged(files.select("path", "body").where("path is not null").groupBy("path").agg(F.max("body").alias("body")), "files")
+        return files, staged(chunk(files, fence_aware=self.fence_aware), "rows")
+
+    def _numbered(self, rows: DataFrame, now: dt.datetime | None) -> tuple[DataFrame, DataFrame]:
+        """Documents and chunks of rows. Ids of known paths stay."""
+        stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", "")
+        first = rows.where("chunk_idx = 0").select("path", F.when(F.col("heading") != "", F.col("heading")).otherwise(stem).alias("title"))
+        known = self.table("documents").select("path", "doc_id")
+        new = staged(first.join(known, "path", "left_anti"), "new")
+        top = known.agg(F.max("doc_id")).first()[0] or 0
+        ids = known.unionByName(maintain.number_rows(new, "path", "doc_id", top).select("path", "doc_id"))
+        stamp = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        documents = staged(first.join(ids, "path").select("doc_id", "path", "title", F.lit(stamp).alias("ingested_at")), "documents")
+        chunks = rows.join(documents.select("path", "doc_id"), "path").select(maintain.chunk_id().alias("chunk_id"), "doc_id", "chunk_idx", "heading", "content")
+        return documents, staged(chunks, "chunks")
+
     def ingest(self, files: DataFrame, now: dt.datetime | None = None) -> int:
         """Make the corpus hold exactly these files(path, body); returns the snapshot.
 
         Ids of known paths stay. Files without chunks are left out and files
         that are gone are pruned, but without any file nothing changes.
         """
-        files = staged(files.select("path", "body").where("path is not null").dropDuplicates(["path"]), "files")
-        rows = staged(chunk(files, fence_aware=self.fence_aware), "rows")
+        _, rows = self._rows(files)
         if rows.isEmpty():
             return self.version()
-        stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", "")
-        first = rows.where("chunk_idx = 0").select("path", F.when(F.col("heading") != "", F.col("heading")).otherwise(stem).alias("title"))
-        known = self.table("documents").select("path", "doc_id")
-        new = staged(first.join(known, "path", "left_anti"), "new")
-        top = known.agg(F.max("doc_id")).first()[0] or 0
-        ids = known.unionByName(number_rows(new, "path", "doc_id", top).select("path", "doc_id"))
-        stamp = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-        documents = staged(first.join(ids, "path").select("doc_id", "path", "title", F.lit(stamp).alias("ingested_at")), "documents")
-        chunks = rows.join(documents.select("path", "doc_id"), "path").select(chunk_id().alias("chunk_id"), "doc_id", "chunk_idx", "heading", "content")
-        return self._write(documents, chunks)
+        documents, fresh = self._numbered(rows, now)
+        old = self.table("chunks")
+        changed = staged(maintain.changed(old, fresh), "changed")
+        chunks = maintain.upsert(maintain.prune(old, documents, "doc_id"), fresh.join(few(changed, CHANGED_ROWS), "doc_id", "left_semi"), "doc_id")
+        return self._write(documents, chunks, changed)
+
+    def update(self, files: DataFrame, now: dt.datetime | None = None) -> int:
+        """Put these files(path, body) in place of those of the same paths and keep all others; returns the snapshot. A file without chunks is deleted."""
+        files, rows = self._rows(files)
+        before = self.table("documents")
+        own = staged(before.join(files.select("path"), "path", "left_semi"), "own")
+        if rows.isEmpty() and own.isEmpty():
+            return self.version()
+        documents, fresh = self._numbered(rows, now)
+        left, chunks = maintain.cascade_delete(before, self.table("chunks"), own)
+        return self._write(maintain.upsert(left, documents, "doc_id"), maintain.upsert(chunks, fresh, "doc_id"), own.select("doc_id").unionByName(documents.select("doc_id")))
 
     def write_chunk(self, path: str, heading: str, content: str, now: dt.datetime | None = None) -> int:
         """Replace the chunk of this path and non-empty heading, or append one; a new document has the heading as its title."""
         documents, chunks = self.table("documents"), self.table("chunks")
         own = documents.where(F.col("path") == path).select("doc_id").first()
+        doc = own["doc_id"] if own else (documents.agg(F.max("doc_id")).first()[0] or 0) + 1
         if own is None:
-            doc = (documents.agg(F.max("doc_id")).first()[0] or 0) + 1
             stamp = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-            documents = documents.unionByName(self.spark.createDataFrame([(doc, path, heading, stamp)], DOCUMENTS))
-        else:
-            doc = own["doc_id"]
-        same = (F.col("doc_id") == doc) & (F.col("heading") == heading)
-        hit = chunks.where(same).orderBy("chunk_idx").select("chunk_id").first() if heading else None
-        if hit:
-            chunks = chunks.withColumn("content", F.when(F.col("chunk_id") == hit["chunk_id"], F.lit(content)).otherwise(F.col("content")))
-        else:
-            last = chunks.where(F.col("doc_id") == doc).agg(F.max("chunk_idx")).first()[0]
-            at = 0 if last is None else last + 1
-            row = self.spark.createDataFrame([(doc, at, heading, content)], "doc_id long, chunk_idx int, heading string, content string")
-            chunks = chunks.unionByName(row.select(chunk_id().alias("chunk_id"), "*"))
-        return self._write(documents, chunks)
+            documents = maintain.upsert(documents, self.spark.createDataFrame([(doc, path, heading, stamp)], DOCUMENTS), "path")
+        mine = chunks.where(F.col("doc_id") == doc)
+        hit = mine.where(F.col("heading") == heading).agg(F.min("chunk_idx")).first()[0] if heading else None
+        last = maintain.next_chunk_idx(mine).first() if hit is None else None
+        at = hit if hit is not None else last["next_idx"] if last else 0
+        row = self.spark.createDataFrame([(doc, at, heading, content)], "doc_id long, chunk_idx int, heading string, content string")
+        return self._write(documents, maintain.upsert(chunks, row.select(maintain.chunk_id().alias("chunk_id"), "*"), "chunk_id"), row)
 
     def delete(self, path: str) -> int:
         """Remove a document; returns the number of its chunks. KeyError for an unknown path."""
         documents, chunks = self.table("documents"), self.table("chunks")
-        own = documents.where(F.col("path") == path).select("doc_id").first()
-        if own is None:
+        own = documents.where(F.col("path") == path)
+        if own.isEmpty():
             raise KeyError(f"not found: {path}")
-        mine = F.col("doc_id") == own["doc_id"]
-        removed = chunks.where(mine).count()
-        self._write(documents.where(~mine), chunks.where(~mine))
+        removed = chunks.join(F.broadcast(own.select("doc_id")), "doc_id", "left_semi").count()
+        self._write(*maintain.cascade_delete(documents, chunks, own), own)
         return removed
 
     def list(self, prefix: str = "") -> DataFrame:
-        from larkspur.operators.maintain import list_documents
+        return maintain.list_documents(self.table("documents"), self.table("chunks"), prefix).orderBy(F.desc("ingested_at"), "path")
 
-        return list_documents(self.table("documents"), self.table("chunks"), prefix).orderBy(F.desc("ingested_at"), "path")
+    def index(self) -> Index:
+        """The tables of the latest snapshot."""
+        if not self.version():
+            raise LookupError("the corpus is empty")
+        return Index(**{name: self.table(name) for name in TABLES})
 
     def searcher(self) -> Searcher:
         """A searcher over the latest snapshot; a new snapshot has a new one, so no stale result is kept."""
         version = self.version()
         if self._searcher is None or self._searcher.snapshot != str(version):
-            if not version:
-                raise LookupError("the corpus is empty")
-            self._searcher = Searcher(Index(**{name: self.table(name) for name in TABLES}), str(version), self.dims)
+            embedded = self.table("embedded") if self.connect else None
+            self._searcher = Searcher(self.index(), str(version), self.dims, embedded, self.connect)
         return self._searcher
 
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete all but the latest `keep` snapshots; returns how many. Nobody may read those any more."""
+        old = self._snapshots()[: -max(1, keep)]
+        for version in old:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(self._at(version))
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        return len(old)
 
+    def close(self) -> None:
+        """Forget results and delete the staged tables of this application."""
+        self._searcher = None
+        release(self.spark)

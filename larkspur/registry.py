@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime as dt
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import fnv1a32, hashed_dim, index_terms, is_heading, preview, tokenize, tokenize_raw
@@ -13,7 +16,8 @@ from larkspur.operators.lexical import expand, lexical_search, match, phrases
 from larkspur.operators.vectorize import chunk_vectors, vector_search
 from larkspur.oracle import ORACLE
 from larkspur.plans.search import build_from_files, search_batch
-from larkspur.session import staged
+from larkspur.plans.store import Store
+from larkspur.session import shared_dir, staged
 from larkspur.sources.markdown import from_documents
 
 
@@ -189,6 +193,55 @@ def q_unit_vectors(spark, sf_dir):
     return _read(spark, sf_dir, "embeddings").select("vec_id", F.round(squares, 4).alias("squares"), F.round(cosine(unit, unit), 9).alias("own_cosine"))
 
 
+def _store(spark: SparkSession, sf_dir: str) -> Store:
+    """A new store of all documents as files."""
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    store.ingest(_files(spark, sf_dir), dt.datetime(2024, 1, 1))
+    return store
+
+
+def _second_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files again: toxic documents are gone, those of good quality have another section."""
+    labels = _read(spark, sf_dir, "labels")
+    files = _files(spark, sf_dir).join(labels.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_anti")
+    good = labels.where("quality = 1").select("doc_id", F.lit("\n## Note\nchecked").alias("note")).distinct()
+    return files.join(good, "doc_id", "left").select("path", F.concat("body", F.coalesce("note", F.lit(""))).alias("body"))
+
+
+def q_store_ingest(spark, sf_dir):
+    """A second ingest over the first: changed, pruned and untouched files."""
+    store = _store(spark, sf_dir)
+    store.ingest(_second_files(spark, sf_dir), dt.datetime(2024, 2, 1))
+    return store.table("chunks").join(store.table("documents"), "doc_id").select("path", "title", "chunk_idx", "heading", "content")
+
+
+def q_store_statistics(spark, sf_dir):
+    """The vocabulary and the postings by term that the second ingest has carried over and added up."""
+    store = _store(spark, sf_dir)
+    store.ingest(_second_files(spark, sf_dir))
+    held = store.table("postings").groupBy("term").agg(F.count("*").alias("chunks"), F.sum("tf").alias("times"))
+    return held.join(store.table("vocab"), "term", "full").na.fill(0).select("term", "chunks", "times", "df", F.round("idf", 9).alias("idf"))
+
+
+def q_store_edit(spark, sf_dir):
+    """Update, write, append and delete, then the list in its order."""
+    store = _store(spark, sf_dir)
+    first, last = store.table("documents").agg(F.min("path"), F.max("path")).first()
+    store.update(_second_files(spark, sf_dir).where(F.col("path").startswith("src1/")), dt.datetime(2024, 3, 1))
+    store.write_chunk(first, "Added", "new words")
+    store.write_chunk(first, "Added", "other words")
+    store.write_chunk("zz/new.md", "Fresh", "alone", dt.datetime(2024, 4, 1))
+    store.delete(last)
+    place = F.row_number().over(Window.orderBy(F.desc("ingested_at"), "path"))  # the order of one list, as its reader gets it
+    return store.list().select(place.alias("place"), "path", "title", F.array_join("headings", " | ").alias("headings"))
+
+
+def q_store_search(spark, sf_dir):
+    """Search through the tables of a stored snapshot."""
+    found = search_batch(_store(spark, sf_dir).index(), _queries(spark, sf_dir))
+    return found.select("query_id", "rank", "path", "heading", "content", "score", "label")
+
+
 QUERIES = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}
 
 __all__ = ["ORACLE", "QUERIES"]

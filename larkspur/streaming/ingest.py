@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from larkspur.operators.maintain import upsert
 from larkspur.plans.store import Store
-from larkspur.session import staged
 
 
 def files_stream(spark: SparkSession, root: str) -> DataFrame:
@@ -17,26 +15,14 @@ def files_stream(spark: SparkSession, root: str) -> DataFrame:
     return raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"), F.col("_metadata.file_modification_time").alias("modified"))
 
 
-def follow(spark: SparkSession, root: str, store: Store, files_table: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keep the latest body of each path below files_table, by epoch, and rebuild the corpus with each batch that has files.
+def follow(spark: SparkSession, root: str, store: Store, checkpoint: str, **trigger) -> StreamingQuery:
+    """Update the corpus with the latest body of each path of each batch that has files.
 
-    A batch that is run again after a failure writes the same epoch again.
+    A batch that is run again after a failure puts the same bodies in place again.
     """
 
-    def batch(df: DataFrame, epoch: int) -> None:
-        if df.isEmpty():
-            return
-        session = df.sparkSession
-        latest = df.groupBy("path").agg(F.max_by("body", "modified").alias("body"))
-        before = [e for e in _epochs(session, files_table) if e < epoch]
-        old = session.read.parquet(f"{files_table}/{max(before):08d}") if before else session.createDataFrame([], "path string, body string")
-        staged(upsert(old, latest.select("path", "body"), "path"), "files").write.mode("overwrite").parquet(f"{files_table}/{epoch:08d}")
-        store.ingest(session.read.parquet(f"{files_table}/{epoch:08d}"))
+    def batch(df: DataFrame, _: int) -> None:
+        if not df.isEmpty():
+            store.update(df.groupBy("path").agg(F.max_by("body", "modified").alias("body")))
 
     return files_stream(spark, root).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-
-
-def _epochs(spark: SparkSession, table: str) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/*/_SUCCESS")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return [int(f.getPath().getParent().getName()) for f in found or []]

@@ -11,7 +11,7 @@ from larkspur.functions.text import PREVIEW_BYTES
 from larkspur.operators.editing import first_code_block, new_document, replace_section
 from larkspur.plans.search import clamp
 from larkspur.plans.store import Store
-from larkspur.sources.markdown import read_local_markdown
+from larkspur.sources.markdown import read_markdown
 
 TOOL_PREFIX = "tools/"
 TOOL_CANDIDATES = 10
@@ -58,7 +58,7 @@ class Tools:
             return []
 
     def sync(self) -> int:
-        return self.store.ingest(read_local_markdown(self.spark, self.docs_path))
+        return self.store.ingest(read_markdown(self.spark, self.docs_path))
 
     def search_knowledge(self, query: str, limit: int | None = None) -> str:
         if not query:
@@ -69,7 +69,7 @@ class Tools:
         out = [f"Results for {query!r}:\n"]
         for r in rows:
             name = f"{r['path']} / {r['heading']}" if r["heading"] else r["path"]
-            out.append(f"--- [{r['rank']}] {name} [{r['label']}] ---\n{cut_preview(r['content'])}\n")
+            out.append(f"{r['rank']}. {name} ({r['label']})\n\n{cut_preview(r['content'])}\n")
         return "\n".join(out)
 
     def list_knowledge(self, prefix: str = "") -> str:

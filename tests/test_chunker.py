@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import chunker, editing
+from larkspur.operators import chunker, editing, maintain
 
 
 def chunks(spark, md, **options):
@@ -72,3 +72,19 @@ def test_first_code_block(spark):
 def test_new_document(spark):
     made = spark.range(1).select(editing.new_document(F.lit("x/pod-oom.md"), F.lit("Fix"), F.lit(" do it ")).alias("x")).first()["x"]
     assert made == "# pod oom\n\n## Fix\n\ndo it\n"
+
+
+def test_marks_in_the_text_stay(spark):
+    text = "# A\nx\u0001y\u0002z\u0002e\u0002h\n```\n# not a heading\n\u0002# nor this\n```\nend"
+    rows = lambda fence: spark.range(1).select(F.explode(chunker.sections(F.lit(text), fence)).alias("s")).select("s.*").collect()
+    whole = rows(True)
+    assert [(r["heading"], r["content"]) for r in whole] == [("A", text[4:])]
+    assert [r["heading"] for r in rows(False)] == ["A", "not a heading"] and rows(False)[0]["content"] == "x\u0001y\u0002z\u0002e\u0002h\n```"
+
+
+def test_chunk_ids_do_not_collide(spark):
+    ids = lambda doc, idx: spark.createDataFrame([(doc, idx)], "doc_id long, chunk_idx int").select(maintain.chunk_id().alias("x")).first()["x"]
+    assert ids(3, 5) == (3 << 20) + 5 and ids(2**43 - 1, 2**20 - 1) == 2**63 - 1 and ids(None, 1) is None
+    for doc, idx in ((2**44, 0), (-1, 0), (1, 2**20)):
+        with pytest.raises(Exception, match="no chunk id"):
+            ids(doc, idx)

@@ -56,7 +56,7 @@ def test_stream_follows_a_folder(spark, tmp_path):
     docs.mkdir()
     (docs / "a.md").write_text("# A\nalpha words")
     store = Store(spark, f"file://{tmp_path}/store")
-    run = lambda: follow(spark, str(docs), store, f"file://{tmp_path}/files", f"file://{tmp_path}/state").awaitTermination(120)
+    run = lambda: follow(spark, str(docs), store, f"file://{tmp_path}/state").awaitTermination(120)
     run()
     assert store.table("chunks").count() == 1
     (docs / "b.md").write_text("# B\nbeta\n## C\ngamma")

@@ -8,7 +8,7 @@ import pytest
 from larkspur.operators.fusion import fuse
 from larkspur.operators.lexical import match
 from larkspur.operators.statistics import chunk_lengths, postings
-from larkspur.plans.search import Searcher, build_from_files, search_batch
+from larkspur.plans.search import Index, Searcher, build_from_files, search_batch
 from larkspur.plans.store import Store
 from larkspur.sources.markdown import read_local_markdown, read_markdown
 from larkspur.tools import ToolError, Tools
@@ -121,6 +121,47 @@ def test_store_life(spark, docs, tmp_path):
         store.delete("a.md")
 
 
+def tables(store_or_index, names):
+    read = store_or_index.table if isinstance(store_or_index, Store) else lambda n: getattr(store_or_index, n)
+    rounded = lambda row: tuple(round(x, 9) if isinstance(x, float) else x for x in row)
+    return {n: sorted(map(rounded, read(n).select(sorted(read(n).columns)).collect())) for n in names}
+
+
+def test_snapshots_equal_a_whole_build(spark, docs, tmp_path):
+    names = ("postings", "lengths", "vocab", "vectors")
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.ingest(read_markdown(spark, str(docs)))
+    steps = [
+        lambda: store.write_chunk("runbooks/net.md", "More", "helm cilium twice"),
+        lambda: store.update(spark.createDataFrame([("runbooks/deploy.md", "# Deployment\nother words"), ("x.md", "# X\ny"), ("tools/drain.md", "")], "path string, body string")),
+        lambda: store.delete("runbooks/net.md"),
+        lambda: store.ingest(read_markdown(spark, str(docs))),
+    ]
+    for step in steps:
+        step()
+        assert tables(store, names) == tables(Index.build(store.table("documents"), store.table("chunks")), names)
+    assert {r["path"] for r in store.table("documents").collect()} == set(FILES)
+    version = store.version()
+    assert store.vacuum(1) == version - 1 and store.version() == version and store.table("chunks").count() == 6
+    store.close()
+    assert store.searcher().search("oom", 1)
+
+
+def test_store_with_a_model(spark, docs, tmp_path):
+    def connect(size=3):
+        return lambda texts: [[float("cilium" in t.lower()), float("node" in t.lower()), *[0.1] * (size - 2)] for t in texts]
+
+    store = Store(spark, f"file://{tmp_path}/store", connect=connect)
+    store.ingest(read_markdown(spark, str(docs)))
+    assert store.table("embedded").count() == store.table("chunks").count() == 6
+    rows = store.searcher().search("zzz node", 3)
+    assert rows[0]["path"] == "tools/drain.md"
+    other = Store(spark, f"file://{tmp_path}/store", connect=lambda: connect(5))
+    with pytest.warns(UserWarning, match="5: all chunks"):
+        other.write_chunk("a.md", "H", "words")
+    assert {len(r["vector"]) for r in other.table("embedded").collect()} == {5}
+
+
 def test_tools(spark, docs, tmp_path):
     tools = Tools(spark, Store(spark, f"file://{tmp_path}/store"), str(docs))
     assert "empty" in tools.list_knowledge()
