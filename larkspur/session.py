@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,6 +41,39 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark(spark: SparkSession) -> int:
+    """A place in the list of staged tables, for `restaged` and `drop_since`."""
+    return len(_made.get(spark.sparkContext.applicationId, []))
+
+
+def _drop(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    # Spark deletes the shuffle files of a finished step when the driver has collected its plan.
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def restaged(df: DataFrame, name: str, since: int) -> DataFrame:
+    """Stage df and delete the tables staged since a mark, which df was made from and nothing else may read any more."""
+    spark = df.sparkSession
+    out = staged(df, name)
+    made = _made[spark.sparkContext.applicationId]
+    _drop(spark, made[since:-1])
+    del made[since:-1]
+    return out
+
+
+def drop_since(spark: SparkSession, since: int, upto: int, keep: DataFrame | None = None) -> None:
+    """Delete the tables staged between two marks, but for those that `keep` reads."""
+    made = _made.get(spark.sparkContext.applicationId, [])
+    read = keep.inputFiles() if keep is not None else []
+    gone = [p for p in made[since:upto] if not any(f"{p.removeprefix('file://').removeprefix('file:')}/" in f for f in read)]
+    _drop(spark, gone)
+    made[:] = [p for p in made if p not in gone]
+
+
 def few(df: DataFrame, most: int) -> DataFrame:
     """df, to be broadcast if it is counted and has `most` rows at most; a table that is larger is joined by a shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
@@ -48,7 +82,5 @@ def few(df: DataFrame, most: int) -> DataFrame:
 def release(spark: SparkSession) -> int:
     """Delete the staged tables of this application; returns how many. Results that still read them must have been written or collected."""
     paths = _made.pop(spark.sparkContext.applicationId, [])
-    for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _drop(spark, paths)
     return len(paths)
