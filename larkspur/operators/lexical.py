@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from larkspur.session import few, staged
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 PHRASE_ROWS = 1_000_000  # narrow rows of a batch of queries that may be broadcast
+Dealt = Callable[[DataFrame], DataFrame]
 
 
 def phrases(queries: DataFrame) -> DataFrame:
@@ -21,7 +24,7 @@ def phrases(queries: DataFrame) -> DataFrame:
 
 
 def expand(wanted: DataFrame, terms: DataFrame) -> DataFrame:
-    """(phrase, term): the terms that begin with each phrase.
+    """(phrase, term): the terms that begin with each phrase; wanted is broadcast if the caller or its size says so.
 
     An equality join on the prefixes of a term, as long as phrases are, so the
     work is in proportion to the term dictionary and never a nested loop.
@@ -29,45 +32,50 @@ def expand(wanted: DataFrame, terms: DataFrame) -> DataFrame:
     lengths = wanted.agg(F.collect_set(F.length("phrase")).alias("lengths"))  # a set of a few numbers
     prefixes = terms.select("term").crossJoin(F.broadcast(lengths))
     prefixes = prefixes.select("term", F.explode(F.filter("lengths", lambda n: n <= F.length("term"))).alias("n")).select("term", F.expr("substring(term, 1, n)").alias("phrase"))
-    return prefixes.join(few(wanted, PHRASE_ROWS), "phrase").select("phrase", "term")
+    return prefixes.join(wanted, "phrase").select("phrase", "term")
 
 
-def phrase_scores(wanted: DataFrame, postings: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
+def phrase_scores(own: DataFrame, postings: DataFrame, lengths: DataFrame, dealt: Dealt) -> tuple[DataFrame, DataFrame]:
     """(phrase, chunk_id, part), the BM25 part of one instance of each phrase, and (phrase, n), the chunks that hold it.
 
     Only postings of terms that some phrase needs leave the scan, dealt by
     chunk, so that sums by chunk need no other shuffle.
     """
-    terms = staged(expand(wanted, postings.select("term").distinct()), "terms")
+    terms = staged(expand(dealt(own.select("phrase").distinct()), postings.select("term").distinct()), "terms")
     hits = postings.join(few(terms, PHRASE_ROWS), "term").select("phrase", "chunk_id", "tf").repartition("chunk_id").groupBy("phrase", "chunk_id").agg(F.sum("tf").cast("double").alias("f"))
     found = staged(hits.groupBy("phrase").agg(F.count("*").alias("n")), "found")
     whole = lengths.agg(F.count("*").alias("rows"), F.avg("n_tokens").alias("mean"))  # one row
     idf = F.log((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weights = found.crossJoin(F.broadcast(whole)).select("phrase", F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)).alias("idf"), "mean")
     near = K1 * ((1 - B) + B * F.col("n_tokens") / F.col("mean"))
-    rows = hits.join(few(weights, PHRASE_ROWS), "phrase").join(lengths, "chunk_id")
+    rows = hits.join(dealt(weights), "phrase").join(lengths, "chunk_id")
     return rows.select("phrase", "chunk_id", (F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + near)).alias("part")), found
 
 
-def wanted_phrases(queries: DataFrame) -> DataFrame:
-    """(query_id, phrase, all, any): how often each mode asks for a phrase; the phrases of mode any include those of mode all."""
+def wanted_phrases(queries: DataFrame) -> tuple[DataFrame, Dealt]:
+    """(query_id, phrase, all, any): how often each mode asks for a phrase; the phrases of mode any include those of mode all.
+
+    And what a table of at most as many rows is joined as: broadcast if these
+    are counted and few enough, else as it is.
+    """
     times = lambda mode: F.sum(F.when(F.col("mode") == mode, F.col("times")).otherwise(0)).alias(mode)
-    return staged(phrases(queries).groupBy("query_id", "phrase").agg(times("all"), times("any")), "phrases")
+    own = staged(phrases(queries).groupBy("query_id", "phrase").agg(times("all"), times("any")), "phrases")
+    return own, F.broadcast if own.count() <= PHRASE_ROWS else lambda table: table
 
 
-def _summed(own: DataFrame, parts: DataFrame, mode: str) -> DataFrame:
+def _summed(own: DataFrame, parts: DataFrame, mode: str, dealt: Dealt) -> DataFrame:
     """(query_id, chunk_id, score, held) over the phrases that a mode asks for; parts are dealt by chunk and stay so."""
-    rows = parts.join(few(own.where(f"`{mode}` > 0"), PHRASE_ROWS), "phrase")
+    rows = parts.join(dealt(own.where(f"`{mode}` > 0")), "phrase")
     return rows.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("part") * F.col(mode)), 10).alias("score"), F.count("*").alias("held"))
 
 
 def match(queries: DataFrame, postings: DataFrame, lengths: DataFrame) -> DataFrame:
     """(query_id, mode, chunk_id, score) of all chunks that hold all, or any, phrases of a query."""
-    own = wanted_phrases(queries)
-    parts, _ = phrase_scores(own.select("phrase").distinct(), postings, lengths)
+    own, dealt = wanted_phrases(queries)
+    parts, _ = phrase_scores(own, postings, lengths, dealt)
     asked = own.groupBy("query_id").agg(F.count_if(F.col("all") > 0).alias("asked"))
-    either = _summed(own, parts, "any").select("query_id", F.lit("any").alias("mode"), "chunk_id", "score")
-    every = _summed(own, parts, "all").join(few(asked, PHRASE_ROWS), "query_id").where("held = asked")
+    either = _summed(own, parts, "any", dealt).select("query_id", F.lit("any").alias("mode"), "chunk_id", "score")
+    every = _summed(own, parts, "all", dealt).join(dealt(asked), "query_id").where("held = asked")
     return either.unionByName(every.select("query_id", F.lit("all").alias("mode"), "chunk_id", "score"))
 
 
@@ -84,17 +92,17 @@ def lexical_search(queries: DataFrame, postings: DataFrame, lengths: DataFrame,
     rarest one. Any-term scores, which most chunks of a corpus have, are made
     only for queries that no chunk answers whole.
     """
-    own = wanted_phrases(queries)
-    parts, found = phrase_scores(own.select("phrase").distinct(), postings, lengths)
+    own, dealt = wanted_phrases(queries)
+    parts, found = phrase_scores(own, postings, lengths, dealt)
     parts = staged(parts, "parts")
     every = own.where("`all` > 0").join(found, "phrase", "left").groupBy("query_id")
     rarest = every.agg(F.count("*").alias("asked"), F.count("n").alias("known"), F.min(F.struct("n", "phrase"))["phrase"].alias("phrase")).where("known = asked")
-    likely = parts.join(few(rarest.select("query_id", "phrase"), PHRASE_ROWS), "phrase").select("query_id", "chunk_id")
-    likely = likely.join(few(own.where("`all` > 0"), PHRASE_ROWS), "query_id").join(parts, ["phrase", "chunk_id"])
+    likely = parts.join(dealt(rarest.select("query_id", "phrase")), "phrase").select("query_id", "chunk_id")
+    likely = likely.join(dealt(own.where("`all` > 0")), "query_id").join(parts, ["phrase", "chunk_id"])
     whole = likely.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("part") * F.col("all")), 10).alias("score"), F.count("*").alias("held"))
-    whole = whole.join(few(rarest.select("query_id", "asked"), PHRASE_ROWS), "query_id").where("held = asked").select("query_id", "chunk_id", "score")
+    whole = whole.join(dealt(rarest.select("query_id", "asked")), "query_id").where("held = asked").select("query_id", "chunk_id", "score")
     whole = staged(top(whole, k), "whole")
 
-    left = own.join(few(whole.select("query_id").distinct(), PHRASE_ROWS), "query_id", "left_anti")
-    either = _summed(left, parts.repartition("chunk_id"), "any").select("query_id", "chunk_id", "score")
+    left = own.join(dealt(whole.select("query_id").distinct()), "query_id", "left_anti")
+    either = _summed(left, parts.repartition("chunk_id"), "any", dealt).select("query_id", "chunk_id", "score")
     return whole.unionByName(top(either, k))

@@ -17,7 +17,7 @@ from larkspur.operators.vectorize import chunk_vectors, vector_search
 from larkspur.oracle import ORACLE
 from larkspur.plans.search import build_from_files, search_batch
 from larkspur.plans.store import Store
-from larkspur.session import shared_dir, staged
+from larkspur.session import few, shared_dir, staged
 from larkspur.sources.markdown import from_documents
 
 
@@ -97,7 +97,7 @@ def q_chunk_lengths(spark, sf_dir):
 
 def q_prefix_terms(spark, sf_dir):
     postings, _ = _lexical_tables(spark, sf_dir)
-    return expand(phrases(_queries(spark, sf_dir)).select("phrase").distinct(), postings.select("term").distinct())
+    return expand(few(phrases(_queries(spark, sf_dir)).select("phrase").distinct(), 1_000_000), postings.select("term").distinct())
 
 
 def q_match_all_or_any(spark, sf_dir):
