@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import keep_rows_of, lean, mix, shingle_sets, staged, text_chunks
 from larkspur.llm.graph import components
+from larkspur.session import few, mark, restaged
 
 CLASS_RATIO = 1.5  # sizes of one class, largest to smallest
-BLOCK_DOCS = 256  # documents of a block
+BLOCK_DOCS = 512  # documents of a block
 BLOCK_BYTES = 4 << 20  # text bytes of a block
-BUCKET_DOCS = 512  # documents of a block of a bucket
+BUCKET_DOCS = 2048  # documents of a block of a bucket
+BUCKET_ROWS = 50_000  # rows of sizes and parities, about 300 bytes each, that may be broadcast
 LEAST_BITS = 256  # of the parities of a document
 FRAGMENT_COLUMNS = 4096  # n-grams of a fragment of the overlap count
 
@@ -94,15 +96,15 @@ def close_pairs(left: list[tuple[int, bytes]], right: list[tuple[int, bytes]], n
     for side in (left, right):
         whole = b"".join(b if len(b) == size else folded(int.from_bytes(b, "little"), len(b), size).to_bytes(size, "little") for _, b in side)
         sides.append(np.frombuffer(whole, np.uint64).reshape(len(side), size // 8))
-    total = np.array([n for n, _ in left])[:, None] + np.array([n for n, _ in right])[None, :]
-    apart = np.zeros(total.shape, np.int64)
+    sizes = np.array([n for n, _ in right])
+    near = np.zeros((len(left), len(right)), bool)
     for k in range(len(left)):
-        apart[k] = np.bitwise_count(sides[0][k] ^ sides[1]).sum(1)
-    return apart * (num + den) <= (den - num) * total
+        near[k] = np.bitwise_count(sides[0][k] ^ sides[1]).sum(1, dtype=np.int64) * (num + den) <= (den - num) * (left[k][0] + sizes)
+    return near
 
 
-def _links(rows: list[np.ndarray], ids: np.ndarray, side: np.ndarray, linked) -> list[tuple[int, int, int]]:
-    """(group, smallest member, member) of what linked(left, right) links in each group of a task: of all its rows, or of those of side 0 with those of side 1."""
+def _links(rows: list, ids: np.ndarray, side: np.ndarray, lead: np.ndarray, linked) -> list[tuple[int, int, int]]:
+    """(group, root, member) of what linked(left, right) links in each group of a task: of all its rows, or of those of side 0 with those of side 1. A root is the leader or else the smallest member."""
     edges = []
     for group, part in rows:
         left, right = part[side[part] == 0], part[side[part] == 1]
@@ -116,16 +118,20 @@ def _links(rows: list[np.ndarray], ids: np.ndarray, side: np.ndarray, linked) ->
         else:
             at, near = part, np.array(linked(part, part))
         near &= ids[at][:, None] != ids[at][None, :]
-        edges += [(group, least, member) for member, least in stars(ids[at], near)]
+        found = stars(ids[at], near)
+        first = int(ids[part[lead[part] == 1][0]]) if lead[part].any() else None
+        root = next((least for member, least in found if member == first), first)
+        edges += [(group, first, root)] if root != first else []
+        edges += [(group, first if least == root else least, member) for member, least in found if member != first]
     return edges
 
 
-def _task(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray]:
-    """The rows of each group of a task in order, all ids and all sides."""
-    group, ids, side = (table.column(c).to_numpy() for c in ("group", "rep", "side"))
+def _task(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of each group of a task in order, all ids, all sides, and which rows are leaders."""
+    group, ids, side, lead = (table.column(c).to_numpy() for c in ("group", "rep", "side", "lead"))
     order = np.lexsort((ids, side, group))
     parts = np.split(order, np.flatnonzero(np.diff(group[order])) + 1)
-    return [(int(group[p[0]]), p) for p in parts if len(p)], ids, side
+    return [(int(group[p[0]]), p) for p in parts if len(p)], ids, side, lead
 
 
 def _edges(found: list[tuple[int, int, int]]) -> pa.Table:
@@ -136,12 +142,12 @@ def _meet(num: int, den: int):
     """Stars of the close pairs of buckets."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows, ids, side = _task(table)
+        rows, ids, side, lead = _task(table)
         own = list(zip(table.column("n").to_pylist(), table.column("bits").to_pylist(), strict=True))
         edges: list[tuple[int, int, int]] = []
         more = []
         for group, part in rows:
-            if len(part) == 2:
+            if len(part) == 2 and not lead[part].any():
                 (n, a), (m, b) = own[part[0]], own[part[1]]
                 size = min(len(a), len(b))
                 apart = (folded(int.from_bytes(a, "little"), len(a), size) ^ folded(int.from_bytes(b, "little"), len(b), size)).bit_count()
@@ -151,7 +157,7 @@ def _meet(num: int, den: int):
             else:
                 more.append((group, part))
         pick = lambda at: [own[k] for k in at]
-        return _edges(edges + _links(more, ids, side, lambda left, right: close_pairs(pick(left), pick(right), num, den)))
+        return _edges(edges + _links(more, ids, side, lead, lambda left, right: close_pairs(pick(left), pick(right), num, den)))
 
     return run
 
@@ -230,52 +236,60 @@ def _verify(size: int, num: int, den: int):
     """Stars of the pairs of clusters that reach the threshold."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows, ids, side = _task(table)
+        rows, ids, side, lead = _task(table)
         sets: list[np.ndarray] = []
         for batch in table.select(["text"]).to_batches():
             for _, _, data, offsets in text_chunks(batch, "text"):
                 sets += shingle_sets(data, offsets, size)
         pick = lambda at: [sets[k] for k in at]
-        return _edges(_links(rows, ids, side, lambda left, right: linked_pairs(pick(left), pick(right), num, den)))
+        return _edges(_links(rows, ids, side, lead, lambda left, right: linked_pairs(pick(left), pick(right), num, den)))
 
     return run
 
 
 def in_groups(rows: DataFrame, carry: list[str], bins: int, most: int, run) -> tuple[DataFrame, DataFrame]:
-    """Links (group, a, b) inside each group of rows(group, rep, blocks, carry): of groups of one block, and of larger ones.
+    """Links (group, a, b) inside each group of rows(group, rep, weight, blocks, carry): of groups of one block, and of larger ones.
 
     The components of both are those of all linked pairs. Groups of one block
     are dealt to bins. A larger group is dealt to its blocks, and its leader,
-    the least rep, goes to each of them: whatever a block links to the leader
-    needs no comparison with other blocks but with those rows that no block has
-    linked to it. Only these, in blocks of `most` rows, meet all blocks; so of a
-    group of near copies each row goes to one task, and to more only if its
-    group falls apart.
+    the row of most weight, goes to each of them: what is linked to the leader
+    need not be compared with other blocks, but with those rows that no block
+    has linked to it. Only these, in parts of `most` rows, meet each other and
+    the blocks of the linked ones. So of a group of near copies each row goes to
+    one task, and to more only if its group falls apart.
     """
     links = "group long, a long, b long"
     out = ["group", "rep", *carry]
-    single = rows.where("blocks = 1").select(*out, F.lit(0).alias("side"), F.pmod(F.xxhash64("group"), F.lit(bins)).alias("task"))
+    flags = [F.lit(0).alias("side"), F.lit(0).alias("lead")]
+    single = rows.where("blocks = 1").select(*out, *flags, F.pmod(F.xxhash64("group"), F.lit(bins)).alias("task"))
     single = single.groupBy("task").applyInArrow(run, links)
     many = rows.where("blocks > 1")
     if many.isEmpty():
         return single, many.select("group", F.col("group").alias("a"), F.col("group").alias("b")).limit(0)
     many = staged(many.withColumn("home", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "many")
-    leaders = many.groupBy("group").agg(F.min("rep").alias("leader"), F.first("blocks").alias("blocks"))
-    guests = many.drop("blocks").join(leaders.withColumnRenamed("leader", "rep"), ["group", "rep"]).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to <> home")
-    own = many.select(*out, "home").unionByName(guests.select(*out, F.col("to").alias("home")))
-    inside = staged(own.withColumn("side", F.lit(0)).groupBy("group", "home").applyInArrow(run, links), "inside")
-
-    led = inside.join(leaders.select("group", F.col("leader").alias("a")), ["group", "a"]).select("group", F.col("b").alias("rep"))
-    led = led.unionByName(leaders.select("group", F.col("leader").alias("rep")))
-    rest = staged(many.join(led.distinct(), ["group", "rep"], "left_anti"), "rest")
+    leaders = many.groupBy("group").agg(F.max(F.struct("weight", "rep"))["rep"].alias("leader"), F.first("blocks").alias("count"))
+    leaders = staged(leaders, "leaders")
+    led = many.join(leaders, ["group"])
+    guests = led.where("rep = leader").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
+    own = led.where("rep <> leader").select(*out, "home", F.lit(0).alias("side"), F.lit(0).alias("lead"))
+    own = own.unionByName(guests.select(*out, F.col("to").alias("home"), F.lit(0).alias("side"), F.lit(1).alias("lead")))
+    inside = staged(own.groupBy("group", "home").applyInArrow(run, links), "inside")
+
+    done = inside.join(leaders.select("group", F.col("leader").alias("a")), ["group", "a"]).select("group", F.col("b").alias("rep"))
+    done = staged(done.unionByName(leaders.select("group", F.col("leader").alias("rep"))).distinct(), "done")
+    rest = staged(many.join(done, ["group", "rep"], "left_anti"), "rest")
     parts = rest.groupBy("group").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
     parts = staged(parts, "parts")
     if parts.isEmpty():
         return single, inside
     each = lambda table, n: table.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
-    apart = each(rest.join(parts, "group"), "blocks").select(*out, F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.col("other").alias("home"), F.lit(0).alias("side"))
-    whole = each(many.join(parts, "group"), "parts").select(*out, F.col("other").alias("part"), "home", F.lit(1).alias("side"))
-    across = apart.unionByName(whole).groupBy("group", "part", "home").applyInArrow(run, links)
+    rest = rest.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    task = lambda *ends: F.xxhash64("group", *ends).alias("task")
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    apart = each(rest, "parts").select(*out, (F.col("part") > low).cast("int").alias("side"), flags[1], task(F.lit(0), low, high))
+    beside = each(rest, "blocks").select(*out, *flags, task(F.lit(1), F.col("part"), F.col("other")))
+    linked = each(many.join(parts, "group").join(done, ["group", "rep"], "left_semi"), "parts").select(*out, F.lit(1).alias("side"), flags[1], task(F.lit(1), F.col("other"), F.col("home")))
+    across = apart.unionByName(beside).unionByName(linked).groupBy("group", "task").applyInArrow(run, links)
     return single, inside.unionByName(across)
 
 
@@ -297,19 +311,24 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
     sets = marks.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     sets = staged(sets, "sets")
 
+    since = mark(docs.sparkSession)
     reps = sets.select(F.col("rep").alias("doc_id")).distinct()
     keyed = keep_rows_of(docs, reps, "doc_id").mapInArrow(_keys(size, num, den), "key long, rep long")
     bucket = Window.partitionBy("key")
     meet = keyed.withColumn("first", F.min("rep").over(bucket)).withColumn("last", F.max("rep").over(bucket)).withColumn("docs", F.count("*").over(bucket)).where("first < last")
-    meet = staged(meet.select(F.col("key").alias("group"), "rep", F.ceil(F.col("docs") / BUCKET_DOCS).cast("int").alias("blocks")), "buckets")
-    own = keep_rows_of(marks, reps, "doc_id").groupBy(F.col("doc_id").alias("rep")).agg(F.max(F.struct("n", "bits")).alias("own"))
-    meet = meet.join(own.select("rep", "own.*"), "rep")
+    meet = staged(meet.select(F.col("key").alias("group"), "rep", "docs", F.ceil(F.col("docs") / BUCKET_DOCS).cast("int").alias("blocks")), "buckets")
+    # The documents that a document meets: of a group of near copies, the one that the others were made from has most.
+    weights = staged(meet.groupBy("rep").agg(F.sum("docs").alias("weight")), "weights")
+    own = keep_rows_of(marks, weights.select(F.col("rep").alias("doc_id")), "doc_id").groupBy(F.col("doc_id").alias("rep")).agg(F.max(F.struct("n", "bits")).alias("own"))
+    own = staged(own.select("rep", "own.*").join(weights, "rep"), "own")
+    meet = meet.drop("docs").join(few(own, BUCKET_ROWS), "rep")
     near, more = in_groups(meet, ["n", "bits"], _bins(meet, F.length("bits") + 40), BUCKET_DOCS, _meet(num, den))
     clusters = staged(components(near.unionByName(more).select("a", "b")), "clusters").select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"))
+    clusters = restaged(clusters.join(weights.withColumnRenamed("rep", "doc_id"), "doc_id"), "weighted", since)
 
     small = clusters.limit(200_001).count() <= 200_000
     members = docs.where("text is not null").join(F.broadcast(clusters) if small else clusters, "doc_id")
-    members = members.select(F.col("cluster").alias("group"), F.col("doc_id").alias("rep"), "text")
+    members = members.select(F.col("cluster").alias("group"), F.col("doc_id").alias("rep"), "weight", "text")
     members = staged(members if _unique(marks) else members.dropDuplicates(["rep"]), "members")
     sizes = staged(members.groupBy("group").agg(F.count("*").alias("docs"), F.sum(F.octet_length("text")).alias("bytes")), "sizes")
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
@@ -318,6 +337,7 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
     apart, joined = in_groups(members, ["text"], bins, BLOCK_DOCS, _verify(size, num, den))
     apart = staged(apart, "found").select(F.col("b").alias("rep"), F.col("a").alias("component"))
     linked = apart.unionByName(components(joined.select("a", "b")).where("id <> component").select(F.col("id").alias("rep"), "component"))
+    linked = restaged(linked, "linked", since)
 
     sets = sets.join(linked, "rep", "left").select(F.col("n").alias("sn"), F.col("d1").alias("s1"), F.col("d2").alias("s2"), F.coalesce("component", "rep").alias("component"))
     out = marks.join(sets, (F.col("n") == F.col("sn")) & (F.col("d1") == F.col("s1")) & (F.col("d2") == F.col("s2")), "left")
@@ -327,7 +347,7 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
 def _bins(rows: DataFrame, size: F.Column) -> int:
     """Tasks for groups of one block: about BLOCK_BYTES or BUCKET_DOCS rows each."""
     n, total = rows.agg(F.count("*"), F.sum(size)).first()
-    return max(8, (total or 0) // BLOCK_BYTES + 1, n // (4 * BUCKET_DOCS) + 1)
+    return max(8, (total or 0) // BLOCK_BYTES + 1, n // BUCKET_DOCS + 1)
 
 
 def _unique(marks: DataFrame) -> bool:
@@ -347,3 +367,16 @@ def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     """Shingles of three words, ratio 90/100, over all of documents."""
     return ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=3, num=90, den=100)
 
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 3 THEN [array_to_string(l, ' ')]
+  ELSE list_transform(range(1, len(l) - 1), lambda i: array_to_string(l[i:i + 2], ' ')) END) AS g FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS id, doc_id AS reached FROM documents UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.reached),
+k AS (SELECT id, min(reached) AS component_id FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN k ON k.id = d.doc_id
+"""

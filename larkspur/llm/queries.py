@@ -7,7 +7,7 @@ from larkspur.llm.decontaminate import op5_decontaminate
 from larkspur.llm.embedding_dedup import OP9_SQL, op9_embedding_dedup
 from larkspur.llm.html_text import op4_html_text
 from larkspur.llm.license_scan import op7_license_scan
-from larkspur.llm.ngram_jaccard import op1_ngram_jaccard
+from larkspur.llm.ngram_jaccard import OP1_SQL, op1_ngram_jaccard
 from larkspur.llm.quality import op8_quality
 from larkspur.llm.sharding import OP3_SQL, op3_sharding
 from larkspur.llm.suffix_dedup import op2_suffix_dedup
@@ -27,6 +27,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_ngram_jaccard": OP1_SQL,
     "op3_sharding": OP3_SQL,
     "op6_substring_dedup": OP6_SQL,
     "op9_embedding_dedup": OP9_SQL,
