@@ -1,40 +1,72 @@
-"""From raw documents to token ids: STAGES in order, each written and read again."""
+"""From raw documents to token ids: STAGES in order, each written and read again.
+
+Every stage takes any table with the columns of documents, and more, whatever
+their names, and passes all columns on: null and empty texts stay unless a
+stage says otherwise, rows without an id are never lost for it, equal rows are
+judged alike and an empty table gives an empty one. A stage deletes what the one
+before has staged, as its result is written by then.
+"""
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.byte_bpe import byte_bpe
-from larkspur.llm.common import staged
 from larkspur.llm.decontaminate import without_contaminated
 from larkspur.llm.ngram_jaccard import one_of_each
 from larkspur.llm.quality import of_quality
 from larkspur.llm.unit_dedup import cut_repeats
+from larkspur.session import drop_since, mark, staged
+
+
+_left: dict[str, tuple[int, int]] = {}  # the tables that the last stage of an application has staged
+
+
+def stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        if app in _left:
+            drop_since(spark, *_left.pop(app), keep=docs)
+        since = mark(spark)
+        out = function(spark, docs, sf_dir)
+        _left[app] = (since, mark(spark))
+        return out
+
+    return run_stage
 
 
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts, each row by its own text; null and empty texts have a score, too."""
     return of_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of 5-word shingles with a ratio of 0.8: that of the smallest id."""
+    """One document of each group of 5-word shingles with a ratio of 0.8: that of the smallest id. Texts without words and rows without an id stay; rows that share an id are one document."""
     return one_of_each(docs, size=5, num=8, den=10)
 
 
+@stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines and runs of 50 words are cut out but for their earliest occurrence; n_chars follows."""
+    """Repeated lines and runs of 50 words are cut out but for their earliest occurrence; n_chars follows. No row goes, a null text stays null."""
     return cut_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
+@stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that copy no benchmark item."""
+    """Documents that copy no benchmark item, each row by its own text; null and empty texts stay."""
     return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@stage
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the digest of what they decode to."""
+    """doc_id, n_tokens, ids and the digest of what they decode to; a null or empty text has no tokens."""
     import public_tokenizers
 
     coded = byte_bpe(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -55,6 +87,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name)
+    for name, function in STAGES:
+        docs = staged(function(spark, docs, sf_dir), name)
     return docs

@@ -435,7 +435,7 @@ def test_pipeline(spark):
     assert 0 < seen.count() < docs.count()
 
 
-@pytest.mark.parametrize("name", ["op3_sharding", "op6_substring_dedup", "op9_embedding_dedup"])
+@pytest.mark.parametrize("name", ["op1_ngram_jaccard", "op3_sharding", "op6_substring_dedup", "op9_embedding_dedup"])
 def test_queries_match_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     from larkspur.llm.queries import ORACLE, QUERIES
@@ -494,3 +494,91 @@ def test_op6_unspaced(spark):
     rows = [(1, "\n".join([*long, "two words", "短い行"])), (2, "\n".join(["two words", "other", *long]))]
     got = {r["doc_id"]: r["text"] for r in unit_dedup.unit_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: rows[0][1], 2: "other"}
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_op2_query_is_brute_force(spark):
+    from larkspur.llm.queries import QUERIES
+
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    want = {}
+    for r, (n, gone, kept) in zip(rows, removed([r["text"] for r in rows], 400), strict=True):
+        want[r["doc_id"]] = (n, gone, hashlib.sha256(kept).hexdigest())
+    got = QUERIES["op2_suffix_dedup"](spark, SMALL).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in got} == want and len(got) == len(rows)
+    assert all(len(r["text"].encode()) >= r["n_bytes"] - r["n_removed"] for r in got)
+
+
+def test_op5_query_is_brute_force(spark):
+    from larkspur.llm.queries import QUERIES
+
+    def score(a, b):
+        best, row = 0.0, np.zeros(len(b) + 1)
+        for x in a:
+            new = np.maximum(0, row - 0.5)
+            new[1:] = np.maximum(new[1:], row[:-1] + np.where(b == x, 1.0, -0.5))
+            for _ in range(len(a)):  # gaps, one word after another
+                more = np.maximum(new[1:], new[:-1] - 0.5)
+                if (more == new[1:]).all():
+                    break
+                new[1:] = more
+            row = new
+            best = max(best, row.max())
+        return best / len(a)
+
+    split = lambda t: re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
+    docs = {r["doc_id"]: split(r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    items = {r["item_id"]: split(r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
+    known = {w: k for k, w in enumerate({w for t in items.values() for w in t})}
+    coded = {i: np.array([known.get(w, -1) for w in t]) for i, t in docs.items()}
+    want = set()
+    for k, item in items.items():
+        grams_ = {tuple(item[p : p + 4]) for p in range(len(item) - 3)}
+        for i, t in docs.items():
+            if any(tuple(t[p : p + 4]) in grams_ for p in range(len(t) - 3)) and score(np.array([known[w] for w in item]), coded[i]) >= 0.5:
+                want.add((i, k))
+    assert {(r["doc_id"], r["item_id"]) for r in QUERIES["op5_decontaminate"](spark, SMALL).collect()} == want and want
+
+
+def test_op7_query_is_brute_force(spark):
+    import regex
+
+    from larkspur.llm.queries import QUERIES
+
+    def pairs(text):
+        w = regex.sub(r"[^\p{L}\p{N}]+", " ", (text or "").lower()).strip().split(" ")
+        return list(zip(w[:-1], w[1:], strict=True))
+
+    parts = [(name, pairs(text)) for name, text in license_scan.NOTICES]
+    want = {}
+    for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
+        own = pairs(r["text"])
+        for name, part in parts:
+            known = set(part)
+            for at in range(0, max(len(own) - 2, 0) + 1, 2):
+                if len(known & set(own[at : at + 4])) >= min(2, len(known)):
+                    share = round(len(known & set(own[max(at - len(part), 0) : max(at - len(part), 0) + 2 * len(part) + 4])) / len(known), 6)
+                    if share >= 0.8 and share > want.get((r["doc_id"], name), (0,))[0]:
+                        want[r["doc_id"], name] = (share, at)
+    got = {(r["doc_id"], r["license_id"]): (r["containment"], r["word"]) for r in QUERIES["op7_license_scan"](spark, SMALL).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and want
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    extra = "row string, copy long, id long, n long, units int, _id long"
+    rows = [(i, t, "en", "s", len(t or ""), "r", 1, 2, 3, 4, 5) for i, t in [*ROWS, (None, None), (None, prose(50)), (77, prose(300)), (77, prose(300)), (78, "x" * 100_000)]]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    for name, part in (("all", docs), ("none", docs.limit(0))):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, prose(40)), (None, "x"), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        seen = part
+        for stage_name, function in corpus_pipeline.STAGES:
+            out = function(spark, seen, folder)
+            assert stage_name == "tokenize" or out.columns == docs.columns
+            out.write.parquet(f"{folder}/{stage_name}")
+            seen = spark.read.parquet(f"{folder}/{stage_name}")
+        assert name == "all" or seen.count() == 0
