@@ -10,8 +10,10 @@ from larkspur.llm.license_scan import op7_license_scan
 from larkspur.llm.ngram_jaccard import OP1_SQL, op1_ngram_jaccard
 from larkspur.llm.quality import op8_quality
 from larkspur.llm.sharding import OP3_SQL, op3_sharding
+from larkspur.llm.spelling import OP13_SQL, op13_spelling
 from larkspur.llm.suffix_dedup import op2_suffix_dedup
 from larkspur.llm.unit_dedup import OP6_SQL, op6_substring_dedup
+from larkspur.llm.vector_codes import OP12_SQL, op12_vector_codes
 
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE: dict[str, str] = {
@@ -31,4 +35,6 @@ ORACLE: dict[str, str] = {
     "op3_sharding": OP3_SQL,
     "op6_substring_dedup": OP6_SQL,
     "op9_embedding_dedup": OP9_SQL,
+    "op12_vector_codes": OP12_SQL,
+    "op13_spelling": OP13_SQL,
 }
