@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from larkspur.llm.attention_lm import op11_attention_lm
 from larkspur.llm.byte_bpe import op10_byte_bpe
 from larkspur.llm.decontaminate import op5_decontaminate
 from larkspur.llm.embedding_dedup import OP9_SQL, op9_embedding_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_attention_lm": op11_attention_lm,
     "op12_vector_codes": op12_vector_codes,
     "op13_spelling": op13_spelling,
 }
