@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -13,6 +15,9 @@ from larkspur.session import few, staged
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 PHRASE_ROWS = 1_000_000  # narrow rows of a batch of queries that may be broadcast
+FEW_PHRASES = 2_000  # phrases of a batch of queries that are looked up in a stored dictionary
+FEW_PREFIXES = 64  # phrases that are conditions of the dictionary's scan
+FEW_TERMS = 50_000  # terms of these phrases that the driver takes
 Dealt = Callable[[DataFrame], DataFrame]
 
 
@@ -106,3 +111,79 @@ def lexical_search(queries: DataFrame, postings: DataFrame, lengths: DataFrame,
     left = own.join(dealt(whole.select("query_id").distinct()), "query_id", "left_anti")
     either = _summed(left, parts.repartition("chunk_id"), "any", dealt).select("query_id", "chunk_id", "score")
     return whole.unionByName(top(either, k))
+
+
+def look_up(wanted: list[str], terms: DataFrame) -> DataFrame:
+    """Rows of a dictionary with the `phrase` that their term begins with; a term of several phrases stands for each."""
+    if len(wanted) <= FEW_PREFIXES:
+        shortest = [p for p in wanted if not any(p != q and p.startswith(q) for q in wanted)]
+        within = F.lit(False)
+        for p in shortest:
+            within = within | F.col("term").startswith(p)
+        terms = terms.where(within)
+    lengths = F.array(*[F.lit(n) for n in sorted({len(p) for p in wanted})])
+    rows = terms.withColumn("_n", F.explode(F.filter(lengths, lambda n: n <= F.length("term")))).withColumn("phrase", F.expr("substring(term, 1, _n)")).drop("_n")
+    phrase = terms.sparkSession.createDataFrame([(p,) for p in wanted], "phrase string")
+    return rows.join(F.broadcast(phrase), "phrase", "left_semi")
+
+
+def stored_search(queries: DataFrame, terms: DataFrame, ranged: Callable[[dict[int, list[int]]], DataFrame], facts: tuple[int, int], k: int) -> DataFrame | None:
+    """lexical_search() on a stored index, for few phrases; None where there are too many, for which whole tables are the better plan.
+
+    terms(term, n, range, seq) is the dictionary by segment, ranged(ranges by
+    seq) gives (term, chunk_id, tf, n_tokens) of these ranges only, and facts are
+    the numbers of chunks and of their tokens. Nothing is counted anew but the
+    chunks of phrases that several terms begin with.
+    """
+    spark = queries.sparkSession
+    times = lambda mode: F.sum(F.when(F.col("mode") == mode, F.col("times")).otherwise(0)).alias(mode)
+    own = phrases(queries).groupBy("query_id", "phrase").agg(times("all"), times("any")).limit(FEW_PHRASES + 1).collect()
+    if len(own) > FEW_PHRASES:
+        return None
+    none = top(spark.createDataFrame([], "query_id long, chunk_id long, score double"), k)
+    wanted = sorted({r["phrase"] for r in own})
+    if not wanted:
+        return none
+    known = look_up(wanted, terms).select("phrase", "term", "n", "range", "seq").limit(FEW_TERMS + 1).collect()
+    if len(known) > FEW_TERMS:
+        return None
+    n: dict[tuple[str, str], int] = defaultdict(int)
+    for r in known:
+        n[r["phrase"], r["term"]] += r["n"]
+    ranges: dict[int, set[int]] = defaultdict(set)
+    for r in known:
+        if r["range"] is not None and n[r["phrase"], r["term"]] > 0:
+            ranges[r["seq"]].add(r["range"])
+    chunks: dict[str, list[int]] = defaultdict(list)
+    for (p, _), c in n.items():
+        if c > 0:
+            chunks[p].append(c)
+    pairs = spark.createDataFrame([(p, t) for (p, t), c in n.items() if c > 0], "phrase string, term string")
+    hits = ranged({seq: sorted(found) for seq, found in ranges.items()}).join(F.broadcast(pairs), "term")
+    several = [p for p in wanted if len(chunks[p]) > 1]
+    if several:
+        hits = hits.groupBy("phrase", "chunk_id", "n_tokens").agg(F.sum("tf").alias("tf"))
+    hits = staged(hits.select("phrase", "chunk_id", "n_tokens", F.col("tf").cast("double").alias("f")), "hits")
+    seen = {p: sum(chunks[p]) for p in wanted}
+    if several:
+        seen |= {r["phrase"]: r["n"] for r in hits.where(F.col("phrase").isin(several)).groupBy("phrase").agg(F.count("*").alias("n")).collect()}
+
+    def idf(count: int) -> float:
+        value = math.log((facts[0] - count + 0.5) / (count + 0.5))
+        return value if value > 0 else LEAST_IDF
+
+    asked: dict[int, int] = defaultdict(int)
+    for r in own:
+        asked[r["query_id"]] += r["all"] > 0
+    weights = spark.createDataFrame([(r["query_id"], r["phrase"], r["all"], r["any"], idf(seen[r["phrase"]]), asked[r["query_id"]]) for r in own if seen[r["phrase"]]], "query_id long, phrase string, `all` long, `any` long, idf double, asked long")
+    near = K1 * ((1 - B) + B * F.col("n_tokens") / (facts[1] / max(1, facts[0]) or 1.0))
+    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + near)
+    rows = hits.join(F.broadcast(weights), "phrase").withColumn("part", part)
+    sums = rows.groupBy("query_id", "chunk_id").agg(*[F.round(F.sum(F.col("part") * F.col(m)), 10).alias(m) for m in ("all", "any")], F.count_if(F.col("all") > 0).alias("held"), F.count_if(F.col("any") > 0).alias("some"), F.max("asked").alias("asked"))
+    whole = (F.col("held") == F.col("asked")) & (F.col("asked") > 0)
+    found = sums.where(whole | (F.col("some") > 0)).select("query_id", "chunk_id", whole.alias("whole"), F.when(whole, F.col("all")).otherwise(F.col("any")).alias("score"))
+    # Chunks with all terms come first, and where there are any the others go.
+    order = Window.partitionBy("query_id").orderBy(F.desc("whole"), F.desc("score"), "chunk_id")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = best.withColumn("first", F.max("whole").over(Window.partitionBy("query_id")))
+    return best.where(F.col("whole") == F.col("first")).select("query_id", "chunk_id", "score", "rank")

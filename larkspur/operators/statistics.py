@@ -13,6 +13,9 @@ from larkspur.functions.text import index_terms, tokenize
 from larkspur.functions.vectors import smoothed_idf
 
 
+HEADING_TIMES = 3
+
+
 def _whole(chunks: DataFrame) -> F.Column:
     return F.concat_ws(" ", "heading", "content")
 
@@ -52,3 +55,29 @@ def with_idf(frequencies: DataFrame, chunks: DataFrame) -> DataFrame:
 def vocabulary(chunks: DataFrame) -> DataFrame:
     """(term, df, idf)."""
     return with_idf(document_frequency(chunks), chunks)
+
+
+def tokenized(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, words, tokens) of each chunk: the terms of the full-text index, and the expanded tokens with those of the heading three times, as vectors weigh them."""
+    return chunks.select("chunk_id", index_terms(_whole(chunks)).alias("words"), boosted_tokens().alias("tokens"))
+
+
+def boosted_tokens() -> F.Column:
+    """Tokens of a chunk with those of its heading three times."""
+    heading = tokenize(F.coalesce("heading", F.lit("")))
+    return F.concat(*[heading] * HEADING_TIMES, tokenize(F.coalesce("content", F.lit(""))))
+
+
+def postings_of(tokens: DataFrame) -> DataFrame:
+    """postings() of tokenized chunks."""
+    return tokens.select("chunk_id", F.explode("words").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+
+
+def frequencies_of(tokens: DataFrame) -> DataFrame:
+    """(chunk_id, term, tf) of tokenized chunks: each token's share."""
+    return term_frequency(tokens, F.col("tokens"), "chunk_id").select("chunk_id", "term", "tf")
+
+
+def frequency_of(tokens: DataFrame) -> DataFrame:
+    """document_frequency() of tokenized chunks."""
+    return tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))

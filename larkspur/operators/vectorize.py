@@ -8,22 +8,15 @@ from pyspark.sql import functions as F
 from larkspur.functions.text import hashed_dim, tokenize
 from larkspur.functions.vectors import smoothed_idf
 from larkspur.operators.lexical import top
-from larkspur.operators.statistics import term_frequency
+from larkspur.operators.statistics import boosted_tokens, term_frequency
 from larkspur.session import few, staged
 
 DIMS = 1024
 MIN_COSINE = 0.01
-HEADING_TIMES = 3
 VOCAB_ROWS = 1_000_000  # terms that may be broadcast
 ASKED_ROWS = 1_000_000  # cells of query vectors that may be broadcast
 
 
-def boosted_tokens() -> F.Column:
-    """Tokens of a chunk with those of its heading three times."""
-    heading = tokenize(F.coalesce("heading", F.lit("")))
-    return F.concat(*[heading] * HEADING_TIMES, tokenize(F.coalesce("content", F.lit(""))))
-
-
 def hashed(frequencies: DataFrame, vocab: DataFrame, default: DataFrame, key: str, dims: int = DIMS) -> DataFrame:
     """(key, dim, w): signed sums of tf * idf by dimension, of unit length. default(idf_default) is one row.
 
@@ -52,15 +45,34 @@ def chunk_vectors(chunks: DataFrame, vocab: DataFrame, dims: int = DIMS) -> Data
     return hashed(term_frequency(dealt, boosted_tokens(), "chunk_id"), vocab, default, "chunk_id", dims)
 
 
-def query_vectors(queries: DataFrame, vocab: DataFrame, vectors: DataFrame, dims: int = DIMS) -> DataFrame:
-    """(query_id, dim, w); unknown terms get the idf of a corpus ten chunks larger."""
-    default = vectors.select("chunk_id").distinct().agg(smoothed_idf(F.count("*") + 10, F.lit(0)).alias("idf_default"))
-    return hashed(term_frequency(queries, tokenize("query"), "query_id"), vocab, default, "query_id", dims)
+def vectors_of(frequencies: DataFrame, vocab: DataFrame, chunks: int, dims: int = DIMS) -> DataFrame:
+    """chunk_vectors() of stored frequencies(chunk_id, term, tf) in a corpus of so many chunks."""
+    default = frequencies.sparkSession.range(1).select(smoothed_idf(F.lit(chunks), F.lit(0)).alias("idf_default"))
+    return hashed(frequencies.repartition("chunk_id"), vocab, default, "chunk_id", dims)
+
 
+def query_vectors(queries: DataFrame, vocab: DataFrame, vectors: DataFrame, dims: int = DIMS, chunks: int | None = None) -> DataFrame:
+    """(query_id, dim, w); unknown terms get the idf of a corpus ten chunks larger. With `chunks`, their number is known and not counted."""
+    if chunks is None:
+        default = vectors.select("chunk_id").distinct().agg(smoothed_idf(F.count("*") + 10, F.lit(0)).alias("idf_default"))
+    else:
+        default = queries.sparkSession.range(1).select(smoothed_idf(F.lit(chunks + 10), F.lit(0)).alias("idf_default"))
+    asked = term_frequency(queries, tokenize("query"), "query_id")
+    vocab = staged(vocab.join(few(asked.select("term").distinct(), ASKED_ROWS), "term", "left_semi"), "asked_terms")
+    return hashed(asked, vocab, default, "query_id", dims)
 
-def vector_search(queries: DataFrame, vocab: DataFrame, vectors: DataFrame, k: int, dims: int = DIMS) -> DataFrame:
-    """(query_id, chunk_id, score, rank) by cosine, from MIN_COSINE on: a join on the few dimensions of a query, with the vectors dealt by chunk."""
-    asked = staged(query_vectors(queries, vocab, vectors, dims).withColumnRenamed("w", "qw"), "asked")
-    rows = vectors.repartition("chunk_id").join(few(asked, ASKED_ROWS), "dim")
+
+def vector_search(queries: DataFrame, vocab: DataFrame, vectors: DataFrame, k: int, dims: int = DIMS, chunks: int | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank) by cosine, from MIN_COSINE on: a join on the few dimensions of a query.
+
+    What the join leaves is summed where it stands before it is dealt by chunk.
+    Vectors stored by `part`, runs of 64 dimensions, are read for the parts that
+    the queries have.
+    """
+    asked = staged(query_vectors(queries, vocab, vectors, dims, chunks).withColumnRenamed("w", "qw"), "asked")
+    if "part" in vectors.columns:
+        parts = [r[0] for r in asked.select(F.floor(F.col("dim") / 64).cast("int")).distinct().collect()]  # dims / 64 at most
+        vectors = vectors.where(F.col("part").isin(parts)).drop("part")
+    rows = vectors.join(few(asked, ASKED_ROWS), "dim")
     scored = rows.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 9).alias("score"))
     return top(scored.where(F.col("score") >= MIN_COSINE), k)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from larkspur.operators.chunker import chunk
 from larkspur.operators.dense import dense_search
 from larkspur.operators.fusion import fuse
-from larkspur.operators.lexical import lexical_search
+from larkspur.operators.lexical import lexical_search, stored_search
 from larkspur.operators.maintain import chunk_id
 from larkspur.operators.statistics import chunk_lengths, postings, vocabulary
 from larkspur.operators.vectorize import DIMS, MIN_COSINE, chunk_vectors, vector_search
@@ -23,6 +23,7 @@ from larkspur.sources.provider import Embed, embed_rows
 OVERFETCH = 4
 DEFAULT_LIMIT, MAX_LIMIT = 5, 20
 CACHE_ENTRIES = 256
+FEW_QUERIES = 20  # whose results are looked up among the chunks by their ids
 
 
 def clamp(limit: int | None) -> int:
@@ -39,6 +40,9 @@ class Index:
     lengths: DataFrame
     vocab: DataFrame
     vectors: DataFrame
+    facts: tuple[int, int] | None = None  # of a stored index: the numbers of chunks and of their tokens,
+    terms: DataFrame | None = None  # the dictionary (term, n, range, seq),
+    ranged: Callable[[dict[int, list[int]]], DataFrame] | None = None  # and the postings of some of its ranges
 
     @staticmethod
     def build(documents: DataFrame, chunks: DataFrame, dims: int = DIMS) -> Index:
@@ -66,14 +70,20 @@ def search_batch(index: Index, queries: DataFrame, limit: int = DEFAULT_LIMIT, d
     """
     k = limit * OVERFETCH
     queries = queries.where("query is not null")
-    lexical = lexical_search(queries, index.postings, index.lengths, k)
+    lexical = stored_search(queries, index.terms, index.ranged, index.facts, k) if index.ranged else None
+    if lexical is None:
+        lexical = lexical_search(queries, index.postings, index.lengths, k)
     if embedded is not None and query_vectors is not None:
         vector = dense_search(query_vectors, embedded, k, MIN_COSINE)
     else:
-        vector = vector_search(queries, index.vocab, index.vectors, k, dims)
+        vector = vector_search(queries, index.vocab, index.vectors, k, dims, index.facts[0] if index.facts else None)
     # Texts are joined to the few rows that are left.
     best = fuse(lexical, vector, limit)
     chunks = index.chunks.select("chunk_id", "doc_id", "heading", "content")
+    if _small(queries, FEW_QUERIES):
+        rows = best.collect()  # limit rows for each of few queries
+        best = best.sparkSession.createDataFrame(rows, best.schema)
+        chunks = chunks.where(F.col("chunk_id").isin([r["chunk_id"] for r in rows]))
     return chunks.join(F.broadcast(best) if _small(queries) else best, "chunk_id").join(index.documents.select("doc_id", "path"), "doc_id").select("query_id", "rank", "chunk_id", "path", "heading", "content", "score", "label")
 
 

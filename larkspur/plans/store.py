@@ -1,108 +1,269 @@
-"""A corpus as numbered snapshots of Parquet tables.
-
-A snapshot is written to a folder of its own and counts once its meta table is
-there, which is written last; so readers never see half a snapshot, and a table
-is never overwritten while it is read. Each table is written once. Postings,
-lengths, term counts and vectors of a model are made anew only for documents
-that changed and carried over for the rest; hashed vectors weigh every term by
-the size of the corpus, so all of them follow each change.
+"""A corpus as a log of small segments.
+
+A change writes a segment: the documents it has put in place, what is derived
+from their chunks, and the ids of the documents it replaces or removes. It then
+claims the next version in the log, which lists the segments that count; where
+another writer has been faster, the change is made again from that writer's
+version, so no update is lost. Readers merge: rows of a segment whose document a
+later segment names are dead, counts are sums of the segments' differences. So
+an edit writes in proportion to its documents, whatever the size of the corpus.
+Neighbouring segments of a size are merged once there are FAN of them.
+
+Postings lie in ranges of terms, with a dictionary that says which; a search
+reads the ranges of its terms only. Hashed vectors weigh every term by the size
+of the corpus, so they are made for a version when it is first searched.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import math
+import time
+import uuid
 import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.functions.vectors import smoothed_idf
 from larkspur.operators import maintain, statistics
 from larkspur.operators.chunker import chunk
-from larkspur.operators.vectorize import DIMS, chunk_vectors
+from larkspur.operators.vectorize import DIMS, vectors_of
+from larkspur.plans.log import CommitLog, Taken
 from larkspur.plans.search import Index, Searcher
 from larkspur.schemas import CHUNKS, DOCUMENTS, EMBEDDED, SCHEMA_VERSION
 from larkspur.session import few, release, staged
 from larkspur.sources.provider import Embed, embed_missing
 
-TABLES = ("documents", "chunks", "postings", "lengths", "vocab", "vectors")
+SCHEMAS = {
+    "documents": DOCUMENTS,
+    "chunks": CHUNKS,
+    "postings": "term string, chunk_id long, tf long, n_tokens long, range int",
+    "terms": "term string, n long, range int",
+    "lengths": "chunk_id long, n_tokens long",
+    "frequencies": "chunk_id long, term string, tf double",
+    "vocab": "term string, df long",
+    "embedded": EMBEDDED,
+    "dead_documents": "doc_id long",
+    "dead_chunks": "doc_id long",
+}
+SUMMED = {"terms": "n", "vocab": "df"}  # tables that hold a segment's differences
 CHANGED_ROWS = 1_000_000  # ids of changed documents that may be broadcast
+RANGE_ROWS = 200_000  # postings of a term range
+FAN = 4  # neighbouring segments of a tier that are merged
+TIER_BYTES = 1 << 20  # of the lowest tier; each next one is FAN times as large
+ATTEMPTS = 20
 
 
 class Store:
-    """Snapshots below `root`. One writer at a time. With connect, of sources.provider, chunks have vectors of that model as well, and searches use them."""
+    """Segments and their log below `root`, for any number of writers. With connect, of sources.provider, chunks have vectors of that model as well, and searches use them."""
 
     def __init__(self, spark: SparkSession, root: str, dims: int = DIMS, fence_aware: bool = False, connect: Callable[[], Embed] | None = None):
         self.spark, self.root, self.dims, self.fence_aware, self.connect = spark, root.rstrip("/"), dims, fence_aware, connect
+        self.log = CommitLog(spark, f"{self.root}/log")
         self._searcher: Searcher | None = None
-        version = self.version()
-        if version:
-            found = spark.read.parquet(f"{self._at(version)}/meta").first()["schema_version"]
-            if found > SCHEMA_VERSION:
-                raise ValueError(f"snapshot has schema {found}; this library reads up to {SCHEMA_VERSION}")
+        self.record()
 
-    def _at(self, version: int) -> str:
-        return f"{self.root}/{version:08d}"
+    # ------------------------------------------------------------- versions
 
-    def _snapshots(self) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/*/meta/_SUCCESS")
-        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
-        return sorted(int(f.getPath().getParent().getParent().getName()) for f in found or [])
+    def record(self) -> dict | None:
+        """The latest version: its number, its segments from old to new, and the number of chunks and of their tokens."""
+        found = self.log.latest()
+        if found and found["schema"] > SCHEMA_VERSION:
+            raise ValueError(f"snapshot has schema {found['schema']}; this library reads up to {SCHEMA_VERSION}")
+        return found
 
     def version(self) -> int:
-        """The latest whole snapshot, 0 for none."""
-        return max(self._snapshots(), default=0)
+        """The latest version, 0 for none."""
+        return max(self.log.numbers(), default=0)
+
+    def _commit(self, make: Callable[[dict | None], dict | None]) -> int:
+        """Add the segment that make(latest version) writes; again from the start if another writer takes the next number first. None changes nothing."""
+        for attempt in range(ATTEMPTS):
+            base = self.record()
+            made = make(base)
+            if made is None:
+                return base["version"] if base else 0
+            segment = made["segment"]
+            version = base["version"] + 1 if base else 1
+            record = {"version": version, "schema": SCHEMA_VERSION, "segments": [*(base["segments"] if base else []), segment | {"seq": version}]}
+            for key in ("chunks", "tokens"):
+                record[key] = (base[key] if base else 0) + made[key]
+            try:
+                self.log.append(record)
+            except Taken:
+                self.log.delete(self._at(segment["id"]))
+                time.sleep(0.05 * attempt)
+                continue
+            self._searcher = None
+            self._compact()
+            return version
+        raise TimeoutError(f"other writers were faster {ATTEMPTS} times")
+
+    def _at(self, segment: str) -> str:
+        return f"{self.root}/segments/{segment}"
+
+    # -------------------------------------------------------------- reading
+
+    def _read(self, name: str, segments: list[dict]) -> DataFrame | None:
+        """Rows of the segments that have the table, with `seq`."""
+        out = None
+        for s in segments:
+            if name in s["tables"]:
+                rows = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self._at(s['id'])}/{name}").withColumn("seq", F.lit(s["seq"]))
+                out = rows if out is None else out.unionByName(rows)
+        return out
+
+    def _live(self, rows: DataFrame, name: str, record: dict) -> DataFrame:
+        """Without the rows of documents that a later segment names."""
+        kind = "dead_documents" if name == "documents" else "dead_chunks"
+        dead = self._read(kind, record["segments"])
+        if dead is None:
+            return rows.drop("seq")
+        dead = dead.groupBy(F.col("doc_id").alias("_doc")).agg(F.max("seq").alias("_seq"))
+        own = F.col("doc_id") if name in ("documents", "chunks") else F.shiftright("chunk_id", maintain.CHUNK_BITS)
+        small = sum(s[kind] for s in record["segments"]) <= CHANGED_ROWS
+        return rows.join(F.broadcast(dead) if small else dead, (own == F.col("_doc")) & (F.col("seq") < F.col("_seq")), "left_anti").drop("seq")
+
+    def _merged(self, name: str, record: dict, segments: list[dict] | None = None, only: F.Column | None = None) -> DataFrame:
+        """A table as the record has it, of all or some segments; `only` is a condition on the stored rows."""
+        rows = self._read(name, record["segments"] if segments is None else segments)
+        if rows is None:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        if only is not None:
+            rows = rows.where(only)
+        if name not in SUMMED:
+            return self._live(rows, name, record)
+        value = SUMMED[name]
+        return rows.groupBy("term").agg(F.sum(value).alias(value)).where(f"{value} > 0")
 
     def table(self, name: str) -> DataFrame:
-        version = self.version()
-        if version and (name != "embedded" or self._has(version, name)):
-            return self.spark.read.parquet(f"{self._at(version)}/{name}")
-        return self.spark.createDataFrame([], {"documents": DOCUMENTS, "chunks": CHUNKS, "embedded": EMBEDDED}[name])
+        """A table of the latest version: documents, chunks, postings, lengths, vocab, terms, frequencies, vectors or embedded."""
+        record = self.record()
+        if record is None:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        if name == "vectors":
+            return self._vectors(record).drop("part")
+        rows = self._merged(name, record)
+        if name == "vocab":
+            return rows.withColumn("idf", smoothed_idf(F.lit(record["chunks"]), "df"))
+        return rows.select("term", "chunk_id", "tf") if name == "postings" else rows
 
-    def _has(self, version: int, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._at(version)}/{name}/_SUCCESS")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+    def _vectors(self, record: dict) -> DataFrame:
+        """(chunk_id, dim, w, part) of a version, made when it is first asked for; part is a run of dimensions."""
+        at = f"{self.root}/vectors/{record['version']:08d}"
+        if not self.log.exists(at):
+            draft = f"{self.root}/vectors/.{uuid.uuid4().hex}"
+            vocab = self._merged("vocab", record).withColumn("idf", smoothed_idf(F.lit(record["chunks"]), "df"))
+            vectors = vectors_of(self._merged("frequencies", record), vocab, record["chunks"], self.dims)
+            vectors.withColumn("part", F.floor(F.col("dim") / 64).cast("int")).write.partitionBy("part").parquet(draft)
+            self.log.system(at).rename(self.log.path(draft), self.log.path(at))
+            if self.log.exists(draft):  # another reader was faster
+                self.log.delete(draft)
+        return self.spark.read.schema("chunk_id long, dim int, w double, part int").parquet(at)
 
-    def _write(self, documents: DataFrame, chunks: DataFrame, changed: DataFrame) -> int:
-        """A snapshot of these tables; changed(doc_id) are documents whose chunks are not those of the latest one, or are gone."""
-        before, version = self.version(), self.version() + 1
+    # -------------------------------------------------------------- writing
+
+    def _segment(self, base: dict | None, documents: DataFrame, chunks: DataFrame, dead_documents: DataFrame | None, dead_chunks: DataFrame | None) -> dict:
+        """Write a segment of these documents and chunks; the dead are (doc_id) whose older rows no longer count."""
+        segment, tables, dead = uuid.uuid4().hex, [], {"dead_documents": 0, "dead_chunks": 0}
 
         def put(df: DataFrame, name: str) -> DataFrame:
-            df.write.mode("overwrite").parquet(f"{self._at(version)}/{name}")  # what a writer that failed has left goes
-            return self.spark.read.schema(df.schema).parquet(f"{self._at(version)}/{name}")
+            by = ["range"] if name == "postings" else []
+            df.write.partitionBy(*by).parquet(f"{self._at(segment)}/{name}")
+            tables.append(name)
+            return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self._at(segment)}/{name}")
 
-        changed = staged(changed.select("doc_id").distinct(), "changed")
+        if base and self.connect:
+            known, changed_model = self._known(base)
+            if changed_model:  # all chunks are embedded again, so all are written again
+                gone = self._merged("chunks", base)
+                keep = gone.join(dead_chunks, "doc_id", "left_anti") if dead_chunks is not None else gone
+                chunks, dead_chunks = chunks.unionByName(keep.select(chunks.columns)), gone.select("doc_id")
+        for name, ids in (("dead_documents", dead_documents), ("dead_chunks", dead_chunks)):
+            if base and ids is not None:
+                dead[name] = put(ids.select("doc_id").distinct(), name).count()
         put(documents, "documents")
         chunks = put(chunks, "chunks")
-        new = chunks.join(few(changed, CHANGED_ROWS), "doc_id", "left_semi") if before else chunks
-        postings, lengths, counts = statistics.postings(new), statistics.chunk_lengths(new), statistics.document_frequency(new)
-        if before:
+        # Texts are tokenised once, here.
+        tokens = staged(statistics.tokenized(chunks), "tokens")
+        lengths = put(tokens.select("chunk_id", F.size("words").cast("long").alias("n_tokens")), "lengths")
+        put(statistics.frequencies_of(tokens), "frequencies")
+        facts = tokens.agg(F.count("*").alias("chunks"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.size(F.array_distinct("words"))), F.lit(0)).alias("postings")).first()
+        postings = statistics.postings_of(tokens).join(lengths, "chunk_id")
+        ranges = facts["postings"] // RANGE_ROWS + 1
+        # Chunks are part of the order, so that a term of very many chunks has several ranges.
+        postings = postings.repartitionByRange(ranges, "term", "chunk_id").sortWithinPartitions("term", "chunk_id").withColumn("range", F.spark_partition_id())
+        postings = put(postings.select("term", "chunk_id", "tf", "n_tokens", "range"), "postings")
+        terms = postings.groupBy("term", "range").agg(F.count("*").alias("n")).select("term", "n", "range")
+        vocab = statistics.frequency_of(tokens)
+        made = {"chunks": facts["chunks"], "tokens": facts["tokens"]}
+        if base and dead["dead_chunks"]:
             own = F.shiftright("chunk_id", maintain.CHUNK_BITS) == F.col("doc_id")
-            stay = lambda name: self.table(name).join(few(changed, CHANGED_ROWS), own, "left_anti")
-            postings, lengths = stay("postings").unionByName(postings), stay("lengths").unionByName(lengths)
-            gone = statistics.document_frequency(self.table("chunks").join(few(changed, CHANGED_ROWS), "doc_id", "left_semi"))
-            parts = self.table("vocab").select("term", "df").unionByName(counts).unionByName(gone.select("term", (-F.col("df")).alias("df")))
-            counts = parts.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
-        # Sorted by term, so that look-ups of few terms skip row groups.
-        put(postings.repartitionByRange("term").sortWithinPartitions("term"), "postings")
-        put(lengths, "lengths")
-        vocab = put(statistics.with_idf(counts, chunks), "vocab")
-        put(chunk_vectors(chunks, vocab, self.dims), "vectors")
+            ids = self.spark.read.schema(SCHEMAS["dead_chunks"]).parquet(f"{self._at(segment)}/dead_chunks")
+            gone = lambda name: self._merged(name, base).join(F.broadcast(ids) if dead["dead_chunks"] <= CHANGED_ROWS else ids, own, "left_semi")
+            old = gone("lengths").agg(F.count("*").alias("chunks"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
+            made = {k: made[k] - old[k] for k in made}
+            terms = terms.unionByName(gone("postings").groupBy("term").agg((-F.count("*")).alias("n")).select("term", "n", F.lit(None).cast("int").alias("range")))
+            vocab = vocab.unionByName(gone("frequencies").groupBy("term").agg((-F.count("*")).alias("df"))).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
+        # Sorted, so that a prefix skips row groups.
+        put(terms.repartitionByRange("term").sortWithinPartitions("term"), "terms")
+        put(vocab, "vocab")
         if self.connect:
-            put(embed_missing(chunks, self._known(), self.connect), "embedded")
-        put(self.spark.createDataFrame([(SCHEMA_VERSION, version)], "schema_version int, version long").coalesce(1), "meta")
-        self._searcher = None
-        return version
+            put(embed_missing(chunks, known if base else self.spark.createDataFrame([], EMBEDDED), self.connect), "embedded")
+        return made | {"segment": {"id": segment, "tables": tables, "bytes": self.log.bytes(self._at(segment))} | dead}
+
+    def _compact(self) -> None:
+        """Merge the latest segments of one tier where there are FAN of them; another writer's version in between leaves it for later."""
+        base = self.record()
+        tiers = [int(math.log(max(1.0, s["bytes"] / TIER_BYTES), FAN)) for s in base["segments"]]
+        run = 0
+        while run < len(tiers) and tiers[-1 - run] <= max(tiers[-FAN:]):
+            run += 1
+        if len(tiers) < FAN or run < FAN:
+            return
+        run_of, rest = base["segments"][-run:], base["segments"][:-run]
+        segment, tables = uuid.uuid4().hex, []
+
+        def put(df: DataFrame, name: str, *by: str) -> None:
+            df.write.partitionBy(*by).parquet(f"{self._at(segment)}/{name}")
+            tables.append(name)
+
+        for name in SCHEMAS:
+            if not any(name in s["tables"] for s in run_of) or name in ("terms", "postings"):
+                continue
+            if name.startswith("dead_"):
+                if rest:  # nothing is older than the first segment
+                    put(self._read(name, run_of).select("doc_id").distinct(), name)
+            elif name in SUMMED:
+                put(self._read(name, run_of).groupBy("term").agg(F.sum(SUMMED[name]).alias(SUMMED[name])).where(f"{SUMMED[name]} <> 0"), name)
+            else:
+                put(self._merged(name, base, run_of), name)
+        postings = staged(self._merged("postings", base, run_of).drop("range"), "merged")
+        ranges = postings.count() // RANGE_ROWS + 1
+        put(postings.repartitionByRange(ranges, "term", "chunk_id").sortWithinPartitions("term", "chunk_id").withColumn("range", F.spark_partition_id()), "postings", "range")
+        own = self.spark.read.schema(SCHEMAS["postings"]).parquet(f"{self._at(segment)}/postings").groupBy("term", "range").agg(F.count("*").alias("n"))
+        # What the merged segments add up to, less what the postings show, is owed to older segments.
+        sums = self._read("terms", run_of).groupBy("term").agg(F.sum("n").alias("n")).unionByName(own.groupBy("term").agg((-F.sum("n")).alias("n")))
+        owed = sums.groupBy("term").agg(F.sum("n").alias("n")).where("n <> 0").select("term", "n", F.lit(None).cast("int").alias("range"))
+        put(own.select("term", "n", "range").unionByName(owed).repartitionByRange("term").sortWithinPartitions("term"), "terms")
+        dead = {k: sum(s[k] for s in run_of) if k in tables else 0 for k in ("dead_documents", "dead_chunks")}
+        merged = {"id": segment, "tables": tables, "bytes": self.log.bytes(self._at(segment)), "seq": run_of[-1]["seq"]} | dead
+        try:
+            self.log.append(base | {"version": base["version"] + 1, "segments": [*rest, merged]})
+        except Taken:
+            self.log.delete(self._at(segment))
 
-    def _known(self) -> DataFrame:
-        """Stored vectors of the model; none of them, with a warning, if the model now gives vectors of another length."""
-        known = self.table("embedded")
+    def _known(self, base: dict) -> tuple[DataFrame, bool]:
+        """Stored vectors of the model, and whether the model now gives vectors of another length: none of them count then, with a warning."""
+        known = self._merged("embedded", base)
         probe = self.connect()(["probe"])[0]
         row = known.where("vector is not null").select(F.size("vector").alias("n")).first()
         if row and probe is not None and row["n"] != len(probe):
             warnings.warn(f"stored vectors have {row['n']} dimensions, the model gives {len(probe)}: all chunks are embedded again", stacklevel=3)
-            return known.limit(0)
-        return known
+            return known.limit(0), True
+        return known, row is None  # without any vector so far all chunks are due
 
     def _rows(self, files: DataFrame) -> tuple[DataFrame, DataFrame]:
         """files(path, body) with one body a path, and their chunks by path."""
@@ -123,67 +284,130 @@ class Store:
         return documents, staged(chunks, "chunks")
 
     def ingest(self, files: DataFrame, now: dt.datetime | None = None) -> int:
-        """Make the corpus hold exactly these files(path, body); returns the snapshot.
+        """Make the corpus hold exactly these files(path, body); returns the version.
 
         Ids of known paths stay. Files without chunks are left out and files
-        that are gone are pruned, but without any file nothing changes.
+        that are gone are pruned, but without any file nothing changes. Chunks
+        are written for the files that have changed.
         """
         _, rows = self._rows(files)
         if rows.isEmpty():
             return self.version()
-        documents, fresh = self._numbered(rows, now)
-        old = self.table("chunks")
-        changed = staged(maintain.changed(old, fresh), "changed")
-        chunks = maintain.upsert(maintain.prune(old, documents, "doc_id"), fresh.join(few(changed, CHANGED_ROWS), "doc_id", "left_semi"), "doc_id")
-        return self._write(documents, chunks, changed)
+
+        def make(base: dict | None) -> dict:
+            documents, fresh = self._numbered(rows, now)
+            if base is None:
+                return self._segment(None, documents, fresh, None, None)
+            old = self._merged("chunks", base)
+            changed = staged(maintain.changed(old, fresh), "changed")
+            return self._segment(base, documents, fresh.join(few(changed, CHANGED_ROWS), "doc_id", "left_semi"), self._merged("documents", base), changed)
+
+        return self._commit(make)
 
     def update(self, files: DataFrame, now: dt.datetime | None = None) -> int:
-        """Put these files(path, body) in place of those of the same paths and keep all others; returns the snapshot. A file without chunks is deleted."""
+        """Put these files(path, body) in place of those of the same paths and keep all others; returns the version. A file without chunks is deleted; files that are as they were change nothing."""
         files, rows = self._rows(files)
-        before = self.table("documents")
-        own = staged(before.join(files.select("path"), "path", "left_semi"), "own")
-        if rows.isEmpty() and own.isEmpty():
-            return self.version()
-        documents, fresh = self._numbered(rows, now)
-        left, chunks = maintain.cascade_delete(before, self.table("chunks"), own)
-        return self._write(maintain.upsert(left, documents, "doc_id"), maintain.upsert(chunks, fresh, "doc_id"), own.select("doc_id").unionByName(documents.select("doc_id")))
+
+        def make(base: dict | None) -> dict | None:
+            before = self.table("documents")
+            own = staged(before.join(few(files.select("path"), CHANGED_ROWS), "path", "left_semi").select("doc_id", "path"), "own")
+            documents, fresh = self._numbered(rows, now)
+            old = self.table("chunks").join(few(own.select("doc_id"), CHANGED_ROWS), "doc_id", "left_semi")
+            changed = staged(maintain.changed(old, fresh), "changed")
+            if changed.isEmpty():
+                return None
+            mine = few(changed, CHANGED_ROWS)
+            return self._segment(base, documents.join(mine, "doc_id", "left_semi"), fresh.join(mine, "doc_id", "left_semi"), changed, changed)
+
+        return self._commit(make)
+
+    def remove(self, paths: DataFrame) -> int:
+        """Remove the documents of paths(path); returns the version. Unknown paths change nothing."""
+        paths = staged(paths.select("path").distinct(), "paths")
+
+        def make(base: dict | None) -> dict | None:
+            own = staged(self.table("documents").join(few(paths, CHANGED_ROWS), "path", "left_semi").select("doc_id"), "own")
+            if base is None or own.isEmpty():
+                return None
+            none = lambda name: self.spark.createDataFrame([], SCHEMAS[name])
+            return self._segment(base, none("documents"), none("chunks"), own, own)
+
+        return self._commit(make)
 
     def write_chunk(self, path: str, heading: str, content: str, now: dt.datetime | None = None) -> int:
-        """Replace the chunk of this path and non-empty heading, or append one; a new document has the heading as its title."""
-        documents, chunks = self.table("documents"), self.table("chunks")
-        own = documents.where(F.col("path") == path).select("doc_id").first()
-        doc = own["doc_id"] if own else (documents.agg(F.max("doc_id")).first()[0] or 0) + 1
-        if own is None:
+        """Replace the chunk of this path and non-empty heading, or append one; a new document has the heading as its title. Writes the one document."""
+
+        def make(base: dict | None) -> dict:
+            documents, chunks = self.table("documents"), self.table("chunks")
+            own = documents.where(F.col("path") == path).first()
+            doc = own["doc_id"] if own else (documents.agg(F.max("doc_id")).first()[0] or 0) + 1
             stamp = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-            documents = maintain.upsert(documents, self.spark.createDataFrame([(doc, path, heading, stamp)], DOCUMENTS), "path")
-        mine = chunks.where(F.col("doc_id") == doc)
-        hit = mine.where(F.col("heading") == heading).agg(F.min("chunk_idx")).first()[0] if heading else None
-        last = maintain.next_chunk_idx(mine).first() if hit is None else None
-        at = hit if hit is not None else last["next_idx"] if last else 0
-        row = self.spark.createDataFrame([(doc, at, heading, content)], "doc_id long, chunk_idx int, heading string, content string")
-        return self._write(documents, maintain.upsert(chunks, row.select(maintain.chunk_id().alias("chunk_id"), "*"), "chunk_id"), row)
+            mine = chunks.where(F.col("doc_id") == doc)
+            hit = mine.where(F.col("heading") == heading).agg(F.min("chunk_idx")).first()[0] if heading else None
+            last = maintain.next_chunk_idx(mine).first() if hit is None else None
+            at = hit if hit is not None else last["next_idx"] if last else 0
+            row = self.spark.createDataFrame([(doc, at, heading, content)], "doc_id long, chunk_idx int, heading string, content string")
+            whole = staged(maintain.upsert(mine, row.select(maintain.chunk_id().alias("chunk_id"), "*"), "chunk_id"), "whole")
+            new = self.spark.createDataFrame([tuple(own) if own else (doc, path, heading, stamp)], DOCUMENTS)
+            ids = row.select("doc_id")
+            return self._segment(base, new, whole, ids, ids)
+
+        return self._commit(make)
 
     def delete(self, path: str) -> int:
         """Remove a document; returns the number of its chunks. KeyError for an unknown path."""
-        documents, chunks = self.table("documents"), self.table("chunks")
-        own = documents.where(F.col("path") == path)
-        if own.isEmpty():
-            raise KeyError(f"not found: {path}")
-        removed = chunks.join(F.broadcast(own.select("doc_id")), "doc_id", "left_semi").count()
-        self._write(*maintain.cascade_delete(documents, chunks, own), own)
+        removed = 0
+
+        def make(base: dict | None) -> dict:
+            nonlocal removed
+            own = self.table("documents").where(F.col("path") == path).select("doc_id").first()
+            if own is None:
+                raise KeyError(f"not found: {path}")
+            ids = self.spark.createDataFrame([(own["doc_id"],)], "doc_id long")
+            removed = self.table("chunks").where(F.col("doc_id") == own["doc_id"]).count()
+            none = lambda name: self.spark.createDataFrame([], SCHEMAS[name])
+            return self._segment(base, none("documents"), none("chunks"), ids, ids)
+
+        self._commit(make)
         return removed
 
+    # ------------------------------------------------------------ searching
+
     def list(self, prefix: str = "") -> DataFrame:
         return maintain.list_documents(self.table("documents"), self.table("chunks"), prefix).orderBy(F.desc("ingested_at"), "path")
 
+    def page(self, prefix: str = "", after: str = "", size: int = 100) -> DataFrame:
+        """The first `size` documents of the list by path that come after a path: the last path of a page begins the next one. Chunks are read for those only."""
+        documents = self.table("documents").where(F.col("path").startswith(prefix) & (F.col("path") > after)).orderBy("path").limit(size)
+        documents = staged(documents, "page")
+        own = self.table("chunks").join(few(documents.select("doc_id"), CHANGED_ROWS), "doc_id", "left_semi")
+        return maintain.list_documents(documents, own).orderBy("path")
+
     def index(self) -> Index:
-        """The tables of the latest snapshot."""
-        if not self.version():
+        """The tables of the latest version, with what a search of few queries reads instead of whole tables."""
+        record = self.record()
+        if record is None or not record["chunks"]:
             raise LookupError("the corpus is empty")
-        return Index(**{name: self.table(name) for name in TABLES})
+        names = ("documents", "chunks", "lengths")
+        vocab = self._merged("vocab", record).withColumn("idf", smoothed_idf(F.lit(record["chunks"]), "df"))
+        postings = self._merged("postings", record)
+        whole = Index(**{n: self._merged(n, record) for n in names}, vocab=vocab, postings=postings.select("term", "chunk_id", "tf"), vectors=self._vectors(record))
+        whole.facts = (record["chunks"], record["tokens"])
+        whole.terms = self._read("terms", record["segments"])
+        whole.ranged = lambda wanted: self._ranged(record, wanted)
+        return whole
+
+    def _ranged(self, record: dict, wanted: dict[int, list[int]]) -> DataFrame:
+        """Postings of the term ranges of each segment, by `seq`; the other ranges are not listed."""
+        out = None
+        for s in record["segments"]:
+            if wanted.get(s["seq"]):
+                rows = self._read("postings", [s]).where(F.col("range").isin(wanted[s["seq"]]))
+                out = rows if out is None else out.unionByName(rows)
+        return self.spark.createDataFrame([], SCHEMAS["postings"]) if out is None else self._live(out, "postings", record)
 
     def searcher(self) -> Searcher:
-        """A searcher over the latest snapshot; a new snapshot has a new one, so no stale result is kept."""
+        """A searcher over the latest version; a new version has a new one, so no stale result is kept."""
         version = self.version()
         if self._searcher is None or self._searcher.snapshot != str(version):
             embedded = self.table("embedded") if self.connect else None
@@ -191,11 +415,17 @@ class Store:
         return self._searcher
 
     def vacuum(self, keep: int = 2) -> int:
-        """Delete all but the latest `keep` snapshots; returns how many. Nobody may read those any more."""
-        old = self._snapshots()[: -max(1, keep)]
-        for version in old:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(self._at(version))
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        """Delete all but the latest `keep` versions and what only they read; returns how many. Nobody may read those any more, nor write meanwhile."""
+        numbers = self.log.numbers()
+        old, stay = numbers[: -max(1, keep)], numbers[-max(1, keep) :]
+        live = {s["id"] for n in stay for s in self.log.read(n)["segments"]}
+        for n in old:
+            self.log.forget(n)
+        files = self.log.system(self.root)
+        for folder, used in (("segments", live), ("vectors", {f"{n:08d}" for n in stay})):
+            for f in files.globStatus(self.log.path(f"{self.root}/{folder}/*")) or []:
+                if f.getPath().getName() not in used:
+                    files.delete(f.getPath(), True)
         return len(old)
 
     def close(self) -> None:

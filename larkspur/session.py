@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import functools
 import tempfile
 import uuid
+from collections.abc import Sequence
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +20,45 @@ def build(app: str = "larkspur", **options: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-_made: dict[str, list[str]] = {}  # staged tables by application
+_made: dict[str, list[str]] = {}  # staged tables by application, for release()
+_scope: ContextVar[Scope | None] = ContextVar("scope", default=None)
+
+
+class Scope:
+    """The tables that one call has staged, in its own thread, and so may delete: nothing that other code has staged is among them."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scope:
+        self._token = _scope.set(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _scope.reset(self._token)
+        outer = _scope.get()
+        if outer is not None:
+            outer.paths += self.paths
+
+    def drop(self, spark: SparkSession, keep: DataFrame | None = None) -> None:
+        """Delete the tables but for those that `keep` reads; what still reads the others can no longer run."""
+        read = keep.inputFiles() if keep is not None else []
+        gone = [p for p in self.paths if not any(f"{p.removeprefix('file://').removeprefix('file:')}/" in f for f in read)]
+        _drop(spark, gone)
+        self.paths = [p for p in self.paths if p not in gone]
+        made = _made.get(spark.sparkContext.applicationId, [])
+        made[:] = [p for p in made if p not in gone]
+
+
+def scoped(function):
+    """The function's staged tables are a scope of their own, from which `restaged` deletes."""
+
+    @functools.wraps(function)
+    def run(*args, **options):
+        with Scope():
+            return function(*args, **options)
+
+    return run
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,42 +78,31 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if (own := _scope.get()) is not None:
+        own.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def mark(spark: SparkSession) -> int:
-    """A place in the list of staged tables, for `restaged` and `drop_since`."""
-    return len(_made.get(spark.sparkContext.applicationId, []))
-
-
 def _drop(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    # Spark deletes the shuffle files of a finished step when the driver has collected its plan.
-    gc.collect()
-    spark._jvm.System.gc()
 
 
-def restaged(df: DataFrame, name: str, since: int) -> DataFrame:
-    """Stage df and delete the tables staged since a mark, which df was made from and nothing else may read any more."""
-    spark = df.sparkSession
+def restaged(df: DataFrame, name: str, stay: Sequence[DataFrame] = ()) -> DataFrame:
+    """Stage df and delete what the scope has staged before it, which df was made from, but for what `stay` reads."""
+    own = _scope.get()
+    before = list(own.paths) if own is not None else []
     out = staged(df, name)
-    made = _made[spark.sparkContext.applicationId]
-    _drop(spark, made[since:-1])
-    del made[since:-1]
+    if own is not None:
+        read = [f for kept in stay for f in kept.inputFiles()]
+        gone = Scope()
+        gone.paths = [p for p in before if not any(f"{p.removeprefix('file://').removeprefix('file:')}/" in f for f in read)]
+        own.paths = [p for p in own.paths if p not in gone.paths]
+        gone.drop(df.sparkSession)
     return out
 
 
-def drop_since(spark: SparkSession, since: int, upto: int, keep: DataFrame | None = None) -> None:
-    """Delete the tables staged between two marks, but for those that `keep` reads."""
-    made = _made.get(spark.sparkContext.applicationId, [])
-    read = keep.inputFiles() if keep is not None else []
-    gone = [p for p in made[since:upto] if not any(f"{p.removeprefix('file://').removeprefix('file:')}/" in f for f in read)]
-    _drop(spark, gone)
-    made[:] = [p for p in made if p not in gone]
-
-
 def few(df: DataFrame, most: int) -> DataFrame:
     """df, to be broadcast if it is counted and has `most` rows at most; a table that is larger is joined by a shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
