@@ -3,13 +3,14 @@
 Every stage takes any table with the columns of documents, and more, whatever
 their names, and passes all columns on: null and empty texts stay unless a
 stage says otherwise, rows without an id are never lost for it, equal rows are
-judged alike and an empty table gives an empty one. A stage deletes what the one
-before has staged, as its result is written by then.
+judged alike and an empty table gives an empty one. A stage deletes what earlier
+stages have staged in its thread: their results must be written by then.
 """
 
 from __future__ import annotations
 
 import functools
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,21 +21,22 @@ from larkspur.llm.decontaminate import without_contaminated
 from larkspur.llm.ngram_jaccard import one_of_each
 from larkspur.llm.quality import of_quality
 from larkspur.llm.unit_dedup import cut_repeats
-from larkspur.session import drop_since, mark, staged
+from larkspur.session import Scope, staged
 
-
-_left: dict[str, tuple[int, int]] = {}  # the tables that the last stage of an application has staged
+_left = threading.local()  # scopes of the stages that this thread has called, by their place in STAGES
 
 
 def stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        app = spark.sparkContext.applicationId
-        if app in _left:
-            drop_since(spark, *_left.pop(app), keep=docs)
-        since = mark(spark)
-        out = function(spark, docs, sf_dir)
-        _left[app] = (since, mark(spark))
+        place = [f.__name__ for _, f in STAGES].index(function.__name__)
+        scopes = getattr(_left, "scopes", [])
+        for earlier, scope in scopes:
+            if earlier < place:
+                scope.drop(spark, keep=docs)
+        with Scope() as own:
+            out = function(spark, docs, sf_dir)
+        _left.scopes = [*((k, s) for k, s in scopes if k >= place), (place, own)]
         return out
 
     return run_stage
@@ -81,7 +83,7 @@ STAGES = [
     ("tokenize", tokenize),
 ]
 
-#: The classifier and the alignment have no SQL form; tests/llm/ holds run() against brute force.
+#: The classifier and the alignment have no SQL form; tests/llm/ holds the stages against brute force.
 ORACLE_SQL = None
 
 
