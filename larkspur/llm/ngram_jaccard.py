@@ -1,10 +1,10 @@
 """N-gram Jaccard join by vertical partitioning.
 
 The global order of n-grams is the order of their 64-bit hashes. For each size
-class this order is cut into fragments, a few more than the largest symmetric
-difference that a pair at the threshold can have; so such a pair agrees on at
-least one whole fragment, and documents that agree on a fragment meet in its
-bucket. There the parities of their n-grams in some bins, about a bit for each
+class this order is cut into fragments, so many that a set fills more of them
+than the largest symmetric difference that a pair at the threshold can have; so
+such a pair agrees on at least one filled fragment, and documents that agree on
+a filled fragment meet in its bucket. There the parities of their n-grams in some bins, about a bit for each
 n-gram, bound the symmetric difference from below; pairs within the bound are
 candidates, and their components are clusters. In each cluster the overlap of
 pairs is counted fragment by fragment and summed per pair, and the exact ratio
@@ -20,16 +20,18 @@ components are all tested.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import keep_rows_of, lean, mix, shingle_sets, staged, text_chunks
 from larkspur.llm.graph import components
-from larkspur.session import few, mark, restaged
+from larkspur.session import few, restaged, scoped
 
 CLASS_RATIO = 1.5  # sizes of one class, largest to smallest
 BLOCK_DOCS = 512  # documents of a block
@@ -48,8 +50,37 @@ def size_classes(largest: int) -> list[int]:
     return ends
 
 
+@functools.cache
+def fragments_of(tag: int, num: int, den: int) -> tuple[int, int]:
+    """(most, fragments) of a size class: the largest symmetric difference of a pair whose smaller set is in it, and so many fragments that a set of the class fills more than `most` of them, by four standard deviations."""
+    low = class_start(tag)
+    upper = max(low + 1, int(low * CLASS_RATIO)) - 1
+    most = upper * (den - num) // num
+    m = most + 1
+    while m < 64 * upper:
+        empty = (1 - 1 / m) ** low
+        if m * (1 - empty) - 4 * math.sqrt(m * empty * (1 - empty)) > most:
+            break
+        m += 1 + m // 16
+    return most, m
+
+
+def class_start(tag: int) -> int:
+    """The lower end of a class."""
+    end = 1
+    for _ in range(tag):
+        end = max(end + 1, int(end * CLASS_RATIO))
+    return end
+
+
 def fragment_keys(grams: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of the fragments of one sorted n-gram set: equal keys mean equal fragments of one size class."""
+    """Keys of the filled fragments of one sorted n-gram set: equal keys mean equal fragments of one size class.
+
+    Of a pair at the threshold at most `most` fragments differ, so it agrees on a
+    filled one if either set fills more than that. A set that does not has the
+    keys of its single n-grams as well, of which there are more than `most`, and
+    so a pair of two such sets meets there. Empty fragments have no keys.
+    """
     n = len(grams)
     if not n:
         return np.zeros(0, np.uint64)
@@ -57,18 +88,15 @@ def fragment_keys(grams: np.ndarray, num: int, den: int) -> np.ndarray:
     tag_of = lambda size: int(np.searchsorted(ends, size, side="right")) - 1
     mixed, high, out = mix(grams), grams >> np.uint64(32), []
     for tag in range(tag_of(max(1, -(-num * n // den))), tag_of(n) + 1):
-        upper = max(ends[tag] + 1, int(ends[tag] * CLASS_RATIO)) - 1
-        most = upper * (den - num) // num  # symmetric difference of a pair with its smaller set in this class
+        most, m = fragments_of(tag, num, den)
         if not most:
             continue  # only equal sets reach the threshold, and those are one class already
-        slack = most // 64 + (most >= 8)
-        m = most + 1 + slack
+        salt = np.uint64(0xD1B54A32D192ED03 * (tag + 1) % (1 << 64))
         cut = np.searchsorted((high * np.uint64(m)) >> np.uint64(32), np.arange(m + 1, dtype=np.uint64))
         filled = np.flatnonzero(cut[1:] > cut[:-1])
-        sums = np.zeros(m, np.uint64)
-        sums[filled] = np.add.reduceat(mixed, cut[:-1][filled])
-        which = filled if m - len(filled) <= slack else np.arange(m)  # sets with more empty fragments than slack agree on those too
-        out.append(mix(sums[which] + np.uint64(0x9E3779B97F4A7C15) * which.astype(np.uint64) + np.uint64(0xD1B54A32D192ED03 * (tag + 1) % (1 << 64))))
+        out.append(mix(np.add.reduceat(mixed, cut[:-1][filled]) + np.uint64(0x9E3779B97F4A7C15) * filled.astype(np.uint64) + salt))
+        if len(filled) <= most:
+            out.append(mix(mixed ^ salt))
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
@@ -293,6 +321,7 @@ def in_groups(rows: DataFrame, carry: list[str], bins: int, most: int, run) -> t
     return single, inside.unionByName(across)
 
 
+@scoped
 def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose n-gram sets have a Jaccard ratio of num/den or more.
 
@@ -311,11 +340,11 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
     sets = marks.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     sets = staged(sets, "sets")
 
-    since = mark(docs.sparkSession)
     reps = sets.select(F.col("rep").alias("doc_id")).distinct()
-    keyed = keep_rows_of(docs, reps, "doc_id").mapInArrow(_keys(size, num, den), "key long, rep long")
-    bucket = Window.partitionBy("key")
-    meet = keyed.withColumn("first", F.min("rep").over(bucket)).withColumn("last", F.max("rep").over(bucket)).withColumn("docs", F.count("*").over(bucket)).where("first < last")
+    keyed = staged(keep_rows_of(docs, reps, "doc_id").mapInArrow(_keys(size, num, den), "key long, rep long"), "keyed")
+    # Counted apart from the join, so that Spark can split a hot key there.
+    keys = keyed.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count("*").alias("docs")).where("first < last")
+    meet = keyed.join(staged(keys.select("key", "docs"), "keys"), "key")
     meet = staged(meet.select(F.col("key").alias("group"), "rep", "docs", F.ceil(F.col("docs") / BUCKET_DOCS).cast("int").alias("blocks")), "buckets")
     # The documents that a document meets: of a group of near copies, the one that the others were made from has most.
     weights = staged(meet.groupBy("rep").agg(F.sum("docs").alias("weight")), "weights")
@@ -324,7 +353,7 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
     meet = meet.drop("docs").join(few(own, BUCKET_ROWS), "rep")
     near, more = in_groups(meet, ["n", "bits"], _bins(meet, F.length("bits") + 40), BUCKET_DOCS, _meet(num, den))
     clusters = staged(components(near.unionByName(more).select("a", "b")), "clusters").select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"))
-    clusters = restaged(clusters.join(weights.withColumnRenamed("rep", "doc_id"), "doc_id"), "weighted", since)
+    clusters = restaged(clusters.join(weights.withColumnRenamed("rep", "doc_id"), "doc_id"), "weighted", [marks, sets])
 
     small = clusters.limit(200_001).count() <= 200_000
     members = docs.where("text is not null").join(F.broadcast(clusters) if small else clusters, "doc_id")
@@ -337,7 +366,7 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
     apart, joined = in_groups(members, ["text"], bins, BLOCK_DOCS, _verify(size, num, den))
     apart = staged(apart, "found").select(F.col("b").alias("rep"), F.col("a").alias("component"))
     linked = apart.unionByName(components(joined.select("a", "b")).where("id <> component").select(F.col("id").alias("rep"), "component"))
-    linked = restaged(linked, "linked", since)
+    linked = restaged(linked, "linked", [marks, sets])
 
     sets = sets.join(linked, "rep", "left").select(F.col("n").alias("sn"), F.col("d1").alias("s1"), F.col("d2").alias("s2"), F.coalesce("component", "rep").alias("component"))
     out = marks.join(sets, (F.col("n") == F.col("sn")) & (F.col("d1") == F.col("s1")) & (F.col("d2") == F.col("s2")), "left")

@@ -193,7 +193,7 @@ def mixed_grams(data: np.ndarray) -> np.ndarray:
 def _anchors(seed: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, copies = batch.column(0), batch.column(1)
+            ids = batch.column(0)
             for i, _, data, offsets in text_chunks(batch, "text"):
                 d, a, lo, hi, key, whole = anchors(data, offsets, seed, length)
                 other = span_hash(prefix_hash(mixed_grams(data)), lo, hi + max(1, length - 7))
@@ -201,17 +201,17 @@ def _anchors(seed: int, length: int):
                 take = pa.array(d + i)
                 hashes = [pa.array(x.view(np.int64)) for x in (key, whole, other)]
                 ints = [pa.array((x - begin).astype(np.int32)) for x in (lo, a, hi)]
-                yield pa.RecordBatch.from_arrays([*hashes, ids.take(take), copies.take(take), *ints], names=["seed", "context", "other", "doc_id", "copy", "lo", "at", "hi"])
+                yield pa.RecordBatch.from_arrays([*hashes, ids.take(take), *ints], names=["seed", "context", "other", "doc_id", "lo", "at", "hi"])
 
     return run
 
 
 def _sort(seed: int, length: int):
     def run(table: pa.Table) -> pa.Table:
-        cols = {c: table.column(c).to_pylist() for c in ("seed", "doc_id", "copy", "lo", "at", "hi", "bytes")}
+        cols = {c: table.column(c).to_pylist() for c in ("seed", "doc_id", "lo", "at", "hi", "bytes")}
         key = np.array(cols["seed"], np.int64)
         order = np.argsort(key, kind="stable")
-        ids, copies, starts, ends = [], [], [], []
+        ids, starts, ends = [], [], []
         for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
             part = part.tolist()
             off = [cols["at"][k] - cols["lo"][k] for k in part]
@@ -221,10 +221,9 @@ def _sort(seed: int, length: int):
                 first, last = max(cols["lo"][k], cols["at"][k] - most), min(cols["hi"][k], cols["at"][k] - least)
                 if first <= last:
                     ids.append(cols["doc_id"][k])
-                    copies.append(cols["copy"][k])
                     starts.append(first)
                     ends.append(last + length)
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "copy": pa.array(copies, pa.int32()), "start": pa.array(starts, pa.int32()), "end": pa.array(ends, pa.int32())})
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.int32()), "end": pa.array(ends, pa.int32())})
 
     return run
 
@@ -263,8 +262,8 @@ def _split(big: DataFrame, length: int, widest: int, limit: int) -> tuple[DataFr
     cut into narrower ranges; a range of one start is always decided.
     """
     rows = staged(big, "large")
-    who = ["seed", "doc_id", "copy", "lo"]
-    same = " and ".join(f"{c} <=> _{c}" if c == "doc_id" else f"{c} = _{c}" for c in who)  # only an id may be null
+    who = ["seed", "doc_id", "lo"]
+    same = " and ".join(f"{c} = _{c}" for c in who)
     live = rows.select(*who, F.lit(0).alias("o1"), F.lit(widest).alias("o2"))
     done = parts = None
     while True:
@@ -290,11 +289,11 @@ def _split(big: DataFrame, length: int, widest: int, limit: int) -> tuple[DataFr
         cores = x.groupBy(*core).agg(F.count("*").alias("cores")).where("cores > 1")
         hulls = x.where("hull is not null").groupBy(*core[:3], "hull").agg(F.count("*").alias("hulls")).where("hulls > 1")
         x = staged(x.join(cores, core).join(hulls, [*core[:3], "hull"], "left"), "decided")
-        found = x.where("hulls > 1").select("doc_id", "copy", F.greatest("lo", F.col("at") - F.col("o2")).alias("start"), (F.least("hi", F.col("at") - F.col("o1")) + length).alias("end"))
+        found = x.where("hulls > 1").select("doc_id", F.greatest("lo", F.col("at") - F.col("o2")).alias("start"), (F.least("hi", F.col("at") - F.col("o1")) + length).alias("end"))
         done = found if done is None else done.unionByName(found)
 
         live = x.where("hulls is null and o2 > o1").select(*who, *core[1:])
-        one = x.where("hulls > 1 and o2 > o1").groupBy(*core, "hull").agg(F.min(F.struct("doc_id", "copy", "lo")).alias("one"))
+        one = x.where("hulls > 1 and o2 > o1").groupBy(*core, "hull").agg(F.min(F.struct("doc_id", "lo")).alias("one"))
         one = one.join(live.select(*core).distinct(), core, "left_semi").select("seed", "one.*", *core[1:])
         live = staged(live.unionByName(one), "live")
         sizes = live.groupBy(*core).agg(F.count("*").alias("n"))
@@ -302,7 +301,7 @@ def _split(big: DataFrame, length: int, widest: int, limit: int) -> tuple[DataFr
         fit = fit.select(*[F.col(c).alias(f"_{c}") for c in who], *core[1:])
         first, last = F.greatest("lo", F.col("at") - F.col("o2")), F.least("hi", F.col("at") - F.col("o1"))
         bytes_ = F.col("bytes").substr(first - F.col("lo") + 1, last - first + length)
-        part = rows.join(fit, F.expr(same)).select(F.xxhash64(*core).alias("seed"), "doc_id", "copy", first.alias("lo"), "at", last.alias("hi"), bytes_.alias("bytes"))
+        part = rows.join(fit, F.expr(same)).select(F.xxhash64(*core).alias("seed"), "doc_id", first.alias("lo"), "at", last.alias("hi"), bytes_.alias("bytes"))
         parts = part if parts is None else parts.unionByName(part)
         live = staged(live.join(sizes.where(f"n > {limit}").select(*core), core).select(*who, "o1", "o2"), "beyond")
         if live.isEmpty():
@@ -315,31 +314,32 @@ def suffix_dedup(docs: DataFrame, length: int = 400, seed: int = 100, id_col: st
     Texts are UTF-8 bytes, matches never cross documents, overlapping
     occurrences count. Returns (doc_id, n_bytes, spans, kept): the maximal
     removed runs as original byte offsets and the bytes that stay, one row for
-    each row of docs. Null and empty texts give no spans and no bytes. Repeated
-    rows are occurrences of each other; rows that share an id are told apart by
-    a hash of their text. A null id is kept as it is. Other columns are ignored.
+    each row of docs. Null and empty texts give no spans and no bytes. Every
+    row is a document of its own: repeated rows are occurrences of each other,
+    and where ids are null or shared, rows are numbered in a stored table. Other
+    columns are ignored.
     """
     lean(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    docs = docs.select("doc_id", F.hash("text").alias("copy"), "text")
-    found = docs.mapInArrow(_anchors(seed, length), "seed long, context long, other long, doc_id long, copy int, lo int, at int, hi int")
+    # The number stays the same whenever a task is run again, as the table is stored.
+    keyed = staged(docs.withColumn("row", F.monotonically_increasing_id()), "rows") if shared_ids(docs) else docs.withColumn("row", F.col("doc_id"))
+    docs = keyed.select(F.col("row").alias("doc_id"), "text")
+    found = docs.mapInArrow(_anchors(seed, length), "seed long, context long, other long, doc_id long, lo int, at int, hi int")
     found = staged(found, "anchors")
     ends = [f(c).alias(f.__name__ + c) for c in ("context", "other") for f in (F.min, F.max)]
     keys = found.groupBy("seed").agg(F.count("*").alias("n"), *ends).where("n > 1")
     keys = staged(keys.selectExpr("seed", "mincontext <> maxcontext or minother <> maxother as differ"), "seeds")  # apart from the join, so that Spark can split a hot seed there
     twice = staged(found.join(keys, "seed"), "twice")
     same = ["seed", "context", "other"]
-    apart = twice.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "copy", "lo", "at", "hi")).alias("first"), F.first("differ").alias("differ"))
+    apart = twice.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "lo", "at", "hi")).alias("first"), F.first("differ").alias("differ"))
     apart = staged(apart, "contexts")
     # A hot context is never one task: it is joined where it stands, or split as a skewed key of a merge join.
-    whole = twice.join(few(apart.where("n > 1").select(*same), BROADCAST_ROWS), same).selectExpr("doc_id", "copy", "lo as start", f"hi + {length} as end")
+    whole = twice.join(few(apart.where("n > 1").select(*same), BROADCAST_ROWS), same).selectExpr("doc_id", "lo as start", f"hi + {length} as end")
 
-    lists = apart.where("differ").select("seed", "first.*").groupBy("doc_id", "copy").agg(F.collect_list(F.struct("seed", "lo", "at", "hi")).alias("list"))
-    null_safe = lambda a, b: (a["doc_id"].eqNullSafe(b["doc_id"])) & (a["copy"] == b["copy"])
-    texts = docs.dropDuplicates(["doc_id", "copy"]) if shared_ids(docs) else docs
-    joined = texts.join(lists, null_safe(texts, lists)).select(texts["doc_id"], texts["copy"], F.col("text").cast("binary").alias("raw"), "list")
+    lists = apart.where("differ").select("seed", "first.*").groupBy("doc_id").agg(F.collect_list(F.struct("seed", "lo", "at", "hi")).alias("list"))
+    joined = docs.join(lists, "doc_id").select("doc_id", F.col("text").cast("binary").alias("raw"), "list")
     cut = F.transform("list", lambda x: F.struct(x["seed"].alias("seed"), x["lo"].alias("lo"), x["at"].alias("at"), x["hi"].alias("hi"), F.substring(F.col("raw"), x["lo"] + 1, x["hi"] - x["lo"] + length).alias("bytes")))
-    contexts = staged(joined.select("doc_id", "copy", F.explode(cut).alias("x")).select("doc_id", "copy", "x.*"), "bytes")
+    contexts = staged(joined.select("doc_id", F.explode(cut).alias("x")).select("doc_id", "x.*"), "bytes")
 
     groups = staged(contexts.groupBy("seed").agg(F.count("*").alias("group")).where("group > 1"), "groups")
     contexts = contexts.join(groups, "seed")
@@ -350,9 +350,9 @@ def suffix_dedup(docs: DataFrame, length: int = 400, seed: int = 100, id_col: st
     total = inside.agg(F.sum(F.length("bytes"))).first()[0] or 0
     bins = max(8, int(total // TASK_BYTES) + 1)
     inside = inside.withColumn("task", F.pmod(F.xxhash64("seed"), F.lit(bins)))
-    spans = spans.unionByName(inside.groupBy("task").applyInArrow(_sort(seed, length), "doc_id long, copy int, start int, end int"))
-    spans = spans.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    out = docs.join(spans, null_safe(docs, spans), "left").select(docs["doc_id"], "text", "spans")
+    spans = spans.unionByName(inside.groupBy("task").applyInArrow(_sort(seed, length), "doc_id long, start int, end int"))
+    spans = spans.groupBy(F.col("doc_id").alias("row")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    out = keyed.join(spans, "row", "left").select("doc_id", "text", "spans")
     return out.mapInArrow(_keep, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
 
 

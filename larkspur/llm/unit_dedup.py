@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from larkspur.llm.common import BROADCAST_ROWS, lean, mix, prefix_hash, quoted, span_hash, staged, text_chunks, word_hashes, words_of
 from larkspur.llm.suffix_dedup import anchors, shared_ids
-from larkspur.session import few, mark, restaged
+from larkspur.session import few, restaged, scoped
 
 MIN_WORDS = 1  # of a line or paragraph; units without words are never cut
 PASSAGE = 50  # words of a run
@@ -214,6 +214,7 @@ def _cut(sep: str):
     return run
 
 
+@scoped
 def _decided(docs: DataFrame, unit: str, min_words: int, passage: int, id_col: str, text_col: str) -> DataFrame:
     """(row, text, n_units, removed), a row for each row of docs, which `row` holds whole, so that no column of it clashes."""
     lean(docs.sparkSession)
@@ -221,11 +222,10 @@ def _decided(docs: DataFrame, unit: str, min_words: int, passage: int, id_col: s
     text = F.col(quoted(text_col)).cast("string")
     rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col(quoted(id_col)).cast("long").alias("_id"), F.xxhash64(text).alias("_copy"), text.alias("text"))
     narrow = rows.select("_id", "_copy", "text")
-    since = mark(docs.sparkSession)
     cuts = later_units(narrow, sep, min_words).select("_id", "_copy", "pos", F.lit(None).cast("struct<start:int,end:int>").alias("run"))
     if passage:
         cuts = cuts.unionByName(later_runs(narrow, passage).select("_id", "_copy", F.lit(None).cast("int").alias("pos"), F.struct("start", "end").alias("run")))
-    cuts = restaged(cuts, "later", since)
+    cuts = restaged(cuts, "later")
     cuts = cuts.groupBy(F.col("_id").alias("id"), F.col("_copy").alias("copy")).agg(F.collect_set("pos").alias("units"), F.collect_list("run").alias("runs"))
     joined = rows.join(cuts, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_copy") == F.col("copy")), "left").select("row", "text", "units", "runs")
     added = T._parse_datatype_string("text string, n_units int, removed array<struct<start:int,end:int>>")

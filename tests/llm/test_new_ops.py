@@ -13,13 +13,68 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("larkspur.llm.queries")
 public_tokenizers = pytest.importorskip("public_tokenizers")
-from larkspur.llm import attention_lm, spelling, vector_codes  # noqa: E402
+from larkspur.llm import attention_lm, ngram_jaccard, sharding, spelling, suffix_dedup, vector_codes  # noqa: E402
+from larkspur.session import Scope, restaged, scoped, staged  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 DOCS = "doc_id long, text string, word string, n int, `block` string"
 
 
+# ------------------------------------------------ mended: see the operators' own tests
+
+
+def test_op3_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROW_BITS", 2)
+    monkeypatch.setattr(sharding, "BITS", sharding.ID_BITS + sharding.TEXT_BITS + 2)
+    table = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("equal text of a row").alias("text"))
+    got = sharding.extendible_shards(table, 100).collect()
+    sums = collections.Counter((r["shard_depth"], r["shard_prefix"], r["shard_part"]) for r in got)
+    assert len(got) == 3000 and max(sums.values()) * 19 <= 100 and all(r["shard_rows"] == sums[r["shard_depth"], r["shard_prefix"], r["shard_part"]] for r in got)
+
+
+def test_op2_rows_are_documents(spark):
+    """Any two rows without an id, or of one id, are told apart, whatever their texts hash to."""
+    rng = random.Random(1)
+    block = "".join(rng.choice("abcdefgh ") for _ in range(450))
+    texts = ["x" * 30 + block + "y" * 40, "z" * 50 + block, "".join(rng.choice("ijkl ") for _ in range(300)) + block]
+    for ids in ([None, None, 7], [3, 3, 3], [1, 2, 3]):
+        got = suffix_dedup.suffix_dedup(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")).collect()
+        assert sorted(sum(x["end"] - x["start"] for x in r["spans"]) for r in got) == [450, 450, 450], ids
+
+
+def test_op1_keys_of_filled_fragments_only():
+    rng = np.random.default_rng(0)
+    for num, den in ((8, 10), (90, 100)):
+        for n in (3, 6, 10, 25, 60, 200, 1000):
+            for _ in range(40):
+                most = n * (den - num) // num
+                grams = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+                gone = rng.integers(0, most + 1)
+                other = np.unique(np.concatenate([grams[gone:], rng.integers(0, 1 << 63, rng.integers(0, most + 1)).astype(np.uint64)]))
+                common = len(np.intersect1d(grams, other))
+                if len(grams) != len(other) and den * common >= num * (len(grams) + len(other) - common):
+                    assert len(np.intersect1d(ngram_jaccard.fragment_keys(grams, num, den), ngram_jaccard.fragment_keys(other, num, den))), (n, num)
+    # Documents without a common n-gram have no common key.
+    keys = np.concatenate([ngram_jaccard.fragment_keys(np.unique(rng.integers(0, 1 << 63, 40).astype(np.uint64)), 8, 10) for _ in range(500)])
+    assert len(np.unique(keys)) == len(keys)
+
+
+def test_staged_tables_of_others_stay(spark):
+    with Scope():
+        other = staged(spark.range(5).toDF("x"), "other")
+
+    @scoped
+    def run():
+        first = staged(spark.range(3).toDF("x"), "first")
+        return first, restaged(first.withColumn("y", F.lit(1)), "second")
+
+    first, second = run()
+    assert other.count() == 5 and second.count() == 3
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
+        first.collect()
+
+
 # ------------------------------------------------------------ vector codes
 
 
