@@ -40,10 +40,22 @@ _ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden|style)(
 _RAW_END = {tag: re.compile(rf"</{tag}\b", re.I) for tag in RAW}
 
 
-def leaf_blocks(page: str) -> list[tuple[tuple[tuple[str, str], ...], str, int, tuple[int, ...]]]:
-    """Blocks in page order: (ancestors as (tag, words of class, id and role), text, characters inside links, numbers of the ancestors)."""
+class Node:
+    """A block element with its parent; `around` are the features of all elements from the root to it, kept once they are asked for."""
+
+    __slots__ = ("tag", "words", "parent", "number", "depth", "around")
+
+    def __init__(self, tag: str, words: str, parent: Node | None, number: int):
+        self.tag, self.words, self.parent, self.number = tag, words, parent, number
+        self.depth = parent.depth + 1 if parent else 0
+        self.around: frozenset[int] | None = None
+
+
+def leaf_blocks(page: str) -> list[tuple[Node | None, str, int]]:
+    """Blocks in page order: (innermost block element, text, characters inside links). Elements are shared by the blocks in them, so deep pages take no more room than flat ones."""
     out: list = []
-    stack: list[tuple[str, str, int]] = []
+    stack: list[tuple[str, Node | None]] = []  # inline elements with the block element they stand in
+    opened: dict[str, int] = {}
     parts: list[str] = []
     linked = silent = links = nodes = 0
 
@@ -53,16 +65,16 @@ def leaf_blocks(page: str) -> list[tuple[tuple[tuple[str, str], ...], str, int,
             raw = "".join(parts)
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
-                above = [x for x in stack if x[0] not in INLINE]
-                out.append((tuple(x[:2] for x in above), text, min(linked, len(text)), tuple(x[2] for x in above)))
+                out.append((stack[-1][1] if stack else None, text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
     def close(upto: int) -> None:
         nonlocal silent, links
-        for tag, _, _ in stack[upto:]:
+        for tag, _ in stack[upto:]:
             silent -= tag in SILENT
             links -= tag == "a"
+            opened[tag] -= 1
         del stack[upto:]
 
     at, n = 0, len(page)
@@ -87,7 +99,7 @@ def leaf_blocks(page: str) -> list[tuple[tuple[tuple[str, str], ...], str, int,
         if tag not in INLINE:
             flush()
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened.get(tag) else ():
                 if stack[k][0] == tag:
                     close(k)
                     break
@@ -96,7 +108,7 @@ def leaf_blocks(page: str) -> list[tuple[tuple[tuple[str, str], ...], str, int,
         elif tag == "br":
             parts.append(" ")
         elif tag not in VOID:
-            if tag not in INLINE:
+            if tag not in INLINE and any(opened.get(t) for t in ("p", *CLOSES.get(tag, ()))):
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == "p" or stack[k][0] in CLOSES.get(tag, ()):
                         close(k)
@@ -108,8 +120,12 @@ def leaf_blocks(page: str) -> list[tuple[tuple[tuple[str, str], ...], str, int,
                 found = [(a.lower(), x or y or z) for a, x, y, z in _ATTRIBUTE.findall(attributes)]
                 hidden = any(a == "hidden" or a == "aria-hidden" and v.lower() == "true" or a == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I) for a, v in found)
                 words = " ".join(v for a, v in found if a in ("class", "id", "role")) + (" -hidden-" if hidden else "")
-            nodes += 1
-            stack.append((tag, words, nodes))
+            above = stack[-1][1] if stack else None
+            if tag not in INLINE:
+                nodes += 1
+                above = Node(tag, words, above, nodes)
+            stack.append((tag, above))
+            opened[tag] = opened.get(tag, 0) + 1
             silent += tag in SILENT
             links += tag == "a"
             if tag in RAW:
@@ -145,12 +161,7 @@ PHRASES = {
     "side": ["Read more"],
 }
 _HINT = {word: kind for kind, words in HINTS.items() for word in words.split()}
-_TAGS = ("article", "main", "section", "nav", "header", "footer", "aside", "form", "figure", "figcaption", "ul", "ol", "li", "table", "td", "p", "h1", "h2", "h3", "blockquote", "pre", "dl", "dialog", "fieldset", "address", "body", "div")
-_PHRASES = re.compile(
-    r"cookie|all rights reserved|©|\(c\) \d{4}|copyright|subscribe|sign (?:in|up)|log ?in|newsletter|advertisement|sponsored|share this|read more|privacy policy|terms of|powered by|reply|comments?\b"
-    r"|kommentare?\b|alle rechte|datenschutz|impressum|anmelden|werbung|weiterlesen|commentaires?\b|tous droits|publicité|s'abonner|lire la suite|comentarios?\b|todos los derechos|publicidad|leer más",
-    re.I,
-)
+_TAGS = ("article", "main", "nav", "header", "footer", "aside", "form", "figure", "figcaption", "ul", "ol", "li", "table", "td", "p", "h1", "h2", "h3", "blockquote", "pre", "dl", "dialog", "fieldset", "address")
 _SPLIT = re.compile(r"[^a-z]+")
 
 
@@ -164,77 +175,124 @@ def _hints(words: str) -> set[str]:
 def _names() -> list[str]:
     out = ["bias", "first", "last"]
     out += [f"in:{t}" for t in _TAGS] + [f"own:{t}" for t in _TAGS] + [f"{where}:{part}{h}" for where in ("hint", "near") for part in ("", "part:") for h in HINTS]
-    out += [f"words:{k}" for k in range(6)] + [f"links:{k}" for k in range(4)] + ["stop", "phrase", "no-article", "no-main"]
+    out += [f"words:{k}" for k in range(6)] + [f"links:{k}" for k in range(4)] + ["stop", "no-article", "no-main"]
     out += [f"sentences:{k}" for k in range(3)] + [f"{side}:{k}" for side in ("before", "after") for k in range(4)]
-    out += ["inside", "outside", "after-inside", "row", "long-row"]
+    out += [f"{where}{cell}" for where in ("inside", "outside", "after-inside") for cell in ("", *(f":words:{k}" for k in range(6)), *(f":own:{t}" for t in ("p", "div", "li", "h2", "h3", "td")))]
+    out += ["row", "long-row", "sole-article"] + [f"{who}:{k}" for who in ("twins", "outer-twins") for k in (2, 3, 4)]
     return out
 
 
 NAMES = _names()
 _INDEX = {name: k for k, name in enumerate(NAMES)}
-_scopes: dict[tuple, tuple[int, ...]] = {}
-
-
-def _scope(ancestors: tuple) -> tuple[int, ...]:
-    """Indices of the features of a chain of ancestors; pages repeat the same chains."""
-    if ancestors not in _scopes:
-        if len(_scopes) > 20_000:
-            _scopes.clear()
-        on = {f"in:{t}" for t, _ in ancestors} | {f"hint:{h}" for t, w in ancestors if w and t not in ("html", "body") for h in _hints(w)}
-        if ancestors:
-            on |= {f"own:{ancestors[-1][0]}"} | {f"near:{h}" for _, w in ancestors[-2:] for h in _hints(w)}
-        _scopes[ancestors] = tuple(_INDEX[x] for x in on if x in _INDEX)
-    return _scopes[ancestors]
+_kinds: dict[tuple[str, str], tuple[frozenset[int], frozenset[int]]] = {}
+
+
+def _kind(node: Node) -> tuple[frozenset[int], frozenset[int]]:
+    """Features that an element gives to all blocks in it, and to those close below it; pages repeat the same ones."""
+    key = node.tag, node.words
+    if key not in _kinds:
+        if len(_kinds) > 20_000:
+            _kinds.clear()
+        found = _hints(node.words) if node.words else set()
+        wide = {f"in:{node.tag}"} | ({f"hint:{h}" for h in found} if node.tag not in ("html", "body") else set())
+        _kinds[key] = tuple(frozenset(_INDEX[x] for x in on if x in _INDEX) for on in (wide, {f"near:{h}" for h in found}))
+    return _kinds[key]
+
+
+def _scope(node: Node | None) -> list[int]:
+    """Features of the elements around a block."""
+    if node is None:
+        return []
+    chain = []
+    at: Node | None = node
+    while at is not None and at.around is None:
+        chain.append(at)
+        at = at.parent
+    for below in reversed(chain):
+        above, own = below.parent.around if below.parent else frozenset(), _kind(below)[0]
+        below.around = above if own <= above else above | own
+    near = _kind(node)[1] | (_kind(node.parent)[1] if node.parent else frozenset())
+    own = f"own:{node.tag}"
+    return [*node.around, *near, *([_INDEX[own]] if own in _INDEX else [])]
+
+
+_ENDS = re.compile(r"[.!?。！？…](?:[\"'”»)\]}]*(?:\s|$))")
+_WIDTHS = (2, 5, 10, 20, 50)
+TELLING_WORDS = 12  # in sentences, that an element must hold to be told from others by them
 
 
-_ENDS = re.compile(r"[.!?。！？…](?:[\"'”»)]*(?:\s|$))")
-_WIDTHS = (2, 5, 10, 20, 50)
-TELLING_WORDS = 30  # in sentences, that an element must hold to be told from others by them
+def _tree(blocks: list) -> list[Node]:
+    """The elements around the blocks, children before their parents."""
+    seen: dict[int, Node] = {}
+    for node, *_ in blocks:
+        while node is not None and node.number not in seen:
+            seen[node.number] = node
+            node = node.parent
+    return [seen[k] for k in sorted(seen, reverse=True)]
 
 
-def _holder(blocks: list, weights: list[int]) -> int | None:
+def _holder(blocks: list, tree: list[Node], weights: list[int]) -> Node | None:
     """The deepest element around blocks that holds more than half of the page's sentences, by words; none where that is too little to tell."""
     held: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    for (_, _, _, path), w in zip(blocks, weights, strict=True):
-        if w:
-            for k, node in enumerate(path[:-1]):
-                held[node] = held.get(node, 0) + w
-                depth[node] = k
+    for (node, *_), w in zip(blocks, weights, strict=True):
+        if w and node is not None and node.parent is not None:
+            held[node.parent.number] = held.get(node.parent.number, 0) + w
+    for node in tree:
+        if node.parent is not None and node.number in held:
+            held[node.parent.number] = held.get(node.parent.number, 0) + held[node.number]
     total = sum(weights)
-    return max((node for node, w in held.items() if 2 * w > total and w >= TELLING_WORDS), key=depth.get, default=None)
+    return max((n for n in tree if n.tag not in ("html", "body") and 2 * held.get(n.number, 0) > total and held[n.number] >= TELLING_WORDS), key=lambda n: n.depth, default=None)
 
 
 def block_features(blocks: list) -> list[list[int]]:
     """Indices of the features that are on, for each block."""
-    tags = {t for a, *_ in blocks for t, _ in a}
+    tree = _tree(blocks)
+    tags = {n.tag for n in tree}
     page = [_INDEX[x] for x, off in (("no-article", "article" not in tags), ("no-main", not tags & {"main", "article"})) if off]
-    words = [text.count(" ") + 1 for _, text, *_ in blocks]
-    share = [linked / len(text) for _, text, linked, _ in blocks]
-    ends = [len(_ENDS.findall(text)) for _, text, *_ in blocks]
-    holder = _holder(blocks, [w if e and w >= 4 and s < 0.5 else 0 for w, e, s in zip(words, ends, share, strict=True)])
-    inside = [holder in path for *_, path in blocks]
+    words = [text.count(" ") + 1 for _, text, _ in blocks]
+    share = [linked / len(text) for _, text, linked in blocks]
+    ends = [len(_ENDS.findall(text)) for _, text, _ in blocks]
+    holder = _holder(blocks, tree, [w if e and w >= 4 and s < 0.5 else 0 for w, e, s in zip(words, ends, share, strict=True)])
+    within: dict[int, bool] = {}
+    alike: dict[tuple, int] = {}
+    for n in reversed(tree):
+        within[n.number] = n is holder or n.parent is not None and within[n.parent.number]
+        kind = (n.parent.number if n.parent else 0, n.tag, n.words)
+        alike[kind] = alike.get(kind, 0) + 1
+    twins = lambda n: 0 if n is None else min(4, alike[n.parent.number if n.parent else 0, n.tag, n.words])
+    articles = [n for n in tree if n.tag == "article"]
+    sole: dict[int, bool] = {}
+    for n in reversed(tree):
+        sole[n.number] = len(articles) == 1 and (n is articles[0] or n.parent is not None and sole[n.parent.number])
+    inside = [node is not None and within[node.number] for node, *_ in blocks]
     last = max((k for k, x in enumerate(inside) if x), default=-1)
-    rows: dict[tuple, int] = {}
-    for (_, _, _, path), w in zip(blocks, words, strict=True):
+    rows: dict[int, int] = {}
+    place = lambda node: node.parent.number if node is not None and node.parent is not None else 0
+    for (node, *_), w in zip(blocks, words, strict=True):
         if w <= 5:
-            rows[path[:-1]] = rows.get(path[:-1], 0) + 1
+            rows[place(node)] = rows.get(place(node), 0) + 1
     width = lambda k: 3 if not 0 <= k < len(blocks) else 0 if words[k] <= 3 else 1 if words[k] <= 12 else 2
     out = []
-    for k, (ancestors, text, _, path) in enumerate(blocks):
-        on = [0, *_scope(ancestors), *page]
+    for k, (node, text, _) in enumerate(blocks):
+        on = [0, *_scope(node), *page]
         on.append(_INDEX[f"words:{sum(words[k] > x for x in _WIDTHS)}"])
         on.append(_INDEX[f"links:{0 if share[k] == 0 else 1 if share[k] < 0.3 else 2 if share[k] < 0.8 else 3}"])
         on.append(_INDEX[f"sentences:{min(ends[k], 2)}"])
         on += [_INDEX[f"before:{width(k - 1)}"], _INDEX[f"after:{width(k + 1)}"]]
         if holder is not None:
-            on.append(_INDEX["inside" if inside[k] else "after-inside" if k > last else "outside"])
-        if words[k] <= 5 and (n := rows[path[:-1]]) > 1:
+            where = "inside" if inside[k] else "after-inside" if k > last else "outside"
+            cells = (where, f"{where}:words:{sum(words[k] > x for x in _WIDTHS)}", f"{where}:own:{node.tag if node else ''}")
+            on += [_INDEX[x] for x in cells if x in _INDEX]
+        if node is not None and sole[node.number]:
+            on.append(_INDEX["sole-article"])
+        if words[k] <= 5 and (n := rows[place(node)]) > 1:
             on.append(_INDEX["row" if n <= 4 else "long-row"])
-        if text[-1] in ".!?:;\"'”»…。":
+        if text.rstrip(")]}")[-1:] in tuple(".!?:;\"'”»…。"):
             on.append(_INDEX["stop"])
-        if words[k] < 40 and _PHRASES.search(text):
-            on.append(_INDEX["phrase"])
+        # Elements of one kind side by side: the list items, table cells or comments that the block is in one of.
+        for who, box in (("twins", node.parent if node else None), ("outer-twins", node.parent.parent if node and node.parent else None)):
+            if (n := twins(box)) > 1:
+                on.append(_INDEX[f"{who}:{n}"])
         if k == 0:
             on.append(1)
         if k == len(blocks) - 1:
@@ -277,7 +335,7 @@ class Crf:
         return path[::-1]
 
     @staticmethod
-    def train(pages: list[tuple[list[list[int]], list[int]]], rounds: int = 150, decay: float = 0.0001, rate: float = 0.1) -> Crf:
+    def train(pages: list[tuple[list[list[int]], list[int]]], rounds: int = 250, decay: float = 0.0001, rate: float = 0.1) -> Crf:
         """Maximum likelihood with a quadratic penalty, by Adam on the exact gradient."""
         size = max(len(f) for f, _ in pages)
         n = len(pages)
@@ -332,10 +390,12 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[tuple[str, list[int]
             out.append(text)
             labels.append(label)
 
+        def told(kind: str) -> str:
+            """A name that tells the kind, or one that tells nothing, as in languages that no list has."""
+            return f'{pick(["", "site-", "page-", "box "])}{pick(HINTS[kind].split())}' if kind not in ("comments", "side", "footer") or rng.random() < 0.6 else f"{word()}{pick(['', '-', ' '])}{pick(['', word()])}"
+
         def named(kind: str) -> str:
-            if rng.random() < 0.35:
-                return ""
-            return f' {pick(["class", "class", "id"])}="{pick(["", "site-", "page-", "box "])}{pick(HINTS[kind].split())}"'
+            return "" if rng.random() < 0.35 else f' {pick(["class", "class", "id"])}="{told(kind)}"'
 
         def menu() -> None:
             tag = pick(["nav", "nav", "div", "ul"])
@@ -354,7 +414,7 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[tuple[str, list[int]
 
         def box(kind: str, tags: list[str], low: int, high: int, many: int) -> None:
             tag = pick(tags)
-            name = named(kind) if tag not in ("div", "section", "p") else f' class="{pick(HINTS[kind].split())}"'
+            name = named(kind) if tag not in ("div", "section", "p") else f' class="{pick(HINTS[kind].split()) if kind != "footer" else told(kind)}"'
             out.append(f"<{tag}{name}>")
             phrase = pick(["", "", *PHRASES[kind]]) if kind in PHRASES else ""
             if tag == "p" or rng.random() < 0.45:
@@ -381,20 +441,37 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[tuple[str, list[int]
 
         def comments() -> None:
             tag = pick(["section", "div", "ol", "ul"])
-            name = f' {pick(["class", "id"])}="{pick(["", "", "post-", "box "])}{pick(HINTS["comments"].split())}{pick(["", "", "-list", "-area"])}"'
+            name = f' {pick(["class", "id"])}="{told("comments")}{pick(["", "", "-list", "-area"])}"'
             out.append(f"<{tag}{name}>")
+            entry, by = pick(["div", "div", "li", "article", "article", "blockquote"]), pick(["", "b", "span", "h4", "div"])
+            kind = pick(["", "", " class=comment", " class=reply", f" class={word()}"])
             if rng.random() < 0.6:
                 put(f"<h{pick('234')}>{words(1, 3)}</h4>", 0)
-            for _ in range(rng.randint(1, 6)):
-                text = " ".join(sentence(4, 20) for _ in range(rng.randint(1, 4)))
-                inner = pick(["p", "div", "li", "article", "blockquote"])
-                out.append(f'<{inner}{pick(["", " class=comment", " class=reply"])}>')
+            for _ in range(rng.randint(1, 5)):
+                text = " ".join(sentence(2, 12) for _ in range(pick([1, 1, 2, 3])))
+                out.append(f"<{entry}{kind}>")
+                if by:
+                    put(f"<{by}>{words(1, 2)}</{by}>", 0)
                 put(f"<p>{text}</p>", 0)
-                out.append(f"</{inner}>")
+                out.append(f"</{entry}>")
             if rng.random() < 0.3:
                 form()
             out.append(f"</{tag}>")
 
+        def teasers() -> None:
+            tag, inner = pick(["section", "div", "aside"]), pick(["div", "li", "article"])
+            out.append(f"<{tag}{named('side')}>")
+            if rng.random() < 0.7:
+                put(f"<h{pick('23')}>{words(1, 4)}</h3>", 0)
+            kind = pick(["", f" class={word()}"])
+            for _ in range(rng.randint(2, 6)):
+                out.append(f"<{inner}{kind}>")
+                put(f"<{pick(['h3', 'p', 'div'])}><a href=/{word()}>{words(1, 6)}</a></p></h3></div>", 0)
+                if rng.random() < 0.7:
+                    put(f"<p>{sentence(3, 12)}</p>", 0)
+                out.append(f"</{inner}>")
+            out.append(f"</{tag}>")
+
         def article() -> None:
             wrap = pick(["article", "article", "article", "main", "div", "div", "section", ""])
             name = named("main") if wrap in ("article", "main") else f' class="{pick(HINTS["main"].split())}"'
@@ -408,9 +485,10 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[tuple[str, list[int]
                 out.append("<header>" if top else "")
                 put(f"<h1>{pick(['', '<b>'])}{sentence(1, 14)}</h1>", 1)
                 out.append("</header>" if top else "")
-            for k in range(rng.randint(1, 14)):
+            terse = wrap == "article" and rng.random() < 0.2
+            for k in range(rng.randint(1 if terse else 2, 14)):
                 kind = rng.random()
-                text = " ".join(sentence(*pick([(1, 5), (5, 18), (8, 30)])) for _ in range(pick([1, 1, 2, 4, 8])))
+                text = sentence(1, 3) if terse else " ".join(sentence(*pick([(1, 5), (5, 18), (8, 30)])) for _ in range(pick([1, 2, 2, 4, 8])))
                 if rng.random() < 0.15:
                     text += f' <a href="/{word()}">{words(1, 3)}</a> {sentence(2, 9)}'
                 if kind < 0.72:
@@ -432,7 +510,7 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[tuple[str, list[int]
                 else:
                     put(f"<div>{text}</div>", 1)
                 if k and rng.random() < 0.15:
-                    pick([advert, notice, lambda: box("side", ["aside", "div"], 2, 8, 3), lambda: box("social", ["div"], 1, 3, 2)])()
+                    pick([advert, notice, lambda: box("side", ["aside"], 2, 8, 3), lambda: box("social", ["div"], 1, 3, 2)])()
             if rng.random() < 0.1:
                 comments()
             if wrap:
@@ -445,7 +523,7 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[tuple[str, list[int]
         if rng.random() < 0.25:
             box("side", ["aside", "aside", "div", "section"], 2, 14, 4)
         article()
-        for part, chance in ((comments, 0.35), (form, 0.2), (advert, 0.2), (lambda: box("side", ["aside", "aside", "div", "section"], 2, 14, 4), 0.4), (menu, 0.1), (notice, 0.1)):
+        for part, chance in ((comments, 0.4), (teasers, 0.25), (form, 0.2), (advert, 0.2), (lambda: box("side", ["aside", "aside", "div", "section"], 2, 14, 4), 0.4), (menu, 0.1), (notice, 0.1)):
             if rng.random() < chance:
                 part()
         if rng.random() < 0.85:

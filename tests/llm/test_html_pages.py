@@ -1,6 +1,8 @@
 """Pages written by hand, in layouts and languages that the training pages do not have: {braces} mark the main text."""
 
+import html
 import re
+import tracemalloc
 
 import pytest
 
@@ -30,6 +32,17 @@ PAGES = {
         <div class="story-body"><h1>{Ferry returns after storm}</h1><p>{The ferry to the islands sailed again on Monday, two days after the storm had passed.}</p><div class="ad-slot"><p>Advertisement</p></div>
         <p>{Passengers who had waited in the harbour hall were given tea, blankets and a free ticket.}</p><p>{The captain said the sea was calm.}</p></div>
         <div class="comments-area"><h3>3 comments</h3><article class=comment><p>I was on that boat. It was fine.</p></article><article class=comment><p>Why two days?</p></article></div></body></html>""",
+    "polish": """<html><body><div class=menu><a href=/>Start</a> <a href=/x>Sport</a></div><div class=tresc><h1>{Nowy most otwarty}</h1><p>{Nowy most na rzece otwarto wczoraj. Przyszło wielu ludzi, choć padało.}</p><p>{Budowa trwała trzy lata i kosztowała mniej, niż planowano.}</p></div>
+<div id=komentarze><h3>Komentarze</h3><div class=wpis><b>Ola</b><p>Bardzo dobry tekst.</p></div><div class=wpis><b>Jan</b><p>Nareszcie! Czekałem na to.</p></div><div class=wpis><b>Ewa</b><p>Most jest brzydki.</p></div></div><div class=stopka>Wszelkie prawa zastrzeżone</div></body></html>""",
+    "recipe": """<html><body><nav><a href=1>Home</a><a href=2>Recipes</a></nav><main><h1>{Butter biscuits}</h1><p>{Subscribe to no one: these cookies need only flour, butter and a little sugar.}</p><ul><li>{200 g flour}</li><li>{100 g butter}</li><li>{50 g sugar}</li></ul><p>{Mix, rest for an hour and bake for twelve minutes.}</p><p>{Read more about butter below.}</p>
+<p>{Good butter is soft and pale, and it smells of grass. Buy it from a farm.}</p></main><div class=reviews><h2>Reviews</h2><div class=review><p>Lovely and easy.</p></div><div class=review><p>Mine burned. Ten minutes is enough.</p></div></div><footer>All rights reserved</footer></body></html>""",
+    "teasers": """<html><body><header><a href=/>News</a></header><article><h1>{Rain}</h1><p>{It rained for nine days, and the river rose to the old mark on the mill.}</p><p>{Nobody was hurt. The mill stands, as it has for two hundred years.}</p></article>
+<section><h2>More from us</h2><div class=t><a href=1>Snow in May</a><p>A cold spring surprises the valley.</p></div><div class=t><a href=2>Wind</a><p>Roofs were torn off.</p></div><div class=t><a href=3>Fog</a><p>The airport is closed.</p></div></section></body></html>""",
+    "dutch": """<html><body><div id=kop><a href=/>Krant</a></div><div id=midden><h1>{De brug is open}</h1><p>{De nieuwe brug over de rivier is gisteren geopend. Er kwamen veel mensen.}</p><p>{De bouw duurde drie jaar, en dat was langer dan gepland.}</p><p>{Volgend jaar komt er een tweede brug.}</p></div><div id=reacties><h3>Reacties</h3><ul><li><p>Mooi werk.</p></li><li><p>Veel te duur!</p></li></ul></div><div id=voet>Contact Adverteren Colofon</div></body></html>""",
+    "russian": """<html><body><ul><li><a href=1>Главная</a><li><a href=2>Новости</a></ul><div class=text><h1>{Новый мост}</h1><p>{Вчера через реку открыли новый мост. Пришло много людей, хотя шёл дождь.}</p><p>{Строительство длилось три года и стоило меньше, чем ожидали.}</p></div><div class=niz>© 2020 Газета</div></body></html>""",
+    "italian": """<html><body><div class=testata><a href=/>Giornale</a></div><article><h1>{Il ponte}</h1><p>{Il nuovo ponte è stato aperto ieri dal sindaco. La gente è venuta presto.}</p><aside><p>Leggi anche: la stazione</p></aside><p>{I lavori sono durati tre anni, e il prezzo è rimasto basso.}</p></article><div class=commenti><p>Bravo!</p><p>Era ora.</p></div><footer>Tutti i diritti riservati</footer></body></html>""",
+    "portuguese": """<html><body><div class=topo><a href=/>Jornal</a></div><div class=corpo><h1>{A ponte}</h1><p>{A nova ponte foi aberta ontem pelo prefeito. Muita gente veio cedo para ver.}</p><p>{As obras duraram três anos, e o preço ficou abaixo do previsto.}</p></div><div class=rodape>Todos os direitos reservados</div></body></html>""",
+    "swedish": """<html><body><nav><a href=/>Hem</a><a href=/n>Nyheter</a></nav><article><h1>{Bron är öppen}</h1><p>{Den nya bron öppnades i går. Många kom, trots att det regnade hela dagen.}</p><p>{Bygget tog tre år och kostade mindre än planerat.}</p></article><div class=svar><div class=s1><b>Eva</b><p>Fin bro!</p></div><div class=s1><b>Nils</b><p>Äntligen.</p></div></div></body></html>""",
 }
 
 
@@ -41,7 +54,7 @@ def test_pages_of_other_layouts():
         total += len(blocks)
         wrong += [(name, text) for (_, text, *_), y in zip(blocks, labels, strict=True) if (text[0] == "{") != bool(y)]
     assert len(wrong) <= 0.05 * total, wrong
-    for name in ("policy", "german"):
+    for name in ("policy", "german", "recipe", "polish", "dutch"):
         want = "\n".join(re.findall(r"\{(.*?)\}", PAGES[name]))
         assert html_text.main_text(re.sub(r"[{}]", "", PAGES[name]), model) == want
 
@@ -54,3 +67,25 @@ def test_odd_pages(spark):
     assert len(got) == len(rows) and got[0]["text"] == got[1]["text"] == got[2]["text"] != ""
     assert got[3]["text"] == got[4]["text"] == "" and all(r["n_chars"] == len(r["text"]) for r in got)
     assert html_text.extract_text(table.limit(0)).collect() == []
+
+
+def test_deep_pages_take_no_more_room_than_flat_ones():
+    def peak(page: str) -> int:
+        tracemalloc.start()
+        html_text.block_features(html_text.leaf_blocks(page))
+        return tracemalloc.get_traced_memory()[1], tracemalloc.stop()
+
+    sizes = [peak("<div>x" * n)[0] for n in (2000, 8000)]
+    assert sizes[1] < 6 * sizes[0]
+    assert html_text.main_text("<div>x" * 50_000, html_text.trained()) == html_text.main_text("<div>x" * 50_000 + "</p></b>" * 10, html_text.trained())
+
+
+def test_given_pages_keep_their_article(spark):
+    """Each page of the given table has one article element: its blocks are the text, by a plain reading of the markup."""
+    rows = html_text.op4_html_text(spark, "/root/testdata/sf0.001").collect()
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    for r in rows:
+        inside = re.search(r"<article[^>]*>(.*?)</article>", pages[r["page_id"]], re.S)[1]
+        inside = re.sub(r"<(script|style)\b.*?</\1>|<!--.*?-->", "", inside, flags=re.S)
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h\d|li|ul|ol|div|blockquote|table|tr|td)\b[^>]*>", inside)]
+        assert r["text"] == "\n".join(b for b in blocks if b), r["page_id"]
