@@ -215,13 +215,15 @@ class Store:
         return made | {"segment": {"id": segment, "tables": tables, "bytes": self.log.bytes(self._at(segment))} | dead}
 
     def _compact(self) -> None:
-        """Merge the latest segments of one tier where there are FAN of them; another writer's version in between leaves it for later."""
+        """Merge the latest segments up to the lowest tier of which there are FAN among them; another writer's version in between leaves it for later."""
         base = self.record()
         tiers = [int(math.log(max(1.0, s["bytes"] / TIER_BYTES), FAN)) for s in base["segments"]]
         run = 0
-        while run < len(tiers) and tiers[-1 - run] <= max(tiers[-FAN:]):
-            run += 1
-        if len(tiers) < FAN or run < FAN:
+        for tier in sorted(set(tiers)):
+            run = next((k for k, t in enumerate(reversed(tiers)) if t > tier), len(tiers))
+            if tiers[len(tiers) - run :].count(tier) >= FAN:
+                break
+        else:
             return
         run_of, rest = base["segments"][-run:], base["segments"][:-run]
         segment, tables = uuid.uuid4().hex, []

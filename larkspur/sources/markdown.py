@@ -4,22 +4,33 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.schemas import FILE
 
 
+def relative_path(spark: SparkSession, root: str, at: Column | str) -> Column:
+    """The path below root of a file's full path as Spark gives it, with its escapes undone: the one name of a file, however it is read."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/") + "/"
+    plain = F.regexp_replace(F.url_decode(F.regexp_replace(at, r"\+", "%2B")), "^file:/+", "file:/")
+    return F.substring(plain, F.lit(len(full.replace("file:///", "file:/")) + 1), F.length(plain))
+
+
 def read_markdown(spark: SparkSession, root: str) -> DataFrame:
     """(path, body) of all files below root whose name ends in .md, path relative to root. Any storage that Spark reads.
 
     Spark's file listing leaves out names that begin with _ or . and empty files.
     """
     raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.col("_metadata.file_path").alias("at"), F.col("value").alias("body"))
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    full = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/") + "/"
-    plain = F.regexp_replace(F.url_decode(F.regexp_replace("at", r"\+", "%2B")), "^file:/+", "file:/")
-    return raw.select(F.substring(plain, F.lit(len(full.replace("file:///", "file:/")) + 1), F.length(plain)).alias("path"), "body")
+    return raw.select(relative_path(spark, root, "at").alias("path"), "body")
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """(path, at, modified, size) of these files, from the listing: no file is opened."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
+    return raw.select(relative_path(spark, root, "path").alias("path"), F.col("path").alias("at"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
 
 
 def read_local_markdown(spark: SparkSession, root: str) -> DataFrame:
