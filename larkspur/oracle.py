@@ -153,6 +153,8 @@ _EDITED = """edited AS (
   SELECT f.doc_id, f.path, coalesce(s.body, f.body) AS body, s.doc_id IS NOT NULL AS again FROM files f LEFT JOIN (SELECT * FROM second WHERE starts_with(path, 'src1/')) s USING (doc_id)
   WHERE f.path <> (SELECT max(path) FROM files))"""
 
+_SECOND_BY_PATH = _BY_PATH.replace("files AS (SELECT ", "first_files AS (SELECT documents.doc_id AS own_id, ", 1) + ", " + _SECOND.replace("FROM files", "FROM first_files").replace("second AS", "files AS", 1).replace("doc_id IN", "own_id IN").replace("doc_id NOT IN", "own_id NOT IN")
+
 _CUTS = ", ".join(f"try(decode(encode(text)[1:{PREVIEW_BYTES - k}]))" for k in range(4))
 
 ORACLE: dict[str, str] = {
@@ -199,6 +201,10 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT 'zz/new.md', 'Fresh', 'Fresh', 3)
       SELECT row_number() OVER (ORDER BY stamp DESC, path)::INTEGER AS place, path, title, headings FROM a""",
     "store_search": f"{hybrid(5).replace(FILES, _BY_PATH)} SELECT query_id, rank, path, heading, content, score, label FROM res",
+    "store_pages": f"""WITH {CORPUS} SELECT path, 'Doc ' || doc_id AS title, array_to_string(list(heading ORDER BY chunk_idx), ' | ') AS headings
+      FROM ch JOIN files USING (doc_id) WHERE starts_with(path, 'src1/') GROUP BY doc_id, path ORDER BY path LIMIT 5 OFFSET 5""",
+    "store_edited_search": f"{hybrid(5).replace(FILES, _SECOND_BY_PATH)} SELECT query_id, rank, path, heading, content, score, label FROM res",
+    "vector_bytes": "SELECT vec_id, 4 * len(embedding) AS n_bytes, true AS same, CASE WHEN vec_id % 4 = 0 THEN len(embedding) ELSE 0 END AS left FROM embeddings",
     "replace_section": f"""WITH {FILES}, x AS (SELECT f.doc_id, f.body, d.lang, d.source FROM files f JOIN documents d USING (doc_id))
       SELECT doc_id, {edited('lang', "'New text of ' || doc_id || chr(10) || 'and more'")} AS replaced, {edited('source', "'Added to ' || doc_id")} AS added FROM x""",
     "first_code_block": f"""WITH x AS (SELECT doc_id, text, string_split('intro' || chr(10) || '```' || lang || chr(10) || text || CASE WHEN lang = 'en' THEN chr(10) || '```' || chr(10) || 'rest' ELSE '' END, chr(10)) AS l FROM documents),
@@ -211,3 +217,5 @@ ORACLE: dict[str, str] = {
     "unit_vectors": """SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 4) AS squares,
       round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) / list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 9) AS own_cosine FROM embeddings""",
 }
+ORACLE["dense_clusters"] = ORACLE["dense_topk"]
+ORACLE["folder_follow"] = ORACLE["store_ingest"]

@@ -307,7 +307,7 @@ class Store:
         return self._commit(make)
 
     def update(self, files: DataFrame, now: dt.datetime | None = None) -> int:
-        """Put these files(path, body) in place of those of the same paths and keep all others; returns the version. A file without chunks is deleted; files that are as they were change nothing."""
+        """Put these files(path, body) in place of those of the same paths and keep all others; returns the version. A file without chunks is deleted. Chunks are written for files that have changed; where none has, nothing changes, not even the time."""
         files, rows = self._rows(files)
 
         def make(base: dict | None) -> dict | None:
@@ -318,8 +318,8 @@ class Store:
             changed = staged(maintain.changed(old, fresh), "changed")
             if changed.isEmpty():
                 return None
-            mine = few(changed, CHANGED_ROWS)
-            return self._segment(base, documents.join(mine, "doc_id", "left_semi"), fresh.join(mine, "doc_id", "left_semi"), changed, changed)
+            stamped = own.select("doc_id").unionByName(documents.select("doc_id"))
+            return self._segment(base, documents, fresh.join(few(changed, CHANGED_ROWS), "doc_id", "left_semi"), stamped, changed)
 
         return self._commit(make)
 

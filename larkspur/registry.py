@@ -3,22 +3,22 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import fnv1a32, hashed_dim, index_terms, is_heading, preview, tokenize, tokenize_raw
-from larkspur.functions.vectors import cosine, normalize
+from larkspur.functions.vectors import bytes_to_floats, cosine, floats_to_bytes, normalize
 from larkspur.operators import chunker, editing, maintain, statistics
-from larkspur.operators.dense import dense_search
+from larkspur.operators.dense import DenseIndex, dense_search
 from larkspur.operators.lexical import expand, lexical_search, match, phrases
 from larkspur.operators.vectorize import chunk_vectors, vector_search
 from larkspur.oracle import ORACLE
 from larkspur.plans.search import build_from_files, search_batch
 from larkspur.plans.store import Store
-from larkspur.session import few, shared_dir, staged
-from larkspur.sources.markdown import from_documents
+from larkspur.session import few, own_path, staged
+from larkspur.sources.markdown import from_documents, write_markdown
+from larkspur.streaming.ingest import Manifest, catch_up
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,6 +129,21 @@ def q_dense_topk(spark, sf_dir):
     return dense_search(asked, rows, 20).withColumn("score", F.round("score", 6))
 
 
+def q_dense_clusters(spark, sf_dir):
+    """The same ranks from stored clusters, most of which a query need not read where vectors do lie in clusters."""
+    rows = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), normalize("embedding").alias("vector"))
+    index = DenseIndex(spark, own_path(spark, "dense")).build(rows)
+    asked = rows.where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
+    return index.search(asked, 20).withColumn("score", F.round("score", 6))
+
+
+def q_vector_bytes(spark, sf_dir):
+    """Vectors to bytes and back, and bytes that are cut short."""
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding", floats_to_bytes("embedding").alias("raw"))
+    back, cut = bytes_to_floats("raw"), bytes_to_floats(F.expr("substring(raw, 1, octet_length(raw) - vec_id % 4)"))
+    return rows.select("vec_id", F.octet_length("raw").cast("long").alias("n_bytes"), back.eqNullSafe(F.col("embedding").cast("array<float>")).alias("same"), F.size(F.coalesce(cut, F.array().cast("array<float>"))).cast("long").alias("left"))
+
+
 def q_hybrid_search(spark, sf_dir):
     return search_batch(build_from_files(_files(spark, sf_dir)), _queries(spark, sf_dir))
 
@@ -195,7 +210,7 @@ def q_unit_vectors(spark, sf_dir):
 
 def _store(spark: SparkSession, sf_dir: str) -> Store:
     """A new store of all documents as files."""
-    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    store = Store(spark, own_path(spark, "store"))
     store.ingest(_files(spark, sf_dir), dt.datetime(2024, 1, 1))
     return store
 
@@ -236,6 +251,33 @@ def q_store_edit(spark, sf_dir):
     return store.list().select(place.alias("place"), "path", "title", F.array_join("headings", " | ").alias("headings"))
 
 
+def q_store_pages(spark, sf_dir):
+    """The second page of five documents of a list by path, which begins after the last path of the first."""
+    store = _store(spark, sf_dir)
+    last = store.page("src1/", "", 5).agg(F.max("path")).first()[0]
+    return store.page("src1/", last or "", 5).select("path", "title", F.array_join("headings", " | ").alias("headings"))
+
+
+def q_store_edited_search(spark, sf_dir):
+    """Search through two segments, the second of which replaces and removes documents of the first."""
+    store = _store(spark, sf_dir)
+    store.ingest(_second_files(spark, sf_dir))
+    found = search_batch(store.index(), _queries(spark, sf_dir))
+    return found.select("query_id", "rank", "path", "heading", "content", "score", "label")
+
+
+def q_folder_follow(spark, sf_dir):
+    """Documents written as files, ingested, some of them changed and removed, and the corpus brought up to the folder."""
+    docs, root = own_path(spark, "docs"), own_path(spark, "store")
+    write_markdown(_files(spark, sf_dir), docs)
+    store, manifest = Store(spark, root), Manifest(spark, f"{root}/manifest")
+    catch_up(spark, docs, store, manifest)
+    second = staged(_second_files(spark, sf_dir), "second")
+    write_markdown(second, docs, replace=True)
+    catch_up(spark, docs, store, manifest)
+    return store.table("chunks").join(store.table("documents"), "doc_id").select("path", "title", "chunk_idx", "heading", "content")
+
+
 def q_store_search(spark, sf_dir):
     """Search through the tables of a stored snapshot."""
     found = search_batch(_store(spark, sf_dir).index(), _queries(spark, sf_dir))

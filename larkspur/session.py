@@ -72,14 +72,20 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends there and a lost executor costs a re-read."""
-    spark = df.sparkSession
+def own_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which release() deletes."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     if (own := _scope.get()) is not None:
         own.paths.append(path)
+    return path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it again: lineage ends there and a lost executor costs a re-read."""
+    spark = df.sparkSession
+    path = own_path(spark, name)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.schemas import FILE
+from larkspur.session import staged
 
 
 def relative_path(spark: SparkSession, root: str, at: Column | str) -> Column:
@@ -48,3 +51,39 @@ def from_documents(documents: DataFrame) -> DataFrame:
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
     body = F.concat(F.lit("# Doc "), F.col("doc_id").cast("string"), F.lit("\n## "), F.col("lang"), F.lit("\n"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n\n")))
     return documents.select("doc_id", path.alias("path"), body.alias("body"))
+
+
+def _write(root: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, top = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = f"{top.rstrip('/')}/{path}"
+                files.create_dir(at.rpartition("/")[0], recursive=True)
+                with files.open_output_stream(at) as out:
+                    out.write((body or "").encode())
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["path"])
+
+    return run
+
+
+def write_markdown(files: DataFrame, root: str, replace: bool = False) -> int:
+    """Write files(path, body) below root, a URI that executors can write to, each from the task that has it; returns how many. With replace, files below root that are not among them go; what has not changed is written again."""
+    spark = files.sparkSession
+    written = staged(files.select("path", "body").where("path is not null").mapInArrow(_write(root), "path string"), "written")
+    if replace:
+        gone = listed(spark, root).join(written, "path", "left_anti")
+        gone.select("at").mapInArrow(_remove, "at string").count()
+    return written.count()
+
+
+def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    for batch in batches:
+        for at in batch.column(0).to_pylist():
+            files, path = fs.FileSystem.from_uri(at.replace("file:/", "file:///", 1) if at.startswith("file:/") and not at.startswith("file://") else at)
+            files.delete_file(path)
+        yield batch

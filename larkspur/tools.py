@@ -15,6 +15,7 @@ from larkspur.sources.markdown import read_markdown
 
 TOOL_PREFIX = "tools/"
 TOOL_CANDIDATES = 10
+LIST_ROWS = 200  # documents of a page of the list
 
 
 class ToolError(ValueError):
@@ -72,13 +73,16 @@ class Tools:
             out.append(f"{r['rank']}. {name} ({r['label']})\n\n{cut_preview(r['content'])}\n")
         return "\n".join(out)
 
-    def list_knowledge(self, prefix: str = "") -> str:
-        rows = self.store.list(prefix).collect()
+    def list_knowledge(self, prefix: str = "", after: str = "") -> str:
+        """A page of the documents below a prefix, by path; a last line says where the next one begins."""
+        rows = self.store.page(prefix, after, LIST_ROWS).collect()
         if not rows:
-            return f"No documents begin with {prefix!r}; an empty prefix lists all." if prefix else "The knowledge base is empty; write_knowledge adds to it."
+            return f"No documents begin with {prefix!r}; an empty prefix lists all." if prefix or after else "The knowledge base is empty; write_knowledge adds to it."
         out = [f"{len(rows)} documents, {sum(len(r['headings']) for r in rows)} sections\n"]
         for r in rows:
             out += [r["path"], *(f"  - {h}" for h in r["headings"] if h)]
+        if len(rows) == LIST_ROWS:
+            out.append(f"... more come after {rows[-1]['path']!r}")
         return "\n".join(out) + "\n"
 
     def write_knowledge(self, path: str, heading: str, content: str) -> str:
@@ -120,4 +124,4 @@ class Tools:
         best = rows[0]
         code = self._one(first_code_block(F.lit(best["content"])))
         body = best["content"] if code == best["content"] else f"```\n{code}\n```"
-        return f"## {best['heading']}\nSource: {best['path']}\n\n{body}"
+        return f"{best['path']} ({best['heading']}):\n\n{body}"
