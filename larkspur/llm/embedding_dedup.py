@@ -234,3 +234,24 @@ k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
 SELECT c.id AS vec_id, coalesce(k.n_links, 0)::BIGINT AS n_links, c.component_id, c.id = c.component_id AS kept
 FROM c LEFT JOIN k ON k.a = c.id
 """
+
+
+def with_near_copies(vectors: DataFrame) -> DataFrame:
+    """(vec_id, embedding) and a near copy of every third vector, with an id that is larger by 10**9: each component is changed by a tenth of itself at most, by a rule."""
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    moved = F.transform("embedding", lambda x, i: x * (1.0 + 0.1 * (F.pmod(F.col("vec_id") * 31 + (i + 1) * 17, F.lit(13)) - 6) / 6))
+    return rows.unionByName(rows.where("vec_id % 3 = 0").select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), moved.alias("embedding")))
+
+
+def near_embeddings(spark, sf_dir: str) -> DataFrame:
+    """Cosine 0.9 over all of embeddings and near copies of a third of them, so that there are links."""
+    return embedding_links(with_near_copies(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+NEAR_SQL = OP9_SQL.replace("FROM embeddings", "FROM near").replace(
+    "WITH RECURSIVE v AS",
+    """WITH RECURSIVE near AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings
+  UNION ALL SELECT vec_id + 1000000000, list_transform(range(1, len(embedding) + 1), lambda i: embedding[i]::DOUBLE * (1 + 0.1::DOUBLE * ((vec_id * 31 + i * 17) % 13 - 6) / 6)) FROM embeddings WHERE vec_id % 3 = 0),
+v AS""",
+    1,
+)

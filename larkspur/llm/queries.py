@@ -5,7 +5,7 @@ from __future__ import annotations
 from larkspur.llm.attention_lm import op11_attention_lm
 from larkspur.llm.byte_bpe import op10_byte_bpe
 from larkspur.llm.decontaminate import op5_decontaminate
-from larkspur.llm.embedding_dedup import OP9_SQL, op9_embedding_dedup
+from larkspur.llm.embedding_dedup import NEAR_SQL, OP9_SQL, near_embeddings, op9_embedding_dedup
 from larkspur.llm.html_text import op4_html_text
 from larkspur.llm.license_scan import op7_license_scan
 from larkspur.llm.ngram_jaccard import OP1_SQL, op1_ngram_jaccard
@@ -30,6 +30,7 @@ QUERIES = {
     "op11_attention_lm": op11_attention_lm,
     "op12_vector_codes": op12_vector_codes,
     "op13_spelling": op13_spelling,
+    "near_embeddings": near_embeddings,
 }
 
 ORACLE: dict[str, str] = {
@@ -39,4 +40,5 @@ ORACLE: dict[str, str] = {
     "op9_embedding_dedup": OP9_SQL,
     "op12_vector_codes": OP12_SQL,
     "op13_spelling": OP13_SQL,
+    "near_embeddings": NEAR_SQL,
 }
