@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import BROADCAST_ROWS, lean, mix, prefix_hash, span_hash, staged, text_chunks
+from larkspur.llm.common import BROADCAST_ROWS, CHUNK_BYTES, lean, mix, prefix_hash, span_hash, staged, text_chunks
 from larkspur.session import few
 
 GROUP_LIMIT = 2000  # contexts of one group that a task sorts; larger groups are split
@@ -194,7 +194,7 @@ def _anchors(seed: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for i, _, data, offsets in text_chunks(batch, "text"):
+            for i, _, data, offsets in text_chunks(batch, "text", CHUNK_BYTES // 2):
                 d, a, lo, hi, key, whole = anchors(data, offsets, seed, length)
                 other = span_hash(prefix_hash(mixed_grams(data)), lo, hi + max(1, length - 7))
                 begin = offsets[d]
