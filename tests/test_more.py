@@ -134,7 +134,7 @@ def test_contract(spark):
     assert rows and rows[0].asDict().keys() == {"query_id", "rank", "chunk_id", "path", "heading", "content", "score", "label"}
 
 
-@pytest.mark.parametrize("name", ["sections", "bm25_topk", "vector_topk", "upsert_documents", "preview", "dense_clusters", "vector_bytes", "store_pages", "store_edit", "store_edited_search", "folder_follow"])
+@pytest.mark.parametrize("name", ["sections", "bm25_topk", "vector_topk", "upsert_documents", "preview", "dense_clusters", "vector_bytes", "store_pages"])
 def test_queries_match_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     from larkspur.registry import ORACLE, QUERIES
