@@ -52,14 +52,14 @@ def size_classes(largest: int) -> list[int]:
 
 @functools.cache
 def fragments_of(tag: int, num: int, den: int) -> tuple[int, int]:
-    """(most, fragments) of a size class: the largest symmetric difference of a pair whose smaller set is in it, and so many fragments that a set of the class fills more than `most` of them, by four standard deviations."""
+    """(most, fragments) of a size class: the largest symmetric difference of a pair whose smaller set is in it, and so many fragments that a set of the class fills more than `most` of them, by two and a half standard deviations."""
     low = class_start(tag)
     upper = max(low + 1, int(low * CLASS_RATIO)) - 1
     most = upper * (den - num) // num
     m = most + 1
     while m < 64 * upper:
         empty = (1 - 1 / m) ** low
-        if m * (1 - empty) - 4 * math.sqrt(m * empty * (1 - empty)) > most:
+        if m * (1 - empty) - 2.5 * math.sqrt(m * empty * (1 - empty)) > most:
             break
         m += 1 + m // 16
     return most, m
@@ -343,9 +343,9 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 8, den: int =
     reps = sets.select(F.col("rep").alias("doc_id")).distinct()
     keyed = staged(keep_rows_of(docs, reps, "doc_id").mapInArrow(_keys(size, num, den), "key long, rep long"), "keyed")
     # Counted apart from the join, so that Spark can split a hot key there.
-    keys = keyed.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count("*").alias("docs")).where("first < last")
-    meet = keyed.join(staged(keys.select("key", "docs"), "keys"), "key")
-    meet = staged(meet.select(F.col("key").alias("group"), "rep", "docs", F.ceil(F.col("docs") / BUCKET_DOCS).cast("int").alias("blocks")), "buckets")
+    keys = staged(keyed.groupBy("key").agg(F.count("*").alias("docs")).where("docs > 1"), "keys")
+    meet = keyed.join(keys, "key")
+    meet = restaged(meet.select(F.col("key").alias("group"), "rep", "docs", F.ceil(F.col("docs") / BUCKET_DOCS).cast("int").alias("blocks")), "buckets", [marks, sets])
     # The documents that a document meets: of a group of near copies, the one that the others were made from has most.
     weights = staged(meet.groupBy("rep").agg(F.sum("docs").alias("weight")), "weights")
     own = keep_rows_of(marks, weights.select(F.col("rep").alias("doc_id")), "doc_id").groupBy(F.col("doc_id").alias("rep")).agg(F.max(F.struct("n", "bits")).alias("own"))
