@@ -219,3 +219,5 @@ ORACLE: dict[str, str] = {
 }
 ORACLE["dense_clusters"] = ORACLE["dense_topk"]
 ORACLE["folder_follow"] = ORACLE["store_ingest"]
+ORACLE |= {f"sql_{name}": ORACLE[name] for name in ("sections", "replace_section", "vocabulary")}
+ORACLE["sql_chunks"] = ORACLE["chunk_documents"]

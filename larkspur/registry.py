@@ -15,6 +15,7 @@ from larkspur.operators.lexical import expand, lexical_search, match, phrases
 from larkspur.operators.vectorize import chunk_vectors, vector_search
 from larkspur.oracle import ORACLE
 from larkspur.plans.search import build_from_files, search_batch
+from larkspur.plans.sql import register
 from larkspur.plans.store import Store
 from larkspur.session import few, own_path, staged
 from larkspur.sources.markdown import from_documents, write_markdown
@@ -208,6 +209,40 @@ def q_unit_vectors(spark, sf_dir):
     return _read(spark, sf_dir, "embeddings").select("vec_id", F.round(squares, 4).alias("squares"), F.round(cosine(unit, unit), 9).alias("own_cosine"))
 
 
+def q_sql_chunks(spark, sf_dir):
+    """The chunks by a table function of SQL."""
+    register(spark)
+    return spark.sql("SELECT f.doc_id, c.* FROM {files} f, LATERAL chunks_of(f.body) c", files=_files(spark, sf_dir))
+
+
+def q_sql_sections(spark, sf_dir):
+    register(spark)
+    return spark.sql("SELECT f.doc_id, CAST(s.idx AS BIGINT) AS idx, s.heading, s.content FROM {files} f, LATERAL sections_of(f.body) s", files=_files(spark, sf_dir))
+
+
+def q_sql_replace_section(spark, sf_dir):
+    """Editing by functions of SQL."""
+    register(spark)
+    return spark.sql(
+        """SELECT f.doc_id, section_replaced(f.body, d.lang, 'New text of ' || f.doc_id || '\\nand more') AS replaced, section_replaced(f.body, d.source, 'Added to ' || f.doc_id) AS added
+        FROM {files} f JOIN {docs} d ON f.doc_id = d.doc_id""",
+        files=_files(spark, sf_dir).select("doc_id", "body"),
+        docs=_read(spark, sf_dir, "documents").select("doc_id", "lang", "source"),
+    )
+
+
+def q_sql_vocabulary(spark, sf_dir):
+    """The vocabulary in one statement over the functions."""
+    register(spark)
+    return spark.sql(
+        """WITH chunks AS (SELECT f.doc_id, c.* FROM {files} f, LATERAL chunks_of(f.body) c),
+        terms AS (SELECT DISTINCT c.doc_id, c.chunk_idx, w.word AS term FROM chunks c, LATERAL words_of(c.heading || ' ' || c.content) w),
+        counts AS (SELECT term, COUNT(*) AS df FROM terms GROUP BY term)
+        SELECT term, df, ROUND(LN((n + 1) / (df + 1)) + 1, 9) AS idf FROM counts CROSS JOIN (SELECT COUNT(*) AS n FROM chunks)""",
+        files=_files(spark, sf_dir).select("doc_id", "body"),
+    )
+
+
 def _store(spark: SparkSession, sf_dir: str) -> Store:
     """A new store of all documents as files."""
     store = Store(spark, own_path(spark, "store"))
