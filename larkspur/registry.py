@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from larkspur.functions.text import fnv1a32, hashed_dim, index_terms, is_heading, preview, tokenize, tokenize_raw
 from larkspur.functions.vectors import bytes_to_floats, cosine, floats_to_bytes, normalize
 from larkspur.operators import chunker, editing, maintain, statistics
+from larkspur.operators.blockmax import BlockIndex
 from larkspur.operators.dense import DenseIndex, dense_search
 from larkspur.operators.lexical import expand, lexical_search, match, phrases
 from larkspur.operators.vectorize import chunk_vectors, vector_search
@@ -111,6 +112,13 @@ def q_bm25_topk(spark, sf_dir):
     return found.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
+def q_bm25_blocks(spark, sf_dir):
+    """The same ranks from postings in blocks, of which a query scores those that can reach its best."""
+    index = BlockIndex(spark, own_path(spark, "blocks")).build(*_lexical_tables(spark, sf_dir))
+    found = index.search(_queries(spark, sf_dir), 20)
+    return found.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
 def q_tfidf_vectors(spark, sf_dir):
     chunks = staged(_chunks(spark, sf_dir), "chunks")
     return chunk_vectors(chunks, staged(statistics.vocabulary(chunks), "vocab")).select("chunk_id", "dim", F.round("w", 6).alias("w"))
