@@ -222,3 +222,4 @@ ORACLE["folder_follow"] = ORACLE["store_ingest"]
 ORACLE |= {f"sql_{name}": ORACLE[name] for name in ("sections", "replace_section", "vocabulary")}
 ORACLE["sql_chunks"] = ORACLE["chunk_documents"]
 ORACLE["bm25_blocks"] = ORACLE["bm25_topk"]
+ORACLE["markdown_tree"] = ORACLE["chunk_documents"]

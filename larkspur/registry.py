@@ -20,6 +20,7 @@ from larkspur.plans.sql import register
 from larkspur.plans.store import Store
 from larkspur.session import few, own_path, staged
 from larkspur.sources.markdown import from_documents, write_markdown
+from larkspur.sources.tree import MarkdownTree
 from larkspur.streaming.ingest import Manifest, catch_up
 
 
@@ -321,6 +322,16 @@ def q_folder_follow(spark, sf_dir):
     return store.table("chunks").join(store.table("documents"), "doc_id").select("path", "title", "chunk_idx", "heading", "content")
 
 
+def q_markdown_tree(spark, sf_dir):
+    """Documents written as files and read back by the data source, as chunks."""
+    docs = own_path(spark, "docs")
+    write_markdown(_files(spark, sf_dir), docs)
+    spark.dataSource.register(MarkdownTree)
+    files = spark.read.format("markdown").load(docs)
+    number = F.regexp_extract("path", r"(\d+)\.md$", 1).cast("long")
+    return chunker.chunk(files.select(number.alias("doc_id"), "body")).select("doc_id", "chunk_idx", "heading", "content")
+
+
 def q_store_search(spark, sf_dir):
     """Search through the tables of a stored snapshot."""
     found = search_batch(_store(spark, sf_dir).index(), _queries(spark, sf_dir))
