@@ -8,6 +8,7 @@ are parts, and keeps folders, not files. Each of these folders is walked by
 tasks, SHARES of them for each, which read the files whose path falls to their
 share; so one folder with a third of all files is read by several tasks. A file
 that cannot be read fails the task with its path, unless `errors` is `skip`.
+Links that lead nowhere are not listed.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@
 
 import pytest
 
+from larkspur.sources import tree as source
 from larkspur.sources.markdown import read_local_markdown, read_markdown
 from larkspur.sources.tree import MarkdownReader, MarkdownTree
 
@@ -39,15 +40,19 @@ def test_a_folder_is_read_by_several_tasks(tree):
     assert len(hot) > 1 and len({(s.folder, s.share) for s in shares}) == len(shares)
 
 
-def test_read_errors(spark, tree):
+def test_a_file_that_is_gone_when_it_is_read(tree, monkeypatch):
+    monkeypatch.setattr(source, "_listing", lambda files, folder, deep: files.get_file_info([f"{folder}/gone.md", f"{folder}/a.md"]))
+    share = source.Share(str(tree), True, 0, 1)
+    with pytest.raises(OSError, match="read gone.md"):
+        list(MarkdownReader({"path": str(tree)}).read(share))
+    batches = list(MarkdownReader({"path": str(tree), "errors": "skip"}).read(share))
+    assert [b.to_pydict() for b in batches] == [{"path": ["a.md"], "body": ["# A"]}]
+
+
+def test_folders_and_links(spark, tree):
     spark.dataSource.register(MarkdownTree)
-    (tree / "gone.md").symlink_to(tree / "nowhere.md")
-    with pytest.raises(Exception, match="read gone.md"):
-        spark.read.format("markdown").load(str(tree)).collect()
-    kept = _rows(spark.read.format("markdown").option("errors", "skip").load(str(tree)))
-    assert len(kept) == 49
-    (tree / "gone.md").unlink()
     (tree / "folder.md").mkdir()
+    (tree / "dangling.md").symlink_to(tree / "nowhere.md")
     assert len(_rows(spark.read.format("markdown").load(str(tree)))) == 49
     with pytest.raises(Exception, match="no folder"):
         spark.read.format("markdown").load(str(tree / "nothing")).collect()
