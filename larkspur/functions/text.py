@@ -48,21 +48,22 @@ def col(c: Column | str) -> Column:
 
 def lower(c: Column | str) -> Column:
     """Lower case; a dotted capital I becomes a plain i and not an i with a combining dot."""
-    return F.lower(F.translate(col(c), "İ", "i"))
+    return F.lower(F.replace(col(c), F.lit("İ"), F.lit("i")))
 
 
 def tokenize_raw(c: Column | str) -> Column:
     """ASCII words of two characters or more that are no stop words, in order. Null gives null."""
-    words = F.split(F.regexp_replace(lower(c), "[^a-z0-9]+", " "), " ")
+    words = F.split(lower(c), "[^a-z0-9]+")
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS))
 
 
 def tokenize(c: Column | str) -> Column:
     """tokenize_raw with the synonyms of each word after its first occurrence. Synonyms are not expanded again."""
     table = F.create_map(*[x for k, v in SYNONYMS.items() for x in (F.lit(k), strings(v))])
+    rare = lambda words: F.when(F.arrays_overlap(words, strings(list(SYNONYMS))), expand(words)).otherwise(words)
     # The outer transform holds the words, so that they are made once and not for each element.
     expand = lambda words: F.flatten(F.transform(words, lambda w, i: F.when(w.isin(list(SYNONYMS)) & (F.array_position(words, w) == i + 1), F.concat(F.array(w), F.coalesce(F.element_at(table, w), strings([])))).otherwise(F.array(w))))
-    return F.get(F.transform(F.array(tokenize_raw(c)), expand), 0)
+    return F.get(F.transform(F.array(tokenize_raw(c)), rare), 0)
 
 
 def _diacritics() -> tuple[str, str]:
@@ -85,13 +86,17 @@ def fold(c: Column | str) -> Column:
 
 
 def index_terms(c: Column | str) -> Column:
-    """Terms of the full-text index: runs of letters and digits of any script, folded; stop words stay."""
-    return F.filter(F.split(fold(c), r"[^\p{L}\p{N}\p{Co}]+"), lambda w: F.length(w) > 0)
+    """Terms of the full-text index: runs of letters and digits of any script, folded; stop words stay. ASCII texts, which have nothing to fold, are cut by a plainer pattern."""
+    c = col(c)
+    words = F.when(F.octet_length(c) == F.length(c), F.split(F.lower(c), "[^a-z0-9]+")).otherwise(F.split(fold(c), r"[^\p{L}\p{N}\p{Co}]+"))
+    return F.filter(words, lambda w: F.length(w) > 0)
 
 
 def trim_space(c: Column | str) -> Column:
-    """Trim all Unicode white space; Spark's own trim takes blanks only."""
-    return F.regexp_replace(F.regexp_replace(col(c), r"(?U)^\s+", ""), r"(?U)\s+$", "")
+    """Trim all Unicode white space; Spark's own trim takes blanks only. Texts that neither begin nor end with any are not searched for it."""
+    c = col(c)
+    ends = F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1)).rlike(r"(?U)\s")
+    return F.when(ends, F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+", ""), r"(?U)\s+$", "")).otherwise(c)
 
 
 def fnv1a32(c: Column | str) -> Column:
