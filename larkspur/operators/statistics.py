@@ -35,6 +35,21 @@ def postings(chunks: DataFrame) -> DataFrame:
     return terms.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
 
 
+def terms(chunks: DataFrame) -> DataFrame:
+    """(term): the distinct terms of the full-text index."""
+    return chunks.select(F.explode(F.array_distinct(index_terms(_whole(chunks)))).alias("term")).distinct()
+
+
+def words(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, words) of tokenized() alone."""
+    return chunks.select("chunk_id", index_terms(_whole(chunks)).alias("words"))
+
+
+def tokens(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, tokens) of tokenized() alone."""
+    return chunks.select("chunk_id", boosted_tokens().alias("tokens"))
+
+
 def chunk_lengths(chunks: DataFrame) -> DataFrame:
     """(chunk_id, n_tokens) with stop words."""
     return chunks.select("chunk_id", F.size(index_terms(_whole(chunks))).cast("long").alias("n_tokens"))

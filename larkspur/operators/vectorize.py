@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.text import hashed_dim, tokenize
 from larkspur.functions.vectors import smoothed_idf
+from larkspur.operators.forward import search_tokens, token_vectors
 from larkspur.operators.lexical import top
 from larkspur.operators.statistics import boosted_tokens, term_frequency
 from larkspur.session import few, staged
@@ -51,6 +52,18 @@ def vectors_of(frequencies: DataFrame, vocab: DataFrame, chunks: int, dims: int
     return hashed(frequencies.repartition("chunk_id"), vocab, default, "chunk_id", dims)
 
 
+def vector_search_tokens(queries: DataFrame, vocab: DataFrame, tokens: DataFrame, k: int, dims: int = DIMS, chunks: int | None = None) -> DataFrame:
+    """vector_search() over tokens(chunk_id, tokens) of chunks, whose vectors are made where they are scored. vocab(term, df, idf) is that of these chunks; `chunks` is their number for unknown terms, by default of those with tokens."""
+    sizes = tokens.agg(F.count("*").alias("all"), F.count_if(F.size("tokens") > 0).alias("filled")).first()
+    asked = query_vectors(queries, vocab.select("term", "idf"), tokens, dims, sizes["filled"] if chunks is None else chunks)
+    asked = staged(asked, "asked")
+    found = search_tokens(asked, tokens, vocab.select("term", "df"), sizes["all"], k, dims, MIN_COSINE)
+    if found is None:
+        vectors = staged(token_vectors(tokens, vocab.select("term", "df"), sizes["all"], dims), "vectors")
+        found = vector_search(queries, vocab, vectors, k, dims, sizes["filled"] if chunks is None else chunks)
+    return found
+
+
 def query_vectors(queries: DataFrame, vocab: DataFrame, vectors: DataFrame, dims: int = DIMS, chunks: int | None = None) -> DataFrame:
     """(query_id, dim, w); unknown terms get the idf of a corpus ten chunks larger. With `chunks`, their number is known and not counted."""
     if chunks is None:
