@@ -299,3 +299,21 @@ def test_op11_learns(spark):
     table = spark.createDataFrame([(i, text(tongues[i % 2]), "w", 1, "b") for i in range(300)], DOCS)
     got = attention_lm.attention_lm(table, RANKS, PATTERN).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.count_if(F.col("score") > F.col("base_score")) / F.count("*")).first()
     assert got[0] > got[1] + 1 and got[2] > 0.9
+
+
+def test_op11_tasks_hold_few_blocks(spark, tmp_path, monkeypatch):
+    """Blocks are megabytes each: row groups, which a task holds when it writes or reads, stay small however many a task has."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(attention_lm, "BLOCK_BYTES", 1 << 20)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"{w:x}" for w in rng.integers(0, 1 << 40, 8000)) for _ in range(250)]
+    kept = []
+    monkeypatch.setattr(attention_lm, "staged", lambda df, name, **o: kept.append((name, staged(df, name, **o))) or kept[-1][1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    attention_lm.attention_lm(docs, RANKS, PATTERN)
+    (file,) = (f.removeprefix("file://") for f in dict(kept)["blocks"].inputFiles())
+    meta = pq.ParquetFile(glob.glob(file)[0]).metadata
+    assert meta.num_rows >= 10 and max(meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)) < 16 << 20
