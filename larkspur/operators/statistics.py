@@ -83,9 +83,11 @@ def boosted_tokens() -> F.Column:
     return F.concat(*[heading] * HEADING_TIMES, tokenize(F.coalesce("content", F.lit(""))))
 
 
-def postings_of(tokens: DataFrame) -> DataFrame:
-    """postings() of tokenized chunks."""
-    return tokens.select("chunk_id", F.explode("words").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+def postings_of(tokens: DataFrame, with_lengths: bool = False) -> DataFrame:
+    """postings() of tokenized chunks, with the number of all words of the chunk (n_tokens) if asked for, which needs no join here."""
+    rest = [F.size("words").cast("long").alias("n_tokens")] if with_lengths else []
+    rows = tokens.select("chunk_id", *rest, F.explode("words").alias("term"))
+    return rows.groupBy("term", "chunk_id", *(["n_tokens"] if with_lengths else [])).agg(F.count("*").alias("tf"))
 
 
 def frequencies_of(tokens: DataFrame) -> DataFrame:

@@ -46,12 +46,6 @@ def chunk_vectors(chunks: DataFrame, vocab: DataFrame, dims: int = DIMS) -> Data
     return hashed(term_frequency(dealt, boosted_tokens(), "chunk_id"), vocab, default, "chunk_id", dims)
 
 
-def vectors_of(frequencies: DataFrame, vocab: DataFrame, chunks: int, dims: int = DIMS) -> DataFrame:
-    """chunk_vectors() of stored frequencies(chunk_id, term, tf) in a corpus of so many chunks."""
-    default = frequencies.sparkSession.range(1).select(smoothed_idf(F.lit(chunks), F.lit(0)).alias("idf_default"))
-    return hashed(frequencies.repartition("chunk_id"), vocab, default, "chunk_id", dims)
-
-
 def vector_search_tokens(queries: DataFrame, vocab: DataFrame, tokens: DataFrame, k: int, dims: int = DIMS, chunks: int | None = None) -> DataFrame:
     """vector_search() over tokens(chunk_id, tokens) of chunks, whose vectors are made where they are scored. vocab(term, df, idf) is that of these chunks; `chunks` is their number for unknown terms, by default of those with tokens."""
     sizes = tokens.agg(F.count("*").alias("all"), F.count_if(F.size("tokens") > 0).alias("filled")).first()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,10 +13,11 @@ from pyspark.sql import functions as F
 from larkspur.operators.chunker import chunk
 from larkspur.operators.dense import dense_search
 from larkspur.operators.fusion import fuse
+from larkspur.operators.forward import search_words, token_vectors
 from larkspur.operators.lexical import lexical_search, stored_search
 from larkspur.operators.maintain import chunk_id
-from larkspur.operators.statistics import chunk_lengths, postings, vocabulary
-from larkspur.operators.vectorize import DIMS, MIN_COSINE, chunk_vectors, vector_search
+from larkspur.operators.statistics import frequency_of, postings_of, tokenized, with_idf
+from larkspur.operators.vectorize import DIMS, MIN_COSINE, vector_search, vector_search_tokens
 from larkspur.schemas import QUERIES
 from larkspur.session import staged
 from larkspur.sources.provider import Embed, embed_rows
@@ -32,14 +34,15 @@ def clamp(limit: int | None) -> int:
 
 @dataclass
 class Index:
-    """documents, chunks and what is derived from them."""
+    """documents, chunks and what is derived from them. Batches of queries read tokens(chunk_id, words, tokens); postings and vectors are made when they are first asked for."""
 
     documents: DataFrame
     chunks: DataFrame
-    postings: DataFrame
+    tokens: DataFrame
     lengths: DataFrame
     vocab: DataFrame
-    vectors: DataFrame
+    make_postings: Callable[[], DataFrame]
+    make_vectors: Callable[[], DataFrame]
     facts: tuple[int, int] | None = None  # of a stored index: the numbers of chunks and of their tokens,
     terms: DataFrame | None = None  # the dictionary (term, n, range, seq),
     ranged: Callable[[dict[int, list[int]]], DataFrame] | None = None  # and the postings of some of its ranges
@@ -48,10 +51,20 @@ class Index:
     def build(documents: DataFrame, chunks: DataFrame, dims: int = DIMS) -> Index:
         """Statistics are a pure function of the chunks; each table is stored once and read from then on."""
         chunks = staged(chunks, "chunks")
-        vocab = staged(vocabulary(chunks), "vocab")
+        tokens = staged(tokenized(chunks), "tokens")
+        vocab = staged(with_idf(frequency_of(tokens), chunks), "vocab")
         # Sorted by term, so that look-ups of few terms skip row groups.
-        terms = staged(postings(chunks).repartitionByRange("term").sortWithinPartitions("term"), "postings")
-        return Index(documents, chunks, terms, staged(chunk_lengths(chunks), "lengths"), vocab, staged(chunk_vectors(chunks, vocab, dims), "vectors"))
+        terms = lambda: staged(postings_of(tokens).repartitionByRange("term").sortWithinPartitions("term"), "postings")
+        vectors = lambda: staged(token_vectors(tokens, vocab, chunks.count(), dims), "vectors")
+        return Index(documents, chunks, tokens, tokens.select("chunk_id", F.size("words").cast("long").alias("n_tokens")), vocab, terms, vectors)
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        return self.make_postings()
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        return self.make_vectors()
 
 
 def build_from_files(files: DataFrame, fence_aware: bool = False, dims: int = DIMS) -> Index:
@@ -71,12 +84,17 @@ def search_batch(index: Index, queries: DataFrame, limit: int = DEFAULT_LIMIT, d
     k = limit * OVERFETCH
     queries = queries.where("query is not null")
     lexical = stored_search(queries, index.terms, index.ranged, index.facts, k) if index.ranged else None
+    few = lexical is not None
+    if lexical is None:
+        lexical = search_words(queries, index.tokens, k)
     if lexical is None:
         lexical = lexical_search(queries, index.postings, index.lengths, k)
     if embedded is not None and query_vectors is not None:
         vector = dense_search(query_vectors, embedded, k, MIN_COSINE)
+    elif few and _small(queries, FEW_QUERIES):
+        vector = vector_search(queries, index.vocab, index.vectors, k, dims, index.facts[0])
     else:
-        vector = vector_search(queries, index.vocab, index.vectors, k, dims, index.facts[0] if index.facts else None)
+        vector = vector_search_tokens(queries, index.vocab, index.tokens, k, dims, index.facts[0] if index.facts else None)
     # Texts are joined to the few rows that are left.
     best = fuse(lexical, vector, limit)
     chunks = index.chunks.select("chunk_id", "doc_id", "heading", "content")

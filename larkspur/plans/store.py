@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from larkspur.functions.vectors import smoothed_idf
 from larkspur.operators import maintain, statistics
 from larkspur.operators.chunker import chunk
-from larkspur.operators.vectorize import DIMS, vectors_of
+from larkspur.operators.forward import token_vectors
+from larkspur.operators.vectorize import DIMS
 from larkspur.plans.log import CommitLog, Taken
 from larkspur.plans.search import Index, Searcher
 from larkspur.schemas import CHUNKS, DOCUMENTS, EMBEDDED, SCHEMA_VERSION
@@ -42,7 +43,7 @@ SCHEMAS = {
     "postings": "term string, chunk_id long, tf long, n_tokens long, range int",
     "terms": "term string, n long, range int",
     "lengths": "chunk_id long, n_tokens long",
-    "frequencies": "chunk_id long, term string, tf double",
+    "tokens": "chunk_id long, words array<string>, tokens array<string>",
     "vocab": "term string, df long",
     "embedded": EMBEDDED,
     "dead_documents": "doc_id long",
@@ -110,8 +111,11 @@ class Store:
         """Rows of the segments that have the table, with `seq`."""
         out = None
         for s in segments:
-            if name in s["tables"]:
-                rows = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self._at(s['id'])}/{name}").withColumn("seq", F.lit(s["seq"]))
+            # Segments of older versions have no tokens; they are made from their chunks.
+            stored = name if name in s["tables"] or name != "tokens" else "chunks"
+            if stored in s["tables"]:
+                rows = self.spark.read.schema(SCHEMAS[stored]).parquet(f"{self._at(s['id'])}/{stored}")
+                rows = (rows if stored == name else statistics.tokenized(rows)).withColumn("seq", F.lit(s["seq"]))
                 out = rows if out is None else out.unionByName(rows)
         return out
 
@@ -141,6 +145,8 @@ class Store:
     def table(self, name: str) -> DataFrame:
         """A table of the latest version: documents, chunks, postings, lengths, vocab, terms, frequencies, vectors or embedded."""
         record = self.record()
+        if name == "frequencies":
+            return statistics.frequencies_of(self.table("tokens"))
         if record is None:
             return self.spark.createDataFrame([], SCHEMAS[name])
         if name == "vectors":
@@ -155,8 +161,8 @@ class Store:
         at = f"{self.root}/vectors/{record['version']:08d}"
         if not self.log.exists(at):
             draft = f"{self.root}/vectors/.{uuid.uuid4().hex}"
-            vocab = self._merged("vocab", record).withColumn("idf", smoothed_idf(F.lit(record["chunks"]), "df"))
-            vectors = vectors_of(self._merged("frequencies", record), vocab, record["chunks"], self.dims)
+            vocab = staged(self._merged("vocab", record), "vocab")
+            vectors = token_vectors(self._merged("tokens", record), vocab, record["chunks"], self.dims)
             vectors.withColumn("part", F.floor(F.col("dim") / 64).cast("int")).write.partitionBy("part").parquet(draft)
             self.log.system(at).rename(self.log.path(draft), self.log.path(at))
             if self.log.exists(draft):  # another reader was faster
@@ -187,11 +193,10 @@ class Store:
         put(documents, "documents")
         chunks = put(chunks, "chunks")
         # Texts are tokenised once, here.
-        tokens = staged(statistics.tokenized(chunks), "tokens")
-        lengths = put(tokens.select("chunk_id", F.size("words").cast("long").alias("n_tokens")), "lengths")
-        put(statistics.frequencies_of(tokens), "frequencies")
+        tokens = put(statistics.tokenized(chunks), "tokens")
+        put(tokens.select("chunk_id", F.size("words").cast("long").alias("n_tokens")), "lengths")
         facts = tokens.agg(F.count("*").alias("chunks"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.size(F.array_distinct("words"))), F.lit(0)).alias("postings")).first()
-        postings = statistics.postings_of(tokens).join(lengths, "chunk_id")
+        postings = statistics.postings_of(tokens, with_lengths=True)
         ranges = facts["postings"] // RANGE_ROWS + 1
         # Chunks are part of the order, so that a term of very many chunks has several ranges.
         postings = postings.repartitionByRange(ranges, "term", "chunk_id").sortWithinPartitions("term", "chunk_id").withColumn("range", F.spark_partition_id())
@@ -206,7 +211,7 @@ class Store:
             old = gone("lengths").agg(F.count("*").alias("chunks"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
             made = {k: made[k] - old[k] for k in made}
             terms = terms.unionByName(gone("postings").groupBy("term").agg((-F.count("*")).alias("n")).select("term", "n", F.lit(None).cast("int").alias("range")))
-            vocab = vocab.unionByName(gone("frequencies").groupBy("term").agg((-F.count("*")).alias("df"))).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
+            vocab = vocab.unionByName(statistics.frequency_of(gone("tokens")).select("term", (-F.col("df")).alias("df"))).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
         # Sorted, so that a prefix skips row groups.
         put(terms.repartitionByRange("term").sortWithinPartitions("term"), "terms")
         put(vocab, "vocab")
@@ -390,10 +395,10 @@ class Store:
         record = self.record()
         if record is None or not record["chunks"]:
             raise LookupError("the corpus is empty")
-        names = ("documents", "chunks", "lengths")
+        names = ("documents", "chunks", "tokens", "lengths")
         vocab = self._merged("vocab", record).withColumn("idf", smoothed_idf(F.lit(record["chunks"]), "df"))
-        postings = self._merged("postings", record)
-        whole = Index(**{n: self._merged(n, record) for n in names}, vocab=vocab, postings=postings.select("term", "chunk_id", "tf"), vectors=self._vectors(record))
+        postings = lambda: self._merged("postings", record).select("term", "chunk_id", "tf")
+        whole = Index(**{n: self._merged(n, record) for n in names}, vocab=vocab, make_postings=postings, make_vectors=lambda: self._vectors(record))
         whole.facts = (record["chunks"], record["tokens"])
         whole.terms = self._read("terms", record["segments"])
         whole.ranged = lambda wanted: self._ranged(record, wanted)

@@ -6,6 +6,8 @@ import pytest
 from larkspur.operators import forward, statistics
 from larkspur.operators.lexical import lexical_search, match
 from larkspur.operators.vectorize import chunk_vectors, vector_search, vector_search_tokens
+from larkspur.plans.search import build_from_files, search_batch
+from larkspur.plans.store import Store
 from larkspur.session import staged
 
 QUERIES = ["w000 w001", "w150 w151 w152 w003", "w04", "w01 w02", "w005 w005 w190", "oom zzz w007", "zzz", "", None, "the"]
@@ -55,3 +57,17 @@ def test_vectors_of_tokens(spark, corpus, head, monkeypatch):
 def test_prefixes_need_no_postings(spark, corpus):
     chunks, _, _ = corpus
     assert _rows(statistics.terms(chunks)) == _rows(statistics.postings(chunks).select("term").distinct())
+
+
+def test_batches_make_no_postings_or_vectors(spark, tmp_path):
+    """A batch reads tokens: it neither makes the postings and vectors of an index, nor the stored vectors of a version."""
+    files = [(i, f"a/{i:02d}.md", f"# Doc {i}\n## en\n" + " ".join(f"word{(i * j) % 17}" for j in range(12))) for i in range(40)]
+    files = staged(spark.createDataFrame(files, "doc_id long, path string, body string"), "files")
+    queries = spark.createDataFrame([(i, f"word{i % 17} doc{i} " + " ".join(f"q{i}x{j}" for j in range(80))) for i in range(30)], "query_id long, query string")
+    index = build_from_files(files)
+    found = _rows(search_batch(index, queries).select("query_id", "rank", "path", "score"))
+    assert found and not {"postings", "vectors"} & set(index.__dict__)
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.ingest(files.select("path", "body"))
+    assert _rows(search_batch(store.index(), queries).select("query_id", "rank", "score")) == sorted((tuple(x for x in r if not isinstance(x, str)) for r in found), key=repr)
+    assert not store.log.exists(f"{store.root}/vectors") and "tokens" in store.record()["segments"][0]["tables"]
