@@ -1,7 +1,7 @@
 """A corpus as a log of small segments.
 
-A change writes a segment: the documents it has put in place, what is derived
-from their chunks, and the ids of the documents it replaces or removes. It then
+A change writes a segment: the documents it has put in place, their chunks, the
+ids of the documents it replaces or removes, and the chunks these had. It then
 claims the next version in the log, which lists the segments that count; where
 another writer has been faster, the change is made again from that writer's
 version, so no update is lost. Readers merge: rows of a segment whose document a
@@ -9,6 +9,11 @@ later segment names are dead, counts are sums of the segments' differences. So
 an edit writes in proportion to its documents, whatever the size of the corpus.
 Neighbouring segments of a size are merged once there are FAN of them.
 
+What is derived from chunks, their words, postings and counts, follows from a
+segment alone. It is made and stored with the segment when it is first asked
+for, so pages, lists and edits of a corpus that nobody has searched do not wait
+for it.
+
 Postings lie in ranges of terms, with a dictionary that says which; a search
 reads the ranges of its terms only. Hashed vectors weigh every term by the size
 of the corpus, so they are made for a version when it is first searched.
@@ -17,6 +22,7 @@ of the corpus, so they are made for a version when it is first searched.
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import math
 import time
 import uuid
@@ -48,7 +54,10 @@ SCHEMAS = {
     "embedded": EMBEDDED,
     "dead_documents": "doc_id long",
     "dead_chunks": "doc_id long",
+    "gone": f"{CHUNKS}, seq int",
+    "gone_tokens": "chunk_id long, words array<string>, tokens array<string>",
 }
+DERIVED = ("tokens", "lengths", "postings", "terms", "vocab", "gone_tokens")  # follow from the chunks of a segment and those it has replaced
 SUMMED = {"terms": "n", "vocab": "df"}  # tables that hold a segment's differences
 CHANGED_ROWS = 1_000_000  # ids of changed documents that may be broadcast
 RANGE_ROWS = 200_000  # postings of a term range
@@ -57,6 +66,20 @@ TIER_BYTES = 1 << 20  # of the lowest tier; each next one is FAN times as large
 ATTEMPTS = 20
 
 
+class Record(dict):
+    """A version as the log has it; its number of tokens is counted when it is first asked for."""
+
+    def __init__(self, found: dict, tokens: Callable[[dict], int]):
+        super().__init__(found)
+        self._tokens = tokens
+
+    def __missing__(self, key: str) -> int:
+        if key != "tokens":
+            raise KeyError(key)
+        self[key] = self._tokens(self)
+        return self[key]
+
+
 class Store:
     """Segments and their log below `root`, for any number of writers. With connect, of sources.provider, chunks have vectors of that model as well, and searches use them."""
 
@@ -73,7 +96,10 @@ class Store:
         found = self.log.latest()
         if found and found["schema"] > SCHEMA_VERSION:
             raise ValueError(f"snapshot has schema {found['schema']}; this library reads up to {SCHEMA_VERSION}")
-        return found
+        return Record(found, self._tokens) if found else None
+
+    def _tokens(self, record: dict) -> int:
+        return self._merged("lengths", record).agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
 
     def version(self) -> int:
         """The latest version, 0 for none."""
@@ -89,8 +115,7 @@ class Store:
             segment = made["segment"]
             version = base["version"] + 1 if base else 1
             record = {"version": version, "schema": SCHEMA_VERSION, "segments": [*(base["segments"] if base else []), segment | {"seq": version}]}
-            for key in ("chunks", "tokens"):
-                record[key] = (base[key] if base else 0) + made[key]
+            record["chunks"] = (base["chunks"] if base else 0) + made["chunks"]
             try:
                 self.log.append(record)
             except Taken:
@@ -111,24 +136,69 @@ class Store:
         """Rows of the segments that have the table, with `seq`."""
         out = None
         for s in segments:
-            # Segments of older versions have no tokens; they are made from their chunks.
-            stored = name if name in s["tables"] or name != "tokens" else "chunks"
-            if stored in s["tables"]:
-                rows = self.spark.read.schema(SCHEMAS[stored]).parquet(f"{self._at(s['id'])}/{stored}")
-                rows = (rows if stored == name else statistics.tokenized(rows)).withColumn("seq", F.lit(s["seq"]))
-                out = rows if out is None else out.unionByName(rows)
+            if name in DERIVED:
+                self._derive(s, name)
+            elif name not in s["tables"]:
+                continue
+            rows = self._stored(s["id"], name).withColumn("seq", F.lit(s["seq"]))
+            out = rows if out is None else out.unionByName(rows)
         return out
 
+    def _stored(self, segment: str, name: str) -> DataFrame:
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self._at(segment)}/{name}")
+
+    def _has(self, s: dict, name: str) -> bool:
+        """Whether a segment has the table; derived ones are not in the log."""
+        return name in s["tables"] or name in DERIVED and self.log.exists(f"{self._at(s['id'])}/{name}")
+
+    def _derive(self, s: dict, name: str) -> None:
+        """Make a derived table of a segment where there is none yet. Others read it when it is whole; of two that make it one counts."""
+        if self._has(s, name):
+            return
+        needs = {"tokens": (), "gone_tokens": (), "lengths": ("tokens",), "postings": ("tokens",), "terms": ("postings", "gone_tokens"), "vocab": ("tokens", "gone_tokens")}[name]
+        needs = [n for n in needs if n != "gone_tokens" or "gone" in s["tables"]]
+        for n in needs:
+            self._derive(s, n)
+        of = lambda n: self._stored(s["id"], n)
+        by = ["range"] if name == "postings" else []
+        if name in ("tokens", "gone_tokens"):
+            rows = statistics.tokenized(of("chunks" if name == "tokens" else "gone"))  # texts are tokenised once, here
+        elif name == "lengths":
+            rows = of("tokens").select("chunk_id", F.size("words").cast("long").alias("n_tokens"))
+        elif name == "postings":
+            n = of("tokens").agg(F.coalesce(F.sum(F.size(F.array_distinct("words"))), F.lit(0))).first()[0]
+            rows = self._in_ranges(statistics.postings_of(of("tokens"), with_lengths=True), n).select("term", "chunk_id", "tf", "n_tokens", "range")
+        elif name == "terms":
+            rows = of("postings").groupBy("term", "range").agg(F.count("*").alias("n")).select("term", "n", "range")
+            if "gone_tokens" in needs:
+                gone = statistics.postings_of(of("gone_tokens")).groupBy("term").agg((-F.count("*")).alias("n"))
+                rows = rows.unionByName(gone.select("term", "n", F.lit(None).cast("int").alias("range")))
+            rows = rows.repartitionByRange("term").sortWithinPartitions("term")  # so that a prefix skips row groups
+        else:
+            rows = statistics.frequency_of(of("tokens"))
+            if "gone_tokens" in needs:
+                gone = statistics.frequency_of(of("gone_tokens")).select("term", (-F.col("df")).alias("df"))
+                rows = rows.unionByName(gone).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
+        at, draft = f"{self._at(s['id'])}/{name}", f"{self._at(s['id'])}/.{uuid.uuid4().hex}"
+        rows.write.partitionBy(*by).parquet(draft)
+        self.log.system(at).rename(self.log.path(draft), self.log.path(at))
+        if self.log.exists(draft):  # another was faster
+            self.log.delete(draft)
+
+    def _in_ranges(self, postings: DataFrame, n: int) -> DataFrame:
+        """n postings dealt by term, with the number of the `range`. Chunks are part of the order, so that a term of very many chunks has several ranges."""
+        return postings.repartitionByRange(n // RANGE_ROWS + 1, "term", "chunk_id").sortWithinPartitions("term", "chunk_id").withColumn("range", F.spark_partition_id())
+
     def _live(self, rows: DataFrame, name: str, record: dict) -> DataFrame:
-        """Without the rows of documents that a later segment names."""
+        """Without the rows of documents that a later segment names; `seq` stays."""
         kind = "dead_documents" if name == "documents" else "dead_chunks"
         dead = self._read(kind, record["segments"])
         if dead is None:
-            return rows.drop("seq")
+            return rows
         dead = dead.groupBy(F.col("doc_id").alias("_doc")).agg(F.max("seq").alias("_seq"))
         own = F.col("doc_id") if name in ("documents", "chunks") else F.shiftright("chunk_id", maintain.CHUNK_BITS)
         small = sum(s[kind] for s in record["segments"]) <= CHANGED_ROWS
-        return rows.join(F.broadcast(dead) if small else dead, (own == F.col("_doc")) & (F.col("seq") < F.col("_seq")), "left_anti").drop("seq")
+        return rows.join(F.broadcast(dead) if small else dead, (own == F.col("_doc")) & (F.col("seq") < F.col("_seq")), "left_anti")
 
     def _merged(self, name: str, record: dict, segments: list[dict] | None = None, only: F.Column | None = None) -> DataFrame:
         """A table as the record has it, of all or some segments; `only` is a condition on the stored rows."""
@@ -138,7 +208,7 @@ class Store:
         if only is not None:
             rows = rows.where(only)
         if name not in SUMMED:
-            return self._live(rows, name, record)
+            return self._live(rows, name, record).drop("seq")
         value = SUMMED[name]
         return rows.groupBy("term").agg(F.sum(value).alias(value)).where(f"{value} > 0")
 
@@ -176,10 +246,9 @@ class Store:
         segment, tables, dead = uuid.uuid4().hex, [], {"dead_documents": 0, "dead_chunks": 0}
 
         def put(df: DataFrame, name: str) -> DataFrame:
-            by = ["range"] if name == "postings" else []
-            df.write.partitionBy(*by).parquet(f"{self._at(segment)}/{name}")
+            df.write.parquet(f"{self._at(segment)}/{name}")
             tables.append(name)
-            return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self._at(segment)}/{name}")
+            return self._stored(segment, name)
 
         if base and self.connect:
             known, changed_model = self._known(base)
@@ -192,32 +261,15 @@ class Store:
                 dead[name] = put(ids.select("doc_id").distinct(), name).count()
         put(documents, "documents")
         chunks = put(chunks, "chunks")
-        # Texts are tokenised once, here.
-        tokens = put(statistics.tokenized(chunks), "tokens")
-        put(tokens.select("chunk_id", F.size("words").cast("long").alias("n_tokens")), "lengths")
-        facts = tokens.agg(F.count("*").alias("chunks"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.size(F.array_distinct("words"))), F.lit(0)).alias("postings")).first()
-        postings = statistics.postings_of(tokens, with_lengths=True)
-        ranges = facts["postings"] // RANGE_ROWS + 1
-        # Chunks are part of the order, so that a term of very many chunks has several ranges.
-        postings = postings.repartitionByRange(ranges, "term", "chunk_id").sortWithinPartitions("term", "chunk_id").withColumn("range", F.spark_partition_id())
-        postings = put(postings.select("term", "chunk_id", "tf", "n_tokens", "range"), "postings")
-        terms = postings.groupBy("term", "range").agg(F.count("*").alias("n")).select("term", "n", "range")
-        vocab = statistics.frequency_of(tokens)
-        made = {"chunks": facts["chunks"], "tokens": facts["tokens"]}
+        made = chunks.count()
         if base and dead["dead_chunks"]:
-            own = F.shiftright("chunk_id", maintain.CHUNK_BITS) == F.col("doc_id")
-            ids = self.spark.read.schema(SCHEMAS["dead_chunks"]).parquet(f"{self._at(segment)}/dead_chunks")
-            gone = lambda name: self._merged(name, base).join(F.broadcast(ids) if dead["dead_chunks"] <= CHANGED_ROWS else ids, own, "left_semi")
-            old = gone("lengths").agg(F.count("*").alias("chunks"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
-            made = {k: made[k] - old[k] for k in made}
-            terms = terms.unionByName(gone("postings").groupBy("term").agg((-F.count("*")).alias("n")).select("term", "n", F.lit(None).cast("int").alias("range")))
-            vocab = vocab.unionByName(statistics.frequency_of(gone("tokens")).select("term", (-F.col("df")).alias("df"))).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
-        # Sorted, so that a prefix skips row groups.
-        put(terms.repartitionByRange("term").sortWithinPartitions("term"), "terms")
-        put(vocab, "vocab")
+            ids = self._stored(segment, "dead_chunks")
+            old = self._live(self._read("chunks", base["segments"]), "chunks", base)
+            # The counts of these are taken off when counts are made, whatever has become of older segments by then.
+            made -= put(old.join(F.broadcast(ids) if dead["dead_chunks"] <= CHANGED_ROWS else ids, "doc_id", "left_semi").select("chunk_id", "doc_id", "chunk_idx", "heading", "content", "seq"), "gone").count()
         if self.connect:
             put(embed_missing(chunks, known if base else self.spark.createDataFrame([], EMBEDDED), self.connect), "embedded")
-        return made | {"segment": {"id": segment, "tables": tables, "bytes": self.log.bytes(self._at(segment))} | dead}
+        return {"chunks": made, "segment": {"id": segment, "tables": tables, "bytes": self.log.bytes(self._at(segment))} | dead}
 
     def _compact(self) -> None:
         """Merge the latest segments up to the lowest tier of which there are FAN among them; another writer's version in between leaves it for later."""
@@ -237,24 +289,37 @@ class Store:
             df.write.partitionBy(*by).parquet(f"{self._at(segment)}/{name}")
             tables.append(name)
 
+        before = rest[-1]["seq"] if rest else 0
+        # Segments of older versions have not kept what they replaced, so what follows from it must be merged.
+        kept = all("gone" in s["tables"] or not s["dead_chunks"] for s in run_of)
         for name in SCHEMAS:
-            if not any(name in s["tables"] for s in run_of) or name in ("terms", "postings"):
+            if name in DERIVED or not any(name in s["tables"] for s in run_of):
                 continue
             if name.startswith("dead_"):
                 if rest:  # nothing is older than the first segment
                     put(self._read(name, run_of).select("doc_id").distinct(), name)
-            elif name in SUMMED:
-                put(self._read(name, run_of).groupBy("term").agg(F.sum(SUMMED[name]).alias(SUMMED[name])).where(f"{SUMMED[name]} <> 0"), name)
+            elif name == "gone":
+                if rest and kept:  # chunks of the merged segments have gone with them
+                    own = [self._stored(s["id"], "gone").where(F.col("seq") <= before) for s in run_of if "gone" in s["tables"]]
+                    put(functools.reduce(DataFrame.unionByName, own), name)
             else:
                 put(self._merged(name, base, run_of), name)
-        postings = staged(self._merged("postings", base, run_of).drop("range"), "merged")
-        ranges = postings.count() // RANGE_ROWS + 1
-        put(postings.repartitionByRange(ranges, "term", "chunk_id").sortWithinPartitions("term", "chunk_id").withColumn("range", F.spark_partition_id()), "postings", "range")
-        own = self.spark.read.schema(SCHEMAS["postings"]).parquet(f"{self._at(segment)}/postings").groupBy("term", "range").agg(F.count("*").alias("n"))
-        # What the merged segments add up to, less what the postings show, is owed to older segments.
-        sums = self._read("terms", run_of).groupBy("term").agg(F.sum("n").alias("n")).unionByName(own.groupBy("term").agg((-F.sum("n")).alias("n")))
-        owed = sums.groupBy("term").agg(F.sum("n").alias("n")).where("n <> 0").select("term", "n", F.lit(None).cast("int").alias("range"))
-        put(own.select("term", "n", "range").unionByName(owed).repartitionByRange("term").sortWithinPartitions("term"), "terms")
+        # Derived tables are merged where all segments have them; otherwise they are made from the merged chunks when they are asked for.
+        have = {name for name in DERIVED if all(self._has(s, name) for s in run_of)}
+        if not kept:
+            have |= {"postings", "terms", "vocab"}
+        for name in ("tokens", "lengths", "vocab"):
+            if name in have:
+                rows = self._read(name, run_of)
+                put(rows.groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0") if name == "vocab" else self._merged(name, base, run_of), name)
+        if {"postings", "terms"} <= have:
+            postings = staged(self._merged("postings", base, run_of).drop("range"), "merged")
+            put(self._in_ranges(postings, postings.count()), "postings", "range")
+            own = self._stored(segment, "postings").groupBy("term", "range").agg(F.count("*").alias("n"))
+            # What the merged segments add up to, less what the postings show, is owed to older segments.
+            sums = self._read("terms", run_of).groupBy("term").agg(F.sum("n").alias("n")).unionByName(own.groupBy("term").agg((-F.sum("n")).alias("n")))
+            owed = sums.groupBy("term").agg(F.sum("n").alias("n")).where("n <> 0").select("term", "n", F.lit(None).cast("int").alias("range"))
+            put(own.select("term", "n", "range").unionByName(owed).repartitionByRange("term").sortWithinPartitions("term"), "terms")
         dead = {k: sum(s[k] for s in run_of) if k in tables else 0 for k in ("dead_documents", "dead_chunks")}
         merged = {"id": segment, "tables": tables, "bytes": self.log.bytes(self._at(segment)), "seq": run_of[-1]["seq"]} | dead
         try:
@@ -411,7 +476,7 @@ class Store:
             if wanted.get(s["seq"]):
                 rows = self._read("postings", [s]).where(F.col("range").isin(wanted[s["seq"]]))
                 out = rows if out is None else out.unionByName(rows)
-        return self.spark.createDataFrame([], SCHEMAS["postings"]) if out is None else self._live(out, "postings", record)
+        return self.spark.createDataFrame([], SCHEMAS["postings"]) if out is None else self._live(out, "postings", record).drop("seq")
 
     def searcher(self) -> Searcher:
         """A searcher over the latest version; a new version has a new one, so no stale result is kept."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-SCHEMA_VERSION = 2
+SCHEMA_VERSION = 3
 
 FILE = "path string, body string"
 DOCUMENTS = "doc_id long, path string, title string, ingested_at timestamp"

@@ -168,3 +168,37 @@ def test_a_folder_is_followed(spark, tmp_path):
         (docs / f).unlink()
     run()
     assert len(paths()) == 2  # an empty listing removes nothing
+
+
+def test_pages_and_edits_wait_for_no_postings(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.ingest(files(spark, 12))
+    store.page("d", "", 5).collect()
+    store.write_chunk("d0/f000.md", "Part", "w1 other words")
+    store.delete("d1/f001.md")
+    made = lambda: {f.name for s in (tmp_path / "store/segments").iterdir() for f in s.iterdir()}
+    assert made() == {"documents", "chunks", "dead_documents", "dead_chunks", "gone"}
+    # Counts are right although they are made after the edits, and what was made stays.
+    assert content(store, TABLES) == content(Index.build(store.table("documents"), store.table("chunks")), TABLES)
+    assert {"tokens", "lengths", "postings", "vocab"} < made()
+    record = store.record()
+    assert record["tokens"] == store.table("lengths").agg({"n_tokens": "sum"}).first()[0]
+    terms = {r["term"]: r["n"] for r in store.table("terms").collect()}
+    assert terms == {r["term"]: r["count"] for r in store.table("postings").groupBy("term").count().collect()}
+
+
+@pytest.mark.parametrize("searched", [(), (1,), (1, 2, 3)])
+def test_merged_segments_that_were_searched_or_not(spark, tmp_path, monkeypatch, searched):
+    monkeypatch.setattr(stores, "FAN", 3)
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.ingest(files(spark, 30))
+    monkeypatch.setattr(stores, "TIER_BYTES", store.record()["segments"][0]["bytes"] // 4)  # the first one is of a higher tier
+    for n, edit in enumerate([lambda: store.write_chunk("d0/f000.md", "Part", "w1 other words"), lambda: store.write_chunk("d0/f000.md", "Part", "w2 third words"), lambda: store.delete("d1/f001.md")], 1):
+        if n in searched:
+            store.index()
+        edit()
+    first, merged = store.record()["segments"]
+    assert first["seq"] == 1 and merged["dead_chunks"] and merged["seq"] == 4
+    assert content(store, TABLES) == content(Index.build(store.table("documents"), store.table("chunks")), TABLES)
+    terms = {r["term"]: r["n"] for r in store.table("terms").collect()}
+    assert terms == {r["term"]: r["count"] for r in store.table("postings").groupBy("term").count().collect()}
