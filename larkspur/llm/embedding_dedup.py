@@ -9,9 +9,11 @@ the same or the next slab. Candidates of all blocks are verified exactly on
 the whole vectors in double precision; a pair that several blocks find counts
 in the first of them.
 
-Equal vectors are joined before. Slabs are cut into chunks of bounded size and
-pairs of chunks are tasks, which return counts of links and stars (member,
-smallest member), never pairs.
+Equal vectors are joined before. Slabs are cut into chunks of bounded size, and
+TILE chunks of a slab against TILE others are a task, so that a chunk is sent to
+a TILE-th of the tasks that pairs of chunks would be. A task compares its chunks
+two by two and returns counts of links and stars (member, smallest member),
+never pairs.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from larkspur.llm.graph import components
 
 BLOCKS = 4
 CHUNK = 8192  # vectors of a chunk
+TILE = 8  # chunks of a side of a task; a task holds both sides
 STRIP = 256  # rows of a chunk that are compared at once
 SLICE = 1 << 16  # candidate pairs that are verified at once
 SLACK = 1e-9
@@ -92,9 +95,17 @@ def _pack(table: pa.Table) -> pa.Table:
 
 def _compare(cosine: float, wide: bool):
     def run(table: pa.Table) -> pa.Table:
-        """Two chunks, or one with itself."""
-        rows = sorted(table.to_pylist(), key=lambda r: r["side"])
-        return _chunks(rows[0], rows[-1], cosine, np.float64 if wide else np.float32)
+        """The chunks of one side with those of the other, or of one tile among themselves."""
+        at = {name: table.column(name) for name in table.column_names}
+        # The cells stay where they are; a chunk's arrays are views of them.
+        rows = [{n: at[n][i].as_py() for n in ("dims", "block", "side", "chunk")} | {n: at[n][i].as_buffer() for n in ("ids", "copies", "vectors")} for i in range(len(table))]
+        rows.sort(key=lambda r: r["chunk"])
+        one, two = ([r for r in rows if r["side"] == side] for side in (0, 1))
+        same = at["s1"][0].as_py() == at["s2"][0].as_py() and at["c1"][0].as_py() == at["c2"][0].as_py()
+        pairs = [(a, b) for i, a in enumerate(one) for b in one[i:]] if same else [(a, b) for a in one for b in two]
+        kind = np.float64 if wide else np.float32
+        none = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("star", pa.int64())]).empty_table()
+        return pa.concat_tables([none, *(_chunks(a, b, cosine, kind) for a, b in pairs)])
 
     return run
 
@@ -158,6 +169,24 @@ def _join(parent: np.ndarray, a: np.ndarray, c: np.ndarray) -> None:
         np.minimum.at(parent, np.maximum(ra, rc), np.minimum(ra, rc))
 
 
+def _dealt(packed: DataFrame, counts: DataFrame) -> DataFrame:
+    """A row of a chunk for each task (s1, c1, s2, c2) of two tiles that it takes part in, on side 0 or 1."""
+    slab = ["dims", "block", "slab"]
+    # A tile goes to a task with each tile of its own slab, of the next one, and of the one before.
+    for shift, name in ((0, "here"), (1, "above"), (-1, "below")):
+        packed = packed.join(counts.select("dims", "block", (F.col("slab") - shift).alias("slab"), F.ceil(F.col("chunks") / TILE).cast("int").alias(name)), slab, "left")
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    task = lambda s1, c1, s2, c2, side: F.struct(s1.alias("s1"), c1.alias("c1"), s2.alias("s2"), c2.alias("c2"), side.cast("int").alias("side"))
+    s, c = F.col("slab"), F.floor(F.col("chunk") / TILE).cast("int")
+    tasks = F.concat(
+        F.transform(upto("here"), lambda x: task(s, F.least(c, x), s, F.greatest(c, x), c > x)),
+        F.transform(upto("above"), lambda x: task(s, c, s + 1, x, F.lit(0))),
+        F.transform(upto("below"), lambda x: task(s - 1, x, s, c, F.lit(1))),
+    )
+    sent = ["dims", "block", "chunk", "ids", "copies", "vectors"]
+    return packed.select(*sent, F.explode(tasks).alias("t")).select(*sent, "t.*")
+
+
 def embedding_links(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each row of vectors.
 
@@ -189,18 +218,7 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     packed = chunked.join(sets, "rep").groupBy(*slab, "chunk").applyInArrow(_pack, "dims int, block int, slab int, chunk int, ids binary, copies binary, vectors binary")
     packed = staged(packed, "chunks")
 
-    # A chunk goes to a task with each chunk of its own slab, of the next one, and of the one before.
-    for shift, name in ((0, "here"), (1, "above"), (-1, "below")):
-        packed = packed.join(counts.select("dims", "block", (F.col("slab") - shift).alias("slab"), F.col("chunks").alias(name)), slab, "left")
-    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
-    task = lambda s1, c1, s2, c2, side: F.struct(s1.alias("s1"), c1.alias("c1"), s2.alias("s2"), c2.alias("c2"), side.cast("int").alias("side"))
-    s, c = F.col("slab"), F.col("chunk")
-    tasks = F.concat(
-        F.transform(upto("here"), lambda x: task(s, F.least(c, x), s, F.greatest(c, x), c > x)),
-        F.transform(upto("above"), lambda x: task(s, c, s + 1, x, F.lit(0))),
-        F.transform(upto("below"), lambda x: task(s - 1, x, s, c, F.lit(1))),
-    )
-    dealt = packed.select("dims", "block", "ids", "copies", "vectors", F.explode(tasks).alias("t")).select("dims", "block", "ids", "copies", "vectors", "t.*")
+    dealt = _dealt(packed, counts)
     found = dealt.groupBy("dims", "block", "s1", "c1", "s2", "c2").applyInArrow(_compare(cosine, wide), "rep long, links long, star long")
     found = staged(found, "found")
 
