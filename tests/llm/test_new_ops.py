@@ -317,3 +317,13 @@ def test_op11_tasks_hold_few_blocks(spark, tmp_path, monkeypatch):
     (file,) = (f.removeprefix("file://") for f in dict(kept)["blocks"].inputFiles())
     meta = pq.ParquetFile(glob.glob(file)[0]).metadata
     assert meta.num_rows >= 10 and max(meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)) < 16 << 20
+
+
+def test_op11_head_holds_the_most_frequent_words(spark, monkeypatch):
+    counts = spark.createDataFrame([(k, 1 + k // 3) for k in range(30)], "hash long, c long")
+    # Three words of each count from 10 down; seven words fit, so those of 10 and 9 do, though none has a seventh of all tokens.
+    monkeypatch.setattr(attention_lm, "HEAD", 7)
+    assert attention_lm._least_of_head(counts) == 9
+    monkeypatch.setattr(attention_lm, "HEAD", 2)
+    assert attention_lm._least_of_head(counts) == 11
+    assert attention_lm._least_of_head(counts.limit(0)) == 1
