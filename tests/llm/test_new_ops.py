@@ -272,6 +272,29 @@ def test_op11_probabilities_sum_to_one():
     assert np.allclose(model.log_probability(x, y)[:6], model.log_probability(later, y)[:6], atol=1e-5)
 
 
+def test_op11_scores_by_tables(monkeypatch):
+    """The forward pass of training gives the same; a position and a key cost no exponential, whatever the weights the result is finite."""
+    lm = attention_lm
+    model, rng = small_model(), np.random.default_rng(5)
+    x, y = rng.integers(0, lm.LEAVES, (300, lm.LENGTH)), rng.integers(0, lm.LEAVES, (300, lm.STRIDE))
+    x[::3, :11] = lm.PAD
+    hidden, ask = model.forward(x)["hidden"], x[:, lm.CONTEXT :].ravel()
+    rows, group, inner = np.arange(y.size), y.ravel() // lm.PER_GROUP, y.ravel() % lm.PER_GROUP
+    share = lambda logits: logits - np.log(np.exp(logits.astype(float)).sum(1, keepdims=True))
+    want = share(hidden @ model.weights["group"] + model.groups[ask])[rows, group]
+    want += share(np.einsum("nh,nhl->nl", hidden, model.weights["leaf"][group]) + model.leaves[ask, group])[rows, inner]
+    taken, exp = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda v, *a, **k: taken.append(np.size(v)) or exp(v, *a, **k))
+    scorer = lm.Scorer(model)
+    taken.clear()
+    assert np.allclose(scorer.log_probability(x, y), want, atol=1e-4)
+    assert sum(taken) == y.size * (lm.GROUPS + lm.PER_GROUP)
+    for name in ("query", "key", "near"):
+        model.weights[name] *= 100
+    lm._fixed(model.weights)
+    assert np.isfinite(lm.Scorer(model).log_probability(x, y)).all()
+
+
 def test_op11_gradients():
     model = small_model()
     rng = np.random.default_rng(4)
