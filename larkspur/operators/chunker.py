@@ -91,7 +91,8 @@ def chunks_of(c: Column | str, fence_aware: bool = False, limit: int = MAX_BYTES
     return F.flatten(F.transform(sections(c, fence_aware), lambda s: split_large(s, limit)))
 
 
-def chunk(docs: DataFrame, body: str = "body", fence_aware: bool = False) -> DataFrame:
-    """A row for each chunk: the other columns of docs, chunk_idx, heading, content. Null and empty bodies have none."""
+def chunk(docs: DataFrame, body: str = "body", fence_aware: bool = False, every: bool = False) -> DataFrame:
+    """A row for each chunk: the other columns of docs, chunk_idx, heading, content. Null and empty bodies have none, or one row of nulls with `every`."""
     rest = [c for c in docs.columns if c != body]
-    return docs.select(*rest, F.posexplode(chunks_of(body, fence_aware)).alias("chunk_idx", "chunk")).select(*rest, "chunk_idx", "chunk.heading", "chunk.content")
+    each = F.posexplode_outer if every else F.posexplode
+    return docs.select(*rest, each(chunks_of(body, fence_aware)).alias("chunk_idx", "chunk")).select(*rest, "chunk_idx", "chunk.heading", "chunk.content")

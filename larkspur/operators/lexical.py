@@ -127,10 +127,10 @@ def look_up(wanted: list[str], terms: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(phrase), "phrase", "left_semi")
 
 
-def stored_search(queries: DataFrame, terms: DataFrame, ranged: Callable[[dict[int, list[int]]], DataFrame], facts: tuple[int, int], k: int) -> DataFrame | None:
+def stored_search(queries: DataFrame, terms: DataFrame | Callable[[], DataFrame], ranged: Callable[[dict[int, list[int]]], DataFrame], facts: tuple[int, int], k: int) -> DataFrame | None:
     """lexical_search() on a stored index, for few phrases; None where there are too many, for which whole tables are the better plan.
 
-    terms(term, n, range, seq) is the dictionary by segment, ranged(ranges by
+    terms(term, n, range, seq) is the dictionary by segment, or what gives it if it is needed, ranged(ranges by
     seq) gives (term, chunk_id, tf, n_tokens) of these ranges only, and facts are
     the numbers of chunks and of their tokens. Nothing is counted anew but the
     chunks of phrases that several terms begin with.
@@ -144,7 +144,7 @@ def stored_search(queries: DataFrame, terms: DataFrame, ranged: Callable[[dict[i
     wanted = sorted({r["phrase"] for r in own})
     if not wanted:
         return none
-    known = look_up(wanted, terms).select("phrase", "term", "n", "range", "seq").limit(FEW_TERMS + 1).collect()
+    known = look_up(wanted, terms() if callable(terms) else terms).select("phrase", "term", "n", "range", "seq").limit(FEW_TERMS + 1).collect()
     if len(known) > FEW_TERMS:
         return None
     n: dict[tuple[str, str], int] = defaultdict(int)

@@ -30,11 +30,20 @@ def missing(old: DataFrame, present: DataFrame, key: str) -> DataFrame:
     return old.join(present.select(key).distinct(), key, "left_anti")
 
 
+def digests(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, n, d0, d1): the number of a document's chunks, and what two documents have in common only if their chunks are the same."""
+    cell = ["chunk_idx", "heading", "content"]
+    return chunks.groupBy(key).agg(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64(F.lit(k), *cell)).alias(f"d{k}") for k in (0, 1)])
+
+
 def changed(old: DataFrame, new: DataFrame) -> DataFrame:
     """(doc_id): documents whose chunks are not the same in both, by number, headings and contents; of one table only too."""
-    cell = ["chunk_idx", "heading", "content"]
-    digest = lambda t: t.groupBy("doc_id").agg(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64(F.lit(k), *cell)).alias(f"d{k}") for k in (0, 1)])
-    a, b = digest(old).alias("a"), digest(new).alias("b")
+    return differing(digests(old), digests(new))
+
+
+def differing(old: DataFrame, new: DataFrame) -> DataFrame:
+    """changed() of two tables of digests()."""
+    a, b = old.alias("a"), new.alias("b")
     both = a.join(b, F.col("a.doc_id") == F.col("b.doc_id"), "full")
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "n", "d0", "d1")]
     return both.where(~(same[0] & same[1] & same[2] & same[3])).select(F.coalesce("a.doc_id", "b.doc_id").alias("doc_id"))

@@ -44,7 +44,7 @@ class Index:
     make_postings: Callable[[], DataFrame]
     make_vectors: Callable[[], DataFrame]
     facts: tuple[int, int] | None = None  # of a stored index: the numbers of chunks and of their tokens,
-    terms: DataFrame | None = None  # the dictionary (term, n, range, seq),
+    make_terms: Callable[[], DataFrame] | None = None  # the dictionary (term, n, range, seq), which a search of few phrases asks for,
     ranged: Callable[[dict[int, list[int]]], DataFrame] | None = None  # and the postings of some of its ranges
 
     @staticmethod
@@ -62,6 +62,10 @@ class Index:
     def postings(self) -> DataFrame:
         return self.make_postings()
 
+    @cached_property
+    def terms(self) -> DataFrame:
+        return self.make_terms()
+
     @cached_property
     def vectors(self) -> DataFrame:
         return self.make_vectors()
@@ -83,7 +87,7 @@ def search_batch(index: Index, queries: DataFrame, limit: int = DEFAULT_LIMIT, d
     """
     k = limit * OVERFETCH
     queries = queries.where("query is not null")
-    lexical = stored_search(queries, index.terms, index.ranged, index.facts, k) if index.ranged else None
+    lexical = stored_search(queries, lambda: index.terms, index.ranged, index.facts, k) if index.ranged else None
     few = lexical is not None
     if lexical is None:
         lexical = search_words(queries, index.tokens, k)

@@ -40,7 +40,7 @@ from larkspur.operators.vectorize import DIMS
 from larkspur.plans.log import CommitLog, Taken
 from larkspur.plans.search import Index, Searcher
 from larkspur.schemas import CHUNKS, DOCUMENTS, EMBEDDED, SCHEMA_VERSION
-from larkspur.session import few, release, staged
+from larkspur.session import Scope, few, release, staged
 from larkspur.sources.provider import Embed, embed_missing
 
 SCHEMAS = {
@@ -51,19 +51,20 @@ SCHEMAS = {
     "lengths": "chunk_id long, n_tokens long",
     "tokens": "chunk_id long, words array<string>, tokens array<string>",
     "vocab": "term string, df long",
+    "occurrences": "term string, chunks long, times long",
     "embedded": EMBEDDED,
     "dead_documents": "doc_id long",
     "dead_chunks": "doc_id long",
     "gone": f"{CHUNKS}, seq int",
-    "gone_tokens": "chunk_id long, words array<string>, tokens array<string>",
 }
-DERIVED = ("tokens", "lengths", "postings", "terms", "vocab", "gone_tokens")  # follow from the chunks of a segment and those it has replaced
+DERIVED = ("tokens", "lengths", "postings", "terms", "vocab")  # follow from the chunks of a segment and those it has replaced
 SUMMED = {"terms": "n", "vocab": "df"}  # tables that hold a segment's differences
 CHANGED_ROWS = 1_000_000  # ids of changed documents that may be broadcast
 RANGE_ROWS = 200_000  # postings of a term range
 FAN = 4  # neighbouring segments of a tier that are merged
 TIER_BYTES = 1 << 20  # of the lowest tier; each next one is FAN times as large
 ATTEMPTS = 20
+DENSE = {"compression": "zstd"}  # of the tables that have the words of the corpus
 
 
 class Record(dict):
@@ -96,6 +97,8 @@ class Store:
         found = self.log.latest()
         if found and found["schema"] > SCHEMA_VERSION:
             raise ValueError(f"snapshot has schema {found['schema']}; this library reads up to {SCHEMA_VERSION}")
+        for s in found["segments"] if found else []:  # derived tables that have been made since
+            s["tables"] += [n for n in self.log.names(self._at(s["id"])) if n in DERIVED and n not in s["tables"]]
         return Record(found, self._tokens) if found else None
 
     def _tokens(self, record: dict) -> int:
@@ -148,39 +151,37 @@ class Store:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self._at(segment)}/{name}")
 
     def _has(self, s: dict, name: str) -> bool:
-        """Whether a segment has the table; derived ones are not in the log."""
+        """Whether a segment has the table; derived ones may have been made since the record was read."""
         return name in s["tables"] or name in DERIVED and self.log.exists(f"{self._at(s['id'])}/{name}")
 
     def _derive(self, s: dict, name: str) -> None:
         """Make a derived table of a segment where there is none yet. Others read it when it is whole; of two that make it one counts."""
         if self._has(s, name):
             return
-        needs = {"tokens": (), "gone_tokens": (), "lengths": ("tokens",), "postings": ("tokens",), "terms": ("postings", "gone_tokens"), "vocab": ("tokens", "gone_tokens")}[name]
-        needs = [n for n in needs if n != "gone_tokens" or "gone" in s["tables"]]
-        for n in needs:
+        for n in {"tokens": (), "lengths": ("tokens",), "postings": ("tokens",), "terms": ("postings",), "vocab": ("tokens",)}[name]:
             self._derive(s, n)
         of = lambda n: self._stored(s["id"], n)
         by = ["range"] if name == "postings" else []
-        if name in ("tokens", "gone_tokens"):
-            rows = statistics.tokenized(of("chunks" if name == "tokens" else "gone"))  # texts are tokenised once, here
+        if name == "tokens":
+            rows = statistics.tokenized(of("chunks"))  # texts are tokenised once, here
         elif name == "lengths":
             rows = of("tokens").select("chunk_id", F.size("words").cast("long").alias("n_tokens"))
         elif name == "postings":
             n = of("tokens").agg(F.coalesce(F.sum(F.size(F.array_distinct("words"))), F.lit(0))).first()[0]
-            rows = self._in_ranges(statistics.postings_of(of("tokens"), with_lengths=True), n).select("term", "chunk_id", "tf", "n_tokens", "range")
+            rows = self._in_ranges(statistics.postings_in_place(of("tokens")), n).select("term", "chunk_id", "tf", "n_tokens", "range")
         elif name == "terms":
             rows = of("postings").groupBy("term", "range").agg(F.count("*").alias("n")).select("term", "n", "range")
-            if "gone_tokens" in needs:
-                gone = statistics.postings_of(of("gone_tokens")).groupBy("term").agg((-F.count("*")).alias("n"))
+            if "gone" in s["tables"]:
+                gone = statistics.postings_in_place(statistics.words(of("gone"))).groupBy("term").agg((-F.count("*")).alias("n"))
                 rows = rows.unionByName(gone.select("term", "n", F.lit(None).cast("int").alias("range")))
             rows = rows.repartitionByRange("term").sortWithinPartitions("term")  # so that a prefix skips row groups
         else:
             rows = statistics.frequency_of(of("tokens"))
-            if "gone_tokens" in needs:
-                gone = statistics.frequency_of(of("gone_tokens")).select("term", (-F.col("df")).alias("df"))
+            if "gone" in s["tables"]:
+                gone = statistics.frequency_of(statistics.tokens(of("gone"))).select("term", (-F.col("df")).alias("df"))
                 rows = rows.unionByName(gone).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
         at, draft = f"{self._at(s['id'])}/{name}", f"{self._at(s['id'])}/.{uuid.uuid4().hex}"
-        rows.write.partitionBy(*by).parquet(draft)
+        rows.write.options(**DENSE).partitionBy(*by).parquet(draft)
         self.log.system(at).rename(self.log.path(draft), self.log.path(at))
         if self.log.exists(draft):  # another was faster
             self.log.delete(draft)
@@ -213,7 +214,7 @@ class Store:
         return rows.groupBy("term").agg(F.sum(value).alias(value)).where(f"{value} > 0")
 
     def table(self, name: str) -> DataFrame:
-        """A table of the latest version: documents, chunks, postings, lengths, vocab, terms, frequencies, vectors or embedded."""
+        """A table of the latest version: documents, chunks, postings, lengths, vocab, terms, occurrences (chunks and times of a term's postings), frequencies, vectors or embedded."""
         record = self.record()
         if name == "frequencies":
             return statistics.frequencies_of(self.table("tokens"))
@@ -221,6 +222,11 @@ class Store:
             return self.spark.createDataFrame([], SCHEMAS[name])
         if name == "vectors":
             return self._vectors(record).drop("part")
+        if name == "occurrences":
+            # Ranges of postings are for searches; where none has been made, chunks are counted where they stand.
+            made = all(self._has(s, "postings") for s in record["segments"])
+            rows = self._merged("postings", record) if made else statistics.postings_in_place(self._merged("tokens", record))
+            return rows.groupBy("term").agg(F.count("*").alias("chunks"), F.sum("tf").alias("times"))
         rows = self._merged(name, record)
         if name == "vocab":
             return rows.withColumn("idf", smoothed_idf(F.lit(record["chunks"]), "df"))
@@ -246,7 +252,7 @@ class Store:
         segment, tables, dead = uuid.uuid4().hex, [], {"dead_documents": 0, "dead_chunks": 0}
 
         def put(df: DataFrame, name: str) -> DataFrame:
-            df.write.parquet(f"{self._at(segment)}/{name}")
+            df.write.options(**DENSE).parquet(f"{self._at(segment)}/{name}")
             tables.append(name)
             return self._stored(segment, name)
 
@@ -286,7 +292,7 @@ class Store:
         segment, tables = uuid.uuid4().hex, []
 
         def put(df: DataFrame, name: str, *by: str) -> None:
-            df.write.partitionBy(*by).parquet(f"{self._at(segment)}/{name}")
+            df.write.options(**DENSE).partitionBy(*by).parquet(f"{self._at(segment)}/{name}")
             tables.append(name)
 
         before = rest[-1]["seq"] if rest else 0
@@ -337,13 +343,21 @@ class Store:
             return known.limit(0), True
         return known, row is None  # without any vector so far all chunks are due
 
-    def _rows(self, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """files(path, body) with one body a path, and their chunks by path."""
-        files = staged(files.select("path", "body").where("path is not null").groupBy("path").agg(F.max("body").alias("body")), "files")
-        return files, staged(chunk(files, fence_aware=self.fence_aware), "rows")
-
-    def _numbered(self, rows: DataFrame, now: dt.datetime | None) -> tuple[DataFrame, DataFrame]:
-        """Documents and chunks of rows. Ids of known paths stay."""
+    def _rows(self, files: DataFrame) -> DataFrame:
+        """The chunks of files(path, body) by path, which are read once; a file without chunks has a row without chunk_idx. Of files of one path that with the greatest body counts."""
+        files = files.select("path", "body").where("path is not null")
+        cut = lambda f: staged(chunk(f, fence_aware=self.fence_aware, every=True), "rows", **DENSE)
+        rows = cut(files)
+        twice = rows.where("coalesce(chunk_idx, 0) = 0").groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select("path")
+        twice = staged(twice, "twice")
+        if not twice.isEmpty():
+            twice = few(twice, CHANGED_ROWS)
+            own = cut(files.join(twice, "path", "left_semi").groupBy("path").agg(F.max("body").alias("body")))
+            rows = rows.join(twice, "path", "left_anti").unionByName(own)
+        return rows
+
+    def _numbered(self, rows: DataFrame, now: dt.datetime | None) -> DataFrame:
+        """Documents of rows. Ids of known paths stay."""
         stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", "")
         first = rows.where("chunk_idx = 0").select("path", F.when(F.col("heading") != "", F.col("heading")).otherwise(stem).alias("title"))
         known = self.table("documents").select("path", "doc_id")
@@ -351,9 +365,17 @@ class Store:
         top = known.agg(F.max("doc_id")).first()[0] or 0
         ids = known.unionByName(maintain.number_rows(new, "path", "doc_id", top).select("path", "doc_id"))
         stamp = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-        documents = staged(first.join(ids, "path").select("doc_id", "path", "title", F.lit(stamp).alias("ingested_at")), "documents")
-        chunks = rows.join(documents.select("path", "doc_id"), "path").select(maintain.chunk_id().alias("chunk_id"), "doc_id", "chunk_idx", "heading", "content")
-        return documents, staged(chunks, "chunks")
+        return staged(first.join(ids, "path").select("doc_id", "path", "title", F.lit(stamp).alias("ingested_at")), "documents")
+
+    def _fresh(self, rows: DataFrame, ids: DataFrame) -> DataFrame:
+        """Chunks of the documents ids(path, doc_id). Texts are shuffled only if these are too many to be broadcast."""
+        fresh = rows.where("chunk_idx is not null").join(few(ids.select("path", "doc_id"), CHANGED_ROWS), "path")
+        return fresh.select(maintain.chunk_id().alias("chunk_id"), "doc_id", "chunk_idx", "heading", "content")
+
+    def _changed(self, old: DataFrame, rows: DataFrame, documents: DataFrame) -> DataFrame:
+        """(doc_id) of documents whose chunks differ in old and rows. Only digests are joined, not texts."""
+        new = maintain.digests(rows.where("chunk_idx is not null"), "path").join(documents.select("path", "doc_id"), "path").drop("path")
+        return staged(maintain.differing(maintain.digests(old), new), "changed")
 
     def ingest(self, files: DataFrame, now: dt.datetime | None = None) -> int:
         """Make the corpus hold exactly these files(path, body); returns the version.
@@ -362,36 +384,43 @@ class Store:
         that are gone are pruned, but without any file nothing changes. Chunks
         are written for the files that have changed.
         """
-        _, rows = self._rows(files)
-        if rows.isEmpty():
-            return self.version()
-
-        def make(base: dict | None) -> dict:
-            documents, fresh = self._numbered(rows, now)
-            if base is None:
-                return self._segment(None, documents, fresh, None, None)
-            old = self._merged("chunks", base)
-            changed = staged(maintain.changed(old, fresh), "changed")
-            return self._segment(base, documents, fresh.join(few(changed, CHANGED_ROWS), "doc_id", "left_semi"), self._merged("documents", base), changed)
-
-        return self._commit(make)
+        with Scope() as own:
+            rows = self._rows(files)
+            if rows.where("chunk_idx is not null").isEmpty():
+                return self.version()
+
+            def make(base: dict | None) -> dict:
+                documents = self._numbered(rows, now)
+                if base is None:
+                    return self._segment(None, documents, self._fresh(rows, documents), None, None)
+                changed = self._changed(self._merged("chunks", base), rows, documents)
+                due = documents.join(few(changed, CHANGED_ROWS), "doc_id", "left_semi")
+                return self._segment(base, documents, self._fresh(rows, due), self._merged("documents", base), changed)
+
+            version = self._commit(make)
+            own.drop(self.spark)  # the segment has what counts
+        return version
 
     def update(self, files: DataFrame, now: dt.datetime | None = None) -> int:
         """Put these files(path, body) in place of those of the same paths and keep all others; returns the version. A file without chunks is deleted. Chunks are written for files that have changed; where none has, nothing changes, not even the time."""
-        files, rows = self._rows(files)
-
-        def make(base: dict | None) -> dict | None:
-            before = self.table("documents")
-            own = staged(before.join(few(files.select("path"), CHANGED_ROWS), "path", "left_semi").select("doc_id", "path"), "own")
-            documents, fresh = self._numbered(rows, now)
-            old = self.table("chunks").join(few(own.select("doc_id"), CHANGED_ROWS), "doc_id", "left_semi")
-            changed = staged(maintain.changed(old, fresh), "changed")
-            if changed.isEmpty():
-                return None
-            stamped = own.select("doc_id").unionByName(documents.select("doc_id"))
-            return self._segment(base, documents, fresh.join(few(changed, CHANGED_ROWS), "doc_id", "left_semi"), stamped, changed)
-
-        return self._commit(make)
+        with Scope() as staged_here:
+            rows = self._rows(files)
+            paths = rows.where("coalesce(chunk_idx, 0) = 0").select("path")
+
+            def make(base: dict | None) -> dict | None:
+                own = staged(self.table("documents").join(few(paths, CHANGED_ROWS), "path", "left_semi").select("doc_id", "path"), "own")
+                documents = self._numbered(rows, now)
+                old = self.table("chunks").join(few(own.select("doc_id"), CHANGED_ROWS), "doc_id", "left_semi")
+                changed = self._changed(old, rows, documents)
+                if changed.isEmpty():
+                    return None
+                due = documents.join(few(changed, CHANGED_ROWS), "doc_id", "left_semi")
+                stamped = own.select("doc_id").unionByName(documents.select("doc_id"))
+                return self._segment(base, documents, self._fresh(rows, due), stamped, changed)
+
+            version = self._commit(make)
+            staged_here.drop(self.spark)
+        return version
 
     def remove(self, paths: DataFrame) -> int:
         """Remove the documents of paths(path); returns the version. Unknown paths change nothing."""
@@ -465,7 +494,7 @@ class Store:
         postings = lambda: self._merged("postings", record).select("term", "chunk_id", "tf")
         whole = Index(**{n: self._merged(n, record) for n in names}, vocab=vocab, make_postings=postings, make_vectors=lambda: self._vectors(record))
         whole.facts = (record["chunks"], record["tokens"])
-        whole.terms = self._read("terms", record["segments"])
+        whole.make_terms = lambda: self._read("terms", record["segments"])
         whole.ranged = lambda wanted: self._ranged(record, wanted)
         return whole
 

@@ -202,3 +202,34 @@ def test_merged_segments_that_were_searched_or_not(spark, tmp_path, monkeypatch,
     assert content(store, TABLES) == content(Index.build(store.table("documents"), store.table("chunks")), TABLES)
     terms = {r["term"]: r["n"] for r in store.table("terms").collect()}
     assert terms == {r["term"]: r["count"] for r in store.table("postings").groupBy("term").count().collect()}
+
+
+def test_batches_and_counts_need_no_ranges(spark, tmp_path):
+    """A batch of many phrases and the counts of terms wait for no ranges of postings, and an ingest leaves no staged texts."""
+    from larkspur import session
+
+    store = Store(spark, f"file://{tmp_path}/store")
+    before = set(session._made.get(spark.sparkContext.applicationId, []))
+    store.ingest(files(spark, 12))
+    store.update(spark.createDataFrame([("d2/f002.md", "# Two\nshort"), ("d0/f000.md", "")], "path string, body string"))
+    assert set(session._made.get(spark.sparkContext.applicationId, [])) == before
+    queries = spark.createDataFrame([(k, " ".join(f"w{(k * 40 + j) % 977} q{k}x{j}" for j in range(60))) for k in range(30)], "query_id long, query string")
+    found = search_batch(store.index(), queries)
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 8)) for r in df.collect())
+    assert rows(found) == rows(search_batch(Index.build(store.table("documents"), store.table("chunks")), queries)) != []
+    counted = lambda: sorted(map(tuple, store.table("occurrences").select("term", "chunks", "times").collect()))
+    by_words = counted()
+    assert not {"postings", "terms"} & {f.name for s in (tmp_path / "store/segments").iterdir() for f in s.iterdir()}
+    held = store.table("postings").groupBy("term").agg({"chunk_id": "count", "tf": "sum"}).select("term", "count(chunk_id)", "sum(tf)")
+    assert by_words == sorted(map(tuple, held.collect())) == counted() != []
+
+
+def test_paths_that_come_twice(spark, tmp_path):
+    """Of files of one path the greatest body counts, also where it has no chunk, and texts of other files are not shuffled for it."""
+    rows = [("a.md", "first"), ("a.md", "second"), ("b.md", " before"), ("b.md", "---\nx\n---\n"), ("c.md", None), ("c.md", "# C\nx"), ("d.md", ""), ("e.md", "same"), ("e.md", "same"), (None, "no")]
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.ingest(spark.createDataFrame(rows, "path string, body string").repartition(3))
+    held = lambda: sorted(map(tuple, store.table("chunks").join(store.table("documents"), "doc_id").select("path", "heading", "content").collect()))
+    assert held() == [("a.md", "", "second"), ("c.md", "C", "x"), ("e.md", "", "same")]
+    store.update(spark.createDataFrame([("a.md", "x"), ("a.md", ""), ("c.md", None), ("f.md", "new")], "path string, body string"))
+    assert held() == [("a.md", "", "x"), ("e.md", "", "same"), ("f.md", "", "new")]
