@@ -68,17 +68,21 @@ class MarkdownReader(DataSourceReader):
             whole = below
         return [Share(f, deep, k, SHARES) for folders, deep in ((flat, False), (whole, True)) for f in sorted(folders) for k in range(SHARES)]
 
-    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
+    def _found(self, files, top: str, partition: Share) -> Iterator[tuple]:
+        """(path below the root, what the listing says) of the share's files."""
         from pyarrow import fs
 
-        files, top = _opened(self.root)
-        paths, bodies, held = [], [], 0
         for info in _listing(files, partition.folder, partition.deep):
             if info.type == fs.FileType.Directory or not info.path.endswith(".md"):
                 continue
             path = info.path[len(top) + 1 :]
-            if zlib.crc32(path.encode("utf-8", "surrogateescape")) % partition.shares != partition.share:
-                continue
+            if zlib.crc32(path.encode("utf-8", "surrogateescape")) % partition.shares == partition.share:
+                yield path, info
+
+    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
+        files, top = _opened(self.root)
+        paths, bodies, held = [], [], 0
+        for path, info in self._found(files, top, partition):
             try:
                 with files.open_input_stream(info.path) as f:
                     body = f.read().decode("utf-8", "replace")
@@ -100,6 +104,31 @@ def _batch(paths: list[str], bodies: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(bodies, pa.string())], names=["path", "body"])
 
 
+class ListingReader(MarkdownReader):
+    """Names, times and sizes, from the same folders and shares; no file is opened. Names that begin with _ or a dot are left out, as by Spark's listing."""
+
+    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
+        files, top = _opened(self.root)
+        rows = [(p, i.mtime_ns // 1_000_000 * 1_000, i.size) for p, i in self._found(files, top, partition) if not any(n.startswith((".", "_")) for n in p.split("/"))]
+        if rows:
+            paths, modified, size = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(modified, pa.timestamp("us", tz="UTC")), pa.array(size, pa.int64())], names=["path", "modified", "size"])
+
+
+class MarkdownListing(DataSource):
+    """(path, modified, size) of the files that Spark would list, empty ones too, listed by tasks."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "markdown_listing"
+
+    def schema(self) -> str:
+        return "path string, modified timestamp, size long"
+
+    def reader(self, schema) -> DataSourceReader:
+        return ListingReader(self.options)
+
+
 class MarkdownTree(DataSource):
     """(path, body) of all files below a folder whose name ends in .md; path relative to it, bytes that are no UTF-8 replaced."""
 

@@ -11,10 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 from larkspur.plans.log import CommitLog, Taken
 from larkspur.plans.store import Store
 from larkspur.session import few, staged
-from larkspur.sources.markdown import listed, read_markdown, relative_path
+from larkspur.sources.markdown import contents, listed
 
 MANIFEST = "path string, modified timestamp, size long, digest string"
-FEW_FILES = 1_000  # changed files that are read by their names; beyond it the folder is read and joined
 
 
 class Manifest:
@@ -40,39 +39,35 @@ class Manifest:
             self.log.delete(f"{self.root}/{before['table']}")
 
 
-def _bodies(spark: SparkSession, root: str, changed: DataFrame) -> DataFrame:
-    """(path, body) of the changed files only."""
-    names = [r["at"] for r in changed.select("at").limit(FEW_FILES + 1).collect()]
-    if len(names) > FEW_FILES:
-        return read_markdown(spark, root).join(changed.select("path"), "path", "left_semi")
-    raw = spark.read.text(names, wholetext=True).select(F.col("_metadata.file_path").alias("at"), F.col("value").alias("body"))
-    return raw.select(relative_path(spark, root, "at").alias("path"), "body")
-
-
 def catch_up(spark: SparkSession, root: str, store: Store, manifest: Manifest) -> dict[str, int]:
     """Bring the corpus up to the folder; returns how many files were read, had new contents and were gone.
 
     Only files whose time or size is not as it was last seen are opened, and
     only those with another digest are put in the corpus. A pass that is run
     again finds nothing to do. Where no file is listed at all, nothing is
-    removed, as after a failed listing.
+    removed, as after a failed listing. Digests are taken first and bodies of
+    changed files read after that, straight into the corpus; the digest of a
+    file that has changed in between is not kept, so the next pass reads it.
     """
     now, old = staged(listed(spark, root), "listed"), manifest.table()
     same = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in ("modified", "size")]
     both = now.alias("n").join(old.alias("o"), F.col("n.path") == F.col("o.path"), "left")
-    looked = both.where(~(same[0] & same[1]) | F.col("o.path").isNull()).select("n.path", "n.at", "n.modified", "n.size", F.col("o.digest").alias("before"))
+    looked = both.where(~(same[0] & same[1]) | F.col("o.path").isNull()).select("n.path", "n.modified", "n.size", F.col("o.digest").alias("before"))
     looked = staged(looked, "looked")
-    bodies = staged(_bodies(spark, root, looked).withColumn("digest", F.sha2("body", 256)), "bodies")
-    new = looked.join(bodies, "path").where(~F.col("digest").eqNullSafe(F.col("before")))
+    digests = staged(contents(looked, root, bodies=False), "digests")
+    new = staged(looked.join(digests, "path").where(~F.col("digest").eqNullSafe(F.col("before"))).select("path"), "changed")
     gone = old.join(now.select("path"), "path", "left_anti") if not now.isEmpty() else old.limit(0)
     counts = {"read": looked.count(), "changed": new.count(), "gone": gone.count()}
     if counts["changed"]:
-        store.update(new.select("path", "body"))
+        store.update(contents(new, root))
     if counts["gone"]:
         store.remove(gone.select("path"))
     if counts["read"] or counts["gone"]:
         stay = old.join(few(looked.select("path"), 1_000_000), "path", "left_anti").join(few(gone.select("path"), 1_000_000), "path", "left_anti")
-        seen = looked.join(bodies.select("path", "digest"), "path", "left").select("path", "modified", "size", "digest")
+        seen = looked.join(digests, "path", "left").select("path", "modified", "size", "digest")
+        if counts["changed"]:
+            still = listed(spark, root).withColumn("still", F.lit(True))
+            seen = seen.join(still, ["path", "modified", "size"], "left").withColumn("digest", F.when(F.col("still"), F.col("digest"))).drop("still")
         manifest.put(staged(stay.unionByName(seen), "seen"))
     return counts
 

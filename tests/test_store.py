@@ -233,3 +233,31 @@ def test_paths_that_come_twice(spark, tmp_path):
     assert held() == [("a.md", "", "second"), ("c.md", "C", "x"), ("e.md", "", "same")]
     store.update(spark.createDataFrame([("a.md", "x"), ("a.md", ""), ("c.md", None), ("f.md", "new")], "path string, body string"))
     assert held() == [("a.md", "", "x"), ("e.md", "", "same"), ("f.md", "", "new")]
+
+
+def test_only_changed_files_are_written_and_opened(spark, tmp_path, monkeypatch):
+    """A folder is brought up to a table without touching what is the same, and a pass opens only what it names."""
+    from larkspur.sources import markdown
+    from larkspur.streaming import ingest
+
+    root, store = f"file://{tmp_path}/docs", Store(spark, f"file://{tmp_path}/store")
+    manifest = Manifest(spark, f"file://{tmp_path}/manifest")
+    table = lambda rows: spark.createDataFrame(rows, "path string, body string")
+    markdown.write_markdown(table([("a b%41+.md", "# A\nä"), ("x/b.md", "# B\nx"), ("x/c.md", "# C\nx"), ("x/_d.md", "hidden"), ("e.md", "")]), root)
+    times = lambda: {p.name: p.stat().st_mtime_ns for p in (tmp_path / "docs").rglob("*.md")}
+    first = times()
+    found = sorted((r["path"], r["size"]) for r in markdown.listed(spark, root).collect())
+    monkeypatch.setattr(markdown, "_known", lambda root: False)
+    by_spark = {(r["path"], r["size"], r["modified"]) for r in markdown.listed(spark, root).collect() if r["size"]}
+    monkeypatch.undo()
+    assert found == [("a b%41+.md", 6), ("e.md", 0), ("x/b.md", 5), ("x/c.md", 5)]
+    assert {(r["path"], r["size"], r["modified"]) for r in markdown.listed(spark, root).collect() if r["size"]} == by_spark
+    assert catch_up(spark, root, store, manifest) == {"read": 4, "changed": 4, "gone": 0}
+    markdown.write_markdown(table([("a b%41+.md", "# A\nä"), ("x/b.md", "# B\ny")]), root, replace=True)
+    second = times()
+    assert set(second) == {"a b%41+.md", "b.md", "_d.md"} and second["a b%41+.md"] == first["a b%41+.md"] and second["b.md"] != first["b.md"]
+    seen, whole = [], markdown.contents
+    monkeypatch.setattr(ingest, "contents", lambda paths, root, bodies=True: seen.append(sorted(r["path"] for r in paths.collect())) or whole(paths, root, bodies))
+    assert catch_up(spark, root, store, manifest) == {"read": 1, "changed": 1, "gone": 2} and seen == [["x/b.md"]] * 2
+    held = store.table("chunks").join(store.table("documents"), "doc_id").select("path", "heading", "content").collect()
+    assert sorted(map(tuple, held)) == [("a b%41+.md", "A", "ä"), ("x/b.md", "B", "y")]
