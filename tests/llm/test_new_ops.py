@@ -350,3 +350,20 @@ def test_op11_head_holds_the_most_frequent_words(spark, monkeypatch):
     monkeypatch.setattr(attention_lm, "HEAD", 2)
     assert attention_lm._least_of_head(counts) == 11
     assert attention_lm._least_of_head(counts.limit(0)) == 1
+
+
+def test_op11_learns_from_every_window(spark, monkeypatch):
+    """Also where there are more than LEAST_WINDOWS, each window of a training text is in one round."""
+    monkeypatch.setattr(attention_lm, "LEAST_WINDOWS", 1)
+    made, put = {}, attention_lm.staged
+    monkeypatch.setattr(attention_lm, "staged", lambda df, name, **options: made.setdefault(name, put(df, name, **options)))
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 37}" for j in range(1 + 40 * (i % 7)))) for i in range(60)], "doc_id long, text string")
+    attention_lm.attention_lm(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).count()
+    end, expected = attention_lm.subwords(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).end, 0
+    for batch in made["blocks"].toArrow().to_batches():
+        for row in range(len(batch)):
+            block = attention_lm.Block(batch, row)
+            sizes = block.stream(np.flatnonzero(block.trained), end)[2]
+            expected += int((-(-sizes // attention_lm.STRIDE)).sum())
+    rounds = {r["round"]: r["n"] for r in made["material"].where("round >= 0").groupBy("round").agg(F.sum("n").alias("n")).collect()}
+    assert sum(rounds.values()) == expected > 300 and len(rounds) == attention_lm.ROUNDS
